@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import decontam
+from rasterloom.llm import decontam, quality
 
 #: A-Z and a-z, for folding ASCII letters alone.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,5 +36,27 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination}
-ORACLES = {"op1_decontamination": OP1_SQL}
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY 1),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+m AS (SELECT doc_id, w, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words,
+             length(t) - length(replace(t, chr(10), '')) + 1 AS n_lines, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS upper_, length(regexp_replace(t, '[^a-z]+', '', 'g')) AS lower_,
+             len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z\x{{C0}}-\x{{10FFFF}}]'))) AS lettered, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS stutters
+      FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_dup_lines > 3 * n_lines
+            OR upper_ > lower_ OR 10 * lettered < 7 * n_words OR 5 * stutters > n_words) AS kept
+FROM b
+"""
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality}
+ORACLES = {"op1_decontamination": OP1_SQL, "op2_quality": OP2_SQL}
