@@ -95,8 +95,8 @@ def _word_length(chunk, words, m):
 
 
 def _lines(chunk, words, m):
-    """Over 30 % of lines repeat an earlier one."""
-    return 10 * m["n_dup_lines"] > 3 * (_per_row(chunk, chunk.data == 10) + 1)
+    """Five lines or more repeat an earlier one, and they are over half of all."""
+    return (m["n_dup_lines"] >= 5) & (2 * m["n_dup_lines"] > _per_row(chunk, chunk.data == 10) + 1)
 
 
 def _shouting(chunk, words, m):
