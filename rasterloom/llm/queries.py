@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import decontam, quality, substring_dedup
+from rasterloom.llm import decontam, minhash, quality, substring_dedup
 
 #: A-Z and a-z, for folding ASCII letters alone.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,5 +73,21 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_substring_dedup": op3_substring_dedup}
-ORACLES = {"op1_decontamination": OP1_SQL, "op2_quality": OP2_SQL, "op3_substring_dedup": OP3_SQL}
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 85, 100)
+
+
+OP8_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_SPACED}') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * n_both >= 85 * (p.n + q.n - n_both)),
+reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a),
+comp AS (SELECT doc_id, min(other) AS c FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(c, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(c, d.doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
+"""
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_substring_dedup": op3_substring_dedup, "op8_minhash": op8_minhash}
+ORACLES = {"op1_decontamination": OP1_SQL, "op2_quality": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_minhash": OP8_SQL}
