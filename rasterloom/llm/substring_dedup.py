@@ -45,78 +45,102 @@ def _anchors(chunk: Chunk, words: Words, window: int) -> tuple[np.ndarray, np.nd
     return at[good], keys[good]
 
 
-def _emit_anchors(window: int, positions: bool):
-    names = ["h", "doc_id", "rid", "at"] if positions else ["h", "lo", "hi"]
+def _spread(lists: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column as word numbers of the chunk, and the first word of each value's text."""
+    n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
+    base = np.repeat(first[:-1], n)
+    return np.asarray(lists.flatten()).astype(np.int64) + base, base
 
+
+def _count_anchors(window: int):
+    """(h, n): each anchor of a chunk once, with the number of texts that hold it (2 for more than one)."""
+
+    def run(batches):
+        for batch in batches:
+            for chunk in chunks(take(batch, "text")):
+                words = Words(chunk, SPACED)
+                at, keys = _anchors(chunk, words, window)
+                row = words.row[at]
+                order = np.argsort(keys, kind="stable")  # rows stay in order within a key
+                k, r = keys[order], row[order]
+                head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+                tail = np.append(head[1:], len(k)) - 1 if len(k) else head
+                yield pa.RecordBatch.from_arrays([as_signed(k[head]), pa.array(1 + (r[tail] != r[head]).astype(np.int32))], names=["h", "n"])
+
+    return run
+
+
+def _packed(at: np.ndarray, words: Words, marks: np.ndarray, row: np.ndarray) -> pa.Array:
+    """Word places within their texts, under the marks of the rows."""
+    return pa.array((at - words.first[row]) | (marks[row].astype(np.int64) << 40))
+
+
+def _place_anchors(window: int):
     def run(batches):
         for batch in batches:
-            ids = np.asarray(take(batch, "doc_id").cast(pa.int64()))
-            rids = np.asarray(take(batch, "rid")) if positions else None
+            ids, marks = np.asarray(take(batch, "doc_id").cast(pa.int64())), np.asarray(take(batch, "mark"))
             for chunk in chunks(take(batch, "text")):
                 words = Words(chunk, SPACED)
                 at, keys = _anchors(chunk, words, window)
                 row = words.row[at]
-                doc = ids[chunk.lo : chunk.hi][row]
-                if positions:
-                    cols = [as_signed(keys), pa.array(doc), pa.array(rids[chunk.lo : chunk.hi][row]), pa.array((at - words.first[row]).astype(np.int32))]
-                else:
-                    order = np.lexsort((doc, keys))
-                    k, d = keys[order], doc[order]
-                    head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-                    tail = np.append(head[1:], len(k)) - 1 if len(k) else head
-                    cols = [as_signed(k[head]), pa.array(d[head]), pa.array(d[tail])]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                yield pa.RecordBatch.from_arrays([as_signed(keys), pa.array(ids[chunk.lo : chunk.hi][row]), _packed(at, words, marks[chunk.lo : chunk.hi], row)], names=["h", "doc_id", "at"])
 
     return run
 
 
 def _emit_windows(window: int):
-    """Whole windows that hold a shared anchor, from rows of (doc_id, rid, text, shared anchor starts)."""
+    """Whole windows that hold a shared anchor, from rows of (doc_id, text, starts of shared anchors).
+
+    `h` and `g` are the window's hash, 80 bits.
+    """
 
     def run(batches):
         for batch in batches:
-            ids, rids = np.asarray(take(batch, "doc_id").cast(pa.int64())), np.asarray(take(batch, "rid"))
+            ids, marks = np.asarray(take(batch, "doc_id").cast(pa.int64())), np.asarray(take(batch, "mark"))
             shared = take(batch, "shared")
             for chunk in chunks(take(batch, "text")):
                 words = Words(chunk, SPACED)
-                second = Words(chunk, SPACED_B)
                 at, one = words.windows(window)
-                _, two = second.windows(window, lane=1)
-                part = shared.slice(chunk.lo, chunk.hi - chunk.lo)
-                n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(part), 0))
-                starts = np.asarray(part.flatten()).astype(np.int64) + np.repeat(words.first[:-1], n)
+                starts, base = _spread(shared.slice(chunk.lo, chunk.hi - chunk.lo), words.first)
                 # a window at p holds the anchor at s when p <= s <= p + window - ANCHOR
                 edge = np.zeros(len(words.hashes) + 1, dtype=np.int32)
-                low = np.maximum(starts - (window - ANCHOR), np.repeat(words.first[:-1], n))
-                np.add.at(edge, low, 1)
+                np.add.at(edge, np.maximum(starts - (window - ANCHOR), base), 1)
                 np.add.at(edge, starts + 1, -1)
                 good = np.cumsum(edge)[at] > 0
+                words.hashes = Words(chunk, SPACED_B).hashes
+                two = words.windows(window, lane=1)[1][good]
                 row = words.row[at[good]]
-                yield pa.RecordBatch.from_arrays(
-                    [as_signed(one[good]), as_signed(two[good]), pa.array(ids[chunk.lo : chunk.hi][row]), pa.array(rids[chunk.lo : chunk.hi][row]), pa.array((at[good] - words.first[row]).astype(np.int32))],
-                    names=["h", "g", "doc_id", "rid", "at"],
-                )
+                columns = [as_signed(one[good]), pa.array((two & np.uint64(0xFFFF)).astype(np.int32)), pa.array(ids[chunk.lo : chunk.hi][row]), _packed(at[good], words, marks[chunk.lo : chunk.hi], row)]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "g", "doc_id", "at"])
 
     return run
 
 
+_MARK = (1 << 23) - 1
+
+
+def keyed(documents: DataFrame) -> DataFrame:
+    """The rows with `mark`, 23 bits of a hash of the text, which tells rows of one doc_id apart."""
+    return documents.select("doc_id", "text", F.xxhash64("text").bitwiseAND(_MARK).cast("int").alias("mark"))
+
+
+def _by_row(places: DataFrame, name: str) -> DataFrame:
+    return places.groupBy("doc_id", F.shiftright("at", 40).cast("int").alias("mark")).agg(F.collect_set(F.col("at").bitwiseAND((1 << 40) - 1)).alias(name))
+
+
 def removal_plan(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(rid, gone): starts of the windows to remove, for each row that loses words. rid is a hash of doc_id and text."""
+    """(doc_id, mark, gone): starts of the windows to remove, for each row that loses words."""
     if window < PERIOD + ANCHOR - 1:
         raise ValueError(f"a window must have {PERIOD + ANCHOR - 1} words at least, so that it holds an aligned anchor")
-    rows = documents.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", rid())
-    seen = rows.select("doc_id", "text").mapInArrow(_emit_anchors(window, False), "h long, lo long, hi long")
-    shared = written(seen.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("h"))
-    places = rows.mapInArrow(_emit_anchors(window, True), "h long, doc_id long, rid long, at int").select("h", "rid", "at")
-    anchors = written(places.join(shared.hint("shuffle_hash"), "h").groupBy("rid").agg(F.collect_set("at").alias("shared")))
-    windows = rows.join(anchors, "rid").select("doc_id", "rid", "text", "shared").mapInArrow(_emit_windows(window), "h long, g long, doc_id long, rid long, at int")
-    firsts = windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "g", "lo")
-    gone = windows.join(firsts.hint("shuffle_hash"), ["h", "g"]).filter("doc_id > lo")
-    return written(gone.groupBy("rid").agg(F.collect_set("at").alias("gone")))
-
-
-def rid():
-    return F.xxhash64("doc_id", "text").alias("rid")
+    rows = keyed(documents)
+    some = rows.filter("doc_id is not null and text is not null")
+    seen = some.select("text").mapInArrow(_count_anchors(window), "h long, n int")
+    shared = written(seen.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
+    places = some.mapInArrow(_place_anchors(window), "h long, doc_id long, at long")
+    anchors = written(_by_row(places.join(shared.hint("shuffle_hash"), "h"), "shared"))
+    windows = rows.join(anchors, ["doc_id", "mark"]).mapInArrow(_emit_windows(window), "h long, g int, doc_id long, at long")
+    firsts = windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"))
+    return _by_row(windows.join(firsts.hint("shuffle_hash"), ["h", "g"]).filter("doc_id > lo"), "gone")
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -129,17 +153,15 @@ def _apply(window: int, texts: bool):
             out = []
             for chunk in chunks(take(batch, "text")):
                 words = Words(chunk, SPACED, hashed=False)
-                part = gone.slice(chunk.lo, chunk.hi - chunk.lo)
-                n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(part), 0))
-                starts = np.asarray(part.flatten()).astype(np.int64) + np.repeat(words.first[:-1], n)
+                starts, _ = _spread(gone.slice(chunk.lo, chunk.hi - chunk.lo), words.first)
                 lost = covered(starts, window, len(words.starts))
                 for r, count in enumerate(words.count.tolist()):
                     a, b = words.first[r], words.first[r + 1]
                     pieces = chunk.text(r).split()
                     removed = 0
-                    if n[r]:
-                        own = lost[a:b]
-                        removed = int(own.sum())
+                    own = lost[a:b]
+                    removed = int(own.sum())
+                    if removed:
                         pieces = [p for p, x in zip(pieces, own.tolist(), strict=True) if not x]
                     kept = b" ".join(pieces)
                     out.append((count, removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if texts else None))
@@ -150,7 +172,9 @@ def _apply(window: int, texts: bool):
 
 
 def dedup(documents: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
-    """One row per document: its words, how many were removed, the hash of what is kept and (if `texts`) the kept text."""
-    plan = removal_plan(documents, window)
-    rows = documents.select("doc_id", "text", rid()).join(plan, "rid", "left").select("doc_id", "text", "gone")
-    return rows.mapInArrow(_apply(window, texts), SCHEMA)
+    """One row per document: its words, how many were removed, the hash of what is kept and (if `texts`) the kept text.
+
+    The windows and the result read one shuffle of the texts by (doc_id, mark).
+    """
+    rows = keyed(documents).join(removal_plan(documents, window), ["doc_id", "mark"], "left")
+    return rows.select("doc_id", "text", "gone").mapInArrow(_apply(window, texts), SCHEMA)

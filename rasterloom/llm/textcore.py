@@ -168,10 +168,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes the rows as a table in the shared folder and reads it back."""
+    """Cuts the lineage: writes the rows as a table in the shared folder and reads it back.
+
+    The shuffle files behind it are of no more use; Spark deletes them once the driver's JVM collects its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rasterloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
