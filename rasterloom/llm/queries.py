@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rasterloom.llm import decontam, minhash, quality, substring_dedup
+from rasterloom.llm import decontam, linedup, minhash, quality, substring_dedup
 
 #: A-Z and a-z, for folding ASCII letters alone.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -89,5 +90,22 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_substring_dedup": op3_substring_dedup, "op8_minhash": op8_minhash}
-ORACLES = {"op1_decontamination": OP1_SQL, "op2_quality": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_minhash": OP8_SQL}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(s) AS x, unnest(range(0, len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
+v AS (SELECT doc_id, x, i, lead(x, 1) OVER o AS y, lead(x, 2) OVER o AS z, lead(i, 1) OVER o AS j, lead(i, 2) OVER o AS k
+      FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]') WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+later AS (SELECT doc_id, i, j, k FROM v WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest([i, j, k]) AS i FROM later),
+kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t, count(*) AS n FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY 1),
+total AS (SELECT doc_id, count(*) AS n FROM l GROUP BY 1)
+SELECT doc_id, coalesce(total.n, 0)::BIGINT AS n_lines, (coalesce(total.n, 0) - coalesce(kept.n, 0))::BIGINT AS n_removed_lines, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_substring_dedup": op3_substring_dedup, "op8_minhash": op8_minhash, "op10_line_dedup": op10_line_dedup}
+ORACLES = {"op1_decontamination": OP1_SQL, "op2_quality": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_minhash": OP8_SQL, "op10_line_dedup": OP10_SQL}
