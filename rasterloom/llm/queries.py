@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import decontam, langid, linedup, minhash, quality, substring_dedup
+from rasterloom.llm import decontam, langid, linedup, minhash, quality, substring_dedup, urlgraph
 
 #: A-Z and a-z, for folding ASCII letters alone.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,6 +78,50 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+#: The rules of op5.
+URL_RULES = [
+    urlgraph.Rule("org", "/", "allow"),
+    urlgraph.Rule("example.org", "/es/", "block"),
+    urlgraph.Rule("example.org", "/en/1", "block"),
+    urlgraph.Rule("com", "/fr/", "allow"),
+    urlgraph.Rule("com", "/de/", "block"),
+]
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _op5_sql() -> str:
+    """The walks as one common table expression a round."""
+    rules = sorted(URL_RULES, key=lambda r: -len(r.name))
+    fits = lambda r: f"(host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}')"
+    case = lambda what: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{getattr(r, what)}'" for r in rules) + " END"
+    walks = [f"s0 AS MATERIALIZED (SELECT walk, host, seed AS score FROM seeds)"]
+    for k in range(urlgraph.ROUNDS):
+        walks.append(f"""s{k + 1} AS MATERIALIZED (SELECT walk, host, sum(score) AS score FROM (
+            SELECT s.walk, b AS host, sum(score * p) * {urlgraph.DAMPING} AS score FROM s{k} s JOIN shares e ON s.walk = e.walk AND s.host = e.a GROUP BY 1, 2
+            UNION ALL SELECT walk, host, seed * {1 - urlgraph.DAMPING} FROM seeds) GROUP BY 1, 2)""")
+    return rf"""
+WITH u AS (SELECT page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
+                  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+r AS (SELECT page_id, host, path, {case("name")} AS rule, {case("verdict")} AS ruled FROM u),
+counts AS (SELECT host, ruled, count(*) AS n FROM r WHERE ruled IS NOT NULL GROUP BY 1, 2),
+seeds AS (SELECT CASE WHEN ruled = 'allow' THEN 'trust' ELSE 'distrust' END AS walk, host, n / sum(n) OVER (PARTITION BY ruled) AS seed FROM counts),
+links AS (SELECT DISTINCT page_id, host AS src, translate(regexp_extract(l, '^[^/]*//([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS dst
+          FROM (SELECT page_id, host, unnest(regexp_extract_all(html, '(?is)\bhref\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]*)', 1)) AS l FROM u)),
+edges AS (SELECT src, dst, count(*) AS w FROM links WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
+both_ AS (SELECT 'trust' AS walk, src AS a, dst AS b, w FROM edges UNION ALL SELECT 'distrust', dst, src, w FROM edges),
+shares AS (SELECT walk, a, b, w / sum(w) OVER (PARTITION BY walk, a) AS p FROM both_),
+{", ".join(walks)},
+bad AS (SELECT host FROM s{urlgraph.ROUNDS} GROUP BY 1 HAVING coalesce(sum(score) FILTER (walk = 'distrust'), 0) - coalesce(sum(score) FILTER (walk = 'trust'), 0) > {urlgraph.THRESHOLD})
+SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN bad.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict FROM r LEFT JOIN bad ON r.host = bad.host
+"""
+
+
+OP5_SQL = _op5_sql()
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), 85, 100)
 
@@ -111,5 +155,5 @@ SELECT doc_id, coalesce(total.n, 0)::BIGINT AS n_lines, (coalesce(total.n, 0) -
 FROM documents LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_substring_dedup": op3_substring_dedup, "op4_langid": op4_langid, "op8_minhash": op8_minhash, "op10_line_dedup": op10_line_dedup}
-ORACLES = {"op1_decontamination": OP1_SQL, "op2_quality": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_minhash": OP8_SQL, "op10_line_dedup": OP10_SQL}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_substring_dedup": op3_substring_dedup, "op4_langid": op4_langid, "op5_urls": op5_urls, "op8_minhash": op8_minhash, "op10_line_dedup": op10_line_dedup}
+ORACLES = {"op1_decontamination": OP1_SQL, "op2_quality": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_urls": OP5_SQL, "op8_minhash": OP8_SQL, "op10_line_dedup": OP10_SQL}
