@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import decontam, langid, linedup, minhash, quality, substring_dedup, urlgraph
+from rasterloom.llm import decontam, langid, linedup, minhash, quality, resharding, substring_dedup, urlgraph
 
 #: A-Z and a-z, for folding ASCII letters alone.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -122,6 +122,11 @@ SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN bad.host IS NULL T
 OP5_SQL = _op5_sql()
 
 
+def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resharding.reshard(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), 85, 100)
 
@@ -155,5 +160,5 @@ SELECT doc_id, coalesce(total.n, 0)::BIGINT AS n_lines, (coalesce(total.n, 0) -
 FROM documents LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_substring_dedup": op3_substring_dedup, "op4_langid": op4_langid, "op5_urls": op5_urls, "op8_minhash": op8_minhash, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_substring_dedup": op3_substring_dedup, "op4_langid": op4_langid, "op5_urls": op5_urls, "op7_resharding": op7_resharding, "op8_minhash": op8_minhash, "op10_line_dedup": op10_line_dedup}
 ORACLES = {"op1_decontamination": OP1_SQL, "op2_quality": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_urls": OP5_SQL, "op8_minhash": OP8_SQL, "op10_line_dedup": OP10_SQL}
