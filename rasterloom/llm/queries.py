@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import decontam, langid, linedup, minhash, quality, resharding, substring_dedup, urlgraph
+from rasterloom.llm import decontam, langid, linedup, minhash, pii, quality, resharding, substring_dedup, urlgraph
 
 #: A-Z and a-z, for folding ASCII letters alone.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -143,6 +143,55 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
 """
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def _op9_sql() -> str:
+    """Each kind's plain pattern; places from the lengths of what lies between matches."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}",
+        "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    }
+    digits = "regexp_replace(m, '[^0-9]+', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN (length({digits}) - i) % 2 = 1 THEN (({digits})[i]::INT * 2) - CASE WHEN ({digits})[i]::INT > 4 THEN 9 ELSE 0 END ELSE ({digits})[i]::INT END)) % 10 = 0"
+    packed = "replace(m, ' ', '')"
+    mod97 = f"list_reduce(list_prepend(0, list_transform(string_split((({packed})[5:]) || (({packed})[1:4]), ''), lambda c: ascii(c))), lambda r, c: CASE WHEN c < 58 THEN r * 10 + c - 48 ELSE r * 100 + c - 55 END % 97) = 1"
+    confirm = {
+        "email": "true",
+        "ip": r"len(list_filter(string_split(m, '.'), lambda p: NOT regexp_matches(p, '^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$'))) = 0",
+        "card": f"length({digits}) BETWEEN 13 AND 19 AND {luhn}",
+        "phone": f"length({digits}) BETWEEN 9 AND 15",
+        "iban": f"length({packed}) BETWEEN 15 AND 34 AND {mod97}",
+        "ssn": "true",
+    }
+    parts = []
+    for at, k in enumerate(pii.KINDS):
+        extra = f"AND {k.prior} + CASE WHEN regexp_matches(lower(near), '{k.context}') THEN {k.lift} ELSE 0 END >= {pii.THRESHOLD}" if not k.base else ""
+        alone = "AND NOT (s > 0 AND regexp_matches(t[s], '^[A-Za-z0-9]')) AND NOT regexp_matches(t[e + 1], '^[A-Za-z0-9]')" if k.alone else ""
+        parts.append(f"""SELECT doc_id, {at} AS o, '{k.name}' AS kind, s, e FROM (
+            SELECT *, s + length(m) AS e, substr(t, greatest(s - {pii.BEFORE}, 0) + 1, least(s, {pii.BEFORE})) || ' ' || substr(t, s + length(m) + 1, {pii.AFTER}) AS near FROM (
+            SELECT doc_id, t, m[i] AS m, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM (
+            SELECT doc_id, t, m, p, unnest(range(1, len(m) + 1)) AS i FROM (
+            SELECT doc_id, t, regexp_extract_all(t, '{patterns[k.name]}') AS m, string_split_regex(t, '{patterns[k.name]}') AS p FROM d) WHERE len(m) > 0)))
+            WHERE {confirm[k.name]} {alone} {extra}""")
+    base = [k.name for k in pii.KINDS if k.base]
+    counts = ", ".join(f"count(*) FILTER (kind = '{n}') AS n_{n}" for n in base)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(parts)}),
+per AS (SELECT doc_id, {counts}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (o < {len(base)}) AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS spans FROM found GROUP BY 1)
+SELECT doc_id, {", ".join(f"coalesce(n_{n}, 0)::BIGINT AS n_{n}" for n in base)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (doc_id)
+"""
+
+
+OP9_SQL = _op9_sql()
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
@@ -160,5 +209,5 @@ SELECT doc_id, coalesce(total.n, 0)::BIGINT AS n_lines, (coalesce(total.n, 0) -
 FROM documents LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_substring_dedup": op3_substring_dedup, "op4_langid": op4_langid, "op5_urls": op5_urls, "op7_resharding": op7_resharding, "op8_minhash": op8_minhash, "op10_line_dedup": op10_line_dedup}
-ORACLES = {"op1_decontamination": OP1_SQL, "op2_quality": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_urls": OP5_SQL, "op8_minhash": OP8_SQL, "op10_line_dedup": OP10_SQL}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_substring_dedup": op3_substring_dedup, "op4_langid": op4_langid, "op5_urls": op5_urls, "op7_resharding": op7_resharding, "op8_minhash": op8_minhash, "op9_pii": op9_pii, "op10_line_dedup": op10_line_dedup}
+ORACLES = {"op1_decontamination": OP1_SQL, "op2_quality": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_urls": OP5_SQL, "op8_minhash": OP8_SQL, "op9_pii": OP9_SQL, "op10_line_dedup": OP10_SQL}
