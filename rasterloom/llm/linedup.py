@@ -65,7 +65,7 @@ def dedup(documents: DataFrame) -> DataFrame:
     added = ("kept_text", "n_lines", "n_removed_lines")
     plan = removal_plan(documents).select(F.col("rid").alias("_rid"), F.col("gone").alias("_gone"))
     own = [c for c in documents.columns if c not in added]
-    rows = documents.select(*own).withColumn("_rid", F.xxhash64("doc_id", "text")).join(plan, "_rid", "left")
+    rows = documents.select(*own).withColumn("_rid", F.xxhash64("doc_id", "text")).join(plan.hint("shuffle_hash"), "_rid", "left")
     lines = F.split("text", "\n", -1)
     kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(_without(lines, F.col("_gone")), "\n"))
     total = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
