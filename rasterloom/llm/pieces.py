@@ -8,9 +8,9 @@ key, segment, step): the same row gets the same pieces in whatever task, order o
 Pieces weigh p ~ 1 / (rank + 2)^alpha for vocabularies whose scores are ranks (BPE), and p ~ exp(alpha * score)
 for those whose scores are log-probabilities (unigram).
 
-No piece holds a word-start mark after another character (checked at loading), so the lattice falls apart
-before each mark, and around characters that no piece holds. Segments are therefore independent, and a
-worker keeps the filtered lattice of each distinct segment for its later occurrences.
+The lattice falls apart wherever no piece holds the two neighbouring characters, as before most word-start
+marks and around characters that no piece holds. Segments are therefore independent, and a worker keeps
+the filtered lattice of each distinct segment for its later occurrences.
 
 Decoding is lossless: blanks become marks and a leading mark is added and taken off again; characters that no
 piece holds, and a literal mark, are written as byte pieces.
@@ -35,7 +35,7 @@ MARK = 0x2581
 #: Stands for a literal mark in a text; no code point.
 _LITERAL = 0x110001
 #: Symbols of distinct segments that a worker keeps; beyond, it starts afresh.
-CACHE_SYMBOLS = 400_000
+CACHE_SYMBOLS = 1_200_000
 
 
 @dataclass(frozen=True)
@@ -61,8 +61,6 @@ class Vocabulary:
                 pieces[i], scores[i] = piece, model.get_score(i)
         if (byte_ids < 0).any():
             raise ValueError("the vocabulary has no byte pieces, so decoding could lose characters")
-        if any(chr(MARK) in p.lstrip(chr(MARK)) for p in pieces):
-            raise ValueError("a piece holds a word-start mark after another character")
         real = np.isfinite(scores)
         ranked = bool(real.any()) and np.array_equal(scores[real], np.round(scores[real]))
         weights = np.where(real, -alpha * np.log(2 - np.where(real, scores, 0)) if ranked else alpha * scores, -np.inf)
@@ -89,71 +87,103 @@ class Sampler:
         self.width = int(lengths.max(initial=1))
         self.weights, self.byte_ids = vocabulary.weights, vocabulary.byte_ids.astype(np.int32)
         self.steps = stream(41, self.width) | U64(1)
+        self.bare_weight = 3 * self.weights[np.isfinite(self.weights)].min(initial=0.0)
+        # prefixes of pieces by length: hash, and the piece's id or -1
         self.tables = []
-        held = np.zeros(0x110002, dtype=bool)
+        spelled = [(i, np.array([ord(c) for c in p], dtype=np.int64)) for i, p in enumerate(vocabulary.pieces) if p]
         for n in range(1, self.width + 1):
-            own = np.flatnonzero(lengths == n)
-            points = np.array([[ord(c) for c in vocabulary.pieces[i]] for i in own], dtype=np.int64).reshape(len(own), n)
-            held[points] = True
+            own = [(i if len(q) == n else -1, q[:n]) for i, q in spelled if len(q) >= n]
+            points = np.stack([q for _, q in own])
             with np.errstate(over="ignore"):
                 keys = (mix64(points.astype(U64)) * self.steps[:n]).sum(axis=1, dtype=U64)
-            order = np.argsort(keys)
-            self.tables.append((keys[order], own[order].astype(np.int32)))
-        self.held = held
+            ids = np.array([i for i, _ in own], dtype=np.int32)
+            order = np.lexsort((-ids, keys))  # a whole piece comes before prefixes of the same letters
+            keys, ids = keys[order], ids[order]
+            new = np.append(True, keys[1:] != keys[:-1])
+            self.tables.append((keys[new], ids[new]))
+        # neighbours that some piece holds, by symbol classes
+        letters = np.unique(np.concatenate([q for _, q in spelled]))
+        self.classes = np.zeros(0x110002, dtype=np.int32)
+        self.classes[letters] = 1 + np.arange(len(letters))
+        self.tied = np.zeros((len(letters) + 1, len(letters) + 1), dtype=bool)
+        for _, q in spelled:
+            c = self.classes[q]
+            self.tied[c[:-1], c[1:]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known = np.zeros(0, dtype=U64)  # segment hashes in order, and their places
+        self.known = np.zeros(0, dtype=U64)  # segment hashes in order, and where their symbols begin
         self.places = np.zeros(0, dtype=np.int64)
-        self.cum = np.zeros((0, self.width), dtype=np.float32)  # by the edge's end: running probability by length
-        self.ids = np.zeros((0, self.width), dtype=np.int32)  # by the edge's end; -1 - code point for byte edges
-
-    def _filter(self, symbols: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Running probabilities and ids of the edges that end after each symbol of the segments."""
+        self.symbols = 0
+        # edges by the symbol they end with, then length: that symbol's number + the running probability, length, id;
+        # heads: each symbol's first edge
+        self.heads = np.zeros(0, dtype=np.int64)
+        self.keys, self.lengths, self.ids = np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+
+    def _filter(self, symbols: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(key, length, id) of all edges of the segments, and each symbol's first; id is -1 - code point for an edge of bytes."""
         total = len(symbols)
-        inside = np.arange(total) - np.repeat(first, sizes)  # place in the segment
-        ids = np.full((total, self.width), -(1 << 30), dtype=np.int32)
-        mixed, key = mix64(symbols.astype(U64)), np.zeros(total, dtype=U64)
-        for n in range(1, self.width + 1):  # key[p] covers symbols p .. p + n - 1
-            m = total - n + 1
-            if m <= 0:
+        inside = np.arange(total) - np.repeat(first, sizes)
+        room = np.repeat(sizes, sizes) - inside
+        mixed = mix64(symbols.astype(U64))
+        live, key = np.arange(total), np.zeros(total, dtype=U64)
+        ends, lengths, ids = [], [], []
+        for n in range(1, self.width + 1):  # starts whose next n symbols begin some piece
+            if n > 1:
+                good = room[live] >= n
+                live, key = live[good], key[good]
+            if not len(live):
                 break
             with np.errstate(over="ignore"):
-                key = key[:m] + mixed[n - 1 :] * self.steps[n - 1]
+                key = key + mixed[live + n - 1] * self.steps[n - 1]
             keys, own = self.tables[n - 1]
-            fits = np.flatnonzero(inside[n - 1 :] >= n - 1)  # ends p + n - 1 whose n symbols lie in one segment
-            if not len(keys) or not len(fits):
-                continue
-            slot = np.minimum(np.searchsorted(keys, key[fits]), len(keys) - 1)
-            good = keys[slot] == key[fits]
-            ids[fits[good] + n - 1, n - 1] = own[slot[good]]
-        bare = ids[:, 0] < 0  # no piece of its own: one edge of bytes
-        ids[bare, 0] = -1 - symbols[bare]
-        weight = np.where(ids >= 0, self.weights[np.maximum(ids, 0)], -np.inf)
-        weight[bare, 0] = 3 * self.weights[np.isfinite(self.weights)].min(initial=0.0)
-        alpha = np.full(total + len(first), -np.inf)  # one more place a segment
-        at = first + np.arange(len(first))
-        alpha[at] = 0
-        cum = np.zeros((total, self.width), dtype=np.float32)
-        order = np.argsort(-sizes, kind="stable")
-        left = np.searchsorted(-sizes[order], -np.arange(1, int(sizes.max(initial=0)) + 1), side="right")
-        lengths = np.arange(1, self.width + 1)
-        for j, n in enumerate(left.tolist(), start=1):
-            own = order[:n]
-            back = np.maximum(j - lengths, 0)
-            a = alpha[at[own][:, None] + back] + np.where(lengths <= j, weight[first[own] + j - 1], -np.inf)
-            top = a.max(axis=1, keepdims=True)
-            run = np.cumsum(np.exp(a - top), axis=1)
-            alpha[at[own] + j] = top[:, 0] + np.log(run[:, -1])
-            cum[first[own] + j - 1] = run / run[:, -1:]
-        return cum, ids
+            slot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            good = keys[slot] == key
+            found = np.where(good, own[slot], -1)
+            if n == 1:
+                bare = found < 0  # no piece of its own: one edge of bytes
+                found = np.where(bare, -1 - symbols, found).astype(np.int32)
+                piece = np.ones(total, dtype=bool)
+            else:
+                piece = found >= 0
+            ends.append(live[piece] + n - 1)
+            lengths.append(np.full(len(ends[-1]), n))
+            ids.append(found[piece])
+            live, key = live[good], key[good]
+        end, length, id_ = np.concatenate(ends), np.concatenate(lengths), np.concatenate(ids)
+        order = np.argsort((inside[end] << 40) + end * 64 + length)
+        end, length, id_ = end[order], length[order], id_[order]
+        weight = np.where(id_ >= 0, self.weights[np.maximum(id_, 0)], self.bare_weight)
+        alpha = np.zeros(total + 1)  # alpha[p + 1]: all segmentations up to symbol p of its segment
+        start = end - length + 1
+        start = np.where(inside[start] == 0, -1, start)  # slot 0 stays 0
+        at = np.where(start < 0, 0, start)
+        alpha_slot = end + 1
+        cum = np.empty(len(end))
+        rounds = np.searchsorted(inside[end], np.arange(int(sizes.max(initial=0)) + 1))
+        heads = np.append(True, end[1:] != end[:-1]) if len(end) else np.zeros(0, dtype=bool)
+        for lo, hi in zip(rounds[:-1].tolist(), rounds[1:].tolist(), strict=True):
+            head = np.flatnonzero(heads[lo:hi])
+            size = np.diff(np.append(head, hi - lo))
+            a = alpha[at[lo:hi]] + weight[lo:hi]
+            top = np.maximum.reduceat(a, head)
+            e = np.exp(a - np.repeat(top, size))
+            run = np.cumsum(e)
+            before = run[head] - e[head]
+            whole = run[head + size - 1] - before
+            alpha[alpha_slot[lo:hi][head]] = top + np.log(whole)
+            part = (run - np.repeat(before, size)) / np.repeat(whole, size)
+            part[head + size - 1] = 1.0
+            cum[lo:hi] = part
+        back = np.argsort(end * 64 + length)
+        return (end + cum)[back], length[back], id_[back], np.searchsorted(end[back], np.arange(total))
 
     def _places(self, hashes: np.ndarray, symbols: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Where each segment's lattice begins, filtering those not met before."""
         unique, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         slot = np.minimum(np.searchsorted(self.known, unique), max(len(self.known) - 1, 0))
         new = self.known[slot] != unique if len(self.known) else np.ones(len(unique), dtype=bool)
-        if len(self.cum) + int(sizes[where[new]].sum()) > self.limit and len(self.known):
+        if self.symbols + int(sizes[where[new]].sum()) > self.limit and len(self.known):
             self.clear()
             return self._places(hashes, symbols, first, sizes)
         if new.any():
@@ -161,12 +191,13 @@ class Sampler:
             n, begin = sizes[own], first[own]
             into = np.cumsum(n) - n
             pick = np.arange(int(n.sum())) - np.repeat(into, n) + np.repeat(begin, n)
-            cum, ids = self._filter(symbols[pick], into, n)
-            places = np.concatenate([self.places, into + len(self.cum)])
-            known = np.concatenate([self.known, unique[new]])
+            keys, lengths, ids, heads = self._filter(symbols[pick], into, n)
+            places, known = np.concatenate([self.places, into + self.symbols]), np.concatenate([self.known, unique[new]])
             order = np.argsort(known)
             self.known, self.places = known[order], places[order]
-            self.cum, self.ids = np.concatenate([self.cum, cum]), np.concatenate([self.ids, ids])
+            self.keys, self.lengths, self.ids = np.concatenate([self.keys, keys + self.symbols]), np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids])
+            self.heads = np.concatenate([self.heads, heads + len(self.keys) - len(keys)])
+            self.symbols += len(pick)
         return self.places[np.searchsorted(self.known, unique)][back]
 
     def segments(self, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -179,10 +210,9 @@ class Sampler:
         values = np.where(points == 0x20, MARK, np.where(points == MARK, _LITERAL, points))
         symbols[np.arange(n) + extra[row]] = values
         edges = bounds + np.concatenate([[0], extra])
-        bare = ~self.held[symbols]
-        mark = symbols == MARK
-        begin = bare.copy()
-        begin[1:] |= (mark[1:] & ~mark[:-1]) | bare[:-1]
+        kind = self.classes[symbols]
+        begin = np.ones(len(symbols), dtype=bool)
+        begin[1:] = ~self.tied[kind[:-1], kind[1:]]
         begin[edges[:-1][some]] = True
         first = np.flatnonzero(begin)
         return symbols, first, np.diff(np.append(first, len(symbols))), np.searchsorted(first, edges)
@@ -204,10 +234,14 @@ class Sampler:
         while len(live):
             spot = place[live] + end[live] - 1
             u = uniform(keys[row[live]], number[live], step)
-            n = np.minimum((self.cum[spot] <= u[:, None]).sum(axis=1), self.width - 1)
-            drawn.append(self.ids[spot, n])
+            target, edge = spot + u.astype(np.float64), self.heads[spot]
+            late = np.flatnonzero(self.keys[edge] <= target)
+            while len(late):
+                edge[late] += 1
+                late = late[self.keys[edge[late]] <= target[late]]
+            drawn.append(self.ids[edge])
             owners.append(live)
-            end[live] -= n + 1
+            end[live] -= self.lengths[edge]
             live, step = live[end[live] > 0], step + 1
         ids, owner = np.concatenate(drawn), np.concatenate(owners)
         turn = np.repeat(np.arange(len(drawn)), [len(d) for d in drawn])

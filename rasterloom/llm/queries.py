@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import decontam, langid, linedup, minhash, pii, quality, resharding, substring_dedup, urlgraph
+from rasterloom.llm import decontam, langid, linedup, minhash, pieces, pii, quality, resharding, substring_dedup, urlgraph
 
 #: A-Z and a-z, for folding ASCII letters alone.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -122,6 +122,17 @@ SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN bad.host IS NULL T
 OP5_SQL = _op5_sql()
 
 
+#: Where the vocabulary lies; a parameter of the operator.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.Vocabulary.load(VOCABULARY)
+    rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), vocabulary)
+    count = F.coalesce(F.size("pieces"), F.lit(0)).cast("long")
+    return rows.select("doc_id", count.alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = resharding.reshard(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -209,5 +220,5 @@ SELECT doc_id, coalesce(total.n, 0)::BIGINT AS n_lines, (coalesce(total.n, 0) -
 FROM documents LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_substring_dedup": op3_substring_dedup, "op4_langid": op4_langid, "op5_urls": op5_urls, "op7_resharding": op7_resharding, "op8_minhash": op8_minhash, "op9_pii": op9_pii, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_substring_dedup": op3_substring_dedup, "op4_langid": op4_langid, "op5_urls": op5_urls, "op6_pieces": op6_pieces, "op7_resharding": op7_resharding, "op8_minhash": op8_minhash, "op9_pii": op9_pii, "op10_line_dedup": op10_line_dedup}
 ORACLES = {"op1_decontamination": OP1_SQL, "op2_quality": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_urls": OP5_SQL, "op8_minhash": OP8_SQL, "op9_pii": OP9_SQL, "op10_line_dedup": OP10_SQL}
