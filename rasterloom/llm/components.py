@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.textcore import written
+from rasterloom.llm.textcore import discard, written
 
 MAX_ROUNDS = 100
 
@@ -38,5 +38,6 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(stat) == mark or stat["n"] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b"))).distinct()
         mark = tuple(stat)
-        now = written(_small_star(_large_star(now)))
+        last, now = now, written(_small_star(_large_star(now)))
+        discard(last)
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

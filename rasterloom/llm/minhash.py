@@ -8,8 +8,9 @@
    n - 1 edges for n members; each distinct edge is confirmed on the full sets.
 4. A star misses a link between two members that both differ from the centre. So buckets that still hold
    several components are worked through: their members outside the centre's component meet all members in
-   blocks of bounded size, where signatures leave the plausible pairs of different components, which are
-   confirmed on the full sets too. With that, every pair that shares a bucket is linked, in one component, or refuted.
+   blocks of bounded size, where a second, finer sketch (512 bins of 8 bits) leaves the plausible pairs of
+   different components, which are confirmed on the full sets too. With that, every pair that shares a bucket
+   is linked, in one component, or refuted.
 
 At similarity 0.85 two texts share no bucket with probability (1 - 0.85^4)^32 < 1e-10 (at 0.8: 5e-8).
 
@@ -22,18 +23,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.components import components
-from rasterloom.llm.textcore import SPACED_FOLDED, U64, Words, as_signed, chunks, mix64, stream, take, written
+from rasterloom.llm.textcore import SPACED_FOLDED, U64, Words, as_signed, chunks, discard, mix64, stream, take, written
 
 SHINGLE = 5
 BINS, ROWS = 128, 4
 #: Members of a bucket that meet in one block, on either side.
-BLOCK = 128
-#: A pair is refuted by its signatures alone if they agree this far below the threshold (about 7 standard deviations).
-SLACK = 0.25
+BLOCK = 512
+FINE_BINS = 512
+#: A pair is refuted by its fine sketches alone if they agree this far below the threshold (4.4 standard deviations at 0.85).
+SLACK = 0.07
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +83,20 @@ def signatures(row: np.ndarray, h: np.ndarray, n_rows: int, bins: int = BINS) ->
     return out
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """Each signature's bucket in each band."""
+    bands = sig.reshape(len(sig), BINS // ROWS, ROWS).astype(U64)
+    with np.errstate(over="ignore"):
+        key = np.arange(BINS // ROWS, dtype=U64)[None, :] * U64(0xD6E8FEB86659FD93)
+        for k in range(ROWS):
+            key = mix64(key ^ bands[:, :, k])
+    return key
+
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in rows], type=pa.binary())
+
+
 def _sketch(batches):
     for batch in batches:
         ids = take(batch, "doc_id").cast(pa.int64())
@@ -93,22 +110,16 @@ def _sketch(batches):
                 with np.errstate(over="ignore"):
                     total = np.concatenate([np.zeros(1, U64), np.cumsum(mix64(h ^ U64(seed * 0x5851F42D4C957F2D)))])
                     lanes.append(total[edges[1:]] - total[edges[:-1]])
-            sig = signatures(row, h, n)
-            packed = pa.array([s.tobytes() for s in sig], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([ids.slice(chunk.lo, n), pa.array(np.diff(edges)), as_signed(lanes[0]), as_signed(lanes[1]), packed], names=["doc_id", "n", "k1", "k2", "sig"])
+            keys = _packed(band_keys(signatures(row, h, n)))
+            yield pa.RecordBatch.from_arrays([ids.slice(chunk.lo, n), pa.array(np.diff(edges)), as_signed(lanes[0]), as_signed(lanes[1]), keys], names=["doc_id", "n", "k1", "k2", "keys"])
 
 
 def _buckets(batches):
     for batch in batches:
-        docs, sigs = np.asarray(take(batch, "doc")), take(batch, "sig")
-        if not len(docs):
-            continue
-        sig = np.frombuffer(b"".join(sigs.to_pylist()), dtype=np.uint32).reshape(len(docs), BINS // ROWS, ROWS).astype(U64)
-        with np.errstate(over="ignore"):
-            key = np.arange(BINS // ROWS, dtype=U64)[None, :] * U64(0xD6E8FEB86659FD93)
-            for k in range(ROWS):
-                key = mix64(key ^ sig[:, :, k])
-        yield pa.RecordBatch.from_arrays([as_signed(key.ravel()), pa.array(np.repeat(docs, BINS // ROWS))], names=["bucket", "doc"])
+        docs, keys = np.asarray(take(batch, "doc")), take(batch, "keys")
+        if len(docs):
+            flat = np.frombuffer(b"".join(keys.to_pylist()), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(docs, BINS // ROWS))], names=["bucket", "doc"])
 
 
 def _sets(batches):
@@ -139,28 +150,54 @@ def _confirm(num: int, den: int):
     return run
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets reach the similarity num / den. `pairs` is read twice."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc long, members binary"))
-    left = pairs.join(sets.select(F.col("doc").alias("b"), F.col("members").alias("y")), "b")
-    both = left.join(sets.select(F.col("doc").alias("a"), F.col("members").alias("x")), "a")
+def candidate_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, members): the sets of the documents whose doc_id is in `ids`, as sorted 64-bit hashes."""
+    return written(documents.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets, "doc long, members binary"))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose full sets reach the similarity num / den."""
+    left = pairs.join(sets.select(F.col("doc").alias("b"), F.col("members").alias("y")).hint("shuffle_hash"), "b")
+    both = left.join(sets.select(F.col("doc").alias("a"), F.col("members").alias("x")).hint("shuffle_hash"), "a")
     return written(both.select("a", "b", "x", "y").mapInArrow(_confirm(num, den), "a long, b long").distinct())
 
 
+def _fine(batches):
+    for batch in batches:
+        blobs = take(batch, "members")
+        sizes = np.asarray(pa.compute.binary_length(blobs)).astype(np.int64) // 8
+        for a in range(0, len(sizes), 256):
+            part = sizes[a : a + 256]
+            h = np.frombuffer(b"".join(blobs.slice(a, 256).to_pylist()), dtype=U64)
+            row = np.repeat(np.arange(len(part)), part)
+            keys = band_keys(signatures(row, h, len(part)))
+            h = mix64(h ^ U64(0xA0761D6478BD642F))
+            order = np.lexsort((h, row))
+            sketch = (signatures(row, h[order], len(part), FINE_BINS) & np.uint32(0xFF)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([take(batch, "doc").slice(a, 256), pa.array(part), _packed(sketch), _packed(keys)], names=["doc", "n", "sig", "keys"])
+
+
 def _block_pairs(num: int, den: int):
-    """Plausible pairs of different components within each (bucket, block, block) group; rows arrive sorted by it."""
+    """Plausible pairs of different components within each (bucket, block, block) group; rows arrive sorted by it.
+
+    A pair is told once, in the first of the bands that it shares.
+    """
 
     def judge(rows: pa.Table):
         left = np.asarray(rows.column("outside").combine_chunks())
         doc, comp, n = (np.asarray(rows.column(c).combine_chunks()) for c in ("doc", "comp", "n"))
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint32).reshape(len(doc), BINS)
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(len(doc), FINE_BINS)
+        keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), dtype=np.int64).reshape(len(doc), BINS // ROWS)
+        bucket = rows.column("bucket")[0].as_py()
         mine, theirs = np.flatnonzero(left), np.flatnonzero(~left)
         out_a, out_b = [], []
         for i in mine:
             small, large = np.minimum(n[theirs], n[i]), np.maximum(n[theirs], n[i])
             other = theirs[(comp[theirs] != comp[i]) & (den * small >= num * large)]
             good = other[(sig[other] == sig[i]).mean(axis=1) >= num / den - SLACK] if len(other) else other
+            if len(good):
+                shared = keys[good] == keys[i]
+                good = good[keys[i][shared.argmax(axis=1)] == bucket]
             out_a.append(np.minimum(doc[good], doc[i]))
             out_b.append(np.maximum(doc[good], doc[i]))
         a, b = np.concatenate([*out_a, np.zeros(0, np.int64)]), np.concatenate([*out_b, np.zeros(0, np.int64)])
@@ -182,7 +219,7 @@ def _block_pairs(num: int, den: int):
     return run
 
 
-def _leftover_pairs(reps: DataFrame, entries: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+def _leftover_pairs(sets: DataFrame, entries: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
     """Plausible pairs that share a bucket but no component, besides those that a star has refuted."""
     comp = components(links)
     known = entries.join(comp, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("comp"))
@@ -194,27 +231,33 @@ def _leftover_pairs(reps: DataFrame, entries: DataFrame, links: DataFrame, num:
     members = known.join(mixed.hint("shuffle_hash"), "bucket").withColumn("away", F.col("comp") != F.col("centre_comp"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("m"), F.count_if("away").alias("s"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    members = written(members.join(sizes.hint("shuffle_hash"), "bucket").select("bucket", "doc", "comp", "away", blocks("s").alias("ps"), blocks("m").alias("qs")))
-    members = members.join(reps, "doc").select("bucket", "doc", "comp", "away", "n", "sig", "ps", "qs")
+    counted = written(members.join(sizes.hint("shuffle_hash"), "bucket").select("bucket", "doc", "comp", "away", blocks("s").alias("ps"), blocks("m").alias("qs")))
+    sketches = sets.mapInArrow(_fine, "doc long, n long, sig binary, keys binary")
+    members = counted.join(sketches, "doc").select("bucket", "doc", "comp", "away", "n", "sig", "keys", "ps", "qs")
     p, q = F.pmod(F.xxhash64("doc", F.lit(1)), "ps").cast("int"), F.pmod(F.xxhash64("doc", F.lit(2)), "qs").cast("int")
-    inside = members.select("bucket", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), q.alias("q"), F.lit(False).alias("outside"), "doc", "comp", "n", "sig")
-    outside = members.filter("away").select("bucket", p.alias("p"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), F.lit(True).alias("outside"), "doc", "comp", "n", "sig")
+    inside = members.select("bucket", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), q.alias("q"), F.lit(False).alias("outside"), "doc", "comp", "n", "sig", "keys")
+    outside = members.filter("away").select("bucket", p.alias("p"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), F.lit(True).alias("outside"), "doc", "comp", "n", "sig", "keys")
     grouped = inside.union(outside).repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-    return written(grouped.mapInArrow(_block_pairs(num, den), "a long, b long").distinct())
+    pairs = written(grouped.mapInArrow(_block_pairs(num, den), "a long, b long").distinct())
+    discard(known, counted)
+    return pairs
 
 
 def near_duplicates(documents: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of `documents`."""
-    sketch = written(documents.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, sig binary"))
+    sketch = written(documents.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, keys binary"))
     some = sketch.filter("n > 0 and doc_id is not null")
-    reps = written(some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "sig")).alias("m")).select("k1", "k2", F.col("m.doc_id").alias("doc"), F.col("m.n").alias("n"), F.col("m.sig").alias("sig")))
-    entries = reps.select("doc", "sig").mapInArrow(_buckets, "bucket long, doc long")
+    reps = written(some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "keys")).alias("m")).select("k1", "k2", F.col("m.doc_id").alias("doc"), F.col("m.keys").alias("keys")))
+    entries = reps.select("doc", "keys").mapInArrow(_buckets, "bucket long, doc long")
     centres = entries.groupBy("bucket").agg(F.min("doc").alias("centre"), F.max("doc").alias("last")).filter("centre < last").select("bucket", "centre")
     star = written(entries.join(centres.hint("shuffle_hash"), "bucket").filter("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct())
-    links = confirmed(star, documents, num, den)
-    pairs = _leftover_pairs(reps.select("doc", "n", "sig"), entries, links, num, den)
+    # whoever shares a bucket is in the star's edges, so these sets serve both confirmations
+    sets = candidate_sets(documents, star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    links = confirmed(star, sets, num, den)
+    pairs = _leftover_pairs(sets, entries, links, num, den)
     if not pairs.isEmpty():
-        links = links.union(confirmed(pairs, documents, num, den))
+        links = links.union(confirmed(pairs, sets, num, den))
+    discard(sets, star, pairs)
     comp = components(links)
     classes = reps.select("k1", "k2", "doc").join(comp, F.col("doc") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "doc").alias("c"))
     rows = sketch.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(classes, ["k1", "k2"], "left")
