@@ -63,10 +63,10 @@ def _without(lines: Column, gone: Column) -> Column:
 def dedup(documents: DataFrame) -> DataFrame:
     """`documents` and, per row, `kept_text`, `n_lines` and `n_removed_lines` (names that clash are replaced)."""
     added = ("kept_text", "n_lines", "n_removed_lines")
-    plan = removal_plan(documents).select(F.col("rid").alias("_rid"), F.col("gone").alias("_gone"))
+    plan = removal_plan(documents).select(F.col("rid").alias("__line_dedup_rid"), F.col("gone").alias("__line_dedup_gone"))
     own = [c for c in documents.columns if c not in added]
-    rows = documents.select(*own).withColumn("_rid", F.xxhash64("doc_id", "text")).join(plan.hint("shuffle_hash"), "_rid", "left")
+    rows = documents.select(*own).withColumn("__line_dedup_rid", F.xxhash64("doc_id", "text")).join(plan.hint("shuffle_hash"), "__line_dedup_rid", "left")
     lines = F.split("text", "\n", -1)
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(_without(lines, F.col("_gone")), "\n"))
+    kept = F.when(F.col("__line_dedup_gone").isNull(), F.col("text")).otherwise(F.array_join(_without(lines, F.col("__line_dedup_gone")), "\n"))
     total = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    return rows.select(*own, kept.alias("kept_text"), total.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed_lines"))
+    return rows.select(*own, kept.alias("kept_text"), total.cast("long").alias("n_lines"), F.coalesce(F.size("__line_dedup_gone"), F.lit(0)).cast("long").alias("n_removed_lines"))

@@ -1,0 +1,246 @@
+"""The contract operators against plain models, on rows with nulls, ties, repeats, empty and long texts."""
+
+import hashlib
+import re
+from collections import defaultdict
+
+import pytest
+
+pytest.importorskip("rasterloom.llm")
+
+from corpus import SCHEMA, documents, folded, spaced
+
+from rasterloom.llm import decontam, linedup, minhash, pii, quality, substring_dedup
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(documents(), SCHEMA).repartition(3)
+
+
+def rows_of(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def test_decontamination(spark, docs):
+    texts = {d: t for d, t, *_ in documents() if d is not None}
+    items = [(1, " ".join(texts[3].split()[5:25])), (2, "one two three"), (2, "one two three"), (3, None), (4, "..."), (5, texts[10][:200].upper()), (6, "nothing that occurs here at all " * 3), (None, "alpha")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded(t))
+    expected = []
+    for d, t, *_ in documents():
+        w, hit, found = words(t), set(), set()
+        for item, text in items:
+            own = words(text)
+            n = min(13, len(own))
+            for i in range(len(own) - n + 1) if own and item is not None else ():
+                for j in range(len(w) - n + 1):
+                    if w[j : j + n] == own[i : i + n]:
+                        hit |= set(range(j, j + n))
+                        found.add(str(item))
+        expected.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
+    judged = decontam.judge(docs, bench)
+    assert rows_of(judged, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(expected, key=repr)
+    assert any(e[-1] for e in expected) and not all(e[-1] for e in expected)
+    clean = decontam.decontaminate(docs, bench)
+    assert clean.columns == docs.columns
+    assert clean.count() == sum(not e[-1] for e in expected)
+    assert decontam.judge(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
+    assert decontam.judge(docs.limit(0), bench).count() == 0
+
+
+def test_suffix_array_orders_all_suffixes():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    text = rng.integers(0, 3, 200)
+    order = decontam.suffix_array(text, 1 << 20)
+    assert order.tolist() == sorted(range(200), key=lambda i: text[i:].tolist())
+
+
+def test_longest_match_and_place(spark):
+    docs = spark.createDataFrame([(1, "x y " + " ".join(f"t{i}" for i in range(20)) + " z")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, " ".join(f"t{i}" for i in range(20)))], "item_id long, text string")
+    row = decontam.judge(docs, bench).first()
+    assert (row.longest_match, row.longest_item, row.longest_at, row.n_hit) == (20, "9", 2, 20)
+
+
+def quality_model(text):
+    t = text or ""
+    w = spaced(t)
+    n = len(w)
+    lines = [x for x in t.split("\n") if spaced(x)]
+    seen = defaultdict(list)
+    for i in range(n - 7):
+        seen[tuple(w[i : i + 8])].append(i)
+    repeated = {i + k for at in seen.values() if len(at) > 1 for i in at for k in range(8)}
+    chars, symbols, dup = sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines))
+    failed = n < 20 or 100 * len(repeated) > 30 * n
+    bad = 10 * symbols > n or chars < 2 * n or chars > 12 * n or (dup >= 5 and 2 * dup > t.count("\n") + 1)
+    bad = bad or len(re.findall("[A-Z]", t)) > len(re.findall("[a-z]", t)) or 10 * sum(bool(re.search("[A-Za-zÀ-\U0010ffff]", x)) for x in w) < 7 * n or 5 * sum(a == b for a, b in zip(w, w[1:], strict=False)) > n
+    return n, chars, symbols, dup, len(repeated), failed, not failed and not bad
+
+
+def test_quality(spark, docs):
+    got = rows_of(quality.judge(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert got == sorted(((d, *quality_model(t)) for d, t, *_ in documents()), key=repr)
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r[-1] for r in got)
+    assert quality.judge(docs.limit(0)).count() == 0
+
+
+def test_quality_order_changes_nothing(docs):
+    forward, backward = quality.judge(docs, quality.RULES), quality.judge(docs, quality.RULES[::-1])
+    assert rows_of(forward, *forward.columns) == rows_of(backward, *backward.columns)
+
+
+def test_rules_run_by_rejection_per_cost(spark):
+    junk = spark.createDataFrame([("# * $ % & | < > " * 10,)] * 20, "text string")
+    assert quality.order_rules(junk)[-1].name in {"lines", "shouting", "word_length", "stutter"}
+
+
+def test_substring_dedup(spark, docs):
+    first = {}
+    for d, t, *_ in documents():
+        w = spaced(t)
+        for i in range(len(w) - 12):
+            if d is not None:
+                k = tuple(w[i : i + 13])
+                first[k] = min(first.get(k, d), d)
+    expected = []
+    for d, t, *_ in documents():
+        w, gone = spaced(t), set()
+        for i in range(len(w) - 12):
+            if d is not None and first[tuple(w[i : i + 13])] < d:
+                gone |= set(range(i, i + 13))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        expected.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
+    got = substring_dedup.dedup(docs)
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256", "kept_text") == sorted(expected, key=repr)
+    assert sum(e[2] for e in expected) > 100
+    assert substring_dedup.dedup(docs.limit(0)).count() == 0
+
+
+def test_cover_reaches_every_pair_of_positions():
+    period, cover = substring_dedup.PERIOD, substring_dedup.COVER
+    for i in range(period):
+        for j in range(period):
+            assert any((i + t) % period in cover and (j + t) % period in cover for t in range(period))
+
+
+def near_model(rows, num, den):
+    sets = {}
+    for d, t, *_ in rows:
+        w = spaced(folded(t))
+        s = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+        if d is not None:
+            sets[d] = s
+    up = {d: d for d in sets}
+
+    def top(d):
+        return d if up[d] == d else top(up[d])
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    return {d: (len(sets[d]), top(d)) for d in sets}
+
+
+@pytest.mark.parametrize("num", [85, 80])
+def test_near_duplicates(spark, docs, num):
+    model = near_model(documents(), num, 100)
+    got = [r for r in minhash.near_duplicates(docs, num, 100).collect()]
+    assert len(got) == len(documents())
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_shingles, r.component_id) == model[r.doc_id] and r.kept == (r.doc_id == r.component_id)
+    assert minhash.near_duplicates(docs.limit(0), num, 100).count() == 0
+
+
+def test_near_duplicates_around_a_far_centre(spark):
+    """A chain whose smallest member is no link of the others: the star alone would lose them."""
+    import random
+
+    rng = random.Random(5)
+    base = [f"q{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for d in range(1, 40):
+        w = list(base)
+        for k in rng.sample(range(200), 3 + d % 5):
+            w[k] = f"e{d % 13}_{k}"
+        rows.append((d, " ".join(w)))
+    model = near_model(rows, 85, 100)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == model
+    assert len({c for _, c in model.values()}) > 1
+
+
+def test_line_dedup(spark, docs):
+    places = defaultdict(list)
+    for d, t in {(d, t) for d, t, *_ in documents()}:
+        lines = [(i, x) for i, x in enumerate((t or "").split("\n")) if spaced(x)]
+        for k in range(len(lines) - 2):
+            places[tuple(x for _, x in lines[k : k + 3])].append(((d is not None, d or 0), d, t, [i for i, _ in lines[k : k + 3]]))
+    gone = defaultdict(set)
+    for at in places.values():
+        for _, d, t, lines in sorted(at, key=lambda p: (p[0], p[3]))[1:]:
+            gone[d, t] |= set(lines)
+    expected = []
+    for d, t, *_ in documents():
+        lines = t.split("\n") if t is not None else []
+        own = gone[d, t]
+        expected.append((d, t, None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in own), len(lines), len(own)))
+    got = linedup.dedup(docs)
+    assert rows_of(got, "doc_id", "text", "kept_text", "n_lines", "n_removed_lines") == sorted(expected, key=repr)
+    assert sum(e[-1] for e in expected) >= 15
+    assert "h" in got.columns and linedup.dedup(docs.limit(0)).count() == 0
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        v = int(c) * (1 + i % 2)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+BASE = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+]
+
+PRIVATE = [
+    "mail a.b+c@ex-ample.co.uk, or x@y..z or a@b.c_d@e.f or @q.r end",
+    "été 日本 10.0.0.1 and 1.2.3.4.5.6.7.8 and 256.1.1.1 and 0001.002.3.4 and 1.2.3",
+    "4111 1111 1111 1111 and 4111-1111-1111-1111 4111111111111112 and 4111  1111 1111 1111",
+    "5 -3 12--4111111111111111 4111111111111111 12",
+    "call +1 (988) 555-2485 or +49 30 1234567890123456 or +1-2 or +12345678)",
+    "IBAN DE89 3704 0044 0532 0130 00 or DE89370400440532013001 or GB82WEST12345698765432x",
+    "ssn 078-05-1120 there, but 078-05-1120" + " far away" * 8 + " 219-09-9999",
+    "1" * 3000 + " a@" + "b.c" * 2000 + " +" + "1 " * 3000,
+    "a@b" + ".c" * 9000 + " " + "1-" * 20000 + "1",
+    " ".join(f"u{i}@mail{i}.example.com" for i in range(1500)),
+    "4111 1111 1111 1111 é@b.co",
+    None,
+    "",
+]
+
+
+def test_personal_data(spark):
+    rows = [(i, t) for i, t in enumerate(PRIVATE)]
+    got = {r.doc_id: r for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for d, t in rows:
+        spans = [(k, m.start(), m.end()) for k, p, ok in BASE for m in re.finditer(p, t or "") if ok(m.group())]
+        shown = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        r = got[d]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in spans) for k, *_ in BASE), d
+        assert r.base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+        assert r.spans.startswith(shown)
+    assert got[5].spans.count("iban") == 1 and got[6].spans.count("ssn") == 2
+    assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
