@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rasterloom.errors import PixelTypeError
-from rasterloom.pixel import PixelType, pixel_type
+from rasterloom.pixel import PixelType, pixel_type, whole
 
 Pixel = Mapping[str, Column]
 
@@ -60,7 +60,7 @@ class Then(Strategy):
 
 def _exact_div(n: Column, by: int) -> Column:
     """Integer quotient of non-negative decimals, exact beyond 64 bits."""
-    d = F.lit(by).cast("decimal(38,0)")
+    d = whole(by).cast("decimal(38,0)")
     return ((n - n % d) / d).cast("decimal(38,0)")
 
 
@@ -72,14 +72,14 @@ def scaled(value: Column, a: PixelType, b: PixelType) -> Column:
         if b.max % a.max == 0:
             factor = b.max // a.max
             if b.channel.name == "u64":
-                return (value.cast("decimal(38,0)") * F.lit(factor).cast("decimal(20,0)")).cast(b.sql)
+                return (value.cast("decimal(38,0)") * whole(factor).cast("decimal(20,0)")).cast(b.sql)
             return (value.cast("bigint") * factor).cast(b.sql)
         if a.max % b.max == 0:
             factor = a.max // b.max
             if a.channel.name == "u64":
-                return _exact_div(value.cast("decimal(38,0)") + factor // 2, factor).cast(b.sql)
-            return F.floor((value.cast("bigint") + factor // 2) / F.lit(factor)).cast(b.sql) if factor < 2**20 else _exact_div(value.cast("decimal(38,0)") + factor // 2, factor).cast(b.sql)
-        return _exact_div(value.cast("decimal(38,0)") * F.lit(b.max).cast("decimal(20,0)") + a.max // 2, a.max).cast(b.sql)
+                return _exact_div(value.cast("decimal(38,0)") + whole(factor // 2), factor).cast(b.sql)
+            return F.floor((value.cast("bigint") + factor // 2) / F.lit(factor)).cast(b.sql) if factor < 2**20 else _exact_div(value.cast("decimal(38,0)") + whole(factor // 2), factor).cast(b.sql)
+        return _exact_div(value.cast("decimal(38,0)") * whole(b.max).cast("decimal(20,0)") + whole(a.max // 2), a.max).cast(b.sql)
     if a.max is not None:  # to a float
         if b.sql == "float" and a.channel.name != "u64":
             return (value.cast("float") / F.lit(float(a.max)).cast("float")).cast("float")
@@ -91,10 +91,10 @@ def scaled(value: Column, a: PixelType, b: PixelType) -> Column:
     held = F.greatest(F.lit(0.0).cast(wide), F.least(F.lit(1.0).cast(wide), value.cast(wide)))
     x = F.floor(held * F.lit(float(b.max)).cast(wide) + F.lit(0.5).cast(wide))
     if b.channel.name == "u64":
-        whole = held * F.lit(float(b.max)) + 0.5
-        big = F.when(whole >= float(2**64), F.lit(b.max).cast("decimal(20,0)")).when(whole < float(2**53), F.floor(F.least(whole, F.lit(float(2**53)))).cast("decimal(20,0)")).otherwise(F.least(whole, F.lit(float(2**64) - 2048.0)).cast("decimal(20,0)"))
+        full = held * F.lit(float(b.max)) + 0.5
+        big = F.when(full >= float(2**64), whole(b.max).cast("decimal(20,0)")).when(full < float(2**53), F.floor(F.least(full, F.lit(float(2**53)))).cast("decimal(20,0)")).otherwise(F.least(full, F.lit(float(2**64) - 2048.0)).cast("decimal(20,0)"))
         return F.when(F.isnan(value), F.lit(0).cast(b.sql)).otherwise(big)
-    top = F.least(x, F.lit(b.max).cast("bigint"))
+    top = F.least(x, F.lit(min(b.max, 2**63 - 1)))
     return F.when(F.isnan(value), F.lit(0)).otherwise(top).cast(b.sql)
 
 
@@ -126,7 +126,7 @@ class Narrow(Strategy):
     def channel(self, value, src, dst):
         if dst.max >= src.max:
             return value.cast(dst.sql)
-        return F.least(value, F.lit(dst.max).cast(src.sql)).cast(dst.sql)
+        return F.least(value, whole(dst.max).cast(src.sql)).cast(dst.sql)
 
 
 _COLOUR = {"Rgb": "Mono", "Bgr": "Mono", "Rgba": "MonoA", "Bgra": "MonoA"}

@@ -126,12 +126,13 @@ def outliers(frame: ImageFrame, strategy: BinningStrategy) -> DataFrame:
     return histogram_samples(long_form(frame), strategy).groupBy("image_id", "channel").agg(of(NAN, "nan_count"), of(UNDERFLOW, "underflow_count"), of(OVERFLOW, "overflow_count"), F.sum("count").alias("total_count"))
 
 
-_BY_BIN = Window.partitionBy("image_id", "channel").orderBy("bin")
+def _by_bin():
+    return Window.partitionBy("image_id", "channel").orderBy("bin")
 
 
 def cumulative(hist: DataFrame) -> DataFrame:
     """The histogram with running totals, outliers left out."""
-    return hist.withColumn("cumulative", F.sum("count").over(_BY_BIN))
+    return hist.withColumn("cumulative", F.sum("count").over(_by_bin()))
 
 
 def count_at_bin(hist: DataFrame, k: int) -> DataFrame:
@@ -149,7 +150,7 @@ def otsu_thresholds(hist: DataFrame) -> DataFrame:
     `hist` has natural bins. A window over one channel's 256 bins.
     """
     whole = Window.partitionBy("image_id", "channel")
-    w0, s0 = F.sum("count").over(_BY_BIN), F.sum(F.col("count") * F.col("bin")).over(_BY_BIN)
+    w0, s0 = F.sum("count").over(_by_bin()), F.sum(F.col("count") * F.col("bin")).over(_by_bin())
     rows = hist.select("image_id", "channel", "bin", w0.alias("w0"), s0.alias("s0"), F.sum("count").over(whole).alias("n"), F.sum(F.col("count") * F.col("bin")).over(whole).alias("s"))
     w1 = F.col("n") - F.col("w0")
     gap = F.col("s0") / F.col("w0").cast("double") - (F.col("s") - F.col("s0")) / w1.cast("double")
@@ -172,7 +173,7 @@ def otsu_binary_mask(frame: ImageFrame) -> ImageFrame:
 def equalization_luts(hist: DataFrame) -> DataFrame:
     """image_id, channel, bin, value: 256 rows a channel; the identity where one bin holds everything."""
     whole = Window.partitionBy("image_id", "channel")
-    cdf = F.sum("count").over(_BY_BIN)
+    cdf = F.sum("count").over(_by_bin())
     rows = hist.select("image_id", "channel", "bin", cdf.alias("cdf"), F.sum("count").over(whole).alias("n"))
     rows = rows.withColumn("least", F.min(F.when(F.col("cdf") > 0, F.col("cdf"))).over(whole))
     level = F.round((F.greatest(F.col("cdf") - F.col("least"), F.lit(0)).cast("double") * 255.0) / (F.col("n") - F.col("least")).cast("double"))

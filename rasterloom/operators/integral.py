@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.errors import AccumulatorOverflow, PixelTypeError
 from rasterloom.frame import ImageFrame, bound
-from rasterloom.pixel import PixelType, pixel_type
+from rasterloom.pixel import PixelType, pixel_type, whole
 from rasterloom.shapes import Rectangle, Size
 
 #: Which table types hold sums, and sums of squares, of which pixel types.
@@ -61,7 +61,7 @@ def _checked(frame: ImageFrame, table: PixelType, squared: bool) -> Column:
     most = capacity(table) // frame.pixel.max ** (1 + squared)
     told = F.raise_error(F.concat(F.lit("AccumulatorOverflow: image "), F.col("image_id").cast("string"))).cast("int")
     area = F.col("width").cast("decimal(38,0)") * F.col("height").cast("decimal(20,0)")
-    return F.when(area <= F.lit(most).cast("decimal(38,0)"), F.col("width")).otherwise(told)
+    return F.when(area <= whole(most).cast("decimal(38,0)"), F.col("width")).otherwise(told)
 
 
 @dataclass(frozen=True)

@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from rasterloom.errors import PixelTypeError
 
 
+def whole(n: int) -> Column:
+    """An integer literal of any size: decimal where 64 signed bits do not hold it."""
+    return F.lit(n) if abs(n) < 2**63 else F.lit(str(n)).cast("decimal(20,0)")
+
+
 @dataclass(frozen=True)
 class Channel:
     """A primitive: SQL type, byte size, numpy code, largest value (None for floats), and the type of its accumulator."""
@@ -66,7 +71,7 @@ class PixelType:
         """The largest value as a literal; floats have none."""
         if self.max is None:
             raise PixelTypeError(f"{self.name} has no white value")
-        return F.lit(self.max).cast(self.sql)
+        return whole(self.max).cast(self.sql)
 
     @property
     def sql(self) -> str:
@@ -83,7 +88,7 @@ class PixelType:
     @property
     def full(self) -> Column:
         """Opaque alpha: the largest value, or 1 for floats."""
-        return F.lit(1.0 if self.max is None else self.max).cast(self.sql)
+        return (F.lit(1.0) if self.max is None else whole(self.max)).cast(self.sql)
 
     @property
     def ordered(self) -> bool:
@@ -115,7 +120,7 @@ class PixelType:
         v = value.cast("double")
         held = F.least(F.greatest(F.round(v), F.lit(0.0)), F.lit(float(self.max)))
         if self.channel.name == "u64":
-            exact = F.when(held >= float(2**63), F.lit(self.max).cast("decimal(20,0)"))
+            exact = F.when(held >= float(2**63), whole(self.max).cast("decimal(20,0)"))
             rounded = F.when(held < float(2**64), held.cast("decimal(20,0)"))
             return F.when(F.isnan(v), F.lit(0).cast(self.sql)).otherwise(F.coalesce(rounded, exact)).cast(self.sql)
         return F.when(F.isnan(v), F.lit(0)).otherwise(held.cast("bigint")).cast(self.sql)
@@ -129,7 +134,7 @@ class PixelType:
         """An exact integer result kept within the type; floats pass."""
         if self.max is None:
             return value.cast(self.sql)
-        return F.least(F.greatest(value, F.lit(0).cast(value_type(self))), F.lit(self.max).cast(value_type(self))).cast(self.sql)
+        return F.least(F.greatest(value, F.lit(0).cast(value_type(self))), whole(self.max).cast(value_type(self))).cast(self.sql)
 
 
 def value_type(p: PixelType) -> str:

@@ -120,8 +120,8 @@ def to_bytes(frame: ImageFrame, order: str = "native") -> DataFrame:
         for pdf in batches:
             out = []
             for parts in zip(*(pdf[c] for c in p.channels), strict=True):
-                whole = np.stack([np.array([int(v) for v in x] if p.channel.name == "u64" else x, dtype=dtype) for x in parts], axis=1) if len(parts[0]) else np.zeros((0, len(parts)), dtype)
-                out.append(whole.tobytes())
+                joined = np.stack([np.array([int(v) for v in x] if p.channel.name == "u64" else x, dtype=dtype) for x in parts], axis=1) if len(parts[0]) else np.zeros((0, len(parts)), dtype)
+                out.append(joined.astype(dtype).tobytes())
             yield pd.DataFrame({**{k: pdf[k] for k in KEYS}, "data": out})
 
     return frame.df.mapInPandas(run, schema)
@@ -158,5 +158,5 @@ def rasterize(points: DataFrame, images: DataFrame, pixel: str | PixelType) -> I
     own = points.join(images.select("image_id", "width", "height"), "image_id").filter("x >= 0 and x < width and y >= 0 and y < height")
     sums = own.select("image_id", (F.col("y") * F.col("width") + F.col("x")).cast("int").alias("i"), F.col("v").cast("bigint").alias("v")).union(cells).groupBy("image_id", "i").agg(F.sum("v").alias("v"))
     arrays = sums.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_cells"))
-    held = lambda c: (F.least(c["v"], F.lit(p.max)) if p.max is not None else c["v"]).cast(p.sql)
+    held = lambda c: (F.least(c["v"], F.lit(min(p.max, 2**63 - 1))) if p.max is not None else c["v"]).cast(p.sql)
     return ImageFrame(images.join(arrays, "image_id").select(*KEYS, F.transform("_cells", held).alias(p.channels[0])), p)
