@@ -8,8 +8,8 @@ several times the input, so matches are found in two steps:
    shift t < 7 with i + t and j + t both in D modulo 7. Two equal 13-word windows therefore share an
    equal 7-word anchor at such an aligned position (t + 7 <= 13). Hashing at positions in D alone
    (3 of 7) and keeping hashes that two documents share loses no match.
-2. Extension. Only windows that hold a shared anchor at a position in D are hashed whole, on two
-   independent 64-bit lanes, and compared across documents by their smallest doc_id.
+2. Extension. Only windows that hold a shared anchor at a position in D are hashed whole, to 80 bits, and
+   compared across documents by their smallest doc_id.
 
 Counting is `groupBy` with partial aggregation, so a passage that a third of all documents share
 sends one row for each map task; the joins back are equi-joins whose small side has one row a key,
@@ -31,18 +31,21 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.textcore import SPACED, SPACED_B, Chunk, Words, as_signed, chunks, covered, take, written
+from rasterloom.llm.textcore import SPACED, Chunk, Words, as_signed, chunks, covered, discard, take, written
 
 WINDOW = 13
 PERIOD, COVER, ANCHOR = 7, (0, 1, 3), 7
 
 
 def _anchors(chunk: Chunk, words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the anchors at cover positions, in texts long enough for one window."""
+    """Starts and 48-bit hashes of the anchors at cover positions, in texts long enough for one window.
+
+    Anchors only choose the windows to look at, so hashes that clash cost time and no more.
+    """
     at, keys = words.windows(ANCHOR)
     row = words.row[at]
     good = np.isin((at - words.first[row]) % PERIOD, COVER) & (words.count[row] >= window)
-    return at[good], keys[good]
+    return at[good], keys[good] >> np.uint64(16)
 
 
 def _spread(lists: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +110,6 @@ def _emit_windows(window: int):
                 np.add.at(edge, np.maximum(starts - (window - ANCHOR), base), 1)
                 np.add.at(edge, starts + 1, -1)
                 good = np.cumsum(edge)[at] > 0
-                words.hashes = Words(chunk, SPACED_B).hashes
                 two = words.windows(window, lane=1)[1][good]
                 row = words.row[at[good]]
                 columns = [as_signed(one[good]), pa.array((two & np.uint64(0xFFFF)).astype(np.int32)), pa.array(ids[chunk.lo : chunk.hi][row]), _packed(at[good], words, marks[chunk.lo : chunk.hi], row)]
@@ -138,8 +140,10 @@ def removal_plan(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     shared = written(seen.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
     places = some.mapInArrow(_place_anchors(window), "h long, doc_id long, at long")
     anchors = written(_by_row(places.join(shared.hint("shuffle_hash"), "h"), "shared"))
-    windows = rows.join(anchors, ["doc_id", "mark"]).mapInArrow(_emit_windows(window), "h long, g int, doc_id long, at long")
-    firsts = windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"))
+    discard(shared)
+    windows = rows.join(anchors.hint("shuffle_hash"), ["doc_id", "mark"]).mapInArrow(_emit_windows(window), "h long, g int, doc_id long, at long")
+    # written apart: the two shuffles of windows then never lie on disk together
+    firsts = written(windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "g", "lo"))
     return _by_row(windows.join(firsts.hint("shuffle_hash"), ["h", "g"]).filter("doc_id > lo"), "gone")
 
 
@@ -174,7 +178,9 @@ def _apply(window: int, texts: bool):
 def dedup(documents: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
     """One row per document: its words, how many were removed, the hash of what is kept and (if `texts`) the kept text.
 
-    The windows and the result read one shuffle of the texts by (doc_id, mark).
+    The windows and the result read one shuffle of the texts by (doc_id, mark); rows without doc_id stay out of it.
     """
-    rows = keyed(documents).join(removal_plan(documents, window), ["doc_id", "mark"], "left")
-    return rows.select("doc_id", "text", "gone").mapInArrow(_apply(window, texts), SCHEMA)
+    rows = keyed(documents)
+    joined = rows.filter("doc_id is not null").join(removal_plan(documents, window).hint("shuffle_hash"), ["doc_id", "mark"], "left").select("doc_id", "text", "gone")
+    alone = rows.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("gone"))
+    return joined.union(alone).mapInArrow(_apply(window, texts), SCHEMA)

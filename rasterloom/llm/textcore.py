@@ -39,18 +39,17 @@ def stream(seed: int, n: int) -> np.ndarray:
 class Alphabet:
     """Which bytes make words, whether A-Z fold to a-z, and the per-byte random weights."""
 
-    def __init__(self, word_bytes: np.ndarray, fold: bool, lane: int = 0):
+    def __init__(self, word_bytes: np.ndarray, fold: bool):
         self.is_word = word_bytes
-        weights = stream(11 + lane, 256)
+        weights = stream(11, 256)
         if fold:
             weights[65:91] = weights[97:123]
         self.weights = np.where(word_bytes, weights, U64(0))
-        self.lane = lane
-        self._steps = stream(1013 + lane, 256) | U64(1)
+        self._steps = stream(1013, 256) | U64(1)
 
     def steps(self, n: int) -> np.ndarray:
         if n > len(self._steps):
-            self._steps = stream(1013 + self.lane, max(n, 2 * len(self._steps))) | U64(1)
+            self._steps = stream(1013, max(n, 2 * len(self._steps))) | U64(1)
         return self._steps
 
 
@@ -64,7 +63,6 @@ def _bytes(*spans: tuple[int, int]) -> np.ndarray:
 _NOT_SPACE = ~_bytes((0x20, 0x20), (0x09, 0x0D))
 #: Words as runs of anything but ASCII white space.
 SPACED = Alphabet(_NOT_SPACE, fold=False)
-SPACED_B = Alphabet(_NOT_SPACE, fold=False, lane=1)
 #: The same, A-Z folded.
 SPACED_FOLDED = Alphabet(_NOT_SPACE, fold=True)
 #: Words as runs of ASCII letters, digits and all non-ASCII characters, A-Z folded.
