@@ -166,15 +166,18 @@ def _fine(batches):
     for batch in batches:
         blobs = take(batch, "members")
         sizes = np.asarray(pa.compute.binary_length(blobs)).astype(np.int64) // 8
-        for a in range(0, len(sizes), 256):
-            part = sizes[a : a + 256]
-            h = np.frombuffer(b"".join(blobs.slice(a, 256).to_pylist()), dtype=U64)
+        before, a = np.concatenate([[0], np.cumsum(sizes)]), 0
+        while a < len(sizes):
+            z = min(a + 256, max(a + 1, int(np.searchsorted(before, before[a] + 250_000, "right")) - 1))
+            part = sizes[a:z]
+            h = np.frombuffer(b"".join(blobs.slice(a, z - a).to_pylist()), dtype=U64)
             row = np.repeat(np.arange(len(part)), part)
             keys = band_keys(signatures(row, h, len(part)))
             h = mix64(h ^ U64(0xA0761D6478BD642F))
             order = np.lexsort((h, row))
             sketch = (signatures(row, h[order], len(part), FINE_BINS) & np.uint32(0xFF)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([take(batch, "doc").slice(a, 256), pa.array(part), _packed(sketch), _packed(keys)], names=["doc", "n", "sig", "keys"])
+            docs, a = take(batch, "doc").slice(a, z - a), z
+            yield pa.RecordBatch.from_arrays([docs, pa.array(part), _packed(sketch), _packed(keys)], names=["doc", "n", "sig", "keys"])
 
 
 def _block_pairs(num: int, den: int):

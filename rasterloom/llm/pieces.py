@@ -35,7 +35,9 @@ MARK = 0x2581
 #: Stands for a literal mark in a text; no code point.
 _LITERAL = 0x110001
 #: Symbols of distinct segments that a worker keeps; beyond, it starts afresh.
-CACHE_SYMBOLS = 1_200_000
+CACHE_SYMBOLS = 600_000
+#: Pieces that are decoded together.
+DECODE_PIECES = 250_000
 
 
 @dataclass(frozen=True)
@@ -117,8 +119,8 @@ class Sampler:
         self.symbols = 0
         # edges by the symbol they end with, then length: that symbol's number + the running probability, length, id;
         # heads: each symbol's first edge
-        self.heads = np.zeros(0, dtype=np.int64)
-        self.keys, self.lengths, self.ids = np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.heads = np.zeros(0, dtype=np.int32)
+        self.keys, self.lengths, self.ids = np.zeros(0), np.zeros(0, dtype=np.int8), np.zeros(0, dtype=np.int32)
 
     def _filter(self, symbols: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
         """(key, length, id) of all edges of the segments, and each symbol's first; id is -1 - code point for an edge of bytes."""
@@ -195,8 +197,8 @@ class Sampler:
             places, known = np.concatenate([self.places, into + self.symbols]), np.concatenate([self.known, unique[new]])
             order = np.argsort(known)
             self.known, self.places = known[order], places[order]
-            self.keys, self.lengths, self.ids = np.concatenate([self.keys, keys + self.symbols]), np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids])
-            self.heads = np.concatenate([self.heads, heads + len(self.keys) - len(keys)])
+            self.keys, self.lengths, self.ids = np.concatenate([self.keys, keys + self.symbols]), np.concatenate([self.lengths, lengths.astype(np.int8)]), np.concatenate([self.ids, ids])
+            self.heads = np.concatenate([self.heads, (heads + len(self.keys) - len(keys)).astype(np.int32)])
             self.symbols += len(pick)
         return self.places[np.searchsorted(self.known, unique)][back]
 
@@ -313,10 +315,12 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", out:
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                lists = take(part, pieces)
-                counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
+            every = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(take(batch, pieces)), 0)).astype(np.int64)
+            before, lo = np.concatenate([[0], np.cumsum(every)]), 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(before, before[lo] + DECODE_PIECES, "right")) - 1)
+                part, counts = batch.slice(lo, hi - lo), every[lo:hi]
+                lists, lo = take(part, pieces), hi
                 ids = np.asarray(lists.flatten())
                 n = sizes[ids]
                 ends = np.cumsum(n)
