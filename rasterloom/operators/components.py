@@ -1,8 +1,12 @@
 """Connected components of binary images.
 
-Pixels are joined to runs within rows, so what iterates is one row a run. Runs of neighbouring rows that touch are
-edges; labels spread along them while each label also jumps to its label's label, so rounds grow with the logarithm
-of a component's length. Final labels count components in raster order of their first pixels.
+Pixels are joined to runs within rows; runs of neighbouring rows that touch are edges; final labels count components in
+raster order of their first pixels.
+
+An image is one row of a frame, so by default its runs are found and joined where that row lies: numpy on Arrow
+batches, all images of a batch at once, no shuffle. For masks too large to be labelled in one task,
+`distributed=True` iterates on one row a run instead: labels spread along edges while each also jumps to its label's
+label, so rounds grow with the logarithm of a component's length.
 """
 
 from __future__ import annotations
@@ -11,8 +15,11 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from rasterloom.errors import LabelOverflow, PixelTypeError
@@ -83,7 +90,69 @@ def check_labels(provisional: int, max_label: int = MAX_LABEL) -> None:
         raise LabelOverflow(f"{provisional} provisional labels exceed {max_label}")
 
 
-def connected_components(mask: ImageFrame, connectivity: int = CONNECTIVITY_4, max_label: int = MAX_LABEL) -> Labeling:
+def _rooted(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that each of n nodes reaches over the edges (a, b)."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        low = np.minimum(x, y)
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _label_batch(width: np.ndarray, height: np.ndarray, on: np.ndarray, connectivity: int, max_label: int) -> tuple[np.ndarray, ...]:
+    """(image, y, x0, x1, label) of all runs of the images whose pixels `on` holds end to end."""
+    area = width * height
+    image = np.repeat(np.arange(len(area)), area)
+    place = np.arange(len(on)) - np.repeat(np.cumsum(area) - area, area)
+    x, y = place % width[image], place // width[image]
+    first, last = on.copy(), on.copy()
+    first[1:] &= ~on[:-1] | (x[1:] == 0)
+    last[:-1] &= ~on[1:] | (x[1:] == 0)
+    s, e = np.flatnonzero(first), np.flatnonzero(last)
+    img, row, x0, x1 = image[s], y[s], x[s], x[e]
+    # rows of all images one under another, with an empty one between images; each row has room for its reach
+    line = (np.cumsum(height + 1) - (height + 1))[img] + row + 1
+    room = int(width.max(initial=0)) + 4
+    begins, ends = line * room + x0 + 2, line * room + x1 + 2
+    lo = np.searchsorted(ends, begins - room - connectivity, "left")
+    hi = np.searchsorted(begins, ends - room + connectivity, "right")
+    n = np.maximum(hi - lo, 0)
+    below = np.repeat(np.arange(len(s)), n)
+    above = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    fresh = np.bincount(img[n == 0], minlength=1)
+    check_labels(int(fresh.max(initial=0)), max_label)
+    root = _rooted(len(s), above, below)
+    roots = np.unique(root)
+    number = np.arange(len(roots)) - np.searchsorted(img[roots], img[roots])
+    return img, row, x0, x1, number[np.searchsorted(roots, root)] + 1
+
+
+def _labelled_in_place(mask: ImageFrame, connectivity: int, max_label: int) -> DataFrame:
+    schema = T.StructType([mask.df.schema["image_id"], *(T.StructField(c, T.IntegerType()) for c in ("y", "x0", "x1")), T.StructField("label", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                ids, width, height, v = (part.column(k) for k in range(4))
+                on = v.flatten().to_numpy(zero_copy_only=False).astype(bool)
+                img, *columns = _label_batch(np.asarray(width).astype(np.int64), np.asarray(height).astype(np.int64), on, connectivity, max_label)
+                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(img)), *(pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True))], names=[f.name for f in schema.fields])
+
+    return mask.df.select("image_id", "width", "height", "v").mapInArrow(run, schema)
+
+
+def connected_components(mask: ImageFrame, connectivity: int = CONNECTIVITY_4, max_label: int = MAX_LABEL, distributed: bool = False) -> Labeling:
+    if mask.pixel.name != "Bool":
+        raise PixelTypeError(f"components need a binary image, not {mask.pixel.name}")
+    if not distributed:
+        return Labeling(_labelled_in_place(mask, connectivity, max_label), mask.images())
     found = _kept(runs(mask))
     edges = touching(found, connectivity)
     both = _kept(edges.union(edges.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))))
@@ -107,6 +176,6 @@ def connected_components(mask: ImageFrame, connectivity: int = CONNECTIVITY_4, m
     return Labeling(found.join(now, ["image_id", "run"]).select("image_id", "y", "x0", "x1", rank), mask.images())
 
 
-def connected_components_with_stats(mask: ImageFrame, connectivity: int = CONNECTIVITY_4) -> tuple[Labeling, DataFrame]:
-    labels = connected_components(mask, connectivity)
+def connected_components_with_stats(mask: ImageFrame, connectivity: int = CONNECTIVITY_4, distributed: bool = False) -> tuple[Labeling, DataFrame]:
+    labels = connected_components(mask, connectivity, distributed=distributed)
     return labels, labels.stats()

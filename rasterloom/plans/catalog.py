@@ -365,6 +365,7 @@ _NEAR4 = "abs(q.x - p.x) + abs(q.y - p.y) = 1"
 _NEAR8 = "abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 AND q.id <> p.id"
 for _name, _k, _near in [("ccl4", components.CONNECTIVITY_4, _NEAR4), ("ccl8", components.CONNECTIVITY_8, _NEAR8)]:
     _add(_name, lambda s, d, k=_k: components.connected_components(_bright(s, d), k).pixels(), _labels_sql("SELECT image_id, (id % 8)::INT AS x, (id // 8)::INT AS y, label FROM lab", _near))
+_add("ccl4_distributed", lambda s, d: components.connected_components(_bright(s, d), distributed=True).pixels(), ORACLES["ccl4"])
 _add("ccl_counts", lambda s, d: components.connected_components(_bright(s, d)).counts(), _labels_sql("SELECT i.image_id, coalesce(max(label), 0) AS label_count FROM (SELECT DISTINCT image_id FROM emb8) i LEFT JOIN lab USING (image_id) GROUP BY 1", _NEAR4))
 
 

@@ -1,5 +1,6 @@
 """Small images whose results were worked out by hand, and laws that hold for any image."""
 
+import itertools
 import math
 import random
 
@@ -349,8 +350,8 @@ def test_components(spark):
         [[1 if y % 2 == 0 or x == (0 if y % 4 == 1 else 8) else 0 for x in range(9)] for y in range(13)],
     ]
     frame = mono(spark, *[[[bool(v) for v in r] for r in s] for s in shapes], pixel="Bool")
-    for k in (components.CONNECTIVITY_4, components.CONNECTIVITY_8):
-        labels = components.connected_components(frame, k)
+    for k, apart in itertools.product((components.CONNECTIVITY_4, components.CONNECTIVITY_8), (False, True)):
+        labels = components.connected_components(frame, k, distributed=apart)
         got = {}
         for r in labels.pixels().collect():
             got.setdefault(r.image_id, {})[r.x, r.y] = r.label
@@ -361,7 +362,9 @@ def test_components(spark):
             own = [p for p, n in expected[r.image_id].items() if n == r.label]
             assert (r.area, r.sum_x, r.sum_y, r.min_x, r.max_y) == (len(own), sum(x for x, _ in own), sum(y for _, y in own), min(x for x, _ in own), max(y for _, y in own))
     with pytest.raises(errors.LabelOverflow):
-        components.connected_components(frame, 0, max_label=1)
+        components.connected_components(frame, 0, max_label=1, distributed=True)
+    with pytest.raises(Exception, match="LabelOverflow"):
+        components.connected_components(frame, 0, max_label=1).pixels().collect()
     with pytest.raises(errors.PixelTypeError):
         components.connected_components(mono(spark, [[1]]))
 
