@@ -34,6 +34,14 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def exploded(rows: DataFrame) -> DataFrame:
+    """Rows of an outer posexplode into `_i`, without the null rows of empty arrays.
+
+    The inner form would have the optimiser test the array's size first, by working out the whole array once more.
+    """
+    return rows.filter(F.col("_i").isNotNull())
+
+
 def grid(width: Column, height: Column, value: Callable[[Column, Column], Column]) -> Column:
     """An array in raster order of value(x, y)."""
     return F.transform(indices(width * height), lambda i: value(i % width, F.floor(i / width).cast("int")))
@@ -72,10 +80,10 @@ class ImageFrame:
         """image_id, x, y and the channels, one row a pixel. No shuffle."""
         if len(self.pixel.channels) == 1:
             one = self.pixel.channels[0]
-            rows = self.df.select("image_id", "width", F.posexplode(one).alias("_i", one))
+            rows = exploded(self.df.select("image_id", "width", F.posexplode_outer(one).alias("_i", one)))
             values = [F.col(one)]
         else:
-            rows = self.df.select("image_id", "width", F.posexplode(F.arrays_zip(*self.pixel.channels)).alias("_i", "_p"))
+            rows = exploded(self.df.select("image_id", "width", F.posexplode_outer(F.arrays_zip(*self.pixel.channels)).alias("_i", "_p")))
             values = [F.col("_p")[c].alias(c) for c in self.pixel.channels]
         return rows.select("image_id", (F.col("_i") % F.col("width")).alias("x"), F.floor(F.col("_i") / F.col("width")).cast("int").alias("y"), *values)
 

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from rasterloom.errors import LabelOverflow, PixelTypeError
-from rasterloom.frame import ImageFrame
+from rasterloom.frame import ImageFrame, exploded
 from rasterloom.pixel import MAX_LABEL
 
 CONNECTIVITY_4, CONNECTIVITY_8 = 0, 1
@@ -45,7 +45,7 @@ def runs(mask: ImageFrame) -> DataFrame:
     """image_id, y, x0, x1, run (the raster index of its first pixel) of every stretch of true pixels."""
     if mask.pixel.name != "Bool":
         raise PixelTypeError(f"components need a binary image, not {mask.pixel.name}")
-    on = mask.df.select("image_id", "width", F.posexplode("v").alias("i", "v")).filter("v").select("image_id", "width", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"))
+    on = exploded(mask.df.select("image_id", "width", F.posexplode_outer("v").alias("_i", "v"))).filter("v").select("image_id", "width", (F.col("_i") % F.col("width")).alias("x"), F.floor(F.col("_i") / F.col("width")).cast("int").alias("y"))
     order = Window.partitionBy("image_id", "y").orderBy("x")
     marked = on.withColumn("g", F.col("x") - F.row_number().over(order))
     return marked.groupBy("image_id", "y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.first("width").alias("width")).select("image_id", "y", "x0", "x1", (F.col("y").cast("bigint") * F.col("width") + F.col("x0")).alias("run"))

@@ -147,7 +147,8 @@ def count_for(hist: DataFrame, strategy: BinningStrategy, value: float) -> DataF
 def otsu_thresholds(hist: DataFrame) -> DataFrame:
     """image_id, channel, threshold: the first value that separates two classes best; null with under two occupied bins.
 
-    `hist` has natural bins. A window over one channel's 256 bins.
+    `hist` has natural bins; empty ones may be missing, as the first best value is always an occupied one. A window
+    over one channel's 256 bins at most.
     """
     whole = Window.partitionBy("image_id", "channel")
     w0, s0 = F.sum("count").over(_by_bin()), F.sum(F.col("count") * F.col("bin")).over(_by_bin())
@@ -164,14 +165,16 @@ def otsu_binary_mask(frame: ImageFrame) -> ImageFrame:
     """Pixels above their image's threshold (0 where it has none); single-channel 8-bit images."""
     if len(frame.pixel.channels) != 1:
         raise PixelTypeError("an Otsu mask needs one channel")
-    found = otsu_thresholds(histogram(frame, NaturalBins())).select("image_id", F.coalesce("threshold", F.lit(0)).alias("_t"))
+    strategy = NaturalBins()
+    strategy.check(frame.pixel)
+    found = otsu_thresholds(histogram_samples(long_form(frame), strategy)).select("image_id", F.col("threshold").alias("_t0"))
     c = frame.pixel.channels[0]
-    joined = frame.df.join(found, "image_id")
+    joined = frame.df.join(found, "image_id", "left").withColumn("_t", F.coalesce("_t0", F.lit(0)))
     return ImageFrame(joined.select(*KEYS, F.transform(c, lambda v: v > F.col("_t")).alias("v")), pixel_type("Bool"))
 
 
 def equalization_luts(hist: DataFrame) -> DataFrame:
-    """image_id, channel, bin, value: 256 rows a channel; the identity where one bin holds everything."""
+    """image_id, channel, bin, value, one row for each row of `hist`; the identity where one bin holds everything."""
     whole = Window.partitionBy("image_id", "channel")
     cdf = F.sum("count").over(_by_bin())
     rows = hist.select("image_id", "channel", "bin", cdf.alias("cdf"), F.sum("count").over(whole).alias("n"))
@@ -183,10 +186,14 @@ def equalization_luts(hist: DataFrame) -> DataFrame:
 
 def equalize_image(frame: ImageFrame) -> ImageFrame:
     """Every channel through its own table. Tables are gathered to one array an image, so pixels are joined whole."""
-    luts = equalization_luts(histogram(frame, NaturalBins()))
-    tables = luts.groupBy("image_id", "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "value"))), lambda x: x["value"]).alias("t"))
+    strategy = NaturalBins()
+    strategy.check(frame.pixel)
+    luts = equalization_luts(histogram_samples(long_form(frame), strategy))
+    # every value that a pixel has is an occupied bin; the rest of a table is never read
+    pairs = luts.groupBy("image_id", "channel").agg(F.map_from_entries(F.collect_list(F.struct("bin", "value"))).alias("m"))
+    tables = pairs.select("image_id", "channel", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.col("m")[i]).alias("t"))
     tables = tables.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("channel", "t"))).alias("_t"))
-    joined = frame.df.join(tables, "image_id")
+    joined = frame.df.join(tables, "image_id", "left")
     columns = [F.get(F.transform(F.array(F.col("_t")[k]), lambda t: F.transform(c, lambda v: F.get(t, v))), 0).alias(c) for k, c in enumerate(frame.pixel.channels)]  # noqa: B023
     return ImageFrame(joined.select(*KEYS, *columns), frame.pixel)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.errors import BorderError
-from rasterloom.frame import ImageFrame
+from rasterloom.frame import ImageFrame, exploded
 from rasterloom.operators.neighborhood import Border, Wrap
 from rasterloom.pixel import PixelType, pixel_type
 from rasterloom.shapes import Size
@@ -48,7 +48,7 @@ def tiled(pixels: DataFrame, images: DataFrame, pixel: str | PixelType, tile: Si
     frame = ImageFrame(grouped.select("image_id", F.col("w").cast("int").alias("width"), F.col("h").cast("int").alias("height"), *(F.col("_cells")[c].alias(c) for c in p.channels), "tx", "ty", "x0", "y0"), p, ("tx", "ty", "x0", "y0"))
     out = op(frame, border)
     names = out.pixel.channels
-    rows = out.df.select("image_id", "width", "tx", "ty", "x0", "y0", F.posexplode(F.arrays_zip(*names)).alias("_i", "_p"))
+    rows = exploded(out.df.select("image_id", "width", "tx", "ty", "x0", "y0", F.posexplode_outer(F.arrays_zip(*names)).alias("_i", "_p")))
     placed = rows.select("image_id", "tx", "ty", (F.col("x0") + F.col("_i") % F.col("width")).cast("int").alias("x"), (F.col("y0") + F.floor(F.col("_i") / F.col("width"))).cast("int").alias("y"), *(F.col("_p")[c].alias(c) for c in names))
     own = (F.floor(F.col("x") / tile.width) == F.col("tx")) & (F.floor(F.col("y") / tile.height) == F.col("ty"))
     return placed.filter(own).select("image_id", "x", "y", *names)
