@@ -49,3 +49,13 @@ def test_every_query_has_sql():
 def test_entry(spark, duck):
     df = entry.entry(spark)
     assert df.columns == ["image_id", "foreground"] and df.count() > 0
+
+
+def test_the_library_stands_without_the_corpus_operators():
+    top = os.path.dirname(os.path.dirname(catalog.__file__))
+    for folder, _, files in os.walk(top):
+        if os.path.basename(folder) not in ("llm", "__pycache__"):
+            for name in files:
+                if name.endswith(".py"):
+                    with open(os.path.join(folder, name)) as f:
+                        assert "rasterloom.llm" not in f.read(), name
