@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
-from rasterloom.llm.textcore import ALNUM_FOLDED, Chunk, Words, chunks, covered, take
+from rasterloom.llm.textcore import ALNUM_FOLDED, Chunk, Words, chunks, covered, lean, take
 
 WINDOW = 13
 #: Test items travel with the task in blocks of at most this many bytes; more items make more blocks.
@@ -194,7 +194,7 @@ def test_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = B
 
 def judge(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: words, words inside test windows, the items found, and the longest match."""
-    return documents.select("doc_id", "text").mapInArrow(_judge(test_blocks(benchmark, window)), SCHEMA)
+    return documents.select("doc_id", "text").mapInArrow(lean(_judge(test_blocks(benchmark, window))), SCHEMA)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -209,4 +209,4 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
             keep = pa.compute.invert(take(verdict, "contaminated"))
             yield batch.filter(keep)
 
-    return documents.select(*names).mapInArrow(run, documents.schema)
+    return documents.select(*names).mapInArrow(lean(run), documents.schema)

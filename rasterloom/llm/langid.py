@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.textcore import Chunk, chunks, stream, take
+from rasterloom.llm.textcore import Chunk, chunks, lean, stream, take
 
 DIMS = 2048
 SYMBOL_BITS = 7
@@ -139,7 +139,7 @@ def _train(batches):
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order, and their prototypes as integers, from rows with `text` and `lang`."""
     rows = labelled.filter("text is not null and lang is not null").select("text", "lang")
-    sums = rows.mapInArrow(_train, "lang string, dim int, v long").groupBy("lang", "dim").agg(F.sum("v").alias("v"))
+    sums = rows.mapInArrow(lean(_train), "lang string, dim int, v long").groupBy("lang", "dim").agg(F.sum("v").alias("v"))
     got = sums.limit(MAX_LANGS * DIMS + 1).toPandas()
     if len(got) > MAX_LANGS * DIMS:
         raise ValueError(f"more than {MAX_LANGS} values of lang")
@@ -207,4 +207,4 @@ def identify(documents: DataFrame, folds: int = 5) -> DataFrame:
     """One row per document; learned from the rows that are not held out, `score` is the winner's share of all positive cosines."""
     langs, prototypes = train(documents.filter(~held_out(F.col("doc_id"), folds)))
     rows = documents.select("doc_id", "text", F.coalesce(held_out(F.col("doc_id"), folds), F.lit(False)).alias("held_out"))
-    return rows.mapInArrow(_predict(langs, prototypes), SCHEMA)
+    return rows.mapInArrow(lean(_predict(langs, prototypes)), SCHEMA)

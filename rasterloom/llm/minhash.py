@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.components import components
-from rasterloom.llm.textcore import SPACED_FOLDED, U64, Words, as_signed, chunks, discard, mix64, stream, take, written
+from rasterloom.llm.textcore import SPACED_FOLDED, U64, Words, as_signed, chunks, discard, lean, mix64, stream, take, written
 
 SHINGLE = 5
 BINS, ROWS = 128, 4
@@ -152,14 +152,14 @@ def _confirm(num: int, den: int):
 
 def candidate_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc, members): the sets of the documents whose doc_id is in `ids`, as sorted 64-bit hashes."""
-    return written(documents.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets, "doc long, members binary"))
+    return written(documents.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(lean(_sets), "doc long, members binary"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose full sets reach the similarity num / den."""
     left = pairs.join(sets.select(F.col("doc").alias("b"), F.col("members").alias("y")).hint("shuffle_hash"), "b")
     both = left.join(sets.select(F.col("doc").alias("a"), F.col("members").alias("x")).hint("shuffle_hash"), "a")
-    return written(both.select("a", "b", "x", "y").mapInArrow(_confirm(num, den), "a long, b long").distinct())
+    return written(both.select("a", "b", "x", "y").mapInArrow(lean(_confirm(num, den)), "a long, b long").distinct())
 
 
 def _fine(batches):
@@ -235,23 +235,23 @@ def _leftover_pairs(sets: DataFrame, entries: DataFrame, links: DataFrame, num:
     sizes = members.groupBy("bucket").agg(F.count("*").alias("m"), F.count_if("away").alias("s"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     counted = written(members.join(sizes.hint("shuffle_hash"), "bucket").select("bucket", "doc", "comp", "away", blocks("s").alias("ps"), blocks("m").alias("qs")))
-    sketches = sets.mapInArrow(_fine, "doc long, n long, sig binary, keys binary")
+    sketches = sets.mapInArrow(lean(_fine), "doc long, n long, sig binary, keys binary")
     members = counted.join(sketches, "doc").select("bucket", "doc", "comp", "away", "n", "sig", "keys", "ps", "qs")
     p, q = F.pmod(F.xxhash64("doc", F.lit(1)), "ps").cast("int"), F.pmod(F.xxhash64("doc", F.lit(2)), "qs").cast("int")
     inside = members.select("bucket", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), q.alias("q"), F.lit(False).alias("outside"), "doc", "comp", "n", "sig", "keys")
     outside = members.filter("away").select("bucket", p.alias("p"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), F.lit(True).alias("outside"), "doc", "comp", "n", "sig", "keys")
     grouped = inside.union(outside).repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-    pairs = written(grouped.mapInArrow(_block_pairs(num, den), "a long, b long").distinct())
+    pairs = written(grouped.mapInArrow(lean(_block_pairs(num, den)), "a long, b long").distinct())
     discard(known, counted)
     return pairs
 
 
 def near_duplicates(documents: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of `documents`."""
-    sketch = written(documents.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, keys binary"))
+    sketch = written(documents.select("doc_id", "text").mapInArrow(lean(_sketch), "doc_id long, n long, k1 long, k2 long, keys binary"))
     some = sketch.filter("n > 0 and doc_id is not null")
     reps = written(some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "keys")).alias("m")).select("k1", "k2", F.col("m.doc_id").alias("doc"), F.col("m.keys").alias("keys")))
-    entries = reps.select("doc", "keys").mapInArrow(_buckets, "bucket long, doc long")
+    entries = reps.select("doc", "keys").mapInArrow(lean(_buckets), "bucket long, doc long")
     centres = entries.groupBy("bucket").agg(F.min("doc").alias("centre"), F.max("doc").alias("last")).filter("centre < last").select("bucket", "centre")
     star = written(entries.join(centres.hint("shuffle_hash"), "bucket").filter("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct())
     # whoever shares a bucket is in the star's edges, so these sets serve both confirmations

@@ -29,7 +29,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rasterloom.llm.textcore import U64, Chunk, chunks, mix64, stream, take
+from rasterloom.llm.textcore import U64, Chunk, chunks, lean, mix64, stream, take
 
 MARK = 0x2581
 #: Stands for a literal mark in a text; no code point.
@@ -282,30 +282,28 @@ def code_points(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return points, np.concatenate([[0], np.cumsum(lead)])[chunk.bounds]
 
 
-def encode(documents: DataFrame, vocabulary: Vocabulary, seed: int = 1, key: str = "doc_id", text: str = "text", out: str = "pieces") -> DataFrame:
-    """`documents` with a sampled segmentation of `text` as piece ids in column `out` (replaced if there)."""
-    own = [f for f in documents.schema.fields if f.name != out]
-    schema = T.StructType([*own, T.StructField(out, T.ArrayType(T.IntegerType()))])
+#: Bytes of text that are encoded together.
+ENCODE_BYTES = 1 << 19
 
+
+def _encoder(vocabulary: Vocabulary, seed: int, key: str, text: str, out: str):
     def run(batches):
         sampler = Sampler(vocabulary)
         for batch in batches:
             ids = np.asarray(take(batch, key).cast(pa.int64()).fill_null(-1))
             keys = row_keys(ids, seed)
-            for chunk in chunks(take(batch, text)):
+            for chunk in chunks(take(batch, text), ENCODE_BYTES):
                 points, bounds = code_points(chunk)
                 values, stops = sampler.draw(points, bounds, keys[chunk.lo : chunk.hi])
-                lists = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32), mask=np.append(~chunk.valid, False)) if not chunk.valid.all() else pa.array(stops.astype(np.int32)), pa.array(values))
+                nulls = {} if chunk.valid.all() else {"mask": np.append(~chunk.valid, False)}
+                lists = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32), **nulls), pa.array(values))
                 part = batch.slice(chunk.lo, chunk.hi - chunk.lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, out])
 
-    return documents.select(*(f.name for f in own)).mapInArrow(run, schema)
+    return run
 
 
-def decode(rows: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", out: str = "decoded") -> DataFrame:
-    """`rows` with the text of the piece ids in column `pieces` as column `out` (replaced if there)."""
-    own = [f for f in rows.schema.fields if f.name != out]
-    schema = T.StructType([*own, T.StructField(out, T.StringType())])
+def _decoder(vocabulary: Vocabulary, pieces: str, out: str):
     coded = [p.replace(chr(MARK), " ").encode() for p in vocabulary.pieces]
     for value, i in enumerate(vocabulary.byte_ids.tolist()):
         coded[i] = bytes([value])
@@ -330,4 +328,30 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", out:
                 texts = [(text[a + 1 : b].tobytes().decode("utf-8", "replace") if ok else None) for a, b, ok in zip(stops[:-1].tolist(), stops[1:].tolist(), valid.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, type=pa.string())], names=[*part.schema.names, out])
 
-    return rows.select(*(f.name for f in own)).mapInArrow(run, schema)
+    return run
+
+
+def _kept(df: DataFrame, *replaced: str) -> list[T.StructField]:
+    return [f for f in df.schema.fields if f.name not in replaced]
+
+
+def encode(documents: DataFrame, vocabulary: Vocabulary, seed: int = 1, key: str = "doc_id", text: str = "text", out: str = "pieces") -> DataFrame:
+    """`documents` with a sampled segmentation of `text` as piece ids in column `out` (replaced if there)."""
+    own = _kept(documents, out)
+    schema = T.StructType([*own, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    return documents.select(*(f.name for f in own)).mapInArrow(lean(_encoder(vocabulary, seed, key, text, out)), schema)
+
+
+def decode(rows: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", out: str = "decoded") -> DataFrame:
+    """`rows` with the text of the piece ids in column `pieces` as column `out` (replaced if there)."""
+    own = _kept(rows, out)
+    schema = T.StructType([*own, T.StructField(out, T.StringType())])
+    return rows.select(*(f.name for f in own)).mapInArrow(lean(_decoder(vocabulary, pieces, out)), schema)
+
+
+def encode_and_decode(documents: DataFrame, vocabulary: Vocabulary, seed: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`documents` with `pieces` and `decoded`: both steps in one worker, so the pieces cross to it once."""
+    own = _kept(documents, "pieces", "decoded")
+    schema = T.StructType([*own, T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    into, back = _encoder(vocabulary, seed, key, text, "pieces"), _decoder(vocabulary, "pieces", "decoded")
+    return documents.select(*(f.name for f in own)).mapInArrow(lean(lambda batches: back(into(batches))), schema)

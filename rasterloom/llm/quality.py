@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rasterloom.llm.textcore import SPACED, Chunk, Words, chunks, take
+from rasterloom.llm.textcore import SPACED, Chunk, Words, chunks, lean, take
 
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
@@ -184,7 +184,7 @@ def judge(documents: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
             cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5 + [np.zeros(0, bool)] * 2
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, type=pa.bool_() if c.dtype == bool else pa.int64()) for c in cols)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return documents.select("doc_id", "text").mapInArrow(lean(run), SCHEMA)
 
 
 def keep_good(documents: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
@@ -196,4 +196,4 @@ def keep_good(documents: DataFrame, rules: list[Rule] | None = None) -> DataFram
             parts = [judge_chunk(c, ordered)[-1] for c in chunks(take(batch, "text"))]
             yield batch.filter(pa.array(np.concatenate(parts) if parts else np.zeros(0, bool)))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)

@@ -128,7 +128,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = pieces.Vocabulary.load(VOCABULARY)
-    rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), vocabulary)
+    rows = pieces.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
     count = F.coalesce(F.size("pieces"), F.lit(0)).cast("long")
     return rows.select("doc_id", count.alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 

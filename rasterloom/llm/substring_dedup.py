@@ -31,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.textcore import SPACED, Chunk, Words, as_signed, chunks, covered, discard, take, written
+from rasterloom.llm.textcore import SPACED, Chunk, Words, as_signed, chunks, covered, discard, lean, take, written
 
 WINDOW = 13
 PERIOD, COVER, ANCHOR = 7, (0, 1, 3), 7
@@ -136,12 +136,12 @@ def removal_plan(documents: DataFrame, window: int = WINDOW) -> DataFrame:
         raise ValueError(f"a window must have {PERIOD + ANCHOR - 1} words at least, so that it holds an aligned anchor")
     rows = keyed(documents)
     some = rows.filter("doc_id is not null and text is not null")
-    seen = some.select("text").mapInArrow(_count_anchors(window), "h long, n int")
+    seen = some.select("text").mapInArrow(lean(_count_anchors(window)), "h long, n int")
     shared = written(seen.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
-    places = some.mapInArrow(_place_anchors(window), "h long, doc_id long, at long")
+    places = some.mapInArrow(lean(_place_anchors(window)), "h long, doc_id long, at long")
     anchors = written(_by_row(places.join(shared.hint("shuffle_hash"), "h"), "shared"))
     discard(shared)
-    windows = rows.join(anchors.hint("shuffle_hash"), ["doc_id", "mark"]).mapInArrow(_emit_windows(window), "h long, g int, doc_id long, at long")
+    windows = rows.join(anchors.hint("shuffle_hash"), ["doc_id", "mark"]).mapInArrow(lean(_emit_windows(window)), "h long, g int, doc_id long, at long")
     # written apart: the two shuffles of windows then never lie on disk together
     firsts = written(windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "g", "lo"))
     return _by_row(windows.join(firsts.hint("shuffle_hash"), ["h", "g"]).filter("doc_id > lo"), "gone")
@@ -183,4 +183,4 @@ def dedup(documents: DataFrame, window: int = WINDOW, texts: bool = True) -> Dat
     rows = keyed(documents)
     joined = rows.filter("doc_id is not null").join(removal_plan(documents, window).hint("shuffle_hash"), ["doc_id", "mark"], "left").select("doc_id", "text", "gone")
     alone = rows.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("gone"))
-    return joined.union(alone).mapInArrow(_apply(window, texts), SCHEMA)
+    return joined.union(alone).mapInArrow(lean(_apply(window, texts)), SCHEMA)

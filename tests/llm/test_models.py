@@ -171,6 +171,8 @@ def test_sampled_pieces(spark):
     other = pieces.encode(df, v, seed=6).collect()
     assert {(r.doc_id, r.text): r.pieces for r in other} != {(r.doc_id, r.text): r.pieces for r in got}
     assert pieces.encode(df.limit(0), v).count() == 0
+    both = pieces.encode_and_decode(df, v, seed=5).collect()
+    assert {(r.doc_id, r.text): (r.pieces, r.decoded) for r in both} == {(r.doc_id, r.text): (r.pieces, r.text) for r in got}
 
 
 def test_pieces_are_drawn_with_their_probability():
