@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with sampled pieces and whether these decode to the text."""
     vocabulary = pieces.Vocabulary.load(VOCABULARY)
-    rows = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    rows = pieces.encode_and_decode(docs, vocabulary)
     return rows.select(*docs.columns, "pieces", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
