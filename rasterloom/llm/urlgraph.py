@@ -3,7 +3,7 @@
 A host's trust is a personalised PageRank walk along links from the hosts of allowed pages; its distrust is
 the same walk against the links from the hosts of blocked pages, so a host that links to blocked hosts is
 held to account. A page without a rule is blocked if its host's distrust exceeds its trust by more than
-`threshold`.
+the part `threshold` of it. Scores sum to 1 however large the table is, so only their ratio is compared.
 
 Links are hosts named in absolute or protocol-relative `href` values; repeated links between two hosts count
 once for each page. They are summed before any walk, so what iterates has one row for each pair of hosts.
@@ -31,6 +31,7 @@ _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"""(?is)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""
 DAMPING = 0.85
 ROUNDS = 10
+#: A part of a host's trust.
 THRESHOLD = 1e-6
 
 
@@ -101,7 +102,7 @@ def host_scores(pages: DataFrame, rules: list[Rule], rounds: int = ROUNDS, dampi
 
 def judge(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """page_id, host, path, rule, verdict: one row for each page."""
-    bad = written(host_scores(pages, rules, rounds, damping).filter(F.col("distrust") - F.col("trust") > threshold).select(F.col("host").alias("bad")))
+    bad = written(host_scores(pages, rules, rounds, damping).filter(F.col("distrust") > F.col("trust") * (1 + threshold)).select(F.col("host").alias("bad")))
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     joined = ruled.join(bad, ruled["host"] == bad["bad"], "left")

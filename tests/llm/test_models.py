@@ -103,6 +103,14 @@ def test_host_trust(spark):
     assert urlgraph.judge(df.limit(0), RULES).count() == 0
 
 
+def test_unrelated_pages_leave_verdicts(spark):
+    df = spark.createDataFrame([(20, "http://bad.com/ok/no", None), *PAGES, (21, "http://small.net/x", ""), (22, "http://small.net/bad/1", ""), (23, "http://n5.net/", '<a href="http://small.net/">s</a>')], "page_id long, url string, html string")
+    rules = [*RULES, urlgraph.Rule("small.net", "/bad/", "block"), urlgraph.Rule("else.net", "/", "block")]
+    more = spark.range(200_000).select((F.col("id") + 1000).alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 7, F.lit(".else.net/")).alias("url"), F.lit("").alias("html"))
+    got = {r.page_id: r.verdict for r in urlgraph.judge(df.union(more), rules).filter("page_id < 1000").collect()}
+    assert {k for k, v in got.items() if v == "block"} == {3, 4, 5, 21, 22, 23}
+
+
 def vocabulary():
     letters = "abcdeh▁tn"
     own = [*letters, "the", "▁the", "he", "▁t", "an", "▁▁", "then", "▁a", "ab", "bc", "abc"]
