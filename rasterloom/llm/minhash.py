@@ -8,11 +8,13 @@
    n - 1 edges for n members; each distinct edge is confirmed on the full sets.
 4. A star misses a link between two members that both differ from the centre. So buckets that still hold
    several components are worked through: their members outside the centre's component meet all members in
-   blocks of bounded size, where a second, finer sketch (512 bins of 8 bits) leaves the plausible pairs of
-   different components, which are confirmed on the full sets too. With that, every pair that shares a bucket
-   is linked, in one component, or refuted.
+   blocks of bounded size. There members stand with 32 bits of each shingle hash: what two of them share is
+   never less than what the sets share, so no pair at the threshold is refuted, and the few that remain are
+   confirmed on the full sets too. With that, every pair that shares a bucket is linked, in one component, or
+   refuted.
 
-At similarity 0.85 two texts share no bucket with probability (1 - 0.85^4)^32 < 1e-10 (at 0.8: 5e-8).
+At similarity 0.85 two texts share no bucket with probability (1 - 0.85^4)^32 < 1e-10 (at 0.8: 5e-8), if bins
+were independent.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing;
 fewer words than a shingle make one shingle of the whole sequence; rows without doc_id are linked with
@@ -32,11 +34,8 @@ from rasterloom.llm.textcore import SPACED_FOLDED, U64, Words, as_signed, chunks
 
 SHINGLE = 5
 BINS, ROWS = 128, 4
-#: Members of a bucket that meet in one block, on either side.
-BLOCK = 512
-FINE_BINS = 512
-#: A pair is refuted by its fine sketches alone if they agree this far below the threshold (4.4 standard deviations at 0.85).
-SLACK = 0.07
+#: Members of a bucket that meet in one block, on either side, and about how many shingles they hold together.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +161,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return written(both.select("a", "b", "x", "y").mapInArrow(lean(_confirm(num, den)), "a long, b long").distinct())
 
 
-def _fine(batches):
+def _short(batches):
     for batch in batches:
         blobs = take(batch, "members")
         sizes = np.asarray(pa.compute.binary_length(blobs)).astype(np.int64) // 8
@@ -173,15 +172,31 @@ def _fine(batches):
             h = np.frombuffer(b"".join(blobs.slice(a, z - a).to_pylist()), dtype=U64)
             row = np.repeat(np.arange(len(part)), part)
             keys = band_keys(signatures(row, h, len(part)))
-            h = mix64(h ^ U64(0xA0761D6478BD642F))
-            order = np.lexsort((h, row))
-            sketch = (signatures(row, h[order], len(part), FINE_BINS) & np.uint32(0xFF)).astype(np.uint8)
+            low, cuts = h.astype(np.uint32), np.cumsum(part)
+            short = pa.array([low[i:j].tobytes() for i, j in zip(cuts - part, cuts, strict=True)], type=pa.binary())
             docs, a = take(batch, "doc").slice(a, z - a), z
-            yield pa.RecordBatch.from_arrays([docs, pa.array(part), _packed(sketch), _packed(keys)], names=["doc", "n", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([docs, pa.array(part), short, _packed(keys)], names=["doc", "n", "short", "keys"])
+
+
+def most_shared(values: np.ndarray, n: np.ndarray, mine: np.ndarray, theirs: np.ndarray):
+    """For each of `mine`, how many members of each of `theirs` it may hold: as many as it does hold, or more.
+
+    Row k of `values` has n[k] short hashes, one row after the other.
+    """
+    number = np.unique(values, return_inverse=True)[1]
+    stops = np.cumsum(n)
+    other = np.concatenate([number[stops[k] - n[k] : stops[k]] for k in theirs] or [number[:0]])
+    first = np.cumsum(n[theirs]) - n[theirs]
+    held = np.zeros(int(number.max(initial=0)) + 1, dtype=bool)
+    for i in mine:
+        own = number[stops[i] - n[i] : stops[i]]
+        held[own] = True
+        yield i, np.add.reduceat(held[other], first, dtype=np.int64) if len(theirs) else first
+        held[own] = False
 
 
 def _block_pairs(num: int, den: int):
-    """Plausible pairs of different components within each (bucket, block, block) group; rows arrive sorted by it.
+    """Pairs of different components that may reach the threshold, within each (bucket, block, block) group; rows arrive sorted by it.
 
     A pair is told once, in the first of the bands that it shares.
     """
@@ -189,18 +204,16 @@ def _block_pairs(num: int, den: int):
     def judge(rows: pa.Table):
         left = np.asarray(rows.column("outside").combine_chunks())
         doc, comp, n = (np.asarray(rows.column(c).combine_chunks()) for c in ("doc", "comp", "n"))
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(len(doc), FINE_BINS)
+        values = np.frombuffer(b"".join(rows.column("short").to_pylist()), dtype=np.uint32)
         keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), dtype=np.int64).reshape(len(doc), BINS // ROWS)
         bucket = rows.column("bucket")[0].as_py()
         mine, theirs = np.flatnonzero(left), np.flatnonzero(~left)
         out_a, out_b = [], []
-        for i in mine:
-            small, large = np.minimum(n[theirs], n[i]), np.maximum(n[theirs], n[i])
-            other = theirs[(comp[theirs] != comp[i]) & (den * small >= num * large)]
-            good = other[(sig[other] == sig[i]).mean(axis=1) >= num / den - SLACK] if len(other) else other
+        for i, shared in most_shared(values, n, mine, theirs):
+            good = theirs[(comp[theirs] != comp[i]) & (den * shared >= num * (n[theirs] + n[i] - shared))]
             if len(good):
-                shared = keys[good] == keys[i]
-                good = good[keys[i][shared.argmax(axis=1)] == bucket]
+                same = keys[good] == keys[i]
+                good = good[keys[i][same.argmax(axis=1)] == bucket]
             out_a.append(np.minimum(doc[good], doc[i]))
             out_b.append(np.maximum(doc[good], doc[i]))
         a, b = np.concatenate([*out_a, np.zeros(0, np.int64)]), np.concatenate([*out_b, np.zeros(0, np.int64)])
@@ -223,7 +236,7 @@ def _block_pairs(num: int, den: int):
 
 
 def _leftover_pairs(sets: DataFrame, entries: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
-    """Plausible pairs that share a bucket but no component, besides those that a star has refuted."""
+    """Pairs that share a bucket but no component and may reach the threshold, besides those that a star has refuted."""
     comp = components(links)
     known = entries.join(comp, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("comp"))
     known = written(known)
@@ -232,14 +245,17 @@ def _leftover_pairs(sets: DataFrame, entries: DataFrame, links: DataFrame, num:
     own = known.select(F.col("bucket").alias("bucket_"), F.col("doc").alias("doc_"), F.col("comp").alias("centre_comp"))
     mixed = mixed.join(own, (F.col("bucket") == F.col("bucket_")) & (F.col("centre") == F.col("doc_"))).select("bucket", "centre", "centre_comp")
     members = known.join(mixed.hint("shuffle_hash"), "bucket").withColumn("away", F.col("comp") != F.col("centre_comp"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("m"), F.count_if("away").alias("s"))
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    lengths = sets.select("doc", (F.octet_length("members") / 8).cast("long").alias("n"))
+    members = members.join(lengths.hint("shuffle_hash"), "doc")
+    away = lambda x: F.sum(F.when(F.col("away"), x).otherwise(0))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("m_n"), away(1).alias("s"), away(F.col("n")).alias("s_n"))
+    blocks = lambda n: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(n + "_n") / BLOCK_SHINGLES)).cast("int")
     counted = written(members.join(sizes.hint("shuffle_hash"), "bucket").select("bucket", "doc", "comp", "away", blocks("s").alias("ps"), blocks("m").alias("qs")))
-    sketches = sets.mapInArrow(lean(_fine), "doc long, n long, sig binary, keys binary")
-    members = counted.join(sketches, "doc").select("bucket", "doc", "comp", "away", "n", "sig", "keys", "ps", "qs")
+    shorts = sets.mapInArrow(lean(_short), "doc long, n long, short binary, keys binary")
+    members = counted.join(shorts, "doc").select("bucket", "doc", "comp", "away", "n", "short", "keys", "ps", "qs")
     p, q = F.pmod(F.xxhash64("doc", F.lit(1)), "ps").cast("int"), F.pmod(F.xxhash64("doc", F.lit(2)), "qs").cast("int")
-    inside = members.select("bucket", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), q.alias("q"), F.lit(False).alias("outside"), "doc", "comp", "n", "sig", "keys")
-    outside = members.filter("away").select("bucket", p.alias("p"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), F.lit(True).alias("outside"), "doc", "comp", "n", "sig", "keys")
+    inside = members.select("bucket", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), q.alias("q"), F.lit(False).alias("outside"), "doc", "comp", "n", "short", "keys")
+    outside = members.filter("away").select("bucket", p.alias("p"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), F.lit(True).alias("outside"), "doc", "comp", "n", "short", "keys")
     grouped = inside.union(outside).repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
     pairs = written(grouped.mapInArrow(lean(_block_pairs(num, den)), "a long, b long").distinct())
     discard(known, counted)

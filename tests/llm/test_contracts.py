@@ -179,6 +179,29 @@ def test_near_duplicates_around_a_far_centre(spark):
     assert len({c for _, c in model.values()}) > 1
 
 
+@pytest.mark.parametrize(("num", "size"), [(80, 18), (80, 36), (85, 37)])
+def test_pairs_at_the_threshold_stay(num, size):
+    """Thousands of pairs of equal size that reach the threshold exactly, or as closely as their size allows."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n_pairs = np.random.default_rng(num + size), 20_000
+    both = -(-2 * num * size // (100 + num))
+    fresh = rng.integers(0, 1 << 64, (n_pairs, 2 * size - both), dtype=np.uint64)
+    sets = np.sort(np.stack([fresh[:, :size], np.concatenate([fresh[:, :both], fresh[:, size:]], axis=1)], axis=1), axis=2).reshape(2 * n_pairs, size)
+    shorts = pa.Table.from_batches(list(minhash._short([pa.RecordBatch.from_arrays([pa.array(np.arange(2 * n_pairs)), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["doc", "members"])])))
+    rows = shorts.append_column("comp", shorts["doc"]).append_column("outside", pa.array(np.arange(2 * n_pairs) % 2 == 0))
+    keys = np.frombuffer(b"".join(shorts["keys"].to_pylist()), dtype=np.int64).reshape(n_pairs, 2, -1)
+    same = keys[:, 0] == keys[:, 1]
+    found = np.flatnonzero(same.any(axis=1))
+    buckets = keys[found, 0, same[found].argmax(axis=1)]
+    near = rows.take(np.stack([2 * found, 2 * found + 1], axis=1).ravel()).append_column("bucket", pa.array(np.repeat(buckets, 2)))
+    near = near.append_column("p", pa.array(np.repeat(np.arange(len(found)), 2))).append_column("q", pa.array(np.zeros(2 * len(found), np.int64)))
+    got = pa.Table.from_batches(list(minhash._block_pairs(num, 100)(near.combine_chunks().to_batches())))
+    assert len(found) > 0.99 * n_pairs
+    assert sorted(got["a"].to_pylist()) == (2 * found).tolist()
+
+
 def test_line_dedup(spark, docs):
     places = defaultdict(list)
     for d, t in {(d, t) for d, t, *_ in documents()}:
