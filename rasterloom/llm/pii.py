@@ -25,6 +25,16 @@ THRESHOLD = 0.5
 #: Characters before and after a span in which context words count.
 BEFORE, AFTER = 40, 20
 _BLOCK = 512
+#: Lengths of IBANs and the countries that use them.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: An IBAN of its country's length; what follows may be a capital or digit after a space.
+_FITTING = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in _IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
+#: Else any run, up to where a fitting one begins.
+_IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_FITTING}|[A-Z]{{2}}[0-9]{{2}}(?:(?: (?!{_FITTING}))?[A-Z0-9]){{11,30}})"
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -94,7 +104,7 @@ KINDS = [
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _ip, True, False, 0.7, 0.2, "ip|host|server|address|adresse"),
     Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])", _card, True, False, 0.7, 0.3, "card|visa|credit|karte|tarjeta|carte"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", _phone, True, False, 0.6, 0.3, "phone|tel|call|mobile|fax|telefon"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", _iban, False, True, 0.6, 0.3, "iban|bank|account|konto|cuenta|compte"),
+    Kind("iban", _IBAN, _iban, False, True, 0.6, 0.3, "iban|bank|account|konto|cuenta|compte"),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", _always, False, True, 0.2, 0.5, "ssn|social|security"),
 ]
 

@@ -267,3 +267,21 @@ def test_personal_data(spark):
         assert r.spans.startswith(shown)
     assert got[5].spans.count("iban") == 1 and got[6].spans.count("ssn") == 2
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "ibans"),
+    [
+        ("IBAN DE89 3704 0044 0532 0130 00 Bitte", ["DE89 3704 0044 0532 0130 00"]),
+        ("DE89370400440532013000 BIC COBADEFF", ["DE89370400440532013000"]),
+        ("GB82WEST12345698765432 2024", ["GB82WEST12345698765432"]),
+        ("DE89370400440532013000 GB82WEST12345698765432 NO93 8601 1117 947 A", ["DE89370400440532013000", "GB82WEST12345698765432", "NO93 8601 1117 947"]),
+        ("AB12 DE89 3704 0044 0532 0130 00 7", ["DE89 3704 0044 0532 0130 00"]),
+        ("DE89 3704 0044 0532 0130 01 Bitte, DE893704004405320130001", []),
+        ("FR14 2004 1010 0505 0001 3M02 606 RIB 20041, MT84MALT011000012345MTLCAST001S X", ["FR14 2004 1010 0505 0001 3M02 606", "MT84MALT011000012345MTLCAST001S"]),
+        ("é GB82WEST12345698765432, éGB82WEST12345698765432", ["GB82WEST12345698765432", "GB82WEST12345698765432"]),
+    ],
+)
+def test_ibans_before_capitals_and_digits(spark, text, ibans):
+    (row,) = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [text[s.start : s.end] for s in row.spans if s.kind == "iban"] == ibans
