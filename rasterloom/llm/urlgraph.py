@@ -7,8 +7,8 @@ the part `threshold` of it. Scores sum to 1 however large the table is, so only
 
 Links are hosts named in absolute or protocol-relative `href` values; repeated links between two hosts count
 once for each page. They are summed before any walk, so what iterates has one row for each pair of hosts.
-Rounds of the walk are joins on that list, each round written to the shared folder; nothing of the graph
-reaches the driver.
+Rounds of the walk are joins on that list, each round written to the shared folder, until no host is new and
+no score changes by more than the part SETTLED of it; nothing of the graph reaches the driver.
 
 Edge cases: a null url, or one without "://", has empty host and path, no rule, and no host to judge it by,
 so it is allowed; a null or empty html has no links; links of a host to itself are ignored; a host without
@@ -30,7 +30,10 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"""(?is)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""
 DAMPING = 0.85
+#: Rounds of OP5_SQL; the code's go on until scores settle.
 ROUNDS = 10
+#: The part of a score by which a round may still change it.
+SETTLED = 1e-7
 #: A part of a host's trust.
 THRESHOLD = 1e-6
 
@@ -72,8 +75,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return rows.filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
-def _walks(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """(walk, host, score): both walks at once; `seeds` has (walk, host, seed) and each walk's seeds sum to 1."""
+def _walks(edges: DataFrame, seeds: DataFrame, rounds: int | None, damping: float) -> DataFrame:
+    """(walk, host, score): both walks at once; `seeds` has (walk, host, seed) and each walk's seeds sum to 1. `rounds` fixes their number."""
     seeds = written(seeds)
     both = edges.select(F.lit("trust").alias("walk"), F.col("src").alias("a"), F.col("dst").alias("b"), "w").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "w"))
     out = both.groupBy("walk", "a").agg(F.sum("w").alias("total"))
@@ -81,13 +84,19 @@ def _walks(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> D
     now = seeds.select("walk", "host", F.col("seed").alias("score"))
     if shares.isEmpty():
         return now.select("walk", "host", (F.col("score") * (1 - damping)).alias("score"))
-    for _ in range(rounds):
+    done, settled = 0, False
+    while not settled and (rounds is None or done < rounds):
         moved = now.withColumnRenamed("host", "a").join(shares, ["walk", "a"]).groupBy("walk", F.col("b").alias("host")).agg((F.sum(F.col("score") * F.col("p")) * damping).alias("score"))
-        now = written(moved.union(seeds.select("walk", "host", F.col("seed") * (1 - damping))).groupBy("walk", "host").agg(F.sum("score").alias("score")))
+        fresh = moved.union(seeds.select("walk", "host", F.col("seed") * (1 - damping))).withColumn("was", F.lit(0.0))
+        both = fresh.union(now.select("walk", "host", F.lit(0.0), "score"))
+        now = written(both.groupBy("walk", "host").agg(F.sum("score").alias("score"), F.sum("was").alias("was")))
+        done += 1
+        settled = rounds is None and now.filter(F.abs(F.col("score") - F.col("was")) > F.col("score") * SETTLED).isEmpty()
+        now = now.drop("was")
     return now
 
 
-def host_scores(pages: DataFrame, rules: list[Rule], rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def host_scores(pages: DataFrame, rules: list[Rule], rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) of every host that a walk reaches."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     ruled = pages.select(host.alias("host"), rule_of(host, path, rules)["verdict"].alias("verdict")).filter("verdict is not null")
@@ -100,7 +109,7 @@ def host_scores(pages: DataFrame, rules: list[Rule], rounds: int = ROUNDS, dampi
     return scores.groupBy("host").agg(pick("trust").alias("trust"), pick("distrust").alias("distrust"))
 
 
-def judge(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """page_id, host, path, rule, verdict: one row for each page."""
     bad = written(host_scores(pages, rules, rounds, damping).filter(F.col("distrust") > F.col("trust") * (1 + threshold)).select(F.col("host").alias("bad")))
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))

@@ -111,6 +111,12 @@ def test_unrelated_pages_leave_verdicts(spark):
     assert {k for k, v in got.items() if v == "block"} == {3, 4, 5, 21, 22, 23}
 
 
+def test_trust_goes_as_far_as_links(spark):
+    chain = [(k, f"http://c{k}.net/", f'<a href="http://{f"c{k - 1}.net" if k > 1 else "bad.com"}/">n</a>') for k in range(1, 13)]
+    df = spark.createDataFrame([*chain, (100, "http://bad.com/", "")], "page_id long, url string, html string")
+    assert {r.verdict for r in urlgraph.judge(df, RULES).collect()} == {"block"}
+
+
 def vocabulary():
     letters = "abcdeh▁tn"
     own = [*letters, "the", "▁the", "he", "▁t", "an", "▁▁", "then", "▁a", "ab", "bc", "abc"]
