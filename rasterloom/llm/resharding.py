@@ -186,19 +186,21 @@ def reshard(documents: DataFrame, old: Column | None = None, old_shards: int = O
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "old", "shard", (F.col("base") + F.col("rank") - F.col("low")).alias("slot"), (F.col("old") != F.col("shard")).alias("moved"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def rewrite_affected(documents: DataFrame, placed: DataFrame, path: str) -> list[int]:
+def rewrite_affected(documents: DataFrame, placed: DataFrame, path: str, old: Column | None = None, old_shards: int = OLD_SHARDS) -> list[int]:
     """Writes, under path/shard=N, the rows of every new shard that gains or loses rows; returns those shards.
 
-    Shards that keep exactly their old rows are not rewritten. `placed` is reshard() of the same documents.
+    Shards that keep exactly their old rows are not rewritten. `placed` is reshard() of the same documents,
+    with the same `old` and `old_shards`.
     """
     placed = written(placed)
     touched = placed.filter("moved").select(F.explode(F.array("old", "shard")).alias("shard")).distinct()
     shards = sorted(r["shard"] for r in touched.collect())  # at most as many as there are shards
-    mine = placed.filter(F.col("shard").isin(shards)).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", F.lit(1).alias("one"))
-    # equal rows are interchangeable: each (id, crc) has a number of copies in each shard
-    nth = Window.partitionBy("_id", "_crc").orderBy("shard")
-    mine = mine.withColumn("copy", F.row_number().over(nth)).drop("one")
-    own = documents.withColumn("_crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "_crc").orderBy(F.lit(1))))
-    joined = own.join(mine, own["doc_id"].eqNullSafe(mine["_id"]) & (own["_crc"] == mine["_crc"]) & (own["copy"] == mine["copy"])).select(*[own[c] for c in documents.columns], "shard")
+    mine = placed.filter(F.col("shard").isin(shards)).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("old").alias("_old"), "shard")
+    # equal rows of one old shard are interchangeable, and all of them lie in touched shards or none does
+    where = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(old_shards)) if old is None else old
+    nth = Window.partitionBy("_id", "_crc", "_old").orderBy("shard")
+    mine = mine.withColumn("copy", F.row_number().over(nth))
+    own = documents.withColumn("_crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).withColumn("_old", where.cast("int")).withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "_crc", "_old").orderBy(F.lit(1))))
+    joined = own.join(mine, own["doc_id"].eqNullSafe(mine["_id"]) & (own["_crc"] == mine["_crc"]) & (own["_old"] == mine["_old"]) & (own["copy"] == mine["copy"])).select(*[own[c] for c in documents.columns], "shard")
     joined.write.mode("overwrite").partitionBy("shard").parquet(path)
     return shards

@@ -269,6 +269,15 @@ def test_resharding(spark, docs, tmp_path):
     assert resharding.reshard(docs.limit(0)).count() == 0
 
 
+def test_equal_rows_of_different_shards_are_told_apart(spark, tmp_path):
+    df = spark.createDataFrame([(i, "a", str(s)) for i in range(20) for s in ((0, 1), (1, 0))[i % 2]] + [(99, "b", "1")], "doc_id long, text string, source string")
+    rows = df.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.col("source").cast("int").alias("old"))
+    placed = rows.withColumn("shard", F.when(F.col("doc_id") == 99, 2).otherwise(F.col("old"))).withColumn("moved", F.col("doc_id") == 99)
+    assert resharding.rewrite_affected(df, placed, str(tmp_path / "out"), old=F.col("source").cast("int")) == [1, 2]
+    back = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "source", "shard").collect()
+    assert sorted(map(tuple, back)) == [*((i, "1", 1) for i in range(20)), (99, "1", 2)]
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2100)] + [(5, 5)]
