@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.textcore import discard, written
+from rasterloom.storage import discard, written
 
 MAX_ROUNDS = 100
 

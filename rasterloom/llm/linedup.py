@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.textcore import written
+from rasterloom.storage import written
 
 LINES = 3
 _VISIBLE = r"[^\x20\x09-\x0D]"

@@ -8,10 +8,9 @@
    n - 1 edges for n members; each distinct edge is confirmed on the full sets.
 4. A star misses a link between two members that both differ from the centre. So buckets that still hold
    several components are worked through: their members outside the centre's component meet all members in
-   blocks of bounded size. There members stand with 32 bits of each shingle hash: what two of them share is
-   never less than what the sets share, so no pair at the threshold is refuted, and the few that remain are
-   confirmed on the full sets too. With that, every pair that shares a bucket is linked, in one component, or
-   refuted.
+   blocks of bounded size, and are compared there on their full sets. A block tells a link only where it joins
+   two components that it has not joined before, so it gives fewer rows than it has members, however many
+   pairs it holds. With that, every pair that shares a bucket is linked, in one component, or refuted.
 
 At similarity 0.85 two texts share no bucket with probability (1 - 0.85^4)^32 < 1e-10 (at 0.8: 5e-8), if bins
 were independent.
@@ -30,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.components import components
-from rasterloom.llm.textcore import SPACED_FOLDED, U64, Words, as_signed, chunks, discard, lean, mix64, stream, take, written
+from rasterloom.llm.textcore import SPACED_FOLDED, U64, Words, as_signed, chunks, lean, mix64, stream, take
+from rasterloom.storage import discard, only, release, written
 
 SHINGLE = 5
 BINS, ROWS = 128, 4
@@ -151,17 +151,18 @@ def _confirm(num: int, den: int):
 
 def candidate_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc, members): the sets of the documents whose doc_id is in `ids`, as sorted 64-bit hashes."""
-    return written(documents.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(lean(_sets), "doc long, members binary"))
+    return written(documents.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(lean(_sets), "doc long, members binary"), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose full sets reach the similarity num / den."""
     left = pairs.join(sets.select(F.col("doc").alias("b"), F.col("members").alias("y")).hint("shuffle_hash"), "b")
     both = left.join(sets.select(F.col("doc").alias("a"), F.col("members").alias("x")).hint("shuffle_hash"), "a")
-    return written(both.select("a", "b", "x", "y").mapInArrow(lean(_confirm(num, den)), "a long, b long").distinct())
+    return written(both.select("a", "b", "x", "y").mapInArrow(lean(_confirm(num, den)), "a long, b long").distinct(), "links")
 
 
 def _short(batches):
+    """Sets with their sizes and the buckets of their bands, a bounded number at a time."""
     for batch in batches:
         blobs = take(batch, "members")
         sizes = np.asarray(pa.compute.binary_length(blobs)).astype(np.int64) // 8
@@ -170,54 +171,62 @@ def _short(batches):
             z = min(a + 256, max(a + 1, int(np.searchsorted(before, before[a] + 250_000, "right")) - 1))
             part = sizes[a:z]
             h = np.frombuffer(b"".join(blobs.slice(a, z - a).to_pylist()), dtype=U64)
-            row = np.repeat(np.arange(len(part)), part)
-            keys = band_keys(signatures(row, h, len(part)))
-            low, cuts = h.astype(np.uint32), np.cumsum(part)
-            short = pa.array([low[i:j].tobytes() for i, j in zip(cuts - part, cuts, strict=True)], type=pa.binary())
-            docs, a = take(batch, "doc").slice(a, z - a), z
-            yield pa.RecordBatch.from_arrays([docs, pa.array(part), short, _packed(keys)], names=["doc", "n", "short", "keys"])
+            keys = band_keys(signatures(np.repeat(np.arange(len(part)), part), h, len(part)))
+            yield pa.RecordBatch.from_arrays([take(batch, "doc").slice(a, z - a), pa.array(part), blobs.slice(a, z - a), _packed(keys)], names=["doc", "n", "members", "keys"])
+            a = z
 
 
-def most_shared(values: np.ndarray, n: np.ndarray, mine: np.ndarray, theirs: np.ndarray):
-    """For each of `mine`, how many members of each of `theirs` it may hold: as many as it does hold, or more.
+def _places(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Indices of runs of `sizes` from `starts`, end to end."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
 
-    Row k of `values` has n[k] short hashes, one row after the other.
+
+def join_block(values: np.ndarray, n: np.ndarray, comp: np.ndarray, mine: np.ndarray, theirs: np.ndarray, meet, num: int, den: int) -> list[tuple[int, int]]:
+    """Links (i, j) of `mine` to `theirs` at the threshold, a spanning forest of the components that they join.
+
+    Row k of `values` has the n[k] members of set k, one row after the other; meet(i, rows) picks the rows to compare i with.
     """
     number = np.unique(values, return_inverse=True)[1]
-    stops = np.cumsum(n)
-    other = np.concatenate([number[stops[k] - n[k] : stops[k]] for k in theirs] or [number[:0]])
-    first = np.cumsum(n[theirs]) - n[theirs]
+    first = np.cumsum(n) - n
+    root = np.unique(comp, return_inverse=True)[1]
     held = np.zeros(int(number.max(initial=0)) + 1, dtype=bool)
+    out = []
     for i in mine:
-        own = number[stops[i] - n[i] : stops[i]]
+        near = theirs[(root[theirs] != root[i]) & (den * np.minimum(n[theirs], n[i]) >= num * np.maximum(n[theirs], n[i]))]
+        near = meet(i, near) if len(near) else near
+        if not len(near):
+            continue
+        own = number[first[i] : first[i] + n[i]]
         held[own] = True
-        yield i, np.add.reduceat(held[other], first, dtype=np.int64) if len(theirs) else first
+        size = n[near]
+        shared = np.add.reduceat(held[number[_places(size, first[near])]], np.cumsum(size) - size, dtype=np.int64)
         held[own] = False
+        good = near[den * shared >= num * (size + n[i] - shared)]
+        for r, j in zip(*np.unique(root[good], return_index=True), strict=True):
+            out.append((int(i), int(good[j])))
+            root[root == r] = root[i]
+    return out
 
 
 def _block_pairs(num: int, den: int):
-    """Pairs of different components that may reach the threshold, within each (bucket, block, block) group; rows arrive sorted by it.
+    """(a, b): components that a link joins, within each (bucket, block, block) group; rows arrive sorted by it.
 
-    A pair is told once, in the first of the bands that it shares.
+    A pair is compared once, in the first of the bands that it shares.
     """
 
     def judge(rows: pa.Table):
         left = np.asarray(rows.column("outside").combine_chunks())
-        doc, comp, n = (np.asarray(rows.column(c).combine_chunks()) for c in ("doc", "comp", "n"))
-        values = np.frombuffer(b"".join(rows.column("short").to_pylist()), dtype=np.uint32)
-        keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), dtype=np.int64).reshape(len(doc), BINS // ROWS)
+        comp, n = (np.asarray(rows.column(c).combine_chunks()) for c in ("comp", "n"))
+        values = np.frombuffer(b"".join(rows.column("members").to_pylist()), dtype=U64)
+        keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), dtype=np.int64).reshape(len(n), BINS // ROWS)
         bucket = rows.column("bucket")[0].as_py()
-        mine, theirs = np.flatnonzero(left), np.flatnonzero(~left)
-        out_a, out_b = [], []
-        for i, shared in most_shared(values, n, mine, theirs):
-            good = theirs[(comp[theirs] != comp[i]) & (den * shared >= num * (n[theirs] + n[i] - shared))]
-            if len(good):
-                same = keys[good] == keys[i]
-                good = good[keys[i][same.argmax(axis=1)] == bucket]
-            out_a.append(np.minimum(doc[good], doc[i]))
-            out_b.append(np.maximum(doc[good], doc[i]))
-        a, b = np.concatenate([*out_a, np.zeros(0, np.int64)]), np.concatenate([*out_b, np.zeros(0, np.int64)])
-        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
+
+        def meet(i, near):
+            return near[keys[i][(keys[near] == keys[i]).argmax(axis=1)] == bucket]
+
+        links = np.array(join_block(values, n, comp, np.flatnonzero(left), np.flatnonzero(~left), meet, num, den), dtype=np.int64).reshape(-1, 2)
+        ends = np.sort(comp[links], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
     def run(batches):
         rest = None
@@ -235,51 +244,57 @@ def _block_pairs(num: int, den: int):
     return run
 
 
-def _leftover_pairs(sets: DataFrame, entries: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that share a bucket but no component and may reach the threshold, besides those that a star has refuted."""
-    comp = components(links)
+def _leftover_links(sets: DataFrame, entries: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): components that links between members of one bucket join, besides those that a star has refuted."""
     known = entries.join(comp, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("comp"))
-    known = written(known)
+    first = F.min(F.struct("doc", "comp"))
     # a bucket of two members was settled by its star
-    mixed = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.min("doc").alias("centre")).filter("lo < hi and m > 2")
-    own = known.select(F.col("bucket").alias("bucket_"), F.col("doc").alias("doc_"), F.col("comp").alias("centre_comp"))
-    mixed = mixed.join(own, (F.col("bucket") == F.col("bucket_")) & (F.col("centre") == F.col("doc_"))).select("bucket", "centre", "centre_comp")
-    members = known.join(mixed.hint("shuffle_hash"), "bucket").withColumn("away", F.col("comp") != F.col("centre_comp"))
+    mixed = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), first["comp"].alias("centre_comp")).filter("lo < hi and m > 2")
+    members = written(known.join(mixed.select("bucket", "centre_comp").hint("shuffle_hash"), "bucket").select("bucket", "doc", "comp", (F.col("comp") != F.col("centre_comp")).alias("away")), "mixed")
+    if members.isEmpty():
+        discard(members)
+        return members.select(F.col("doc").alias("a"), F.col("comp").alias("b")).limit(0)
     lengths = sets.select("doc", (F.octet_length("members") / 8).cast("long").alias("n"))
-    members = members.join(lengths.hint("shuffle_hash"), "doc")
+    sized = members.join(lengths.hint("shuffle_hash"), "doc")
     away = lambda x: F.sum(F.when(F.col("away"), x).otherwise(0))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("m_n"), away(1).alias("s"), away(F.col("n")).alias("s_n"))
+    sizes = sized.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("m_n"), away(1).alias("s"), away(F.col("n")).alias("s_n"))
     blocks = lambda n: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(n + "_n") / BLOCK_SHINGLES)).cast("int")
-    counted = written(members.join(sizes.hint("shuffle_hash"), "bucket").select("bucket", "doc", "comp", "away", blocks("s").alias("ps"), blocks("m").alias("qs")))
-    shorts = sets.mapInArrow(lean(_short), "doc long, n long, short binary, keys binary")
-    members = counted.join(shorts, "doc").select("bucket", "doc", "comp", "away", "n", "short", "keys", "ps", "qs")
+    counted = written(sized.join(sizes.hint("shuffle_hash"), "bucket").select("bucket", "doc", "comp", "away", blocks("s").alias("ps"), blocks("m").alias("qs")), "blocks")
+    whole = sets.mapInArrow(lean(_short), "doc long, n long, members binary, keys binary")
+    full = counted.join(whole, "doc").select("bucket", "doc", "comp", "away", "n", "members", "keys", "ps", "qs")
     p, q = F.pmod(F.xxhash64("doc", F.lit(1)), "ps").cast("int"), F.pmod(F.xxhash64("doc", F.lit(2)), "qs").cast("int")
-    inside = members.select("bucket", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), q.alias("q"), F.lit(False).alias("outside"), "doc", "comp", "n", "short", "keys")
-    outside = members.filter("away").select("bucket", p.alias("p"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), F.lit(True).alias("outside"), "doc", "comp", "n", "short", "keys")
+    inside = full.select("bucket", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), q.alias("q"), F.lit(False).alias("outside"), "doc", "comp", "n", "members", "keys")
+    outside = full.filter("away").select("bucket", p.alias("p"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), F.lit(True).alias("outside"), "doc", "comp", "n", "members", "keys")
     grouped = inside.union(outside).repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-    pairs = written(grouped.mapInArrow(lean(_block_pairs(num, den)), "a long, b long").distinct())
-    discard(known, counted)
-    return pairs
+    links = written(grouped.mapInArrow(lean(_block_pairs(num, den)), "a long, b long").distinct(), "joined")
+    discard(members, counted)
+    return links
 
 
 def near_duplicates(documents: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of `documents`."""
-    sketch = written(documents.select("doc_id", "text").mapInArrow(lean(_sketch), "doc_id long, n long, k1 long, k2 long, keys binary"))
-    some = sketch.filter("n > 0 and doc_id is not null")
-    reps = written(some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "keys")).alias("m")).select("k1", "k2", F.col("m.doc_id").alias("doc"), F.col("m.keys").alias("keys")))
-    entries = reps.select("doc", "keys").mapInArrow(lean(_buckets), "bucket long, doc long")
-    centres = entries.groupBy("bucket").agg(F.min("doc").alias("centre"), F.max("doc").alias("last")).filter("centre < last").select("bucket", "centre")
-    star = written(entries.join(centres.hint("shuffle_hash"), "bucket").filter("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct())
-    # whoever shares a bucket is in the star's edges, so these sets serve both confirmations
-    sets = candidate_sets(documents, star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    links = confirmed(star, sets, num, den)
-    pairs = _leftover_pairs(sets, entries, links, num, den)
-    if not pairs.isEmpty():
-        links = links.union(confirmed(pairs, sets, num, den))
-    discard(sets, star, pairs)
-    comp = components(links)
-    classes = reps.select("k1", "k2", "doc").join(comp, F.col("doc") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "doc").alias("c"))
-    rows = sketch.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(classes, ["k1", "k2"], "left")
+    spark = documents.sparkSession
+    sketch = written(documents.select("doc_id", "text").mapInArrow(lean(_sketch), "doc_id long, n long, k1 long, k2 long, keys binary"), "sketches")
+    with only(spark) as results:
+        some = sketch.filter("n > 0 and doc_id is not null")
+        reps = written(some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "keys")).alias("m")).select("k1", "k2", F.col("m.doc_id").alias("doc"), F.col("m.keys").alias("keys")), "classes")
+        entries = reps.select("doc", "keys").mapInArrow(lean(_buckets), "bucket long, doc long")
+        centres = entries.groupBy("bucket").agg(F.min("doc").alias("centre"), F.max("doc").alias("last")).filter("centre < last").select("bucket", "centre")
+        star = written(entries.join(centres.hint("shuffle_hash"), "bucket").filter("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct(), "star")
+        release(spark)
+        # whoever shares a bucket is in the star's edges, so these sets serve both confirmations
+        sets = candidate_sets(documents, star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        release(spark)
+        comp = written(components(confirmed(star, sets, num, den)), "components")
+        release(spark)
+        more = components(_leftover_links(sets, entries, comp, num, den)).select(F.col("node").alias("inner"), F.col("component").alias("outer"))
+        one = reps.select("k1", "k2", "doc").join(comp, F.col("doc") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "doc").alias("inner"))
+        classes = written(one.join(more, "inner", "left").select("k1", "k2", F.coalesce("outer", "inner").alias("c")), "classes")
+        release(spark)
+        results.append(classes)
+    # rows without a set are in no class; their keys are spread, so that no task gets them all
+    second = F.when(F.col("n") == 0, F.xxhash64("doc_id")).otherwise(F.col("k2")).alias("k2")
+    rows = sketch.select("doc_id", F.col("n").alias("n_shingles"), "k1", second).join(classes, ["k1", "k2"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("c"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

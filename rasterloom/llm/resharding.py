@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rasterloom.llm.textcore import written
+from rasterloom.storage import written
 
 ROW_BYTES = 8
 NEW_SHARDS = 24

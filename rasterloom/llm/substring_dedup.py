@@ -31,7 +31,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.textcore import SPACED, Chunk, Words, as_signed, chunks, covered, discard, lean, take, written
+from rasterloom.llm.textcore import SPACED, Chunk, Words, as_signed, chunks, covered, lean, take
+from rasterloom.storage import discard, release, written
 
 WINDOW = 13
 PERIOD, COVER, ANCHOR = 7, (0, 1, 3), 7

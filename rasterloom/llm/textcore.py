@@ -10,14 +10,10 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import time
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 20
 U64 = np.uint64
@@ -175,41 +171,5 @@ def take(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by spark.checkpoint.dir; where unset (one machine), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(shared_dir, "own", None)
-        if not found:
-            found = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
-    return found.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes the rows as a table in the shared folder and reads it back.
-
-    The shuffle files behind it are of no more use then. Spark deletes them when the driver collects the plan that made
-    them, so this asks for it, once the listeners have let go of the plan.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rasterloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
-    gc.collect()
-    for _ in range(2):  # what the first lets go of, the second finds
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that written() made, when nothing lazy reads them any more."""
-    for df in tables:
-        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_at)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def as_signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))

@@ -11,8 +11,6 @@ label, so rounds grow with the logarithm of a component's length.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,27 +23,26 @@ from pyspark.sql.window import Window
 from rasterloom.errors import LabelOverflow, PixelTypeError
 from rasterloom.frame import ImageFrame, exploded
 from rasterloom.pixel import MAX_LABEL
+from rasterloom.storage import discard, written
 
 CONNECTIVITY_4, CONNECTIVITY_8 = 0, 1
 MAX_ROUNDS = 200
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Rows written to the folder that all executors share, which cuts the lineage."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(_kept, "own", None)
-    if not folder:
-        folder = _kept.own = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
-    path = f"{folder.rstrip('/')}/labels-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def runs(mask: ImageFrame) -> DataFrame:
     """image_id, y, x0, x1, run (the raster index of its first pixel) of every stretch of true pixels."""
     if mask.pixel.name != "Bool":
         raise PixelTypeError(f"components need a binary image, not {mask.pixel.name}")
-    on = exploded(mask.df.select("image_id", "width", F.posexplode_outer("v").alias("_i", "v"))).filter("v").select("image_id", "width", (F.col("_i") % F.col("width")).alias("x"), F.floor(F.col("_i") / F.col("width")).cast("int").alias("y"))
+    on = exploded(mask.df.select("image_id", "width", F.posexplode_outer("v").alias("_i", "v"))).filter("v")
+    return _stretches(on.select("image_id", "width", (F.col("_i") % F.col("width")).alias("x"), F.floor(F.col("_i") / F.col("width")).cast("int").alias("y")))
+
+
+def runs_of_pixels(pixels: DataFrame, images: DataFrame) -> DataFrame:
+    """The same, of masks given as pixel rows (image_id, x, y, v) and sizes; rows of false pixels may be absent."""
+    return _stretches(pixels.filter("v").select("image_id", "x", "y").join(images.select("image_id", "width"), "image_id"))
+
+
+def _stretches(on: DataFrame) -> DataFrame:
     order = Window.partitionBy("image_id", "y").orderBy("x")
     marked = on.withColumn("g", F.col("x") - F.row_number().over(order))
     return marked.groupBy("image_id", "y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.first("width").alias("width")).select("image_id", "y", "x0", "x1", (F.col("y").cast("bigint") * F.col("width") + F.col("x0")).alias("run"))
@@ -148,32 +145,63 @@ def _labelled_in_place(mask: ImageFrame, connectivity: int, max_label: int) -> D
     return mask.df.select("image_id", "width", "height", "v").mapInArrow(run, schema)
 
 
-def connected_components(mask: ImageFrame, connectivity: int = CONNECTIVITY_4, max_label: int = MAX_LABEL, distributed: bool = False) -> Labeling:
-    if mask.pixel.name != "Bool":
-        raise PixelTypeError(f"components need a binary image, not {mask.pixel.name}")
-    if not distributed:
-        return Labeling(_labelled_in_place(mask, connectivity, max_label), mask.images())
-    found = _kept(runs(mask))
-    edges = touching(found, connectivity)
-    both = _kept(edges.union(edges.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))))
+#: Rows of an image whose components are numbered together.
+BAND = 16
+
+
+def _numbered(rooted: DataFrame) -> DataFrame:
+    """(image_id, run, label) from (image_id, run, y, root): components counted in order of their roots.
+
+    Roots are counted by bands of rows, the bands of an image are summed up, and only a band's own roots are put in order.
+    """
+    band = F.floor(F.col("y") / BAND).alias("band")
+    roots = rooted.filter("run = root").select("image_id", "root", band)
+    before = Window.partitionBy("image_id").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = roots.groupBy("image_id", "band").count().select("image_id", "band", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("image_id", "band").orderBy("root"))
+    labels = roots.select("image_id", "root", "band", within.alias("n")).join(offsets, ["image_id", "band"]).select("image_id", "root", (F.col("n") + F.col("offset")).cast("bigint").alias("label"))
+    return rooted.join(labels, ["image_id", "root"]).select("image_id", "run", "label")
+
+
+def _labelled_apart(every: DataFrame, connectivity: int, max_label: int) -> DataFrame:
+    """Labels of runs by joins on runs and edges; no task holds more than a few rows of an image."""
+    found = written(every, "runs")
+    edges = written(touching(found, connectivity), "edges")
     # provisional labels: runs without a run above
     fresh = found.join(edges.select("image_id", F.col("b").alias("run")).distinct(), ["image_id", "run"], "left_anti").groupBy("image_id").count().agg(F.max("count")).first()[0]
     check_labels(fresh or 0, max_label)
-    now = found.select("image_id", "run", F.col("run").alias("root"))
+    both = edges.union(edges.select("image_id", F.col("b").alias("a"), F.col("a").alias("b")))
+    now, last = found.select("image_id", "run", F.col("run").alias("root")), None
     for _ in range(MAX_ROUNDS):
         lowest = both.join(now.select("image_id", F.col("run").alias("b"), "root"), ["image_id", "b"]).groupBy("image_id", F.col("a").alias("run")).agg(F.min("root").alias("seen"))
         moved = now.join(lowest, ["image_id", "run"], "left").select("image_id", "run", "root", F.least("root", F.coalesce("seen", "root")).alias("next"))
         # a root that has moved takes its followers along
         jump = moved.filter("run <> next").select("image_id", F.col("run").alias("next"), F.col("next").alias("further"))
-        after = _kept(moved.join(jump, ["image_id", "next"], "left").select("image_id", "run", "root", F.coalesce("further", "next").alias("next")))
-        changed = not after.filter("root <> next").isEmpty()
+        after = written(moved.join(jump, ["image_id", "next"], "left").select("image_id", "run", "root", F.coalesce("further", "next").alias("next")), "labels")
+        if last is not None:
+            discard(last)
+        last, changed = after, not after.filter("root <> next").isEmpty()
         now = after.select("image_id", "run", F.col("next").alias("root"))
         if not changed:
             break
     else:
         raise RuntimeError(f"labels did not settle in {MAX_ROUNDS} rounds")
-    rank = F.dense_rank().over(Window.partitionBy("image_id").orderBy("root")).cast("bigint").alias("label")
-    return Labeling(found.join(now, ["image_id", "run"]).select("image_id", "y", "x0", "x1", rank), mask.images())
+    rooted = found.join(now, ["image_id", "run"])
+    out = written(found.join(_numbered(rooted), ["image_id", "run"]).select("image_id", "y", "x0", "x1", "label"), "labelled")
+    discard(found, edges, last)
+    return out
+
+
+def connected_components(mask: ImageFrame, connectivity: int = CONNECTIVITY_4, max_label: int = MAX_LABEL, distributed: bool = False) -> Labeling:
+    if mask.pixel.name != "Bool":
+        raise PixelTypeError(f"components need a binary image, not {mask.pixel.name}")
+    labelled = _labelled_apart(runs(mask), connectivity, max_label) if distributed else _labelled_in_place(mask, connectivity, max_label)
+    return Labeling(labelled, mask.images())
+
+
+def components_of_pixels(pixels: DataFrame, images: DataFrame, connectivity: int = CONNECTIVITY_4, max_label: int = MAX_LABEL) -> Labeling:
+    """Components of masks given as pixel rows (image_id, x, y, v) and sizes, for images that do not fit a row."""
+    return Labeling(_labelled_apart(runs_of_pixels(pixels, images), connectivity, max_label), images)
 
 
 def connected_components_with_stats(mask: ImageFrame, connectivity: int = CONNECTIVITY_4, distributed: bool = False) -> tuple[Labeling, DataFrame]:
