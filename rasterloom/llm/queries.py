@@ -107,14 +107,14 @@ WITH u AS (SELECT page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*
                   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 r AS (SELECT page_id, host, path, {case("name")} AS rule, {case("verdict")} AS ruled FROM u),
 counts AS (SELECT host, ruled, count(*) AS n FROM r WHERE ruled IS NOT NULL GROUP BY 1, 2),
-seeds AS (SELECT CASE WHEN ruled = 'allow' THEN 'trust' ELSE 'distrust' END AS walk, host, n / sum(n) OVER (PARTITION BY ruled) AS seed FROM counts),
+seeds AS (SELECT CASE WHEN ruled = 'allow' THEN 'trust' ELSE 'distrust' END AS walk, host, n::DOUBLE AS seed FROM counts),
 links AS (SELECT DISTINCT page_id, host AS src, translate(regexp_extract(l, '^[^/]*//([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS dst
           FROM (SELECT page_id, host, unnest(regexp_extract_all(html, '(?is)\bhref\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]*)', 1)) AS l FROM u)),
 edges AS (SELECT src, dst, count(*) AS w FROM links WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
 both_ AS (SELECT 'trust' AS walk, src AS a, dst AS b, w FROM edges UNION ALL SELECT 'distrust', dst, src, w FROM edges),
 shares AS (SELECT walk, a, b, w / sum(w) OVER (PARTITION BY walk, a) AS p FROM both_),
 {", ".join(walks)},
-bad AS (SELECT host FROM s{urlgraph.ROUNDS} GROUP BY 1 HAVING coalesce(sum(score) FILTER (walk = 'distrust'), 0) - coalesce(sum(score) FILTER (walk = 'trust'), 0) > {urlgraph.THRESHOLD})
+bad AS (SELECT host FROM s{urlgraph.ROUNDS} GROUP BY 1 HAVING coalesce(sum(score) FILTER (walk = 'distrust'), 0) > (1 + {urlgraph.THRESHOLD}) * coalesce(sum(score) FILTER (walk = 'trust'), 0))
 SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN bad.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict FROM r LEFT JOIN bad ON r.host = bad.host
 """
 

@@ -111,6 +111,31 @@ def test_unrelated_pages_leave_verdicts(spark):
     assert {k for k, v in got.items() if v == "block"} == {3, 4, 5, 21, 22, 23}
 
 
+@pytest.mark.parametrize(("seeds", "rule"), [(10, "allow"), (100_000, "allow"), (10, "block"), (100_000, "block")])
+def test_seeds_elsewhere_leave_hosts_with_both_scores_alone(spark, seeds, rule):
+    """m.net is linked from one allowed page and links to two blocked ones; t.net the other way round."""
+    pages = [
+        (1, "http://good.org/1", '<a href="http://m.net/">m</a><a href="http://t.net/">t</a>'),
+        (2, "http://good.org/2", '<a href="http://t.net/">t</a>'),
+        (3, "http://m.net/x", '<a href="http://bad.com/">b</a>'),
+        (4, "http://t.net/x", '<a href="http://bad.com/">b</a><a href="http://c1.net/">c</a><a href="http://c2.net/">c</a><a href="http://c3.net/">c</a>'),
+        (5, "http://bad.com/x", ""),
+        (6, "http://bad.com/y", ""),
+    ]
+    more = spark.range(seeds).select((F.col("id") + 1000).alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 7, F.lit(".else.net/")).alias("url"), F.lit("").alias("html"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rules = [*RULES, urlgraph.Rule("else.net", "/", rule)]
+    verdicts = {r.page_id: r.verdict for r in urlgraph.judge(df.union(more), rules).filter("page_id < 1000").collect()}
+    assert verdicts == {r.page_id: r.verdict for r in urlgraph.judge(df, rules).collect()}
+    assert (verdicts[3], verdicts[4]) == ("block", "allow")
+
+
+def test_pages_keep_their_meaning_beside_odd_columns(spark):
+    df = spark.createDataFrame([(p, u, h, "x", "y", "z") for p, u, h in PAGES] + [(50, "http://long.net/", "<p>" * 400_000 + '<a href="//bad.com/">', "x", "y", "z")], "page_id long, url string, html string, host string, verdict string, bad string")
+    got = {r.page_id: r for r in urlgraph.judge(df, [*RULES, urlgraph.Rule("bad.com", "/a/", "allow"), urlgraph.Rule("bad.com", "/b/", "block")]).collect()}
+    assert got[1].host == "good.org" and got[5].verdict == "block" and got[50].verdict == "block"
+
+
 def test_trust_goes_as_far_as_links(spark):
     chain = [(k, f"http://c{k}.net/", f'<a href="http://{f"c{k - 1}.net" if k > 1 else "bad.com"}/">n</a>') for k in range(1, 13)]
     df = spark.createDataFrame([*chain, (100, "http://bad.com/", "")], "page_id long, url string, html string")
