@@ -49,6 +49,69 @@ def test_decontamination(spark, docs):
     assert decontam.judge(docs.limit(0), bench).count() == 0
 
 
+def test_many_blocks_of_tests_give_what_one_gives(spark, docs):
+    texts = {d: t for d, t, *_ in documents() if d is not None}
+    items = [(k, " ".join(texts[3].split()[k : k + 20])) for k in range(12)] + [(30, "one two three"), (30, texts[10]), (31, None), (32, ""), (33, texts[10].upper())]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    one, many = decontam.judge(docs, bench), decontam.judge(docs, bench, block_bytes=300)
+    assert len(list(decontam.test_blocks(bench, block_bytes=300))) > 5
+    assert one.columns == many.columns and rows_of(one, *one.columns) == rows_of(many, *one.columns)
+    assert rows_of(decontam.decontaminate(docs, bench), *docs.columns) == rows_of(decontam.decontaminate(docs, bench, block_bytes=300), *docs.columns)
+    odd = docs.withColumn("text_key", decontam.F.lit("x")).withColumn("contaminated", decontam.F.lit(None).cast("string"))
+    assert decontam.decontaminate(odd, bench, block_bytes=300).columns == odd.columns
+
+
+@pytest.mark.parametrize("pairs", [7, 1 << 20])
+def test_matches_against_a_plain_search(pairs):
+    """Repetitive texts and items, so that matches overlap in many ways."""
+    import random
+
+    import pyarrow as pa
+
+    from rasterloom.llm.textcore import ALNUM_FOLDED, Words, chunks
+
+    rng = random.Random(pairs)
+    for _ in range(40):
+        texts = [" ".join(rng.choice("abcx"[: rng.randrange(1, 5)]) for _ in range(rng.randrange(0, 40))) for _ in range(4)]
+        items = [(k, " ".join(rng.choice("abc"[: rng.randrange(1, 4)]) for _ in range(rng.randrange(0, 12)))) for k in range(4)]
+        (chunk,) = chunks(pa.array(texts))
+        words, tests = Words(chunk, ALNUM_FOLDED), decontam.TestSet(items, window=4)
+        found, longest, begin, length = decontam._search(words, tests)
+        hit = {k for b, n in zip(begin.tolist(), length.tolist(), strict=True) for k in range(b, b + n)}
+        for r, text in enumerate(texts):
+            w, own, names, best = text.split(), set(), set(), 0
+            for i, item in items:
+                v = item.split()
+                n = min(4, len(v))
+                for p in range(len(w)):
+                    for q in range(len(v) - n + 1) if v else ():
+                        if w[p : p + n] == v[q : q + n]:
+                            m = n
+                            while p + m < len(w) and q + m < len(v) and w[p + m] == v[q + m]:
+                                m += 1
+                            own |= set(range(p, p + m))
+                            names.add(str(i))
+                            best = max(best, m)
+            assert found.get(r, set()) == names
+            assert {k - words.first[r] for k in hit if words.first[r] <= k < words.first[r + 1]} == own
+            assert longest.get(r, (0,))[0] == best
+
+
+def test_a_very_long_item_is_kept_once(spark):
+    import tracemalloc
+
+    long = " ".join(f"w{i * 7919 % 30_011}x{i % 17}" for i in range(100_000))
+    tracemalloc.start()
+    tests = decontam.TestSet([(1, long)])
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert len(tests.text) == 100_001 and len(tests.need) == 100_000 - 12
+    docs = spark.createDataFrame([(1, long), (2, "zzz " + " ".join(long.split()[500:60_000])), (3, "clean")], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontam.judge(docs, spark.createDataFrame([(1, long)], "item_id long, text string")).collect()}
+    assert (got[1].n_hit, got[1].longest_match, got[2].n_hit, got[2].longest_match, got[2].longest_at) == (100_000, 100_000, 59_500, 59_500, 1)
+    assert not got[3].contaminated
+
+
 def test_suffix_array_orders_all_suffixes():
     import numpy as np
 
