@@ -4,24 +4,31 @@
    doc_id stands for it from here on, so groups of exact copies cost one row each.
 2. One permutation: a shingle hash's top 7 bits name a bin and a bin keeps its least hash. Empty bins copy
    the bin that a fixed random probe sequence of their own number reaches first (optimal densification).
-3. 32 bands of 4 bins name buckets. A bucket's members are joined to its smallest doc_id alone (a star),
-   n - 1 edges for n members; each distinct edge is confirmed on the full sets.
-4. A star misses a link between two members that both differ from the centre. So buckets that still hold
-   several components are worked through: their members outside the centre's component meet all members in
-   blocks of bounded size, and are compared there on their full sets. A block tells a link only where it joins
+3. 32 bands of 4 bins name buckets. A bucket's members are joined to its smallest doc_id alone, its centre (a
+   star), n - 1 edges for n members; each distinct edge is confirmed on the full sets.
+4. A star misses a link between two members that both differ from the centre. So the members of each centre,
+   whatever buckets they share with it, form a group, and groups that still hold several components are worked
+   through: their members outside the centre's component meet all members in blocks of bounded size, and are
+   compared there on their full sets, a pair in one group alone. A block tells a link only where it joins
    two components that it has not joined before, so it gives fewer rows than it has members, however many
    pairs it holds. With that, every pair that shares a bucket is linked, in one component, or refuted.
 
+A pair is refuted by one bit for each of a set's shingles where these prove enough of them absent from the other
+set, and by the sets themselves otherwise: both are exact.
+
 At similarity 0.85 two texts share no bucket with probability (1 - 0.85^4)^32 < 1e-10 (at 0.8: 5e-8), if bins
 were independent.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing;
-fewer words than a shingle make one shingle of the whole sequence; rows without doc_id are linked with
-nothing and have a null component; rows of one doc_id are one node; extra columns are left alone.
+fewer words than a shingle make one shingle of the whole sequence; very long texts have all their shingles; rows
+without doc_id are linked with nothing and have a null component; rows of one doc_id are one node; bytes that are not
+UTF-8 are compared as they are; an empty table gives no rows; extra columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -34,8 +41,8 @@ from rasterloom.storage import discard, only, release, written
 
 SHINGLE = 5
 BINS, ROWS = 128, 4
-#: Members of a bucket that meet in one block, on either side, and about how many shingles they hold together.
-BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Members of a group that meet in one block, on either side, and about how many shingles they hold together.
+BLOCK, BLOCK_SHINGLES = 16_384, 2_000_000
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -114,11 +121,12 @@ def _sketch(batches):
 
 
 def _buckets(batches):
+    bands = np.arange(BINS // ROWS, dtype=np.int32)
     for batch in batches:
         docs, keys = np.asarray(take(batch, "doc")), take(batch, "keys")
         if len(docs):
             flat = np.frombuffer(b"".join(keys.to_pylist()), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(docs, BINS // ROWS))], names=["bucket", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.tile(bands, len(docs))), pa.array(np.repeat(docs, len(bands)))], names=["bucket", "band", "doc"])
 
 
 def _sets(batches):
@@ -151,7 +159,8 @@ def _confirm(num: int, den: int):
 
 def candidate_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc, members): the sets of the documents whose doc_id is in `ids`, as sorted 64-bit hashes."""
-    return written(documents.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(lean(_sets), "doc long, members binary"), "sets")
+    sets = documents.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(lean(_sets), "doc long, members binary")
+    return written(sets, "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -161,19 +170,28 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return written(both.select("a", "b", "x", "y").mapInArrow(lean(_confirm(num, den)), "a long, b long").distinct(), "links")
 
 
-def _short(batches):
-    """Sets with their sizes and the buckets of their bands, a bounded number at a time."""
+def _seated(batches):
+    """Sets with their sizes and, for each band, the centre of the bucket that they are in; alone there, the set itself."""
     for batch in batches:
-        blobs = take(batch, "members")
+        docs, blobs, seats = np.asarray(take(batch, "doc")), take(batch, "members"), take(batch, "seats")
+        keys = np.repeat(docs[:, None], BINS // ROWS, axis=1)
+        n, flat = np.asarray(pa.compute.list_value_length(seats)), seats.flatten()
+        keys[np.repeat(np.arange(len(docs)), n), np.asarray(flat.field("band"))] = np.asarray(flat.field("centre"))
         sizes = np.asarray(pa.compute.binary_length(blobs)).astype(np.int64) // 8
-        before, a = np.concatenate([[0], np.cumsum(sizes)]), 0
-        while a < len(sizes):
-            z = min(a + 256, max(a + 1, int(np.searchsorted(before, before[a] + 250_000, "right")) - 1))
-            part = sizes[a:z]
-            h = np.frombuffer(b"".join(blobs.slice(a, z - a).to_pylist()), dtype=U64)
-            keys = band_keys(signatures(np.repeat(np.arange(len(part)), part), h, len(part)))
-            yield pa.RecordBatch.from_arrays([take(batch, "doc").slice(a, z - a), pa.array(part), blobs.slice(a, z - a), _packed(keys)], names=["doc", "n", "members", "keys"])
-            a = z
+        yield pa.RecordBatch.from_arrays([take(batch, "doc"), pa.array(sizes), blobs, _packed(keys)], names=["doc", "n", "members", "keys"])
+
+
+def _signs(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One bit for each shingle of a set, some falling together: rows of 64-bit words, wide enough for most sets here."""
+    width = 1 << int(np.clip(np.ceil(np.log2(max(8 * float(np.median(n)), 1))), 9, 13))
+    rows, out = max(1, (1 << 22) // width), []
+    before = np.concatenate([[0], np.cumsum(n)])
+    for a in range(0, len(n), rows):
+        z = min(a + rows, len(n))
+        marks = np.zeros((z - a, width), dtype=bool)
+        marks[np.repeat(np.arange(z - a), n[a:z]), (values[before[a] : before[z]] & U64(width - 1)).astype(np.int64)] = True
+        out.append(np.packbits(marks, axis=1).view(U64))
+    return np.concatenate(out)
 
 
 def _places(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -186,16 +204,22 @@ def join_block(values: np.ndarray, n: np.ndarray, comp: np.ndarray, mine: np.nda
 
     Row k of `values` has the n[k] members of set k, one row after the other; meet(i, rows) picks the rows to compare i with.
     """
-    number = np.unique(values, return_inverse=True)[1]
-    first = np.cumsum(n) - n
+    first, signs = np.cumsum(n) - n, _signs(values, n)
     root = np.unique(comp, return_inverse=True)[1]
-    held = np.zeros(int(number.max(initial=0)) + 1, dtype=bool)
-    out = []
+    number, held, out = None, None, []
     for i in mine:
         near = theirs[(root[theirs] != root[i]) & (den * np.minimum(n[theirs], n[i]) >= num * np.maximum(n[theirs], n[i]))]
+        if not len(near):
+            continue
+        # a bit of one set that the other lacks stands for a shingle or more that it lacks
+        most = np.minimum(n[i] - np.bitwise_count(signs[i] & ~signs[near]).sum(axis=1, dtype=np.int64), n[near] - np.bitwise_count(signs[near] & ~signs[i]).sum(axis=1, dtype=np.int64))
+        near = near[den * most >= num * (n[near] + n[i] - most)]
         near = meet(i, near) if len(near) else near
         if not len(near):
             continue
+        if number is None:
+            number = np.unique(values, return_inverse=True)[1]
+            held = np.zeros(int(number.max(initial=0)) + 1, dtype=bool)
         own = number[first[i] : first[i] + n[i]]
         held[own] = True
         size = n[near]
@@ -211,7 +235,7 @@ def join_block(values: np.ndarray, n: np.ndarray, comp: np.ndarray, mine: np.nda
 def _block_pairs(num: int, den: int):
     """(a, b): components that a link joins, within each (bucket, block, block) group; rows arrive sorted by it.
 
-    A pair is compared once, in the first of the bands that it shares.
+    A pair is compared once, in the group that the first of the keys which it shares names.
     """
 
     def judge(rows: pa.Table):
@@ -229,27 +253,30 @@ def _block_pairs(num: int, den: int):
         return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
     def run(batches):
-        rest = None
+        held, now = [], None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            rest = table if rest is None else pa.concat_tables([rest, table])
-            keys = [np.asarray(rest.column(c).combine_chunks()) for c in ("bucket", "p", "q")]
+            keys = [np.asarray(take(batch, c)) for c in ("bucket", "p", "q")]
             cuts = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])) + 1
-            for a, b in zip(np.concatenate([[0], cuts[:-1]]), cuts, strict=True) if len(cuts) else ():
-                yield judge(rest.slice(a, b - a))
-            rest = rest.slice(cuts[-1]).combine_chunks() if len(cuts) else rest
-        if rest is not None and rest.num_rows:
-            yield judge(rest)
+            for a, z in itertools.pairwise([0, *cuts.tolist(), batch.num_rows]) if batch.num_rows else ():
+                group = tuple(k[a] for k in keys)
+                if held and group != now:
+                    yield judge(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, z - a))
+                now = group
+        if held:
+            yield judge(pa.Table.from_batches(held))
 
     return run
 
 
-def _leftover_links(sets: DataFrame, entries: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): components that links between members of one bucket join, besides those that a star has refuted."""
-    known = entries.join(comp, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("comp"))
-    first = F.min(F.struct("doc", "comp"))
-    # a bucket of two members was settled by its star
-    mixed = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), first["comp"].alias("centre_comp")).filter("lo < hi and m > 2")
+def _leftover_links(sets: DataFrame, seats: DataFrame, star: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): components that links between members of one group join, besides those that a star has refuted."""
+    known = star.union(star.select("a", F.col("a").alias("b")).distinct()).join(comp, F.col("b") == F.col("node"), "left")
+    known = known.select(F.col("a").alias("bucket"), F.col("b").alias("doc"), F.coalesce("component", "b").alias("comp"))
+    centre = F.max(F.when(F.col("bucket") == F.col("doc"), F.col("comp"))).alias("centre_comp")
+    # a group of two members was settled by its star
+    mixed = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), centre).filter("lo < hi and m > 2")
     members = written(known.join(mixed.select("bucket", "centre_comp").hint("shuffle_hash"), "bucket").select("bucket", "doc", "comp", (F.col("comp") != F.col("centre_comp")).alias("away")), "mixed")
     if members.isEmpty():
         discard(members)
@@ -260,7 +287,8 @@ def _leftover_links(sets: DataFrame, entries: DataFrame, comp: DataFrame, num: i
     sizes = sized.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("m_n"), away(1).alias("s"), away(F.col("n")).alias("s_n"))
     blocks = lambda n: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(n + "_n") / BLOCK_SHINGLES)).cast("int")
     counted = written(sized.join(sizes.hint("shuffle_hash"), "bucket").select("bucket", "doc", "comp", "away", blocks("s").alias("ps"), blocks("m").alias("qs")), "blocks")
-    whole = sets.mapInArrow(lean(_short), "doc long, n long, members binary, keys binary")
+    needed = members.select("doc").distinct()
+    whole = sets.join(seats.join(needed, "doc", "left_semi").hint("shuffle_hash"), "doc").mapInArrow(lean(_seated), "doc long, n long, members binary, keys binary")
     full = counted.join(whole, "doc").select("bucket", "doc", "comp", "away", "n", "members", "keys", "ps", "qs")
     p, q = F.pmod(F.xxhash64("doc", F.lit(1)), "ps").cast("int"), F.pmod(F.xxhash64("doc", F.lit(2)), "qs").cast("int")
     inside = full.select("bucket", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), q.alias("q"), F.lit(False).alias("outside"), "doc", "comp", "n", "members", "keys")
@@ -278,20 +306,21 @@ def near_duplicates(documents: DataFrame, num: int = 80, den: int = 100) -> Data
     with only(spark) as results:
         some = sketch.filter("n > 0 and doc_id is not null")
         reps = written(some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "keys")).alias("m")).select("k1", "k2", F.col("m.doc_id").alias("doc"), F.col("m.keys").alias("keys")), "classes")
-        entries = reps.select("doc", "keys").mapInArrow(lean(_buckets), "bucket long, doc long")
+        entries = reps.select("doc", "keys").mapInArrow(lean(_buckets), "bucket long, band int, doc long")
         centres = entries.groupBy("bucket").agg(F.min("doc").alias("centre"), F.max("doc").alias("last")).filter("centre < last").select("bucket", "centre")
-        star = written(entries.join(centres.hint("shuffle_hash"), "bucket").filter("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct(), "star")
-        release(spark)
-        # whoever shares a bucket is in the star's edges, so these sets serve both confirmations
-        sets = candidate_sets(documents, star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        seated = entries.join(centres.hint("shuffle_hash"), "bucket").groupBy("doc").agg(F.collect_list(F.struct("band", "centre")).alias("seats"))
+        seats = written(seated, "seats")  # at most one for each band
+        star = seats.select(F.explode(F.array_distinct(F.col("seats.centre"))).alias("a"), F.col("doc").alias("b")).filter("a <> b")
         release(spark)
+        # whoever shares a bucket has a seat, so these sets serve both confirmations
+        sets = candidate_sets(documents, seats.select(F.col("doc").alias("doc_id")))
         comp = written(components(confirmed(star, sets, num, den)), "components")
         release(spark)
-        more = components(_leftover_links(sets, entries, comp, num, den)).select(F.col("node").alias("inner"), F.col("component").alias("outer"))
+        more = components(_leftover_links(sets, seats, star, comp, num, den)).select(F.col("node").alias("inner"), F.col("component").alias("outer"))
         one = reps.select("k1", "k2", "doc").join(comp, F.col("doc") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "doc").alias("inner"))
         classes = written(one.join(more, "inner", "left").select("k1", "k2", F.coalesce("outer", "inner").alias("c")), "classes")
-        release(spark)
         results.append(classes)
+    release(spark)
     # rows without a set are in no class; their keys are spread, so that no task gets them all
     second = F.when(F.col("n") == 0, F.xxhash64("doc_id")).otherwise(F.col("k2")).alias("k2")
     rows = sketch.select("doc_id", F.col("n").alias("n_shingles"), "k1", second).join(classes, ["k1", "k2"], "left")

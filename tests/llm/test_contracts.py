@@ -252,9 +252,11 @@ def test_pairs_at_the_threshold_stay(num, size):
     both = -(-2 * num * size // (100 + num))
     fresh = rng.integers(0, 1 << 64, (n_pairs, 2 * size - both), dtype=np.uint64)
     sets = np.sort(np.stack([fresh[:, :size], np.concatenate([fresh[:, :both], fresh[:, size:]], axis=1)], axis=1), axis=2).reshape(2 * n_pairs, size)
-    shorts = pa.Table.from_batches(list(minhash._short([pa.RecordBatch.from_arrays([pa.array(np.arange(2 * n_pairs)), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["doc", "members"])])))
+    keys = minhash.band_keys(minhash.signatures(np.repeat(np.arange(2 * n_pairs), size), sets.ravel(), 2 * n_pairs)).view(np.int64)
+    columns = [pa.array(np.arange(2 * n_pairs)), pa.array(np.full(2 * n_pairs, size)), pa.array([s.tobytes() for s in sets], type=pa.binary()), pa.array([k.tobytes() for k in keys], type=pa.binary())]
+    shorts = pa.Table.from_arrays(columns, names=["doc", "n", "members", "keys"])
     rows = shorts.append_column("comp", shorts["doc"]).append_column("outside", pa.array(np.arange(2 * n_pairs) % 2 == 0))
-    keys = np.frombuffer(b"".join(shorts["keys"].to_pylist()), dtype=np.int64).reshape(n_pairs, 2, -1)
+    keys = keys.reshape(n_pairs, 2, -1)
     same = keys[:, 0] == keys[:, 1]
     found = np.flatnonzero(same.any(axis=1))
     buckets = keys[found, 0, same[found].argmax(axis=1)]
