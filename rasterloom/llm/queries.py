@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import decontam, langid, linedup, minhash, pieces, pii, quality, resharding, substring_dedup, urlgraph
+from rasterloom.storage import shared_dir
 
 #: A-Z and a-z, for folding ASCII letters alone.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -138,6 +141,15 @@ def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def reshard_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shards that op7's plan changes, written and read back: shard, n_rows, n_bytes."""
+    docs = table(spark, sf_dir, "documents")
+    path = f"{shared_dir(spark)}/rasterloom-shards-{uuid.uuid4().hex}"
+    resharding.rewrite_affected(docs, resharding.reshard(docs), path)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + resharding.ROW_BYTES
+    return spark.read.schema(docs.select(*docs.columns, F.lit(0).alias("shard")).schema).parquet(path).groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum(size).alias("n_bytes"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), 85, 100)
 
@@ -220,5 +232,5 @@ SELECT doc_id, coalesce(total.n, 0)::BIGINT AS n_lines, (coalesce(total.n, 0) -
 FROM documents LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_substring_dedup": op3_substring_dedup, "op4_langid": op4_langid, "op5_urls": op5_urls, "op6_pieces": op6_pieces, "op7_resharding": op7_resharding, "op8_minhash": op8_minhash, "op9_pii": op9_pii, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_substring_dedup": op3_substring_dedup, "op4_langid": op4_langid, "op5_urls": op5_urls, "op6_pieces": op6_pieces, "op7_resharding": op7_resharding, "reshard_rewrite": reshard_rewrite, "op8_minhash": op8_minhash, "op9_pii": op9_pii, "op10_line_dedup": op10_line_dedup}
 ORACLES = {"op1_decontamination": OP1_SQL, "op2_quality": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_urls": OP5_SQL, "op8_minhash": OP8_SQL, "op9_pii": OP9_SQL, "op10_line_dedup": OP10_SQL}

@@ -1,17 +1,23 @@
 """Sharding by minimum-cost flow from old shards to new capacities.
 
-The law is `rows`: the new shards' row counts differ by one at most. From a table of blocks (old shard, size
-class, sub-block: counts and bytes, at most MAX_BLOCKS of them) the driver solves a minimum-cost flow:
-keeping a row in its place costs nothing, moving it costs its bytes. The flow says how many rows of which
-size class go from which old shard to which new one; which shards get the odd rows is part of the solution.
-Blocks then move whole, in order, and only a block that a boundary cuts is split, by its rows' order.
-
-Rows are numbered within blocks, so a task orders one block and not one shard; the plan that carries blocks to
-shards and slots has at most MAX_BLOCKS rows and a few splits, a proven bound for the broadcast.
-
-Edge cases: a null text counts no bytes (size 8) and has the crc32 of an empty text; a null doc_id is
-ordered first; repeated rows are rows of their own, with slots of their own in no particular order; an empty
-table gives no rows; new shards may be more or fewer than the old; extra columns are left alone.
+The law is `rows`: the new shards' row counts differ by one at most. Keeping a row in its place costs nothing, moving
+it costs its bytes. A shard that must give up rows gives its smallest, so each such shard has a cut: the size of the
+last row that may have to go. Cuts are found exactly, by counting sizes in ever narrower ranges; below a cut every row
+moves, above it none does, and at it all rows cost the same. From these zones the driver solves a minimum-cost flow,
+which says how many rows of which zone go from which old shard to which new one and which shards get the odd rows. As
+the only choice is among rows of one size, the bytes moved are the fewest possible.
+
+Old shards are what a column says (a number, or by default the names in `source`, numbered in order); old shard i stays
+in place as new shard i.
+
+Rows are numbered within blocks (old shard, zone, sub-block), so a task orders one block and not one shard; blocks move
+whole, in order, and only a block that a boundary cuts is split. There are about BLOCKS of them at any size, which
+bounds what the driver plans and what is broadcast.
+
+Edge cases: a null text counts no bytes (size 8) and has the crc32 of an empty text; very long texts count all their
+bytes; a null doc_id is ordered first; a null source is the name ""; a null number lies in no shard and moves; repeated
+rows are rows of their own, with slots of their own in no particular order; an empty table gives no rows; new shards
+may be more or fewer than the old; extra columns, whatever their names, are left alone (but see rewrite_affected).
 """
 
 from __future__ import annotations
@@ -20,19 +26,22 @@ import heapq
 import itertools
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rasterloom.storage import written
+from rasterloom.storage import discard, written
 
 ROW_BYTES = 8
 NEW_SHARDS = 24
-OLD_SHARDS = 16
-#: Sub-blocks of a size class of an old shard; more make smaller sorts and a longer plan.
-SUB_BLOCKS = 64
-#: Size classes are powers of two, so there are at most 64.
-MAX_BLOCKS = 64 * OLD_SHARDS * SUB_BLOCKS * 4
+#: About as many blocks are made, of at least LEAST_BLOCK rows.
+BLOCKS, LEAST_BLOCK = 50_000, 256
+#: More old shards than this are refused.
+MAX_OLD = 1024
+#: Bits by which a range of sizes is narrowed at a time.
+_BITS = 10
+#: Bytes of a file that a rewrite aims at.
+FILE_BYTES = 256 << 20
 
 
 class _Flow:
@@ -90,9 +99,9 @@ class _Flow:
 
 
 def solve(supply: dict[tuple[int, int], tuple[int, int]], shards: int, home: dict[int, int]) -> dict[tuple[int, int], dict[int, int]]:
-    """Rows of each (old shard, size class) that each new shard gets, moving the fewest bytes.
+    """Rows of each (old shard, zone) that each new shard gets, moving the fewest bytes.
 
-    `supply` holds (rows, bytes); `home` the new shard that stands where an old one stood. Rows of a class count
+    `supply` holds (rows, bytes); `home` the new shard that stands where an old one stood. Rows of a zone count
     as its mean size, rounded.
     """
     total = sum(rows for rows, _ in supply.values())
@@ -132,7 +141,7 @@ def solve(supply: dict[tuple[int, int], tuple[int, int]], shards: int, home: dic
 
 
 def block_plan(blocks: list[tuple[int, int, int, int, int]], shards: int, home: dict[int, int]) -> list[tuple[int, int, int, int, int, int, int]]:
-    """(old, size_class, sub, low, high, shard, slot): rows low..high of a block go to a shard from that slot on.
+    """(old, zone, sub, low, high, shard, slot): rows low..high of a block go to a shard from that slot on.
 
     `blocks` holds (old, size_class, sub, rows, bytes). Blocks are dealt whole while they fit.
     """
@@ -157,50 +166,109 @@ def block_plan(blocks: list[tuple[int, int, int, int, int]], shards: int, home:
     return plan
 
 
-def measured(documents: DataFrame, old: Column, sub_blocks: int = SUB_BLOCKS) -> DataFrame:
-    """doc_id, size, text_crc32 and the block of each row; texts stay behind."""
+def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def numbered(documents: DataFrame, old: Column | None = None) -> DataFrame:
+    """`documents` with `__old`: the number of the shard that a row lies in now, -1 for none."""
+    if old is not None:
+        return documents.withColumn("__old", F.coalesce(old.cast("int"), F.lit(-1)))
+    name = F.coalesce("source", F.lit(""))
+    found = sorted(r[0] for r in documents.select(name).distinct().limit(MAX_OLD + 1).collect())
+    if len(found) > MAX_OLD:
+        raise ValueError(f"over {MAX_OLD} values of source: they would not be shards")
+    names = _small(documents.sparkSession, [(n, i) for i, n in enumerate(found)], "__name string, __old int")
+    return documents.join(F.broadcast(names), name == F.col("__name")).drop("__name")
+
+
+def _crc() -> Column:
+    return F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+
+
+def measured(documents: DataFrame, old: Column | None = None) -> DataFrame:
+    """doc_id, size, text_crc32 and the old shard of each row; texts stay behind."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
-    rows = documents.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), old.cast("int").alias("old"))
-    sub = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(sub_blocks)).cast("int")
-    return rows.withColumn("size_class", F.floor(F.log2("size")).cast("int")).withColumn("sub", sub)
+    return numbered(documents, old).select("doc_id", size.alias("size"), _crc().alias("text_crc32"), F.col("__old").alias("old"))
+
 
+def cut_sizes(rows: DataFrame, goes: dict[int, int]) -> dict[int, int]:
+    """For each old shard in `goes` the size of its k-th smallest row, k being goes[shard]."""
+    spark, low, bits, need = rows.sparkSession, dict.fromkeys(goes, 0), dict.fromkeys(goes, 40), dict(goes)
+    while any(bits.values()):
+        ranges = _small(spark, [(i, low[i], bits[i], max(bits[i] - _BITS, 0)) for i in goes], "old int, low long, bits int, step int")
+        held = rows.join(F.broadcast(ranges), "old").filter(F.expr("size >= low and shiftright(size - low, bits) = 0"))
+        bins = defaultdict(list)
+        for i, k, n in held.groupBy("old", F.expr("shiftright(size - low, step)").alias("bin")).agg(F.count("*").alias("n")).collect():  # at most 2^_BITS a shard
+            bins[i].append((k, n))
+        for i in goes:
+            bits[i] = max(bits[i] - _BITS, 0)
+            for k, n in sorted(bins[i]):
+                if need[i] <= n:
+                    low[i] += k << bits[i]
+                    break
+                need[i] -= n
+    return low
 
-def reshard(documents: DataFrame, old: Column | None = None, old_shards: int = OLD_SHARDS, shards: int = NEW_SHARDS, sub_blocks: int = SUB_BLOCKS) -> DataFrame:
+
+def reshard(documents: DataFrame, old: Column | None = None, shards: int = NEW_SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, old, shard, slot, moved, grown_shard for each row.
 
-    `old` says where a row lies now (0 to old_shards - 1); by default where its source hashes to. Old shard i stays in
-    place as new shard i where there is one.
+    `old` is the number of the shard a row lies in now, from 0; by default each `source` is a shard.
     """
-    where = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(old_shards)) if old is None else old
-    rows = written(measured(documents, where, sub_blocks))
-    table = rows.groupBy("old", "size_class", "sub").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
-    blocks = [tuple(r) for r in table.limit(MAX_BLOCKS + 1).collect()]
-    if len(blocks) > MAX_BLOCKS:
-        raise ValueError(f"over {MAX_BLOCKS} blocks: give fewer sub_blocks or old shards")
-    plan = block_plan(blocks, shards, {i: i for i in range(min(old_shards, shards))})
     spark = documents.sparkSession
-    moves = spark.createDataFrame(plan, "old int, size_class int, sub int, low long, high long, shard int, base long")
-    order = Window.partitionBy("old", "size_class", "sub").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
-    placed = ranked.join(F.broadcast(moves), ["old", "size_class", "sub"]).filter("rank >= low and rank < high")
+    rows = written(measured(documents, old), "sizes")
+    count = {r["old"]: r["n"] for r in rows.groupBy("old").agg(F.count("*").alias("n")).limit(MAX_OLD + 2).collect()}
+    if len(count) > MAX_OLD + 1:
+        raise ValueError(f"over {MAX_OLD} old shards")
+    total = sum(count.values())
+    home = {i: i for i in count if 0 <= i < shards}
+    cuts = cut_sizes(rows, {i: count[i] - total // shards for i in home if count[i] > total // shards})
+    table = _small(spark, [(i, cuts.get(i)) for i in count], "old int, cut long")
+    zoned = rows.join(F.broadcast(table), "old").withColumn("zone", F.expr("case when cut is null or size < cut then 0 when size = cut then 1 else 2 end"))
+    most = max(LEAST_BLOCK, -(-total // BLOCKS))
+    subs = [(i, z, -(-n // most)) for i, z, n in zoned.groupBy("old", "zone").agg(F.count("*")).collect()]  # three zones a shard
+    zoned = zoned.join(F.broadcast(_small(spark, subs, "old int, zone int, subs long")), ["old", "zone"]).withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), "subs").cast("int"))
+    blocks = [tuple(r) for r in zoned.groupBy("old", "zone", "sub").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()]
+    moves = _small(spark, block_plan(blocks, shards, home), "old int, zone int, sub int, low long, high long, shard int, base long")
+    order = Window.partitionBy("old", "zone", "sub").orderBy("doc_id", "text_crc32", "size")
+    ranked = zoned.withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
+    placed = ranked.join(F.broadcast(moves), ["old", "zone", "sub"]).filter("rank >= low and rank < high")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "old", "shard", (F.col("base") + F.col("rank") - F.col("low")).alias("slot"), (F.col("old") != F.col("shard")).alias("moved"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def rewrite_affected(documents: DataFrame, placed: DataFrame, path: str, old: Column | None = None, old_shards: int = OLD_SHARDS) -> list[int]:
+def _key(doc_id: Column, crc: Column, old: Column) -> list[Column]:
+    return [doc_id.isNull().alias("__none"), F.coalesce(doc_id, F.lit(0)).alias("__id"), crc.alias("__crc"), old.alias("__from")]
+
+
+_KEY = ["__none", "__id", "__crc", "__from"]
+
+
+def rewrite_affected(documents: DataFrame, placed: DataFrame, path: str, old: Column | None = None) -> list[int]:
     """Writes, under path/shard=N, the rows of every new shard that gains or loses rows; returns those shards.
 
-    Shards that keep exactly their old rows are not rewritten. `placed` is reshard() of the same documents,
-    with the same `old` and `old_shards`.
+    Shards that keep exactly their old rows are not rewritten. `placed` is reshard() of the same documents, with the
+    same `old`. A column named `shard` is refused, as it would name the folders; other names may clash with those of `placed`.
+    Rows equal in doc_id, text and old shard are dealt to their shards in the order of a hash of all their columns.
     """
-    placed = written(placed)
-    touched = placed.filter("moved").select(F.explode(F.array("old", "shard")).alias("shard")).distinct()
+    if "shard" in documents.columns:
+        raise ValueError("the documents have a column `shard`, which is to name the folders: rename it")
+    placed = written(placed, "placed")
+    touched = placed.filter("moved").select(F.explode(F.array("old", "shard")).alias("shard")).filter("shard >= 0").distinct()
     shards = sorted(r["shard"] for r in touched.collect())  # at most as many as there are shards
-    mine = placed.filter(F.col("shard").isin(shards)).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("old").alias("_old"), "shard")
-    # equal rows of one old shard are interchangeable, and all of them lie in touched shards or none does
-    where = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(old_shards)) if old is None else old
-    nth = Window.partitionBy("_id", "_crc", "_old").orderBy("shard")
-    mine = mine.withColumn("copy", F.row_number().over(nth))
-    own = documents.withColumn("_crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).withColumn("_old", where.cast("int")).withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "_crc", "_old").orderBy(F.lit(1))))
-    joined = own.join(mine, own["doc_id"].eqNullSafe(mine["_id"]) & (own["_crc"] == mine["_crc"]) & (own["_old"] == mine["_old"]) & (own["copy"] == mine["copy"])).select(*[own[c] for c in documents.columns], "shard")
-    joined.write.mode("overwrite").partitionBy("shard").parquet(path)
+    size = F.sum("size") if "size" in placed.columns else F.lit(0)
+    files = [(j, max(1, -(-int(b or 0) // FILE_BYTES))) for j, b in placed.groupBy("shard").agg(size).collect()]
+    mine = placed.filter(F.col("shard").isin(shards)).select(*_key(F.col("doc_id"), F.col("text_crc32"), F.col("old")), "shard")
+    # of each key how many rows go to which shard: a list no longer than there are shards
+    upto = F.sum("n").over(Window.partitionBy(*_KEY).orderBy("shard"))
+    quotas = mine.groupBy(*_KEY, "shard").agg(F.count("*").alias("n")).withColumn("upto", upto).groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("__quota"))
+    rows = numbered(documents, old).select(F.struct(*documents.columns).alias("__row"), *_key(F.col("doc_id"), _crc(), F.col("__old")))
+    # all rows of a key lie in shards that are rewritten, or none does
+    joined = rows.join(quotas.hint("shuffle_hash"), _KEY)
+    nth = F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.xxhash64("__row")))
+    dealt = joined.withColumn("__nth", nth).select("__row.*", F.expr("filter(__quota, q -> q.upto >= __nth)[0].shard").alias("shard"))
+    parts = F.broadcast(_small(documents.sparkSession, files, "shard int, __files int"))
+    spread = dealt.join(parts, "shard").withColumn("__part", F.pmod(F.xxhash64("doc_id", "text"), "__files"))
+    spread.repartition("shard", "__part").select(*documents.columns, "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    discard(placed)
     return shards

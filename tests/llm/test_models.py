@@ -294,6 +294,38 @@ def test_resharding(spark, docs, tmp_path):
     assert resharding.reshard(docs.limit(0)).count() == 0
 
 
+def test_rows_that_move_have_the_fewest_bytes(spark):
+    """Unequal sizes within a factor of two and beyond, ties, empty shards, rows without a shard, more and fewer new shards."""
+    rng = random.Random(11)
+    for turn in range(8):
+        shards, n_old = rng.choice([2, 3, 5]), rng.choice([1, 3, 4])
+        rows = [(i, "x" * rng.choice([0, 7, 8, 9, 15, rng.randrange(3000)]), rng.choice([0, 0, 0, *range(n_old), None])) for i in range(rng.randrange(1, 60))]
+        df = spark.createDataFrame(rows, "doc_id long, text string, at int").repartition(2)
+        got = resharding.reshard(df, old=F.col("at"), shards=shards).collect()
+        assert sorted(r.doc_id for r in got) == [i for i, *_ in rows]
+        counts = [sum(r.shard == j for r in got) for j in range(shards)]
+        assert max(counts) - min(counts) <= 1
+        own = [sorted(len(t) + 8 for _, t, a in rows if a == i) for i in range(n_old)]
+        floor, odd = divmod(len(rows), shards)
+        fixed = sum(len(t) + 8 for _, t, a in rows if a is None or a >= shards)
+        best = min(fixed + sum(sum(own[i][: max(0, len(own[i]) - floor - (i in extra))]) for i in range(min(n_old, shards))) for extra in itertools.combinations(range(shards), odd))
+        assert sum(r.size for r in got if r.moved) == best, turn
+
+
+def test_rewrite_of_rows_with_clashing_names(spark, tmp_path):
+    rows = [(i % 4 if i % 5 else None, "t" * (i % 3) if i % 7 else None, f"s{i % 3}", i, "c", 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _crc long, copy string, old int").repartition(3)
+    placed = resharding.reshard(df, shards=5)
+    shards = resharding.rewrite_affected(df, placed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert set(back.columns) == {*df.columns, "shard"}
+    assert sorted(map(repr, (tuple(r) for r in back.select(*df.columns).collect()))) == sorted(map(repr, rows))
+    counts = {r["shard"]: r["count"] for r in back.groupBy("shard").count().collect()}
+    assert counts == {j: 12 for j in range(5)} and shards == list(range(5))
+    with pytest.raises(ValueError, match="shard"):
+        resharding.rewrite_affected(df.withColumn("shard", F.lit(1)), placed, str(tmp_path / "other"))
+
+
 def test_equal_rows_of_different_shards_are_told_apart(spark, tmp_path):
     df = spark.createDataFrame([(i, "a", str(s)) for i in range(20) for s in ((0, 1), (1, 0))[i % 2]] + [(99, "b", "1")], "doc_id long, text string, source string")
     rows = df.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.col("source").cast("int").alias("old"))
