@@ -52,6 +52,92 @@ def test_language_score_is_the_cosine_of_the_bundle(spark):
     assert letters.tolist() == [8, 6]
 
 
+def bundle_model(text):
+    """A text's bundle, trigram by trigram, letter by letter."""
+    letters = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    spaced = [0]
+    for c in letters:
+        if c.isalpha() or spaced[-1] != 0:
+            spaced.append(ord(c) if c.isalpha() else 0)
+    spaced += [0] if spaced[-1] else []
+    vector = lambda p: langid.Profiles.letter_vectors(np.array([p]))[0].astype(np.int64)
+    out = np.zeros(langid.DIMS, dtype=np.int64)
+    for a, b, c in zip(spaced, spaced[1:], spaced[2:], strict=False):
+        if b:
+            out += vector(a) * np.roll(vector(b), 1) * np.roll(vector(c), 2)
+    return out
+
+
+def test_languages_against_plain_bundles(spark):
+    """Train and predict, in several scripts, against whole vectors."""
+    rng = random.Random(8)
+    stems = {"el": ["και", "του", "ής"], "ja": ["日本", "東京", "のは"], "ru": ["ого", "ние", "Ста"], "uk": ["ого", "ння", "Ста"]}
+    rows = [(i, " ".join("".join(rng.choices(stems[lang], k=2)) for _ in range(5)) + "!", lang) for i, lang in enumerate(sorted(stems) * 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    raw = np.stack([sum(bundle_model(t) for d, t, lang in rows if lang == own and not got[d].held_out) for own in sorted(stems)]).astype(float)
+    unit = raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+    unit = unit - unit.mean(axis=0)
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    right = 0
+    for d, t, lang in rows:
+        cosines = np.rint(unit * (1 << 24)) @ bundle_model(t)
+        assert got[d].lang_pred == sorted(stems)[int(cosines.argmax())]
+        assert math.isclose(got[d].score, cosines.max() / np.maximum(cosines, 0).sum(), abs_tol=1e-6)
+        right += got[d].lang_pred == lang and got[d].held_out
+    assert right >= 0.9 * sum(r.held_out for r in got.values())
+
+
+@pytest.mark.parametrize("n", [40, 200])
+def test_many_languages(spark, n):
+    """Languages that differ in their favourite syllables alone; a task sends one row for each language and dimension."""
+    rng = random.Random(n)
+    letters = "абвгдежзиклмнопрстуфхцчшыэюя"
+    own = {f"l{k:03}": ["".join(rng.choices(letters, k=3)) for _ in range(6)] for k in range(n)}
+    rows = [(i, " ".join("".join(rng.choices(own[lang], k=2)) for _ in range(15)), lang) for i, lang in enumerate(sorted(own) * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    sent = df.select("text", "lang").mapInArrow(langid._train, "lang string, dim int, v long").groupBy("lang", "dim").count()
+    assert sent.count() == n * langid.DIMS and sent.filter("count > 2").count() == 0
+    got = [(r.lang_pred, lang) for r in langid.identify(df).collect() if r.held_out for d, _, lang in rows if d == r.doc_id]
+    assert sum(a == b for a, b in got) > 0.95 * len(got) > 50
+
+
+def test_bounds_change_no_result():
+    """Small tables of products, letters and counts give what large ones give."""
+    profiles = langid.Profiles()
+    texts = ["kalo mika été", "日本 の はな", "каша"] * 5
+    (chunk,) = chunks(pa.array(texts))
+    grams, edges, _ = profiles.grams(chunk)
+    prototypes = np.random.default_rng(0).integers(-1000, 1000, (3, langid.DIMS))
+    small = langid.Scorer(prototypes, limit=12)
+    parts = np.concatenate([small.sums(grams[a:b], np.array([0, b - a])) for a, b in itertools.pairwise(edges.tolist())])
+    assert (parts == langid.Scorer(prototypes).sums(grams, edges)).all()
+    few, many = langid.Bundles(limit=3), langid.Bundles()
+    for k, (a, b) in enumerate(itertools.pairwise(edges.tolist())):
+        for bundles in (few, many):
+            bundles.add(f"l{k % 2}", grams[a:b])
+    assert all((few.fold()[lang] == total).all() for lang, total in many.fold().items())
+
+
+def test_held_out_accuracy_on_the_corpus(spark):
+    import os
+
+    where = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(where):
+        pytest.skip("no test tables here")
+    docs = spark.read.parquet(where).select("doc_id", "text", "lang")
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'")
+    right, every = got.filter("lang = lang_pred").count(), got.count()
+    print("held-out accuracy", right / every, "of", every)
+    assert every > 100 and right / every > 0.93
+
+
+def test_texts_that_are_not_unicode_or_very_long(spark):
+    df = spark.sql("select 1L as doc_id, cast(X'6b61ff6c6f20' as string) as text, 'aa' as lang, 'x' as held_out union all select 2, repeat('kalo mika ', 300000), 'aa', 'y' union all select 6, repeat('sch tzung ', 10), 'bb', 'y'")
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    assert set(got) == {1, 2, 6} and got[2].lang_pred in ("aa", "bb")
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in langid.identify(df).collect()] == ["und"]
