@@ -8,8 +8,8 @@ several times the input, so matches are found in two steps:
    shift t < 7 with i + t and j + t both in D modulo 7. Two equal 13-word windows therefore share an
    equal 7-word anchor at such an aligned position (t + 7 <= 13). Hashing at positions in D alone
    (3 of 7) and keeping hashes that two documents share loses no match.
-2. Extension. Only windows that hold a shared anchor at a position in D are hashed whole, to 80 bits, and
-   compared across documents by their smallest doc_id.
+2. Extension. Only windows that hold a shared anchor at a position in D are hashed whole, to 128 bits from two
+   independent 64-bit hashes of each word, and compared across documents by their smallest doc_id.
 
 Counting is `groupBy` with partial aggregation, so a passage that a third of all documents share
 sends one row for each map task; the joins back are equi-joins whose small side has one row a key,
@@ -17,8 +17,10 @@ which adaptive execution splits where a key is hot.
 
 Edge cases: a null or empty text has no words, nothing is removed and the kept text is empty; rows of
 one doc_id never remove each other (the smaller doc_id must be strictly smaller), so repeated rows
-come out alike; a null doc_id is never smaller and never larger than another, so such rows neither
-remove nor lose words; extra columns are left alone.
+come out alike; rows of one doc_id with different texts are told apart by 34 bits of a hash of the text; a null doc_id
+is never smaller and never larger than another, so such rows neither remove nor lose words; very long texts are read
+whole; bytes that are not UTF-8 are compared as they are (and become U+FFFD in kept_text alone); an empty table gives no
+rows; extra columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -75,8 +77,8 @@ def _count_anchors(window: int):
 
 
 def _packed(at: np.ndarray, words: Words, marks: np.ndarray, row: np.ndarray) -> pa.Array:
-    """Word places within their texts, under the marks of the rows."""
-    return pa.array((at - words.first[row]) | (marks[row].astype(np.int64) << 40))
+    """Word places within their texts, under the marks of the rows. A text of 2 GiB has under 2^30 words."""
+    return pa.array((at - words.first[row]) | (marks[row] << _PLACE_BITS))
 
 
 def _place_anchors(window: int):
@@ -95,7 +97,7 @@ def _place_anchors(window: int):
 def _emit_windows(window: int):
     """Whole windows that hold a shared anchor, from rows of (doc_id, text, starts of shared anchors).
 
-    `h` and `g` are the window's hash, 80 bits.
+    `h` and `g` are the window's hash, 128 bits.
     """
 
     def run(batches):
@@ -103,7 +105,7 @@ def _emit_windows(window: int):
             ids, marks = np.asarray(take(batch, "doc_id").cast(pa.int64())), np.asarray(take(batch, "mark"))
             shared = take(batch, "shared")
             for chunk in chunks(take(batch, "text")):
-                words = Words(chunk, SPACED)
+                words = Words(chunk, SPACED, lanes=2)
                 at, one = words.windows(window)
                 starts, base = _spread(shared.slice(chunk.lo, chunk.hi - chunk.lo), words.first)
                 # a window at p holds the anchor at s when p <= s <= p + window - ANCHOR
@@ -113,22 +115,22 @@ def _emit_windows(window: int):
                 good = np.cumsum(edge)[at] > 0
                 two = words.windows(window, lane=1)[1][good]
                 row = words.row[at[good]]
-                columns = [as_signed(one[good]), pa.array((two & np.uint64(0xFFFF)).astype(np.int32)), pa.array(ids[chunk.lo : chunk.hi][row]), _packed(at[good], words, marks[chunk.lo : chunk.hi], row)]
+                columns = [as_signed(one[good]), as_signed(two), pa.array(ids[chunk.lo : chunk.hi][row]), _packed(at[good], words, marks[chunk.lo : chunk.hi], row)]
                 yield pa.RecordBatch.from_arrays(columns, names=["h", "g", "doc_id", "at"])
 
     return run
 
 
-_MARK = (1 << 23) - 1
+_PLACE_BITS = 30
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """The rows with `mark`, 23 bits of a hash of the text, which tells rows of one doc_id apart."""
-    return documents.select("doc_id", "text", F.xxhash64("text").bitwiseAND(_MARK).cast("int").alias("mark"))
+    """The rows with `mark`, 34 bits of a hash of the text with their sign, which tells rows of one doc_id apart."""
+    return documents.select("doc_id", "text", F.shiftright(F.xxhash64("text"), _PLACE_BITS).alias("mark"))
 
 
 def _by_row(places: DataFrame, name: str) -> DataFrame:
-    return places.groupBy("doc_id", F.shiftright("at", 40).cast("int").alias("mark")).agg(F.collect_set(F.col("at").bitwiseAND((1 << 40) - 1)).alias(name))
+    return places.groupBy("doc_id", F.shiftright("at", _PLACE_BITS).alias("mark")).agg(F.collect_set(F.col("at").bitwiseAND((1 << _PLACE_BITS) - 1)).alias(name))
 
 
 def removal_plan(documents: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -142,7 +144,7 @@ def removal_plan(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     places = some.mapInArrow(lean(_place_anchors(window)), "h long, doc_id long, at long")
     anchors = written(_by_row(places.join(shared.hint("shuffle_hash"), "h"), "shared"))
     discard(shared)
-    windows = rows.join(anchors.hint("shuffle_hash"), ["doc_id", "mark"]).mapInArrow(lean(_emit_windows(window)), "h long, g int, doc_id long, at long")
+    windows = rows.join(anchors.hint("shuffle_hash"), ["doc_id", "mark"]).mapInArrow(lean(_emit_windows(window)), "h long, g long, doc_id long, at long")
     # written apart: the two shuffles of windows then never lie on disk together
     firsts = written(windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "g", "lo"))
     return _by_row(windows.join(firsts.hint("shuffle_hash"), ["h", "g"]).filter("doc_id > lo"), "gone")

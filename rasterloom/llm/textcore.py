@@ -39,16 +39,21 @@ class Alphabet:
 
     def __init__(self, word_bytes: np.ndarray, fold: bool):
         self.is_word = word_bytes
-        weights = stream(11, 256)
-        if fold:
-            weights[65:91] = weights[97:123]
-        self.weights = np.where(word_bytes, weights, U64(0))
-        self._steps = stream(1013, 256) | U64(1)
+        self._lanes = []
+        for seed in (11, 12):
+            weights = stream(seed, 256)
+            if fold:
+                weights[65:91] = weights[97:123]
+            self._lanes.append([np.where(word_bytes, weights, U64(0)), stream(1002 + seed, 256) | U64(1)])
 
-    def steps(self, n: int) -> np.ndarray:
-        if n > len(self._steps):
-            self._steps = stream(1013, max(n, 2 * len(self._steps))) | U64(1)
-        return self._steps
+    def weights(self, lane: int = 0) -> np.ndarray:
+        return self._lanes[lane][0]
+
+    def steps(self, n: int, lane: int = 0) -> np.ndarray:
+        own = self._lanes[lane]
+        if n > len(own[1]):
+            own[1] = stream(1013 + lane, max(n, 2 * len(own[1]))) | U64(1)
+        return own[1]
 
 
 def _bytes(*spans: tuple[int, int]) -> np.ndarray:
@@ -96,9 +101,9 @@ def chunks(column: pa.Array, budget: int = CHUNK_BYTES) -> Iterator[Chunk]:
 
 
 class Words:
-    """Words of a chunk: byte starts and ends, 64-bit hashes, and `first`, each text's first word (one more at the end)."""
+    """Words of a chunk: byte starts and ends, 64-bit hashes in each lane, and `first`, each text's first word (one more at the end)."""
 
-    def __init__(self, chunk: Chunk, alphabet: Alphabet, hashed: bool = True):
+    def __init__(self, chunk: Chunk, alphabet: Alphabet, hashed: bool = True, lanes: int = 1):
         data, n = chunk.data, len(chunk.data)
         inside = alphabet.is_word[data]
         starts = np.empty(n, dtype=bool)
@@ -120,17 +125,19 @@ class Words:
         self.first = np.searchsorted(self.starts, chunk.bounds)
         self.count = np.diff(self.first)
         self.row = np.repeat(np.arange(len(self.count)), self.count)
-        self.hashes = np.zeros(0, dtype=U64)
+        self.lanes = [np.zeros(0, dtype=U64)] * lanes
         if hashed and len(self.starts):
             at = np.arange(n, dtype=np.int32)
             since = at - np.maximum.accumulate(np.where(starts, at, 0))
-            with np.errstate(over="ignore"):
-                parts = alphabet.weights[data] * alphabet.steps(int(since.max()) + 1)[since]
-                self.hashes = mix64(np.add.reduceat(parts, self.starts) + (self.ends - self.starts).astype(U64))
+            for k in range(lanes):
+                with np.errstate(over="ignore"):
+                    parts = alphabet.weights(k)[data] * alphabet.steps(int(since.max()) + 1, k)[since]
+                    self.lanes[k] = mix64(np.add.reduceat(parts, self.starts) + (self.ends - self.starts).astype(U64))
+        self.hashes = self.lanes[0]
 
     def windows(self, size: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Starts (word numbers) and hashes of all windows of `size` words that stay inside one text."""
-        h, n = self.hashes, len(self.hashes) - size + 1
+        """Starts (word numbers) and hashes of all windows of `size` words that stay inside one text, from one lane of word hashes."""
+        h, n = self.lanes[lane], len(self.hashes) - size + 1
         if n <= 0:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64)
         last = self.first[1:][self.row[:n]]
@@ -171,5 +178,13 @@ def take(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, with as many underscores behind it as it takes to differ from all in `taken` (whatever the case)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def as_signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
