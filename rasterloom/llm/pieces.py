@@ -16,7 +16,9 @@ Decoding is lossless: blanks become marks and a leading mark is added and taken
 piece holds, and a literal mark, are written as byte pieces.
 
 Edge cases: a null text has null pieces and decodes to null; an empty text has no pieces and decodes to an empty
-text; rows with a null key are seeded alike; repeated rows are segmented alike; extra columns are carried along.
+text; bytes that are not UTF-8 are written as byte pieces, so they too come back; very long texts are encoded whole;
+rows with a null key are seeded alike; repeated rows are segmented alike; an empty table gives no rows; extra columns are
+carried along, those with the names of the results are replaced (`out` and `decoded` name these).
 """
 
 from __future__ import annotations
@@ -87,6 +89,8 @@ class Sampler:
         self.limit = cache_symbols
         lengths = np.array([len(p) for p in vocabulary.pieces])
         self.width = int(lengths.max(initial=1))
+        if self.width > 32_767:
+            raise ValueError("a piece is longer than 32767 characters")
         self.weights, self.byte_ids = vocabulary.weights, vocabulary.byte_ids.astype(np.int32)
         self.steps = stream(41, self.width) | U64(1)
         self.bare_weight = 3 * self.weights[np.isfinite(self.weights)].min(initial=0.0)
@@ -120,7 +124,7 @@ class Sampler:
         # edges by the symbol they end with, then length: that symbol's number + the running probability, length, id;
         # heads: each symbol's first edge
         self.heads = np.zeros(0, dtype=np.int32)
-        self.keys, self.lengths, self.ids = np.zeros(0), np.zeros(0, dtype=np.int8), np.zeros(0, dtype=np.int32)
+        self.keys, self.lengths, self.ids = np.zeros(0), np.zeros(0, dtype=np.int16), np.zeros(0, dtype=np.int32)
 
     def _filter(self, symbols: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
         """(key, length, id) of all edges of the segments, and each symbol's first; id is -1 - code point for an edge of bytes."""
@@ -153,7 +157,7 @@ class Sampler:
             ids.append(found[piece])
             live, key = live[good], key[good]
         end, length, id_ = np.concatenate(ends), np.concatenate(lengths), np.concatenate(ids)
-        order = np.argsort((inside[end] << 40) + end * 64 + length)
+        order = np.lexsort((length, end, inside[end]))
         end, length, id_ = end[order], length[order], id_[order]
         weight = np.where(id_ >= 0, self.weights[np.maximum(id_, 0)], self.bare_weight)
         alpha = np.zeros(total + 1)  # alpha[p + 1]: all segmentations up to symbol p of its segment
@@ -177,7 +181,7 @@ class Sampler:
             part = (run - np.repeat(before, size)) / np.repeat(whole, size)
             part[head + size - 1] = 1.0
             cum[lo:hi] = part
-        back = np.argsort(end * 64 + length)
+        back = np.lexsort((length, end))
         return (end + cum)[back], length[back], id_[back], np.searchsorted(end[back], np.arange(total))
 
     def _places(self, hashes: np.ndarray, symbols: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -197,7 +201,7 @@ class Sampler:
             places, known = np.concatenate([self.places, into + self.symbols]), np.concatenate([self.known, unique[new]])
             order = np.argsort(known)
             self.known, self.places = known[order], places[order]
-            self.keys, self.lengths, self.ids = np.concatenate([self.keys, keys + self.symbols]), np.concatenate([self.lengths, lengths.astype(np.int8)]), np.concatenate([self.ids, ids])
+            self.keys, self.lengths, self.ids = np.concatenate([self.keys, keys + self.symbols]), np.concatenate([self.lengths, lengths.astype(np.int16)]), np.concatenate([self.ids, ids])
             self.heads = np.concatenate([self.heads, (heads + len(self.keys) - len(keys)).astype(np.int32)])
             self.symbols += len(pick)
         return self.places[np.searchsorted(self.known, unique)][back]
@@ -262,7 +266,7 @@ class Sampler:
 
     def _as_bytes(self, ids: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         points, spot = np.unique(-1 - ids[ids < 0], return_inverse=True)
-        coded = [chr(MARK if p == _LITERAL else p).encode("utf-8", "surrogatepass") for p in points.tolist()]
+        coded = [chr(MARK if p == _LITERAL else p).encode("utf-8", "surrogateescape") for p in points.tolist()]
         sizes = np.ones(len(ids), dtype=np.int64)
         sizes[ids < 0] = np.array([len(c) for c in coded])[spot]
         ends = np.cumsum(sizes)
@@ -276,10 +280,14 @@ class Sampler:
 
 
 def code_points(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the texts end to end, and each text's limits."""
-    lead = (chunk.data & 0xC0) != 0x80
-    points = np.frombuffer(chunk.data.tobytes().decode("utf-8").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    return points, np.concatenate([[0], np.cumsum(lead)])[chunk.bounds]
+    """Code points of the texts end to end, and each text's limits. A byte that is not UTF-8 counts as U+DC00 and its value."""
+    try:
+        decoded, lead = chunk.data.tobytes().decode("utf-8"), (chunk.data & 0xC0) != 0x80
+        bounds = np.concatenate([[0], np.cumsum(lead)])[chunk.bounds]
+    except UnicodeDecodeError:
+        parts = [chunk.text(i).decode("utf-8", "surrogateescape") for i in range(len(chunk.bounds) - 1)]
+        decoded, bounds = "".join(parts), np.cumsum([0, *map(len, parts)]).astype(np.int64)
+    return np.frombuffer(decoded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64), bounds
 
 
 #: Bytes of text that are encoded together.
@@ -325,8 +333,9 @@ def _decoder(vocabulary: Vocabulary, pieces: str, out: str):
                 text = flat[np.repeat(starts[ids] - (ends - n), n) + np.arange(int(n.sum()))]
                 stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
                 valid = np.asarray(lists.is_valid())
-                texts = [(text[a + 1 : b].tobytes().decode("utf-8", "replace") if ok else None) for a, b, ok in zip(stops[:-1].tolist(), stops[1:].tolist(), valid.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, type=pa.string())], names=[*part.schema.names, out])
+                texts = [(text[a + 1 : b].tobytes() if ok else None) for a, b, ok in zip(stops[:-1].tolist(), stops[1:].tolist(), valid.tolist(), strict=True)]
+                # the bytes as they are, UTF-8 or not
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, type=pa.binary()).view(pa.string())], names=[*part.schema.names, out])
 
     return run
 
@@ -349,9 +358,9 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", out:
     return rows.select(*(f.name for f in own)).mapInArrow(lean(_decoder(vocabulary, pieces, out)), schema)
 
 
-def encode_and_decode(documents: DataFrame, vocabulary: Vocabulary, seed: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`documents` with `pieces` and `decoded`: both steps in one worker, so the pieces cross to it once."""
-    own = _kept(documents, "pieces", "decoded")
-    schema = T.StructType([*own, T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    into, back = _encoder(vocabulary, seed, key, text, "pieces"), _decoder(vocabulary, "pieces", "decoded")
+def encode_and_decode(documents: DataFrame, vocabulary: Vocabulary, seed: int = 1, key: str = "doc_id", text: str = "text", out: str = "pieces", decoded: str = "decoded") -> DataFrame:
+    """`documents` with the pieces and the decoded text: both steps in one worker, so the pieces cross to it once."""
+    own = _kept(documents, out, decoded)
+    schema = T.StructType([*own, T.StructField(out, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+    into, back = _encoder(vocabulary, seed, key, text, out), _decoder(vocabulary, out, decoded)
     return documents.select(*(f.name for f in own)).mapInArrow(lean(lambda batches: back(into(batches))), schema)

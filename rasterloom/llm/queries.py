@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -125,8 +126,8 @@ SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN bad.host IS NULL T
 OP5_SQL = _op5_sql()
 
 
-#: Where the vocabulary lies; a parameter of the operator.
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: Where the vocabulary lies on the driver; RASTERLOOM_VOCABULARY names another.
+VOCABULARY = os.environ.get("RASTERLOOM_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

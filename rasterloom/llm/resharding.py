@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rasterloom.llm.textcore import free_name
 from rasterloom.storage import discard, written
 
 ROW_BYTES = 8
@@ -248,11 +249,11 @@ def rewrite_affected(documents: DataFrame, placed: DataFrame, path: str, old: Co
     """Writes, under path/shard=N, the rows of every new shard that gains or loses rows; returns those shards.
 
     Shards that keep exactly their old rows are not rewritten. `placed` is reshard() of the same documents, with the
-    same `old`. A column named `shard` is refused, as it would name the folders; other names may clash with those of `placed`.
-    Rows equal in doc_id, text and old shard are dealt to their shards in the order of a hash of all their columns.
+    same `old`. Names of the documents may clash with those of `placed`; where they have a column `shard`, it stays and
+    the folders are called shard_=N (and so on). Rows equal in doc_id, text and old shard are dealt to their shards in
+    the order of a hash of all their columns.
     """
-    if "shard" in documents.columns:
-        raise ValueError("the documents have a column `shard`, which is to name the folders: rename it")
+    folder = free_name("shard", documents.columns)
     placed = written(placed, "placed")
     touched = placed.filter("moved").select(F.explode(F.array("old", "shard")).alias("shard")).filter("shard >= 0").distinct()
     shards = sorted(r["shard"] for r in touched.collect())  # at most as many as there are shards
@@ -266,9 +267,9 @@ def rewrite_affected(documents: DataFrame, placed: DataFrame, path: str, old: Co
     # all rows of a key lie in shards that are rewritten, or none does
     joined = rows.join(quotas.hint("shuffle_hash"), _KEY)
     nth = F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.xxhash64("__row")))
-    dealt = joined.withColumn("__nth", nth).select("__row.*", F.expr("filter(__quota, q -> q.upto >= __nth)[0].shard").alias("shard"))
-    parts = F.broadcast(_small(documents.sparkSession, files, "shard int, __files int"))
-    spread = dealt.join(parts, "shard").withColumn("__part", F.pmod(F.xxhash64("doc_id", "text"), "__files"))
-    spread.repartition("shard", "__part").select(*documents.columns, "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    dealt = joined.withColumn("__nth", nth).select("__row.*", F.expr("filter(__quota, q -> q.upto >= __nth)[0].shard").alias(folder))
+    parts = F.broadcast(_small(documents.sparkSession, files, "__to int, __files int"))
+    spread = dealt.join(parts, F.col(folder) == F.col("__to")).withColumn("__part", F.pmod(F.xxhash64("doc_id", "text"), "__files"))
+    spread.repartition(folder, "__part").select(*documents.columns, folder).write.mode("overwrite").partitionBy(folder).parquet(path)
     discard(placed)
     return shards
