@@ -314,6 +314,7 @@ def near_duplicates(documents: DataFrame, num: int = 80, den: int = 100) -> Data
         release(spark)
         # whoever shares a bucket has a seat, so these sets serve both confirmations
         sets = candidate_sets(documents, seats.select(F.col("doc").alias("doc_id")))
+        release(spark)
         comp = written(components(confirmed(star, sets, num, den)), "components")
         release(spark)
         more = components(_leftover_links(sets, seats, star, comp, num, den)).select(F.col("node").alias("inner"), F.col("component").alias("outer"))
