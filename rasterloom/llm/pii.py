@@ -1,16 +1,20 @@
-"""Personal data by patterns, checksums and context, in DataFrame functions alone.
+"""Personal data and secrets by patterns, checksums and context, in DataFrame functions alone.
 
 Patterns propose spans; validators confirm them (Luhn for cards, mod 97 for IBANs, ranges and digit counts for
 the rest); words near a span adjust its score. The four base kinds (email, ip, card, phone) are always
-reported once confirmed; the added kinds (iban, ssn) if their score reaches `threshold`.
+reported once confirmed; the added kinds (iban, ssn, and the secrets key, jwt, private_key and secret) if their score
+reaches `threshold`. A `secret` is any long run of token characters with letters and digits that such a word stands by.
+
+A kind's guard is a cheaper test that every text with a match passes; a text that fails it is not searched.
 
 Patterns are written so that a match can only begin where a run begins, and repeat single characters or a
 bounded group only: time is linear in the text and no long run can exhaust the regex engine's stack.
 
 Places are code points, from 0, the end exclusive. All of it is one projection: no shuffle.
 
-Edge cases: a null or empty text has no spans; repeated rows are scanned alike; spans of different kinds may
-overlap; extra columns are left alone.
+Edge cases: a null or empty text has no spans; very long texts are scanned whole; bytes that are not UTF-8 count as
+Spark's functions count them; repeated rows are scanned alike; spans of different kinds may overlap; an empty table gives
+no rows; extra columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -81,13 +85,28 @@ def _iban(match: Column) -> Column:
     return bound(F.replace(match, F.lit(" "), F.lit("")), lambda s: F.length(s).between(15, 34) & _mod97(s))
 
 
+def _mixed(match: Column) -> Column:
+    return match.rlike("[0-9]") & match.rlike("[A-Za-z]")
+
+
 def _always(match: Column) -> Column:
     return F.lit(True)
 
 
+def _has(what: str) -> Callable[[Column], Column]:
+    return lambda text: F.contains(text, F.lit(what))
+
+
+def _like(pattern: str) -> Callable[[Column], Column]:
+    return lambda text: text.rlike(pattern)
+
+
 @dataclass(frozen=True)
 class Kind:
-    """`base` kinds need no score. `alone`: no letter or digit may touch the span. Scores are prior + lift if a context word is near."""
+    """`base` kinds need no score. `alone`: no letter or digit may touch the span. Scores are prior + lift if a context word is near.
+
+    `guard` is true of every text in which the pattern matches.
+    """
 
     name: str
     pattern: str
@@ -97,15 +116,22 @@ class Kind:
     prior: float
     lift: float
     context: str
+    guard: Callable[[Column], Column] = _always
+
 
+_SECRETS = "token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential"
 
 KINDS = [
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.(?=[A-Za-z0-9-])[A-Za-z0-9.-]+?(?=\.(?![A-Za-z0-9-])|[^A-Za-z0-9.-]|\z)", _always, True, False, 0.9, 0.1, "mail|contact|kontakt|correo|courriel"),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _ip, True, False, 0.7, 0.2, "ip|host|server|address|adresse"),
-    Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])", _card, True, False, 0.7, 0.3, "card|visa|credit|karte|tarjeta|carte"),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", _phone, True, False, 0.6, 0.3, "phone|tel|call|mobile|fax|telefon"),
-    Kind("iban", _IBAN, _iban, False, True, 0.6, 0.3, "iban|bank|account|konto|cuenta|compte"),
-    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", _always, False, True, 0.2, 0.5, "ssn|social|security"),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.(?=[A-Za-z0-9-])[A-Za-z0-9.-]+?(?=\.(?![A-Za-z0-9-])|[^A-Za-z0-9.-]|\z)", _always, True, False, 0.9, 0.1, "mail|contact|kontakt|correo|courriel", _has("@")),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _ip, True, False, 0.7, 0.2, "ip|host|server|address|adresse", _like(r"[0-9]\.[0-9]")),
+    Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])", _card, True, False, 0.7, 0.3, "card|visa|credit|karte|tarjeta|carte", _like("[0-9][ -]?[0-9]")),
+    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", _phone, True, False, 0.6, 0.3, "phone|tel|call|mobile|fax|telefon", _has("+")),
+    Kind("iban", _IBAN, _iban, False, True, 0.6, 0.3, "iban|bank|account|konto|cuenta|compte", _like("[A-Z]{2}[0-9]{2}")),
+    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", _always, False, True, 0.2, 0.5, "ssn|social|security", _like("[0-9]-[0-9]{2}-[0-9]")),
+    Kind("key", r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,200}|AIza[0-9A-Za-z_-]{35}|[sr]k_live_[0-9A-Za-z]{24,99}", _always, False, True, 0.8, 0.1, _SECRETS, _like("A[KS]IA|gh[pousr]_|xox[abprs]-|AIza|k_live_")),
+    Kind("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", _always, False, True, 0.8, 0.1, _SECRETS, _has(".eyJ")),
+    Kind("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*", _always, False, False, 0.8, 0.1, _SECRETS, _has("PRIVATE KEY-----")),
+    Kind("secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,200}+(?![A-Za-z0-9+/_=-])", _mixed, False, False, 0.2, 0.5, _SECRETS),
 ]
 
 
@@ -140,7 +166,8 @@ def _spans(text: Column, kind: Kind) -> Column:
         scored = F.transform(found, lambda x: F.struct(F.lit(kind.name).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), (F.lit(kind.prior) + F.when(F.lower(near(x)).rlike(kind.context), kind.lift).otherwise(0.0)).alias("score")))
         return scored if kind.base else F.filter(scored, lambda x: x["score"] >= THRESHOLD)
 
-    return bound(F.regexp_extract_all(text, F.lit(kind.pattern), 0), lambda m: F.when(F.size(m) > 0, place(m)).otherwise(empty))
+    matches = F.when(kind.guard(text), F.regexp_extract_all(text, F.lit(kind.pattern), 0))
+    return bound(matches, lambda m: F.when(F.size(m) > 0, place(m)).otherwise(empty))
 
 
 def find(documents: DataFrame, kinds: list[Kind] = KINDS) -> DataFrame:
