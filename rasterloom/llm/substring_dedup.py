@@ -140,13 +140,16 @@ def removal_plan(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = keyed(documents)
     some = rows.filter("doc_id is not null and text is not null")
     seen = some.select("text").mapInArrow(lean(_count_anchors(window)), "h long, n int")
-    shared = written(seen.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
+    shared = written(seen.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "anchors")
+    release(documents.sparkSession)
     places = some.mapInArrow(lean(_place_anchors(window)), "h long, doc_id long, at long")
-    anchors = written(_by_row(places.join(shared.hint("shuffle_hash"), "h"), "shared"))
+    anchors = written(_by_row(places.join(shared.hint("shuffle_hash"), "h"), "shared"), "places")
     discard(shared)
+    release(documents.sparkSession)
     windows = rows.join(anchors.hint("shuffle_hash"), ["doc_id", "mark"]).mapInArrow(lean(_emit_windows(window)), "h long, g long, doc_id long, at long")
     # written apart: the two shuffles of windows then never lie on disk together
-    firsts = written(windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "g", "lo"))
+    firsts = written(windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "g", "lo"), "firsts")
+    release(documents.sparkSession)
     return _by_row(windows.join(firsts.hint("shuffle_hash"), ["h", "g"]).filter("doc_id > lo"), "gone")
 
 
