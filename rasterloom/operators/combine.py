@@ -1,7 +1,8 @@
 """Two images, pixel by pixel: an equi-join on image_id, then one pass over both images' arrays.
 
-Joining whole images moves each pixel once and needs no key for coordinates. Images must agree in size; where they
-do not, the query fails with SizeMismatch in its message.
+Joining whole images moves each pixel once and needs no key for coordinates. Both sides must be of one pixel type, unless
+the combiner says that it mixes types. Images must agree in size; where they do not, the query fails with SizeMismatch in
+its message. Images without a partner are left out; with `paired`, they fail the query with MissingPartner in its message.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ from rasterloom.pixel import PixelType, pixel_type, value_type
 
 
 class Combiner:
-    """Joins one channel of two pixels. `target` is the result's type, given that of the inputs."""
+    """Joins one channel of two pixels. `target` is the result's type, given that of the first input."""
+
+    #: Whether the second image may be of another type with as many channels.
+    mixes = False
 
     def target(self, p: PixelType) -> PixelType:
         return p
@@ -128,10 +132,11 @@ class Magnitude(Combiner):
 
 @dataclass(frozen=True)
 class ClosureCombine(Combiner):
-    """One's own function of two channels, and the type it gives."""
+    """One's own function of two channels, and the type it gives; with `mixes`, of images of two types."""
 
     function: Callable[[Column, Column], Column]
     pixel: PixelType
+    mixes: bool = False
 
     def target(self, p):
         return self.pixel
@@ -140,29 +145,30 @@ class ClosureCombine(Combiner):
         return self.function(a, b).cast(self.pixel.sql)
 
 
-def zip_pixels(a: ImageFrame, b: ImageFrame) -> DataFrame:
-    """image_id, width, height, and per channel an array of (a, b) pairs named a_<channel>; sizes must agree."""
-    right = b.df.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h"), *(F.col(c).alias(f"_b_{c}") for c in b.pixel.channels))
-    joined = a.df.join(right, "image_id")
+def zip_pixels(a: ImageFrame, b: ImageFrame, paired: bool = False) -> DataFrame:
+    """image_id, width, height, the channels of `a`, and those of `b` as _b_0, _b_1 and so on; sizes must agree."""
+    right = b.df.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h"), *(F.col(c).alias(f"_b_{k}") for k, c in enumerate(b.pixel.channels)))
+    joined = a.df.join(right, "image_id", "full" if paired else "inner")
     same = (F.col("width") == F.col("_w")) & (F.col("height") == F.col("_h"))
-    told = F.raise_error(F.concat(F.lit("SizeMismatch: image "), F.col("image_id").cast("string")))
-    return joined.withColumn("width", F.when(same, F.col("width")).otherwise(told.cast("int")))
+    told = lambda what: F.raise_error(F.concat(F.lit(f"{what}: image "), F.col("image_id").cast("string"))).cast("int")
+    alone = F.col("width").isNull() | F.col("_w").isNull()
+    return joined.withColumn("width", F.when(alone, told("MissingPartner")).when(same, F.col("width")).otherwise(told("SizeMismatch")))
 
 
-def combine_images(a: ImageFrame, b: ImageFrame, combiner: Combiner) -> ImageFrame:
+def combine_images(a: ImageFrame, b: ImageFrame, combiner: Combiner, paired: bool = False) -> ImageFrame:
     """Images with the same image_id, combined channel by channel."""
-    if a.pixel.channels != b.pixel.channels or a.pixel.sql != b.pixel.sql or a.pixel.linear != b.pixel.linear:
+    if a.pixel != b.pixel and not (combiner.mixes and len(a.pixel.channels) == len(b.pixel.channels)):
         raise PixelTypeError(f"{a.pixel.name} and {b.pixel.name} cannot be combined")
     p, out = a.pixel, combiner.target(a.pixel)
-    joined = zip_pixels(a, b)
+    joined = zip_pixels(a, b, paired)
     if len(out.channels) != len(p.channels):
         raise PixelTypeError(f"a combiner of {p.name} gave {out.name}")
-    columns = [F.zip_with(c, f"_b_{c}", lambda x, y: combiner.channel(x, y, p)).alias(o) for c, o in zip(p.channels, out.channels, strict=True)]
+    columns = [F.zip_with(c, f"_b_{k}", lambda x, y: combiner.channel(x, y, p)).alias(o) for k, (c, o) in enumerate(zip(p.channels, out.channels, strict=True))]
     return ImageFrame(joined.select(*KEYS, *columns), out)
 
 
-def combine_images_fn(a: ImageFrame, b: ImageFrame, function: Callable[[Column, Column], Column], pixel: str | PixelType | None = None) -> ImageFrame:
-    return combine_images(a, b, ClosureCombine(function, pixel_type(pixel) if pixel is not None else a.pixel))
+def combine_images_fn(a: ImageFrame, b: ImageFrame, function: Callable[[Column, Column], Column], pixel: str | PixelType | None = None, mixes: bool = False) -> ImageFrame:
+    return combine_images(a, b, ClosureCombine(function, pixel_type(pixel) if pixel is not None else a.pixel, mixes))
 
 
 def add(a: ImageFrame, b: ImageFrame) -> ImageFrame:

@@ -16,7 +16,7 @@ def correlate(frame: ImageFrame, kernel: Kernel, border: Border, pixel: str | Pi
     p = frame.pixel
     p.require_linear("a weighted sum")
     out = pixel_type(pixel) if pixel is not None else p.accumulator()
-    fold = weighted_sum(p.channel.accumulator)
+    fold = weighted_sum(p.channel.accumulator, finite=p.max is not None)
     columns = {o: window(frame, kernel, border, c, lambda taps, _: out.from_linear(fold(taps))) for c, o in zip(p.channels, out.channels, strict=True)}
     return frame.with_channels(columns, out, *output_size(border, kernel))
 

@@ -1,18 +1,22 @@
 """Integral images: running sums along rows, added to the row above.
 
 The table has one row and one column more than the image, the first of each zero. It is built from the image's own
-arrays, without a shuffle. Whether sums can overflow is decided from sizes alone.
+arrays, without a shuffle, in time linear in its pixels; an image that does not fit a row is summed as pixel rows, one
+window along its rows and one along its columns. Whether sums can overflow is decided from sizes alone.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rasterloom.errors import AccumulatorOverflow, PixelTypeError
-from rasterloom.frame import ImageFrame, bound
+from rasterloom.frame import ImageFrame
+from rasterloom.operators.arrays import per_image
 from rasterloom.pixel import PixelType, pixel_type, whole
 from rasterloom.shapes import Rectangle, Size
 
@@ -91,29 +95,39 @@ class IntegralImage:
 
 
 def _table(frame: ImageFrame, table: PixelType, squared: bool) -> IntegralImage:
-    kind = "double" if table.max is None else {"u32": "bigint", "u64": "decimal(38,0)"}[table.channel.name]
+    kind = np.dtype("float64" if table.max is None else {"u32": "int64", "u64": "uint64"}[table.channel.name])
 
-    def summed(own: Column) -> Column:
-        value = lambda v: (v.cast(kind) * v.cast(kind) if squared else v.cast(kind)).cast(kind)
-        zero = F.lit(0).cast(kind)
-        width = F.col("width")
+    def summed(_, channels: list[np.ndarray]) -> list[np.ndarray]:
+        out = []
+        for samples in channels:
+            own = np.zeros((samples.shape[0] + 1, samples.shape[1] + 1), dtype=kind)
+            values = samples.astype(kind)
+            np.cumsum(values * values if squared else values, axis=1, out=own[1:, 1:])
+            out.append(np.cumsum(own, axis=0, out=own))
+        return out
 
-        def line(y: Column, above: Column) -> Column:
-            """Row y of the table, from the row above it: a running sum of the image's row, added to that."""
-            samples = F.slice(own, (y * width + 1).cast("int"), width)
-            start = F.struct(zero.alias("t"), F.array(zero).alias("out"))
-            step = lambda acc, v: F.struct((acc["t"] + value(v)).cast(kind).alias("t"), F.concat(acc["out"], F.array((acc["t"] + value(v)).cast(kind))).alias("out"))
-            return F.zip_with(F.aggregate(samples, start, step, lambda acc: acc["out"]), above, lambda a, b: (a + b).cast(kind))
+    checked = ImageFrame(frame.df.withColumn("width", _checked(frame, table, squared)), frame.pixel, frame.carried)
+    return IntegralImage(per_image(checked, table, summed), frame.pixel)
 
-        top = F.transform(F.sequence(F.lit(0), width), lambda _: zero)
-        start = F.struct(top.alias("last"), F.array(top).alias("rows"))
-        step = lambda acc, y: bound(line(y, acc["last"]), lambda row: F.struct(row.alias("last"), F.concat(acc["rows"], F.array(row)).alias("rows")))
-        rows = F.when(F.col("height") > 0, F.sequence(F.lit(0), F.col("height") - 1)).otherwise(F.array().cast("array<int>"))
-        return F.flatten(F.aggregate(rows, start, step, lambda acc: acc["rows"]))
 
-    checked = ImageFrame(frame.df.withColumn("width", _checked(frame, table, squared)), frame.pixel)
-    columns = {o: F.transform(bound(F.col(c), summed), lambda v: v.cast(table.sql)) for c, o in zip(frame.pixel.channels, table.channels, strict=True)}
-    return IntegralImage(checked.with_channels(columns, table, F.col("width") + 1, F.col("height") + 1), frame.pixel)
+def integral_of_pixels(pixels: DataFrame, images: DataFrame, pixel: str | PixelType, table: str | PixelType, squared: bool = False) -> DataFrame:
+    """The table as rows (image_id, x, y, channels), from one row for every pixel and the images' sizes.
+
+    No task holds more than a row or a column of an image.
+    """
+    p, t = pixel_type(pixel), pixel_type(table)
+    preflight(Size(0, 0), p, t, squared)
+    kind = "double" if t.max is None else {"u32": "bigint", "u64": "decimal(38,0)"}[t.channel.name]
+    sized = images.select("image_id", _checked(ImageFrame(images, p), t, squared).alias("width"), "height")
+    value = lambda c: (F.col(c).cast(kind) * F.col(c).cast(kind) if squared else F.col(c).cast(kind)).cast(kind)
+    along = lambda fixed, moving: Window.partitionBy("image_id", fixed).orderBy(moving).rowsBetween(Window.unboundedPreceding, 0)
+    own = pixels.join(sized.filter("width >= 0").select("image_id"), "image_id")
+    rows = own.select("image_id", "x", "y", *(F.sum(value(c)).over(along("y", "x")).cast(kind).alias(c) for c in p.channels))
+    sums = rows.select("image_id", (F.col("x") + 1).alias("x"), (F.col("y") + 1).alias("y"), *(F.sum(c).over(along("x", "y")).cast(t.sql).alias(o) for c, o in zip(p.channels, t.channels, strict=True)))
+    zeros = [F.lit(0).cast(t.sql).alias(o) for o in t.channels]
+    top = sized.select("image_id", F.explode(F.sequence(F.lit(0), "width")).alias("x"), F.lit(0).alias("y"), *zeros)
+    left = sized.filter("height > 0").select("image_id", F.lit(0).alias("x"), F.explode(F.sequence(F.lit(1), "height")).alias("y"), *zeros)
+    return sums.union(top).union(left)
 
 
 def integral_image(frame: ImageFrame, table: str | PixelType) -> IntegralImage:
@@ -124,5 +138,3 @@ def integral_image(frame: ImageFrame, table: str | PixelType) -> IntegralImage:
 def integral_squared_image(frame: ImageFrame, table: str | PixelType) -> IntegralImage:
     preflight(Size(0, 0), frame.pixel, table, True)
     return _table(frame, pixel_type(table), True)
-
-

@@ -235,11 +235,14 @@ def map_neighborhood(frame: ImageFrame, mask: Kernel, border: Border, op: Callab
     return frame.with_channels(columns, p, *output_size(border, mask))
 
 
-def weighted_sum(kind: str) -> Callable[[list[Tap]], Column]:
-    """Sum of weight * sample in the accumulator's type, in the taps' order; zero weights change nothing and are left out."""
+def weighted_sum(kind: str, finite: bool = True) -> Callable[[list[Tap]], Column]:
+    """Sum of weight * sample in the accumulator's type, in the taps' order.
+
+    Where samples are `finite` zero weights change nothing and are left out; zero times NaN or infinity is NaN.
+    """
 
     def fold(taps: list[Tap]) -> Column:
-        parts = [s.cast(kind) * F.lit(float(w)).cast(kind) for _, _, w, s in taps if w]
+        parts = [s.cast(kind) * F.lit(float(w)).cast(kind) for _, _, w, s in taps if w or not finite]
         return reduce(lambda a, b: a + b, parts) if parts else F.lit(0.0).cast(kind)
 
     return fold

@@ -1,18 +1,21 @@
 """Template matching: a score for every place where the template lies inside the image.
 
-The template is a value of the driver (it is small by nature); its samples are literals of the plan, and every score is
-an expression over array reads.
+The template is a value of the driver (it is small by nature). The named methods pass over its samples one by one, each
+for all places of an image at once; a method of one's own is an expression over array reads, its samples literals of the
+plan.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rasterloom.errors import PixelTypeError, TemplateTooLarge
 from rasterloom.frame import ImageFrame, bound, grid
+from rasterloom.operators.arrays import per_image
 from rasterloom.pixel import pixel_type
 from rasterloom.shapes import Size
 
@@ -35,40 +38,45 @@ class MatchMethod:
         raise NotImplementedError
 
 
-def _sum(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts)
+class _Scanned(MatchMethod):
+    """A score from such pairs as they come, in raster order, the image samples being those of all places at once."""
+
+    def scan(self, pairs: Iterator[tuple[np.ndarray, float]]) -> np.ndarray:
+        raise NotImplementedError
 
 
-class SAD(MatchMethod):
+class SAD(_Scanned):
     """Sum of absolute differences, in single precision."""
 
-    def score(self, pairs):
-        return _sum([F.abs(i.cast("float") - F.lit(t).cast("float")) for i, t in pairs])
+    def scan(self, pairs):
+        total = np.float32(0)
+        for i, t in pairs:
+            total = total + np.abs(i.astype(np.float32) - np.float32(t))
+        return total
 
 
-class SSD(MatchMethod):
+class SSD(_Scanned):
     """Sum of squared differences."""
 
-    def score(self, pairs):
-        return _sum([(i - t) * (i - t) for i, t in pairs])
+    def scan(self, pairs):
+        total = 0.0
+        for i, t in pairs:
+            total = total + (i - t) * (i - t)
+        return total
 
 
-class NCC(MatchMethod):
+class NCC(_Scanned):
     """Normalised cross-correlation; 0 where either side has next to no variance, NaN where rounding makes it negative."""
 
-    def score(self, pairs):
-        n = float(len(pairs))
-        t1, t2 = sum(t for _, t in pairs), sum(t * t for _, t in pairs)
-        sums = F.struct(_sum([i for i, _ in pairs]).alias("i"), _sum([i * i for i, _ in pairs]).alias("q"), _sum([i * t for i, t in pairs]).alias("x"))
-
-        def finish(s: Column) -> Column:
-            mean = s["i"] / n
-            spread = (s["q"] / n - mean * mean) * (t2 / n - (t1 / n) * (t1 / n))
-            cov = s["x"] / n - mean * (t1 / n)
-            root = F.sqrt(spread)
-            return F.when(spread < 0, F.lit(float("nan"))).when(root < 1e-12, 0.0).otherwise(cov / root)
-
-        return bound(sums, finish)
+    def scan(self, pairs):
+        n, t1, t2, s1, s2, cross = 0.0, 0.0, 0.0, 0.0, 0.0, 0.0
+        for i, t in pairs:
+            n, t1, t2, s1, s2, cross = n + 1.0, t1 + t, t2 + t * t, s1 + i, s2 + i * i, cross + i * t
+        mean = s1 / n
+        spread = (s2 / n - mean * mean) * (t2 / n - (t1 / n) * (t1 / n))
+        root = np.sqrt(np.maximum(spread, 0.0))
+        score = np.where(root < 1e-12, 0.0, (cross / n - mean * (t1 / n)) / np.where(root < 1e-12, 1.0, root))
+        return np.where(spread < 0, np.nan, score)
 
 
 def check_template(image: Size, template: Size) -> None:
@@ -82,7 +90,20 @@ def match_template(frame: ImageFrame, template: Template, method: MatchMethod) -
     p = frame.pixel
     if len(template.channels) != len(p.channels) or p.channel.accumulator is None or not p.linear:
         raise PixelTypeError(f"the template does not have the linear channels of {p.name}")
-    w, h, size = F.col("width"), F.col("height"), template.size
+    size, out = template.size, pixel_type("MonoF32")
+    if isinstance(method, _Scanned):
+
+        def scanned(image: object, channels: list[np.ndarray]) -> list[np.ndarray]:
+            oh, ow = channels[0].shape[0] - size.height + 1, channels[0].shape[1] - size.width + 1
+            if oh < 1 or ow < 1:
+                raise TemplateTooLarge(f"TemplateTooLarge: image {image}")
+            places = ((ty, tx, k) for ty in range(size.height) for tx in range(size.width) for k in range(len(channels)))
+            pairs = ((channels[k][ty : ty + oh, tx : tx + ow], float(template.channels[k][ty * size.width + tx])) for ty, tx, k in places)
+            with np.errstate(all="ignore"):
+                return [np.asarray(method.scan(pairs)).astype(np.float32)]
+
+        return per_image(frame, out, scanned, "float64")
+    w, h = F.col("width"), F.col("height")
     fits = (w >= size.width) & (h >= size.height)
     told = F.raise_error(F.concat(F.lit("TemplateTooLarge: image "), F.col("image_id").cast("string"))).cast("int")
     ow, oh = F.when(fits, w - (size.width - 1)).otherwise(told), h - (size.height - 1)
@@ -99,4 +120,4 @@ def match_template(frame: ImageFrame, template: Template, method: MatchMethod) -
 
         return grid(ow, oh, at)
 
-    return frame.with_channels({"v": bound(F.struct(*p.channels), scores)}, pixel_type("MonoF32"), ow, oh)
+    return frame.with_channels({"v": bound(F.struct(*p.channels), scores)}, out, ow, oh)

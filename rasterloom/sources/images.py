@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterloom.errors import LengthMismatch, PixelTypeError
-from rasterloom.frame import KEYS, ImageFrame, grid
+from rasterloom.frame import KEYS, ImageFrame, bound, grid
+from rasterloom.operators.arrays import arrays, samples
 from rasterloom.pixel import PixelType, pixel_type
 
 
@@ -74,9 +76,6 @@ def zero(images: DataFrame, pixel: str | PixelType) -> ImageFrame:
     return fill(images, p, *([False if p.sql == "boolean" else 0] * len(p.channels)))
 
 
-_NUMPY = {"int": np.int32, "bigint": np.int64, "float": np.float32, "double": np.float64, "boolean": np.bool_, "tinyint": np.int8, "smallint": np.int16}
-
-
 def _dtype(p: PixelType, order: str) -> np.dtype:
     return np.dtype(p.channel.code if p.channel.nbytes == 1 else {"little": "<", "big": ">", "native": "="}[order] + p.channel.code)
 
@@ -88,43 +87,35 @@ def from_bytes(rows: DataFrame, pixel: str | PixelType, order: str = "native") -
     """
     p = pixel_type(pixel)
     dtype, n = _dtype(p, order), len(p.channels)
-    schema = T.StructType([*rows.select(*KEYS).schema.fields, *(T.StructField(c, T._parse_datatype_string(f"array<{p.sql}>")) for c in p.channels)])
+    own = rows.select(*KEYS, "data")
+    schema = T.StructType([*own.schema.fields[:3], *(T.StructField(c, T.ArrayType(T._parse_datatype_string(p.sql))) for c in p.channels)])
 
     def run(batches):
-        for pdf in batches:
-            columns = {c: [] for c in p.channels}
-            for image_id, width, height, data in zip(pdf["image_id"], pdf["width"], pdf["height"], pdf["data"], strict=True):
+        for batch in batches:
+            parts = []
+            for image_id, width, height, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if len(data) != width * height * p.nbytes:
                     raise LengthMismatch(f"LengthMismatch: {len(data)} bytes of image {image_id}, {width} x {height} {p.name}")
-                values = np.frombuffer(data, dtype=dtype).reshape(-1, n)
-                for k, c in enumerate(p.channels):
-                    columns[c].append([_exact(int(v)) for v in values[:, k]] if p.channel.name == "u64" else values[:, k].astype(_NUMPY[p.sql]))
-            yield pd.DataFrame({**{k: pdf[k] for k in KEYS}, **columns})
-
-    return ImageFrame(rows.select(*KEYS, "data").mapInPandas(run, schema), p)
-
-
-def _exact(v: int):
-    from decimal import Decimal
+                parts.append(np.frombuffer(data, dtype=dtype).astype(dtype.newbyteorder("=")).reshape(-1, n))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(arrays([v[:, k] for v in parts], p.sql) for k in range(n))], names=[f.name for f in schema.fields])
 
-    return Decimal(v)
+    return ImageFrame(own.mapInArrow(run, schema), p)
 
 
 def to_bytes(frame: ImageFrame, order: str = "native") -> DataFrame:
     """image_id, width, height, data: interleaved pixels as a BINARY, in the byte order asked for."""
     p = frame.pixel
-    dtype = _dtype(p, order)
-    schema = T.StructType([*frame.df.select(*KEYS).schema.fields, T.StructField("data", T.BinaryType())])
+    dtype, own = _dtype(p, order), frame.df.select(*KEYS, *p.channels)
+    schema = T.StructType([*own.schema.fields[:3], T.StructField("data", T.BinaryType())])
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for parts in zip(*(pdf[c] for c in p.channels), strict=True):
-                joined = np.stack([np.array([int(v) for v in x] if p.channel.name == "u64" else x, dtype=dtype) for x in parts], axis=1) if len(parts[0]) else np.zeros((0, len(parts)), dtype)
-                out.append(joined.astype(dtype).tobytes())
-            yield pd.DataFrame({**{k: pdf[k] for k in KEYS}, "data": out})
+        for batch in batches:
+            joined = np.stack([samples(batch.column(3 + k)) for k in range(len(p.channels))], axis=1).astype(dtype)
+            ends = np.cumsum([0, *(w * h for w, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))]).tolist()
+            out = [joined[a:b].tobytes() for a, b in itertools.pairwise(ends)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, type=pa.binary())], names=[f.name for f in schema.fields])
 
-    return frame.df.mapInPandas(run, schema)
+    return own.mapInArrow(run, schema)
 
 
 def read_raw(spark: SparkSession, path: str, pixel: str | PixelType, width: int, height: int, order: str = "native") -> ImageFrame:
@@ -151,12 +142,21 @@ def load(spark: SparkSession, path: str) -> ImageFrame:
 def rasterize(points: DataFrame, images: DataFrame, pixel: str | PixelType) -> ImageFrame:
     """Images of the sizes in `images` from rows (image_id, x, y, v); several rows on a pixel add up, none is 0.
 
-    Points are summed before they are shuffled, together with a zero for every pixel, so no image needs a dense input.
+    Points are summed before they are shuffled; pixels without points are filled in where the image is put together.
     """
     p = pixel_type(pixel)
-    cells = images.select("image_id", F.posexplode(F.array_repeat(F.lit(0).cast("bigint"), F.col("width") * F.col("height"))).alias("i", "v"))
     own = points.join(images.select("image_id", "width", "height"), "image_id").filter("x >= 0 and x < width and y >= 0 and y < height")
-    sums = own.select("image_id", (F.col("y") * F.col("width") + F.col("x")).cast("int").alias("i"), F.col("v").cast("bigint").alias("v")).union(cells).groupBy("image_id", "i").agg(F.sum("v").alias("v"))
-    arrays = sums.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_cells"))
-    held = lambda c: (F.least(c["v"], F.lit(min(p.max, 2**63 - 1))) if p.max is not None else c["v"]).cast(p.sql)
-    return ImageFrame(images.join(arrays, "image_id").select(*KEYS, F.transform("_cells", held).alias(p.channels[0])), p)
+    sums = own.groupBy("image_id", (F.col("y") * F.col("width") + F.col("x")).cast("int").alias("i")).agg(F.sum(F.col("v").cast("bigint")).alias("v"))
+    cells = sums.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_cells"))
+    held = lambda v: (F.least(v, F.lit(min(p.max, 2**63 - 1))) if p.max is not None else v).cast(p.sql)
+    gap = lambda n: F.array_repeat(F.lit(0).cast(p.sql), n)
+
+    def dense(found: Column) -> Column:
+        """Each point behind the zeros since the point before it, and the zeros after the last."""
+        parts = F.transform(found, lambda c, k: F.concat(gap(c["i"] - F.coalesce(F.get(found, k - 1)["i"], F.lit(-1)) - 1), F.array(held(c["v"]))))
+        last = F.coalesce(F.get(found, F.size(found) - 1)["i"], F.lit(-1))
+        return F.concat(F.flatten(parts), gap(F.col("width") * F.col("height") - 1 - last))
+
+    joined = images.join(cells, "image_id", "left")
+    found = F.coalesce("_cells", F.array().cast(cells.schema["_cells"].dataType))
+    return ImageFrame(joined.select(*KEYS, bound(found, dense).alias(p.channels[0])), p)
