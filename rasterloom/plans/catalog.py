@@ -18,23 +18,11 @@ from rasterloom.operators import neighborhood as nb
 from rasterloom.operators.convert import convert_image, convert_pixels
 from rasterloom.pixel import pixel_type
 from rasterloom.plans import rasters as rs
+from rasterloom.plans.registry import ORACLES, QUERIES  # noqa: F401
+from rasterloom.plans.registry import add as _add
 from rasterloom.plans.rasters import EMB8, EMB8RGB, EMB16, EMBF, EV_HEAT, LI_GRID
 from rasterloom.shapes import Rectangle, Size, Stride
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _add(name: str, query: Callable[[SparkSession, str], DataFrame | ImageFrame], sql: str | None) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = query(spark, sf_dir)
-        return out.pixels() if isinstance(out, ImageFrame) else out
-
-    QUERIES[name] = run
-    if sql is not None:
-        ORACLES[name] = sql
-
-
 def _rounded(frame: ImageFrame, digits: int = 4) -> DataFrame:
     """Pixel rows with float channels as rounded doubles."""
     rows = frame.pixels()
@@ -388,3 +376,5 @@ def _sobel_otsu(spark, sf_dir):
 
 
 _add("sobel_otsu_foreground", _sobel_otsu, f"{_SX}, edge AS (SELECT image_id, x, y, least(255, round(abs(sum(k * v))))::INT AS v FROM t GROUP BY 1, 2, 3){_OTSU.format(src='edge')} SELECT image_id, count(*) FILTER (v > coalesce(threshold, 0)) AS foreground FROM edge LEFT JOIN otsu USING (image_id) GROUP BY 1")
+
+from rasterloom.plans import basics  # noqa: E402, F401  # its queries register themselves

@@ -23,6 +23,12 @@ def _embeddings(spark, sf_dir, channels: dict[str, Column], pixel: str) -> Image
     return ImageFrame(rows.select(F.col("vec_id").alias("image_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), *(c.alias(n) for n, c in channels.items())), pixel_type(pixel))
 
 
+def embedding_pixels(rows: DataFrame) -> DataFrame:
+    """The pixels of emb8, of a table or a stream of embeddings."""
+    cells = rows.filter(F.size("embedding") == 64).select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("i", "e"))
+    return cells.select("image_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), _quantised(F.col("e"), 255, 128).alias("v"))
+
+
 def emb8(spark, sf_dir) -> ImageFrame:
     """Embeddings as 8 x 8 Mono8."""
     return _embeddings(spark, sf_dir, {"v": F.transform("embedding", lambda e: _quantised(e, 255, 128))}, "Mono8")
