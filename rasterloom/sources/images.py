@@ -37,6 +37,8 @@ def from_rows(spark: SparkSession, rows: Iterable[tuple], pixel: str | PixelType
         from decimal import Decimal
 
         out = [(*r[:3], *([Decimal(v) for v in c] for c in r[3:])) for r in out]
+    if p.sql in ("float", "double"):
+        out = [(*r[:3], *([float(v) for v in c] for c in r[3:])) for r in out]
     schema = f"image_id {kind}, width int, height int, " + ", ".join(f"{c} {loose}" for c in p.channels)
     return ImageFrame(spark.createDataFrame(out, schema), p)
 
