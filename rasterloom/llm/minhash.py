@@ -170,14 +170,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return written(both.select("a", "b", "x", "y").mapInArrow(lean(_confirm(num, den)), "a long, b long").distinct(), "links")
 
 
-def _seated(batches):
-    """Sets with their sizes and, for each band, the centre of the bucket that they are in; alone there, the set itself."""
+def _short(batches):
+    """Sets with their sizes and a key for each band: with `seats` the centre of the bucket they are in there (alone there, the set itself), else the bucket."""
     for batch in batches:
-        docs, blobs, seats = np.asarray(take(batch, "doc")), take(batch, "members"), take(batch, "seats")
-        keys = np.repeat(docs[:, None], BINS // ROWS, axis=1)
-        n, flat = np.asarray(pa.compute.list_value_length(seats)), seats.flatten()
-        keys[np.repeat(np.arange(len(docs)), n), np.asarray(flat.field("band"))] = np.asarray(flat.field("centre"))
+        docs, blobs = np.asarray(take(batch, "doc")), take(batch, "members")
         sizes = np.asarray(pa.compute.binary_length(blobs)).astype(np.int64) // 8
+        if "seats" in batch.schema.names:
+            seats = take(batch, "seats")
+            keys = np.repeat(docs[:, None], BINS // ROWS, axis=1)
+            n, flat = np.asarray(pa.compute.list_value_length(seats)), seats.flatten()
+            keys[np.repeat(np.arange(len(docs)), n), np.asarray(flat.field("band"))] = np.asarray(flat.field("centre"))
+        else:
+            members = np.frombuffer(b"".join(blobs.to_pylist()), dtype=U64)
+            keys = band_keys(signatures(np.repeat(np.arange(len(docs)), sizes), members, len(docs)))
         yield pa.RecordBatch.from_arrays([take(batch, "doc"), pa.array(sizes), blobs, _packed(keys)], names=["doc", "n", "members", "keys"])
 
 
@@ -288,7 +293,7 @@ def _leftover_links(sets: DataFrame, seats: DataFrame, star: DataFrame, comp: Da
     blocks = lambda n: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(n + "_n") / BLOCK_SHINGLES)).cast("int")
     counted = written(sized.join(sizes.hint("shuffle_hash"), "bucket").select("bucket", "doc", "comp", "away", blocks("s").alias("ps"), blocks("m").alias("qs")), "blocks")
     needed = members.select("doc").distinct()
-    whole = sets.join(seats.join(needed, "doc", "left_semi").hint("shuffle_hash"), "doc").mapInArrow(lean(_seated), "doc long, n long, members binary, keys binary")
+    whole = sets.join(seats.join(needed, "doc", "left_semi").hint("shuffle_hash"), "doc").mapInArrow(lean(_short), "doc long, n long, members binary, keys binary")
     full = counted.join(whole, "doc").select("bucket", "doc", "comp", "away", "n", "members", "keys", "ps", "qs")
     p, q = F.pmod(F.xxhash64("doc", F.lit(1)), "ps").cast("int"), F.pmod(F.xxhash64("doc", F.lit(2)), "qs").cast("int")
     inside = full.select("bucket", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), q.alias("q"), F.lit(False).alias("outside"), "doc", "comp", "n", "members", "keys")
