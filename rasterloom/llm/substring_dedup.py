@@ -17,7 +17,7 @@ which adaptive execution splits where a key is hot.
 
 Edge cases: a null or empty text has no words, nothing is removed and the kept text is empty; rows of
 one doc_id never remove each other (the smaller doc_id must be strictly smaller), so repeated rows
-come out alike; rows of one doc_id with different texts are told apart by 34 bits of a hash of the text; a null doc_id
+come out alike; where a doc_id stands in several rows, these are told apart by 34 bits of a hash of the text; a null doc_id
 is never smaller and never larger than another, so such rows neither remove nor lose words; very long texts are read
 whole; bytes that are not UTF-8 are compared as they are (and become U+FFFD in kept_text alone); an empty table gives no
 rows; extra columns, whatever their names, are left alone.
@@ -125,31 +125,36 @@ _PLACE_BITS = 30
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """The rows with `mark`, 34 bits of a hash of the text with their sign, which tells rows of one doc_id apart."""
-    return documents.select("doc_id", "text", F.shiftright(F.xxhash64("text"), _PLACE_BITS).alias("mark"))
+    """The rows with `mark`, which tells rows of one doc_id apart: 34 bits of a hash of the text with their sign, and 0 where the doc_id is the row's alone."""
+    rows = documents.select("doc_id", "text")
+    twins = written(rows.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("twin")), "twins")
+    if twins.isEmpty():
+        discard(twins)
+        return rows.withColumn("mark", F.lit(0).cast("long"))
+    mark = F.when(F.col("twin").isNotNull(), F.shiftright(F.xxhash64("text"), _PLACE_BITS)).otherwise(0)
+    return rows.join(twins, F.col("doc_id") == F.col("twin"), "left").select("doc_id", "text", mark.alias("mark"))
 
 
 def _by_row(places: DataFrame, name: str) -> DataFrame:
     return places.groupBy("doc_id", F.shiftright("at", _PLACE_BITS).alias("mark")).agg(F.collect_set(F.col("at").bitwiseAND((1 << _PLACE_BITS) - 1)).alias(name))
 
 
-def removal_plan(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, mark, gone): starts of the windows to remove, for each row that loses words."""
+def removal_plan(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, mark, gone): starts of the windows to remove, for each of the keyed rows that loses words."""
     if window < PERIOD + ANCHOR - 1:
         raise ValueError(f"a window must have {PERIOD + ANCHOR - 1} words at least, so that it holds an aligned anchor")
-    rows = keyed(documents)
     some = rows.filter("doc_id is not null and text is not null")
     seen = some.select("text").mapInArrow(lean(_count_anchors(window)), "h long, n int")
     shared = written(seen.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "anchors")
-    release(documents.sparkSession)
+    release(rows.sparkSession)
     places = some.mapInArrow(lean(_place_anchors(window)), "h long, doc_id long, at long")
     anchors = written(_by_row(places.join(shared.hint("shuffle_hash"), "h"), "shared"), "places")
     discard(shared)
-    release(documents.sparkSession)
+    release(rows.sparkSession)
     windows = rows.join(anchors.hint("shuffle_hash"), ["doc_id", "mark"]).mapInArrow(lean(_emit_windows(window)), "h long, g long, doc_id long, at long")
     # written apart: the two shuffles of windows then never lie on disk together
     firsts = written(windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "g", "lo"), "firsts")
-    release(documents.sparkSession)
+    release(rows.sparkSession)
     return _by_row(windows.join(firsts.hint("shuffle_hash"), ["h", "g"]).filter("doc_id > lo"), "gone")
 
 
@@ -187,6 +192,6 @@ def dedup(documents: DataFrame, window: int = WINDOW, texts: bool = True) -> Dat
     The windows and the result read one shuffle of the texts by (doc_id, mark); rows without doc_id stay out of it.
     """
     rows = keyed(documents)
-    joined = rows.filter("doc_id is not null").join(removal_plan(documents, window).hint("shuffle_hash"), ["doc_id", "mark"], "left").select("doc_id", "text", "gone")
+    joined = rows.filter("doc_id is not null").join(removal_plan(rows, window).hint("shuffle_hash"), ["doc_id", "mark"], "left").select("doc_id", "text", "gone")
     alone = rows.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("gone"))
     return joined.union(alone).mapInArrow(lean(_apply(window, texts)), SCHEMA)
