@@ -245,3 +245,41 @@ def _large_template(spark, sf_dir):
 
 add("match_large", _large_template, f"WITH {LI_GRID}, tpl AS (SELECT x AS tx, y AS ty, ((x * y) % 7)::DOUBLE AS t FROM range(40) a(x), range(40) b(y)) SELECT p.image_id, p.x, p.y, round((sum((q.v - t) * (q.v - t)))::FLOAT::DOUBLE, 0) AS v FROM li_grid p CROSS JOIN tpl JOIN li_grid q ON q.image_id = p.image_id AND q.x = p.x + tx AND q.y = p.y + ty WHERE p.x <= 24 AND p.y <= 24 GROUP BY 1, 2, 3")
 add("combine_mixed", lambda s, d: combine.combine_images_fn(rs.emb8(s, d), rs.emb16(s, d), lambda a, b: b - a * 256, "Mono16", mixes=True), f"WITH {EMB8}, {EMB16} SELECT p.image_id, p.x, p.y, q.v - p.v * 256 AS v FROM emb8 p JOIN emb16 q USING (image_id, x, y)")
+
+# Which tables hold sums of which pixel types
+
+_MADE = {
+    "Mono8": (rs.emb8, EMB8, "emb8", {"v": "v"}),
+    "Mono16": (rs.emb16, EMB16, "emb16", {"v": "v"}),
+    "Mono32": (lambda s, d: convert_image(rs.emb8(s, d), cv.FullRange(), "Mono32"), EMB8, "emb8", {"v": "v::HUGEINT * 16843009"}),
+    "MonoF32": (rs.embf, rs.EMBF, "embf", {"v": "v::DOUBLE"}),
+    "MonoF64": (lambda s, d: convert_image(rs.embf(s, d), cv.FullRange(), "MonoF64"), rs.EMBF, "embf", {"v": "v::DOUBLE"}),
+    "Rgb8": (rs.emb8rgb, EMB8RGB, "emb8rgb", {c: c for c in "rgb"}),
+    "Rgb16": (lambda s, d: convert_image(rs.emb8rgb(s, d), cv.FullRange(), "Rgb16"), EMB8RGB, "emb8rgb", {c: f"{c} * 257" for c in "rgb"}),
+    "RgbF32": (lambda s, d: convert_image(rs.emb8rgb(s, d), cv.FullRange(), "RgbF32"), EMB8RGB, "emb8rgb", {c: f"({c}::FLOAT / 255::FLOAT)::DOUBLE" for c in "rgb"}),
+}
+
+
+def _corners(name: str, table: str, squared: bool) -> None:
+    """The table's last row and column, where every sum of the matrix shows, with floats rounded."""
+    source, ctes, cte, channels = _MADE[name]
+    whole = table[-3:] not in ("F32", "F64")
+
+    def query(spark, sf_dir):
+        made = (integral.integral_squared_image if squared else integral.integral_image)(source(spark, sf_dir), table)
+        rows = made.frame.pixels().filter("x = 8 or y = 8")
+        return rows.select("image_id", "x", "y", *(F.col(c).cast("decimal(20,0)").alias(c) if whole else F.round(c, 2).alias(c) for c in channels))
+
+    power = lambda v: f"({v}) * ({v})" if squared else f"({v})"
+    total = lambda c, v: f"coalesce(sum(({power(v)})::HUGEINT), 0)::DECIMAL(20,0) AS {c}" if whole else f"round(coalesce(sum({power(f'({v})::DOUBLE')}), 0)::DOUBLE, 2) AS {c}"
+    add(
+        f"integral_{'sq_' if squared else ''}{name.lower()}_{table.lower()}",
+        query,
+        f"WITH {ctes} SELECT i.image_id, gx::INT AS x, gy::INT AS y, {', '.join(total(c, v) for c, v in channels.items())} FROM (SELECT DISTINCT image_id FROM {cte}) i CROSS JOIN range(9) a(gx) CROSS JOIN range(9) b(gy) LEFT JOIN {cte} p ON p.image_id = i.image_id AND p.x < gx AND p.y < gy WHERE gx = 8 OR gy = 8 GROUP BY 1, 2, 3",
+    )
+
+
+for _squared, _matrix in ((False, integral.SUMS), (True, integral.SQUARES)):
+    for _name, _tables in _matrix.items():
+        for _table_name in _tables if not (_squared and _name == "Mono32") else ():  # no image has squares that small
+            _corners(_name, _table_name, _squared)
