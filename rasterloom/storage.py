@@ -1,13 +1,13 @@
 """Tables between steps, in the folder that the driver and all executors share.
 
 A step that iterates, or whose result is read more than once, writes its rows there and reads them back: the lineage
-ends at a table, so a lost executor costs the step it was in and no more.
+ends at a table, so a lost executor costs the step it was in and no more. Once a table is written, nothing needs the
+shuffle files of the plan that wrote it, so Spark is told to drop them then.
 """
 
 from __future__ import annotations
 
 import contextlib
-import gc
 import re
 import tempfile
 import uuid
@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting: whether a query's shuffle files go as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables written and not yet deleted, by path, in the order written.
 _live: dict[str, None] = {}
 
@@ -36,10 +38,25 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that end inside leave no shuffle files."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Cuts the lineage: writes the rows as a table in the shared folder and reads it back."""
     path = f"{shared_dir(df.sparkSession)}/rasterloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     _live[path] = None
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
@@ -71,15 +88,3 @@ def only(spark: SparkSession) -> Iterator[list[DataFrame]]:
     kept = {df._written_at for df in keep}
     for path in [p for p in _live if p not in before and p not in kept]:
         _delete(spark, path)
-
-
-def release(spark: SparkSession) -> None:
-    """Asks for the shuffle files of finished plans to be deleted now, which Spark does once the driver has let go of them.
-
-    Worth its second after a step that has shuffled much. It deletes nothing that is in use, and never fails.
-    """
-    gc.collect()
-    with contextlib.suppress(Exception):  # a busy bus: the next collection finds what this one does not
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(2_000)
-    with contextlib.suppress(Exception):
-        spark.sparkContext._jvm.System.gc()

@@ -138,3 +138,15 @@ def test_everything_else_runs_without_the_corpus_operators(tmp_path):
     assert int(count) > 140 and corpus == "False"
     ran = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "-x", "-p", "no:cacheprovider", "-k", "shapes or registry or scalars or every_query or stands_without"], cwd=copy, env=env, capture_output=True, text=True)
     assert ran.returncode == 0, ran.stdout[-2000:]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from rasterloom import storage
+
+    where = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(where.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    table = storage.written(spark.range(1000).repartition(4, "id"), "test")
+    assert files() <= before and table.count() == 1000 and len(storage.live()) > 0
+    assert spark.conf.get(storage._CLEANUP, None) is None
+    storage.discard(table)
