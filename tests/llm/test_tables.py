@@ -30,6 +30,17 @@ def test_the_pipeline_leaves_the_last_stage_alone(spark):
     assert len(set(storage.live()) - before) == 1
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_the_rewrite_writes_what_the_plan_says(spark):
+    placed = QUERIES["op7_resharding"](spark, SF).collect()
+    by = {}
+    for r in placed:
+        n, size = by.get(r.shard, (0, 0))
+        by[r.shard] = (n + 1, size + r.size)
+    written = {r.shard: (r.n_rows, r.n_bytes) for r in QUERIES["reshard_rewrite"](spark, SF).collect()}
+    assert len(written) > 1 and written == {j: by[j] for j in written}
+
+
 def test_all_queries_are_covered():
     assert set(STAY) == set(QUERIES)
 
