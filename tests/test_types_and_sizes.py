@@ -126,12 +126,19 @@ def test_a_method_of_ones_own(spark):
     assert got.v == [4.0, 8.0]
 
 
-def test_everything_else_runs_without_the_corpus_operators(tmp_path):
+def _first(folder) -> dict[str, str]:
+    """This environment, with a folder in front of Python's path."""
+    path = os.pathsep.join(x for x in (str(folder), os.environ.get("PYTHONPATH", "")) if x)
+    return {**os.environ, "PYTHONPATH": path, "PYTHONDONTWRITEBYTECODE": "1"}
+
+
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_everything_else_runs_without_the_corpus_operators(tmp_path, gone):
     """In a copy without them the entry file imports, lists the raster queries and the rest of the tests passes (a few are run)."""
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     copy = tmp_path / "copy"
-    shutil.copytree(top, copy, ignore=lambda folder, names: [n for n in names if n in ("llm", ".git", "__pycache__", "corpus_pipeline.py", ".pytest_cache")])
-    env = {**os.environ, "PYTHONPATH": str(copy), "PYTHONDONTWRITEBYTECODE": "1"}
+    shutil.copytree(top, copy, ignore=lambda folder, names: [n for n in names if n in (*gone, ".git", "__pycache__", ".pytest_cache")])
+    env = _first(copy)
     listed = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert set(q) == set(e.oracle_sql()); print(len(q), any(n.startswith('op') and n[2:3].isdigit() for n in q))"], cwd=copy, env=env, capture_output=True, text=True)
     assert listed.returncode == 0, listed.stderr
     count, corpus = listed.stdout.split()[-2:]
@@ -140,6 +147,19 @@ def test_everything_else_runs_without_the_corpus_operators(tmp_path):
     assert ran.returncode == 0, ran.stdout[-2000:]
 
 
+def test_broken_corpus_operators_are_an_error(tmp_path):
+    """Where the corpus operators are there, an import that fails in them is not taken for their absence."""
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(top, copy, ignore=lambda folder, names: [n for n in names if n in ("tests", ".git", "__pycache__", ".pytest_cache")])
+    if not (copy / "rasterloom" / "llm").is_dir():
+        pytest.skip("the corpus operators are not installed")
+    with open(copy / "rasterloom" / "llm" / "queries.py", "a") as f:
+        f.write("\nfrom rasterloom.llm.textcore import no_such_name\n")
+    listed = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries()"], cwd=copy, env=_first(copy), capture_output=True, text=True)
+    assert listed.returncode != 0 and "no_such_name" in listed.stderr
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     from rasterloom import storage
 
