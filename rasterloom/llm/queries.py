@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import decontam, langid, linedup, minhash, pieces, pii, quality, resharding, substring_dedup, urlgraph
+from rasterloom.llm import decontam, langid, linedup, minhash, pieces, pii, quality, resharding, substring_dedup, urlgraph, whitening
 from rasterloom.storage import shared_dir
 
 #: A-Z and a-z, for folding ASCII letters alone.
@@ -241,5 +241,27 @@ SELECT doc_id, coalesce(total.n, 0)::BIGINT AS n_lines, (coalesce(total.n, 0) -
 FROM documents LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_substring_dedup": op3_substring_dedup, "op4_langid": op4_langid, "op5_urls": op5_urls, "op6_pieces": op6_pieces, "op7_resharding": op7_resharding, "reshard_rewrite": reshard_rewrite, "op8_minhash": op8_minhash, "op9_pii": op9_pii, "op10_line_dedup": op10_line_dedup}
-ORACLES = {"op1_decontamination": OP1_SQL, "op2_quality": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_urls": OP5_SQL, "op8_minhash": OP8_SQL, "op9_pii": OP9_SQL, "op10_line_dedup": OP10_SQL}
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def whitening_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact statistics that op12 decomposes."""
+    return whitening.scatter_rows(table(spark, sf_dir, "embeddings"))
+
+
+WHITENING_SCATTER_SQL = """
+WITH v AS (SELECT embedding AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS (SELECT DISTINCT list_transform(e, lambda c: (floor(64 * c::DOUBLE) + 1000000)::HUGEINT) AS x FROM v),
+own AS (SELECT x FROM x WHERE len(x) = (SELECT len(x) FROM x GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)),
+one AS (SELECT r, i, x[i] AS a FROM (SELECT x, row_number() OVER () AS r, unnest(range(1, len(x) + 1)) AS i FROM own)),
+s AS (SELECT i, count(*) AS n, sum(a)::HUGEINT AS s FROM one GROUP BY 1),
+p AS (SELECT l.i, r.i AS j, sum(l.a * r.a)::HUGEINT AS p FROM one l JOIN one r ON l.r = r.r AND l.i <= r.i GROUP BY 1, 2)
+SELECT (p.i - 1)::INT AS i, (p.j - 1)::INT AS j, l.n, l.s::VARCHAR AS sum_i, r.s::VARCHAR AS sum_j, (l.n * p.p - l.s * r.s)::VARCHAR AS scatter
+FROM p JOIN s l ON l.i = p.i JOIN s r ON r.i = p.j
+"""
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_substring_dedup": op3_substring_dedup, "op4_langid": op4_langid, "op5_urls": op5_urls, "op6_pieces": op6_pieces, "op7_resharding": op7_resharding, "reshard_rewrite": reshard_rewrite, "op8_minhash": op8_minhash, "op9_pii": op9_pii, "op10_line_dedup": op10_line_dedup, "op12_whitening": op12_whitening, "whitening_scatter": whitening_scatter}
+ORACLES = {"op1_decontamination": OP1_SQL, "op2_quality": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_urls": OP5_SQL, "op8_minhash": OP8_SQL, "op9_pii": OP9_SQL, "op10_line_dedup": OP10_SQL, "whitening_scatter": WHITENING_SCATTER_SQL}
