@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import decontam, langid, linedup, minhash, pieces, pii, quality, resharding, substring_dedup, urlgraph, whitening
+from rasterloom.llm import decontam, langid, linedup, minhash, pieces, pii, quality, resharding, substring_dedup, trie, urlgraph, whitening
 from rasterloom.storage import shared_dir
 
 #: A-Z and a-z, for folding ASCII letters alone.
@@ -263,5 +263,30 @@ SELECT (p.i - 1)::INT AS i, (p.j - 1)::INT AS j, l.n, l.s::VARCHAR AS sum_i, r.s
 FROM p JOIN s l ON l.i = p.i JOIN s r ON r.i = p.j
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_substring_dedup": op3_substring_dedup, "op4_langid": op4_langid, "op5_urls": op5_urls, "op6_pieces": op6_pieces, "op7_resharding": op7_resharding, "reshard_rewrite": reshard_rewrite, "op8_minhash": op8_minhash, "op9_pii": op9_pii, "op10_line_dedup": op10_line_dedup, "op12_whitening": op12_whitening, "whitening_scatter": whitening_scatter}
-ORACLES = {"op1_decontamination": OP1_SQL, "op2_quality": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_urls": OP5_SQL, "op8_minhash": OP8_SQL, "op9_pii": OP9_SQL, "op10_line_dedup": OP10_SQL, "whitening_scatter": WHITENING_SCATTER_SQL}
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 of a short ASCII text `s`, bit by bit.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, 8 * length(s)), lambda i: ((ascii(s[i // 8 + 1]) >> (i % 8)) & 1)::BIGINT)), lambda crc, bit: xor(crc >> 1, (xor(crc, bit) & 1) * 3988292384)), 4294967295)"
+
+OP13_SQL = f"""
+WITH t AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, role || chr(31) || length(text) || ':' || text AS k, strlen(text)::BIGINT AS b
+      FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS MATERIALIZED (SELECT conv_id AS c, conv_id - conv_id % 5 AS base, {_CRC32} % 9 AS h FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM t)),
+r AS MATERIALIZED (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, i) AS d, k, b FROM (
+      SELECT c, 0 AS part, i, k, b FROM c JOIN t ON t.conv_id = base AND i <= h UNION ALL SELECT c, 1, i, k, b FROM c JOIN t ON t.conv_id = c AND i > h)),
+p AS MATERIALIZED (SELECT c, d, b, sha256(string_agg(k, chr(30)) OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS key FROM r),
+q AS MATERIALIZED (SELECT c, 0 AS d, 0 AS b, '' AS key, NULL AS up FROM c UNION ALL SELECT c, d, b, key, coalesce(lag(key) OVER (PARTITION BY c ORDER BY d), '') FROM p),
+n AS MATERIALIZED (SELECT d, key, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(b) AS b FROM q GROUP BY 1, 2),
+kids AS (SELECT d - 1 AS d, up AS key, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+m AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (d, key)),
+sums AS (SELECT q.d, q.key, count(*) FILTER (m.n_children = 0) AS n_leaves, sum((m.n_convs - 1) * m.b)::BIGINT AS saved FROM m JOIN q ON q.c = m.conv_id AND q.d <= m.d GROUP BY 1, 2),
+ends AS (SELECT d, key, string_agg(c::VARCHAR, ',' ORDER BY c) AS names FROM q JOIN (SELECT c, max(d) AS d FROM q GROUP BY 1) USING (c, d) GROUP BY 1, 2)
+SELECT m.conv_id, m.d AS depth, above.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved AS saved_tokens, sha256(coalesce(names, '')) AS ends_sha256
+FROM m JOIN sums USING (d, key) LEFT JOIN ends USING (d, key) LEFT JOIN m above ON above.d = m.d - 1 AND above.key = m.up
+"""
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_quality": op2_quality, "op3_substring_dedup": op3_substring_dedup, "op4_langid": op4_langid, "op5_urls": op5_urls, "op6_pieces": op6_pieces, "op7_resharding": op7_resharding, "reshard_rewrite": reshard_rewrite, "op8_minhash": op8_minhash, "op9_pii": op9_pii, "op10_line_dedup": op10_line_dedup, "op12_whitening": op12_whitening, "op13_trie": op13_trie, "whitening_scatter": whitening_scatter}
+ORACLES = {"op1_decontamination": OP1_SQL, "op2_quality": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_urls": OP5_SQL, "op8_minhash": OP8_SQL, "op9_pii": OP9_SQL, "op10_line_dedup": OP10_SQL, "op13_trie": OP13_SQL, "whitening_scatter": WHITENING_SCATTER_SQL}
