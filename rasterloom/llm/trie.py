@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rasterloom.llm.joins import lookup, small
 from rasterloom.llm.textcore import lean, take
 from rasterloom.storage import only, written
 
@@ -37,30 +38,11 @@ from rasterloom.storage import only, written
 GROUP, MOST = 5, 9
 #: Places of a conversation or a path that are summed in one group.
 BLOCK = 4096
-#: A key that holds over 1/FEW of all rows is looked up by broadcast; there are fewer than FEW such keys.
-FEW = 4096
-#: Rows up to which a counted table is broadcast.
-SMALL = 100_000
 #: Conversation numbers, as a power of two, that are listed in one row.
 _LISTED = 10
 _KEY = ["d", "k0", "k1"]
 
 
-def lookup(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
-    """left joined with right, whose keys are unique and whose `weight` says how many left rows have each, of `total`.
-
-    Keys with more than total / FEW rows are fewer than FEW, and go to all tasks; so no task gets more of a key than that.
-    """
-    heavy = F.col(weight) * F.lit(FEW) > F.lit(total)
-    few, rest = F.broadcast(right.filter(heavy).drop(weight)), right.filter(~heavy).drop(weight)
-    return left.join(few, on).unionByName(left.join(F.broadcast(right.filter(heavy).select(*on)), on, "left_anti").join(rest, on))
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast, if the (written) table's counted rows allow it."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def running(rows: DataFrame, group: str, along: str, values: list[str], down: bool = False) -> DataFrame:
     """`values` as sums over the rows of a group up to each row, in the order of `along` (falling if `down`); (group, along) is unique.
 
@@ -72,7 +54,7 @@ def running(rows: DataFrame, group: str, along: str, values: list[str], down: bo
     totals = blocked.groupBy(group, "_block").agg(*(F.sum(v).alias(v) for v in values))
     before = totals.select(group, "_block", *(F.sum(v).over(so_far([group], "_block", -1)).alias(f"_before_{v}") for v in values)).filter(F.col(f"_before_{values[0]}").isNotNull())
     within = blocked.withColumns({v: F.sum(v).over(so_far([group, "_block"], along, 0)) for v in values})
-    joined = within.join(_small(written(before, "blocks")), [group, "_block"], "left")
+    joined = within.join(small(written(before, "blocks")), [group, "_block"], "left")
     return joined.withColumns({v: F.col(v) + F.coalesce(f"_before_{v}", F.lit(0)) for v in values}).drop("_block", *(f"_before_{v}" for v in values))
 
 
@@ -118,7 +100,7 @@ def turns(conversations: DataFrame) -> DataFrame:
     heads = ends.filter("head <> tail.conv_id").select(F.col("head").alias("conv_id"), "part", F.lit(0).cast("long").alias("n"))
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tails.union(heads).select("conv_id", "part", F.sum("n").over(before).alias("ahead")).filter("ahead > 0")
-    placed = local.withColumn("part", part).join(_small(written(offsets, "offsets")), ["conv_id", "part"], "left")
+    placed = local.withColumn("part", part).join(small(written(offsets, "offsets")), ["conv_id", "part"], "left")
     return placed.select("conv_id", (F.col("place") + F.coalesce("ahead", F.lit(0))).alias("place"), "t0", "t1", "n_bytes")
 
 

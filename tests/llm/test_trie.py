@@ -6,7 +6,7 @@ import zlib
 
 import pytest
 
-from rasterloom.llm import trie
+from rasterloom.llm import joins, trie
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -69,8 +69,8 @@ def test_random_conversations(spark):
 def test_small_blocks_and_crowded_keys(spark, monkeypatch):
     """Conversations that go over several blocks, keys beyond the share that is looked up by broadcast, and tables too large for it."""
     monkeypatch.setattr(trie, "BLOCK", 4)
-    monkeypatch.setattr(trie, "FEW", 5)
-    monkeypatch.setattr(trie, "SMALL", 1)
+    monkeypatch.setattr(joins, "FEW", 5)
+    monkeypatch.setattr(joins, "SMALL", 1)
     check(spark, _random(2, 40, 30, 3))
 
 
