@@ -33,12 +33,45 @@ def arrays(parts: list[np.ndarray], sql: str) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat).cast(_ARROW[sql]))
 
 
+def _schema(own, frame: ImageFrame, out: PixelType) -> T.StructType:
+    lists = [T.StructField(c, T.ArrayType(T._parse_datatype_string(out.sql))) for c in out.channels]
+    return T.StructType([own.schema["image_id"], T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), *(own.schema[c] for c in frame.carried), *lists])
+
+
+def per_stack(frame: ImageFrame, out: PixelType, function: Callable[[list[np.ndarray]], list[np.ndarray]], kind: str | None = None) -> ImageFrame:
+    """function(channels) of images of one size that come one after another, stacked: arrays of images x height x width.
+
+    Small images cost a few array operations for many of them; a stack has at most PIXELS pixels, or one image.
+    """
+    names, n = (*KEYS, *frame.carried), len(frame.pixel.channels)
+    own = frame.df.select(*names, *frame.pixel.channels)
+    schema = _schema(own, frame, out)
+    dtype = np.dtype(kind) if kind else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = [samples(batch.column(len(names) + k), dtype) for k in range(n)]
+            width, height = (np.asarray(batch.column(k)).astype(np.int64) for k in (1, 2))
+            area = np.cumsum(np.concatenate([[0], width * height]))
+            lo = 0
+            while lo < batch.num_rows:
+                w, h = int(width[lo]), int(height[lo])
+                other = np.flatnonzero((width[lo:] != w) | (height[lo:] != h))
+                hi = min(lo + int(other[0]) if len(other) else batch.num_rows, lo + max(1, PIXELS // max(w * h, 1)))
+                made = function([c[area[lo] : area[hi]].reshape(hi - lo, h, w) for c in flat])
+                sides = [pa.array(np.full(hi - lo, made[0].shape[k], np.int32)) for k in (2, 1)]
+                kept = [batch.column(k).slice(lo, hi - lo) for k in range(3, len(names))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *sides, *kept, *(arrays(list(m), out.sql) for m in made)], names=[f.name for f in schema.fields])
+                lo = hi
+
+    return ImageFrame(own.mapInArrow(run, schema), out, frame.carried)
+
+
 def per_image(frame: ImageFrame, out: PixelType, function: Callable[[object, list[np.ndarray]], list[np.ndarray]], kind: str | None = None) -> ImageFrame:
     """function(image_id, channels) of every image, its channels as height x width arrays; what it gives must be arrays of one size."""
     names, n = (*KEYS, *frame.carried), len(frame.pixel.channels)
     own = frame.df.select(*names, *frame.pixel.channels)
-    lists = [T.StructField(c, T.ArrayType(T._parse_datatype_string(out.sql))) for c in out.channels]
-    schema = T.StructType([own.schema["image_id"], T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), *(own.schema[c] for c in frame.carried), *lists])
+    schema = _schema(own, frame, out)
     dtype = np.dtype(kind) if kind else None
 
     def sent(part: pa.RecordBatch, made: list[list[np.ndarray]]) -> pa.RecordBatch:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from rasterloom.frame import ImageFrame
 from rasterloom.operators import neighborhood as n
-from rasterloom.operators.neighborhood import Border, Kernel, SeparableKernel, output_size, weighted_sum, window
+from rasterloom.operators.engine import WeightedSum, folded
+from rasterloom.operators.neighborhood import Border, Kernel, SeparableKernel, fold_neighborhood, in_rows, output_size, weighted_sum, window
 from rasterloom.pixel import PixelType, pixel_type
 
 
@@ -15,8 +16,10 @@ def correlate(frame: ImageFrame, kernel: Kernel, border: Border, pixel: str | Pi
     """
     p = frame.pixel
     p.require_linear("a weighted sum")
-    out = pixel_type(pixel) if pixel is not None else p.accumulator()
-    fold = weighted_sum(p.channel.accumulator, finite=p.max is not None)
+    out, kind, finite = pixel_type(pixel) if pixel is not None else p.accumulator(), p.channel.accumulator, p.max is not None
+    if border.in_engine:
+        return fold_neighborhood(frame, kernel, border, WeightedSum(kind, finite, out), out)
+    fold = weighted_sum(kind, finite)
     columns = {o: window(frame, kernel, border, c, lambda taps, _: out.from_linear(fold(taps))) for c, o in zip(p.channels, out.channels, strict=True)}
     return frame.with_channels(columns, out, *output_size(border, kernel))
 
@@ -28,9 +31,16 @@ def convolve(frame: ImageFrame, kernel: Kernel, border: Border, pixel: str | Pix
 
 def convolve_separable(frame: ImageFrame, kernel: SeparableKernel, border: Border, pixel: str | PixelType | None = None) -> ImageFrame:
     """A row pass, then a column pass on its float result; the border applies to each."""
-    out = pixel_type(pixel) if pixel is not None else frame.pixel.accumulator()
-    rows = convolve(frame, kernel.horizontal, border)
-    return convolve(rows, kernel.vertical, border, out)
+    p = frame.pixel
+    p.require_linear("a weighted sum")
+    between = p.accumulator()
+    out = pixel_type(pixel) if pixel is not None else between
+    if not border.in_engine:
+        return convolve(convolve(frame, kernel.horizontal, border), kernel.vertical, border, out)
+    turned, kind = kernel.flipped(), p.channel.accumulator
+    first, second = WeightedSum(kind, p.max is not None, between), WeightedSum(kind, False, out)
+    # the second pass pads the float result with the same value
+    return in_rows(frame, border, out, lambda own, fill: folded(folded(own, turned.horizontal, border, fill, first), turned.vertical, border, fill, second))
 
 
 def box_blur_3x3(frame: ImageFrame, border: Border) -> ImageFrame:

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rasterloom.frame import KEYS, ImageFrame
+from rasterloom.operators import ranks
 from rasterloom.operators.combine import PixelSubtract
-from rasterloom.operators.neighborhood import Border, Kernel, map_neighborhood, require_full
+from rasterloom.operators.neighborhood import Border, Kernel, in_rows, map_neighborhood, require_full
 
 
 def _extreme(frame: ImageFrame, mask: Kernel, border: Border, pick, what: str) -> ImageFrame:
     frame.pixel.require_ordered(what)
+    if border.in_engine:
+        least = np.minimum if pick is F.least else np.maximum
+        return in_rows(frame, border, frame.pixel, lambda own, fill: ranks.extreme(own, mask, border, fill, least))
 
     def op(centre: Column, taps: list) -> Column:
         samples = [s for *_, s in taps]
@@ -74,6 +79,9 @@ def median_filter(frame: ImageFrame, mask: Kernel, border: Border) -> ImageFrame
     frame.pixel.require_ordered("median_filter")
     if not any(mask.data):
         raise ValueError("a median needs an active cell")
+    if border.in_engine:
+        is_bytes = frame.pixel.channel.name == "u8"
+        return in_rows(frame, border, frame.pixel, lambda own, fill: ranks.median(own, mask, border, fill, is_bytes))
 
     def op(centre: Column, taps: list) -> Column:
         return F.get(F.array_sort(F.array(*(s for *_, s in taps))), len(taps) // 2)

@@ -1,8 +1,9 @@
-"""Neighbourhoods: kernels, border policies, and the two engines that everything windowed rides on.
+"""Neighbourhoods: kernels, border policies, and the two ways in which windowed operators are run.
 
-Taps are array reads: for every output pixel each active kernel cell becomes `get(channel, index)`, its index mapped
-by the border policy. Cells are laid out when the plan is built, in row-major order, so float sums add up in that
-order, and the whole is one narrow projection.
+Those that accumulate (operators.engine) run kernel cells outside and whole rows inside, on arrays padded by the border
+policy. A closure of Columns gets array reads instead: for every output pixel each active kernel cell becomes
+`get(channel, index)`, its index mapped by the border policy. Cells come in row-major order in both, so float sums add
+up in that order, and both are one narrow step.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rasterloom.errors import BorderError
 from rasterloom.frame import ImageFrame, bound, grid
+from rasterloom.operators import engine
+from rasterloom.operators.arrays import per_stack
 from rasterloom.pixel import PixelType, pixel_type
 
 
@@ -131,6 +135,20 @@ class Border:
         """The value of pixels outside, if they have one."""
         return None
 
+    def locate(self, at: np.ndarray, n: int) -> np.ndarray:
+        """`place` for arrays of coordinates; a policy that has it runs in the engine."""
+        raise NotImplementedError
+
+    def fill(self, p: PixelType, channel: str) -> object | None:
+        """`outside` as a plain value."""
+        return None
+
+    @property
+    def in_engine(self) -> bool:
+        """Whether what `place` and `outside` say is said for arrays too."""
+        kind = type(self)
+        return (kind.locate is not Border.locate or kind.fill is not Border.fill) and (kind.outside is Border.outside or kind.fill is not Border.fill)
+
 
 class Skip(Border):
     """Only pixels whose whole neighbourhood lies inside; the result shrinks and starts at (0, 0) again."""
@@ -140,6 +158,9 @@ class Skip(Border):
     def place(self, at, n):
         return at
 
+    def locate(self, at, n):
+        return at
+
 
 class ClampBorder(Border):
     """The nearest pixel of the edge."""
@@ -147,6 +168,9 @@ class ClampBorder(Border):
     def place(self, at, n):
         return F.least(F.greatest(at, F.lit(0)), n - 1)
 
+    def locate(self, at, n):
+        return np.clip(at, 0, n - 1)
+
 
 class Mirror(Border):
     """Reflection that does not repeat the edge."""
@@ -156,6 +180,10 @@ class Mirror(Border):
         folded = F.pmod(at, period)
         return F.when(n == 1, 0).otherwise(F.least(folded, period - folded))
 
+    def locate(self, at, n):
+        period = max(2 * (n - 1), 1)
+        return np.minimum(at % period, period - at % period) if n > 1 else np.zeros_like(at)
+
 
 class Wrap(Border):
     """The opposite side."""
@@ -163,6 +191,9 @@ class Wrap(Border):
     def place(self, at, n):
         return F.pmod(at, n)
 
+    def locate(self, at, n):
+        return at % n
+
 
 @dataclass(frozen=True)
 class Constant(Border):
@@ -173,9 +204,15 @@ class Constant(Border):
     def place(self, at, n):
         return at
 
+    def _own(self, p: PixelType, channel: str) -> object:
+        return self.value[p.channels.index(channel)] if isinstance(self.value, tuple | list) else self.value
+
     def outside(self, p, channel):
-        v = self.value[p.channels.index(channel)] if isinstance(self.value, tuple | list) else self.value
-        return F.lit(v).cast(p.sql)
+        return F.lit(self._own(p, channel)).cast(p.sql)
+
+    def fill(self, p, channel):
+        v = self._own(p, channel)
+        return bool(v) if p.sql == "boolean" else int(v) if p.channel.integral else float(v)
 
 
 def require_full(border: Border, what: str) -> None:
@@ -221,25 +258,34 @@ def window(frame: ImageFrame, kernel: Kernel, border: Border, channel: str, valu
     return bound(F.col(channel), lambda own: grid(ow, oh, lambda x, y: at(own, x, y)))
 
 
-def fold_neighborhood(frame: ImageFrame, kernel: Kernel, border: Border, fold: Callable[[list[Tap]], Column], pixel: str | PixelType) -> ImageFrame:
-    """Each channel's weighted neighbourhood folded by one's own function of the ordered taps."""
+def in_rows(frame: ImageFrame, border: Border, pixel: str | PixelType, step: Callable[[np.ndarray, object], np.ndarray]) -> ImageFrame:
+    """step(channel, fill) of every channel of images of one size, stacked, where they lie; `fill` is what the border has outside, if anything."""
+    if not border.in_engine:
+        raise BorderError(f"{type(border).__name__} does not say where arrays of coordinates lie")
+    out, fills = pixel_type(pixel), [border.fill(frame.pixel, c) for c in frame.pixel.channels]
+    return per_stack(frame, out, lambda channels: [step(own, fill) for own, fill in zip(channels, fills, strict=True)])
+
+
+def fold_neighborhood(frame: ImageFrame, kernel: Kernel, border: Border, fold: engine.FoldOp | Callable[[list[Tap]], Column], pixel: str | PixelType) -> ImageFrame:
+    """Each channel's weighted neighbourhood folded by one's own accumulator, or by a function of the ordered taps."""
     p = pixel_type(pixel)
+    if isinstance(fold, engine.FoldOp):
+        return in_rows(frame, border, p, lambda own, fill: engine.folded(own, kernel, border, fill, fold))
     columns = {o: window(frame, kernel, border, c, lambda taps, _: fold(taps).cast(p.sql)) for c, o in zip(frame.pixel.channels, p.channels, strict=True)}
     return frame.with_channels(columns, p, *output_size(border, kernel))
 
 
-def map_neighborhood(frame: ImageFrame, mask: Kernel, border: Border, op: Callable[[Column, list[Tap]], Column], pixel: str | PixelType | None = None) -> ImageFrame:
-    """Each channel's masked neighbourhood, with its centre, through one's own function."""
+def map_neighborhood(frame: ImageFrame, mask: Kernel, border: Border, op: engine.MapOp | Callable[[Column, list[Tap]], Column], pixel: str | PixelType | None = None) -> ImageFrame:
+    """Each channel's masked neighbourhood, with its centre, through one's own accumulator or function."""
     p = pixel_type(pixel) if pixel is not None else frame.pixel
+    if isinstance(op, engine.MapOp):
+        return in_rows(frame, border, p, lambda own, fill: engine.mapped(own, mask, border, fill, op))
     columns = {o: window(frame, mask, border, c, lambda taps, centre: op(centre, taps).cast(p.sql), bool) for c, o in zip(frame.pixel.channels, p.channels, strict=True)}
     return frame.with_channels(columns, p, *output_size(border, mask))
 
 
 def weighted_sum(kind: str, finite: bool = True) -> Callable[[list[Tap]], Column]:
-    """Sum of weight * sample in the accumulator's type, in the taps' order.
-
-    Where samples are `finite` zero weights change nothing and are left out; zero times NaN or infinity is NaN.
-    """
+    """engine.WeightedSum as a function of taps, for borders that only place Columns."""
 
     def fold(taps: list[Tap]) -> Column:
         parts = [s.cast(kind) * F.lit(float(w)).cast(kind) for _, _, w, s in taps if w or not finite]
