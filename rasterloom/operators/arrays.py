@@ -14,7 +14,7 @@ from rasterloom.pixel import PixelType
 
 #: Pixels of results that are handed on together.
 PIXELS = 1 << 20
-_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_(), "tinyint": pa.int8(), "smallint": pa.int16(), "decimal(20,0)": pa.decimal128(20, 0)}
+ARROW = {"int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_(), "tinyint": pa.int8(), "smallint": pa.int16(), "decimal(20,0)": pa.decimal128(20, 0)}
 
 
 def samples(lists: pa.Array, kind: np.dtype | None = None) -> np.ndarray:
@@ -30,7 +30,7 @@ def arrays(parts: list[np.ndarray], sql: str) -> pa.Array:
     """A column of arrays with a channel's SQL type."""
     sizes = np.array([p.size for p in parts], dtype=np.int64)
     flat = np.concatenate([p.ravel() for p in parts]) if parts else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat).cast(_ARROW[sql]))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat).cast(ARROW[sql]))
 
 
 def _schema(own, frame: ImageFrame, out: PixelType) -> T.StructType:

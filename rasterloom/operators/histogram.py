@@ -1,7 +1,7 @@
-"""Histograms, Otsu thresholds and equalisation: group-bys on (image, channel, bin) and windows over at most a few bins.
+"""Histograms, Otsu thresholds and equalisation.
 
-Counting aggregates before it shuffles, so a shuffle carries one row for each bin an executor has seen, whatever the
-images' size.
+Images of a frame are counted where they lie, all bins at once, without a shuffle; masks and equalisation look their values up in
+the same step. Samples given as rows are counted by a group-by, before they are shuffled.
 """
 
 from __future__ import annotations
@@ -10,13 +10,17 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from rasterloom.errors import InvalidBinningStrategy, PixelTypeError
-from rasterloom.frame import KEYS, ImageFrame
-from rasterloom.operators.planes import long_form
+from rasterloom.frame import ImageFrame
+from rasterloom.operators.arrays import PIXELS, per_image
 from rasterloom.pixel import PixelType, pixel_type
 
 NAN, UNDERFLOW, OVERFLOW = -1, -2, -3
@@ -110,20 +114,46 @@ def histogram_samples(samples: DataFrame, strategy: BinningStrategy) -> DataFram
     return samples.groupBy("image_id", "channel", strategy.bin(F.col("v")).alias("bin")).agg(F.count("*").alias("count"))
 
 
-def histogram(frame: ImageFrame, strategy: BinningStrategy) -> DataFrame:
-    """image_id, channel, bin, count for every bin of every channel, empty bins too."""
+#: Codes below 0 that a count has room for; the last stands for values without a bin.
+_CODES = 4
+
+
+def _counted(frame: ImageFrame, strategy: BinningStrategy) -> DataFrame:
+    """(image_id, channel, counts) of every image where it lies: counts of the _CODES, the lowest first, then of all bins."""
     strategy.check(frame.pixel)
-    counted = histogram_samples(long_form(frame), strategy).filter("bin >= 0")
-    channels = F.explode(F.sequence(F.lit(0), F.lit(len(frame.pixel.channels) - 1))).alias("channel")
-    every = frame.df.select("image_id", channels).select("image_id", "channel", F.explode(F.sequence(F.lit(0), F.lit(strategy.count - 1))).alias("bin"))
-    return every.join(counted, ["image_id", "channel", "bin"], "left").select("image_id", "channel", "bin", F.coalesce("count", F.lit(0)).alias("count"))
+    names, slots = frame.pixel.channels, _CODES + strategy.count
+    bins = [F.transform(c, lambda v: F.coalesce(strategy.bin(v), F.lit(-_CODES)).cast("int")).alias(f"_{k}") for k, c in enumerate(names)]
+    own = frame.df.select("image_id", *bins)
+    schema = T.StructType([own.schema["image_id"], T.StructField("channel", T.IntegerType()), T.StructField("counts", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(len(names)):
+                lists = batch.column(1 + k)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
+                step = max(1, PIXELS // slots)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                for lo in range(0, batch.num_rows, step):
+                    hi = min(lo + step, batch.num_rows)
+                    image = np.repeat(np.arange(hi - lo), sizes[lo:hi])
+                    counts = np.bincount(image * slots + flat[ends[lo] : ends[hi]] + _CODES, minlength=(hi - lo) * slots)
+                    lists_out = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * slots), pa.array(counts.astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.full(hi - lo, k, np.int32)), lists_out], names=["image_id", "channel", "counts"])
+
+    return own.mapInArrow(run, schema)
+
+
+def histogram(frame: ImageFrame, strategy: BinningStrategy) -> DataFrame:
+    """image_id, channel, bin, count for every bin of every channel, empty bins too. No shuffle: an image is counted where it lies."""
+    return _counted(frame, strategy).select("image_id", "channel", F.posexplode(F.slice("counts", _CODES + 1, strategy.count)).alias("bin", "count"))
 
 
 def outliers(frame: ImageFrame, strategy: BinningStrategy) -> DataFrame:
-    """image_id, channel, nan_count, underflow_count, overflow_count, total_count (outliers included)."""
-    strategy.check(frame.pixel)
-    of = lambda code, name: F.sum(F.when(F.col("bin") == code, F.col("count")).otherwise(0)).alias(name)
-    return histogram_samples(long_form(frame), strategy).groupBy("image_id", "channel").agg(of(NAN, "nan_count"), of(UNDERFLOW, "underflow_count"), of(OVERFLOW, "overflow_count"), F.sum("count").alias("total_count"))
+    """image_id, channel, nan_count, underflow_count, overflow_count, total_count (outliers included), for images with pixels."""
+    of = lambda code, name: F.get("counts", _CODES + code).alias(name)
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n).alias("total_count")
+    return _counted(frame, strategy).select("image_id", "channel", of(NAN, "nan_count"), of(UNDERFLOW, "underflow_count"), of(OVERFLOW, "overflow_count"), total).filter("total_count > 0")
 
 
 def _by_bin():
@@ -161,16 +191,25 @@ def otsu_thresholds(hist: DataFrame) -> DataFrame:
     return scored.groupBy("image_id", "channel").agg((-top["neg"]).cast("int").alias("threshold"))
 
 
+def _threshold(counts: np.ndarray) -> int:
+    """otsu_thresholds for one channel's counts; 0 where it has none."""
+    w0, s0 = np.cumsum(counts), np.cumsum(counts * np.arange(len(counts)))
+    w1, s = w0[-1] - w0, s0[-1]
+    some = (w0 > 0) & (w1 > 0)
+    if not some.any():
+        return 0
+    with np.errstate(all="ignore"):
+        gap = s0 / w0.astype(np.float64) - (s - s0) / w1.astype(np.float64)
+        variance = np.where(some, w0.astype(np.float64) * w1.astype(np.float64) * gap * gap, -1.0)
+    return int(np.argmax(variance))
+
+
 def otsu_binary_mask(frame: ImageFrame) -> ImageFrame:
-    """Pixels above their image's threshold (0 where it has none); single-channel 8-bit images."""
+    """Pixels above their image's threshold (0 where it has none); single-channel 8-bit images. Counted and masked where they lie."""
     if len(frame.pixel.channels) != 1:
         raise PixelTypeError("an Otsu mask needs one channel")
-    strategy = NaturalBins()
-    strategy.check(frame.pixel)
-    found = otsu_thresholds(histogram_samples(long_form(frame), strategy)).select("image_id", F.col("threshold").alias("_t0"))
-    c = frame.pixel.channels[0]
-    joined = frame.df.join(found, "image_id", "left").withColumn("_t", F.coalesce("_t0", F.lit(0)))
-    return ImageFrame(joined.select(*KEYS, F.transform(c, lambda v: v > F.col("_t")).alias("v")), pixel_type("Bool"))
+    NaturalBins().check(frame.pixel)
+    return per_image(frame, pixel_type("Bool"), lambda _, channels: [channels[0] > _threshold(np.bincount(channels[0].ravel(), minlength=256))])
 
 
 def equalization_luts(hist: DataFrame) -> DataFrame:
@@ -184,17 +223,17 @@ def equalization_luts(hist: DataFrame) -> DataFrame:
     return rows.select("image_id", "channel", "bin", F.when(flat, F.col("bin")).otherwise(F.least(level, F.lit(255.0)).cast("int")).alias("value"))
 
 
-def equalize_image(frame: ImageFrame) -> ImageFrame:
-    """Every channel through its own table. Tables are gathered to one array an image, so pixels are joined whole."""
-    strategy = NaturalBins()
-    strategy.check(frame.pixel)
-    luts = equalization_luts(histogram_samples(long_form(frame), strategy))
-    # every value that a pixel has is an occupied bin; the rest of a table is never read
-    pairs = luts.groupBy("image_id", "channel").agg(F.map_from_entries(F.collect_list(F.struct("bin", "value"))).alias("m"))
-    tables = pairs.select("image_id", "channel", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.col("m")[i]).alias("t"))
-    tables = tables.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("channel", "t"))).alias("_t"))
-    joined = frame.df.join(tables, "image_id", "left")
-    columns = [F.get(F.transform(F.array(F.col("_t")[k]), lambda t: F.transform(c, lambda v: F.get(t, v))), 0).alias(c) for k, c in enumerate(frame.pixel.channels)]  # noqa: B023
-    return ImageFrame(joined.select(*KEYS, *columns), frame.pixel)
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """equalization_luts for one channel's counts."""
+    cdf = np.cumsum(counts)
+    n, least = cdf[-1], int(cdf[cdf > 0][0]) if cdf[-1] else 0
+    if n <= least:
+        return np.arange(len(counts), dtype=np.int32)
+    level = np.maximum(cdf - least, 0).astype(np.float64) * 255.0 / float(n - least)
+    return np.minimum(np.floor(level) + (level - np.floor(level) >= 0.5), 255).astype(np.int32)
 
 
+def equalize_image(frame: ImageFrame) -> ImageFrame:
+    """Every channel through its own table. Counted and looked up where the image lies."""
+    NaturalBins().check(frame.pixel)
+    return per_image(frame, frame.pixel, lambda _, channels: [_levels(np.bincount(c.ravel(), minlength=256))[c] for c in channels])

@@ -1,8 +1,9 @@
 """Template matching: a score for every place where the template lies inside the image.
 
 The template is a value of the driver (it is small by nature). The named methods pass over its samples one by one, each
-for all places of an image at once; a method of one's own is an expression over array reads, its samples literals of the
-plan.
+for all places of an image at once. Larger templates of integer pixels take two of them another way: sums of samples and of their squares
+come from integral tables, cross products from Fourier transforms of tiles, rounded to the integers that they are, so both ways give
+the same scores. A method of one's own is an expression over array reads, its samples literals of the plan.
 """
 
 from __future__ import annotations
@@ -55,9 +56,19 @@ class SAD(_Scanned):
         return total
 
 
-class SSD(_Scanned):
+class _Tabled(_Scanned):
+    """A score that follows from sums over the pairs: their number, t, t^2, i, i^2 and i t."""
+
+    def of_sums(self, n: float, t1: float, t2: float, s1: np.ndarray, s2: np.ndarray, cross: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+
+class SSD(_Tabled):
     """Sum of squared differences."""
 
+    def of_sums(self, n, t1, t2, s1, s2, cross):
+        return s2 - 2.0 * cross + t2
+
     def scan(self, pairs):
         total = 0.0
         for i, t in pairs:
@@ -65,13 +76,16 @@ class SSD(_Scanned):
         return total
 
 
-class NCC(_Scanned):
+class NCC(_Tabled):
     """Normalised cross-correlation; 0 where either side has next to no variance, NaN where rounding makes it negative."""
 
     def scan(self, pairs):
         n, t1, t2, s1, s2, cross = 0.0, 0.0, 0.0, 0.0, 0.0, 0.0
         for i, t in pairs:
             n, t1, t2, s1, s2, cross = n + 1.0, t1 + t, t2 + t * t, s1 + i, s2 + i * i, cross + i * t
+        return self.of_sums(n, t1, t2, s1, s2, cross)
+
+    def of_sums(self, n, t1, t2, s1, s2, cross):
         mean = s1 / n
         spread = (s2 / n - mean * mean) * (t2 / n - (t1 / n) * (t1 / n))
         root = np.sqrt(np.maximum(spread, 0.0))
@@ -79,6 +93,51 @@ class NCC(_Scanned):
         return np.where(spread < 0, np.nan, score)
 
 
+#: Template samples from which tables and transforms are used; side of the tiles that are transformed.
+TABLED, TILE = 64, 1024
+
+
+def window_sums(values: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Sums of integers over all windows, from their integral table."""
+    table = np.zeros((values.shape[0] + 1, values.shape[1] + 1), np.int64)
+    np.cumsum(values, axis=1, out=table[1:, 1:])
+    np.cumsum(table, axis=0, out=table)
+    return table[height:, width:] - table[:-height, width:] - table[height:, :-width] + table[:-height, :-width]
+
+
+def _bytes_correlated(image: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """Sums of products of 8-bit samples at all places: tiles are transformed, and the results, off by far less than a half, rounded."""
+    th, tw = shape.shape
+    oh, ow = image.shape[0] - th + 1, image.shape[1] - tw + 1
+    side = lambda own, part: 1 << min(max(TILE, 2 * part) - 1, own - 1).bit_length()
+    fy, fx = side(image.shape[0], th), side(image.shape[1], tw)
+    other = np.conj(np.fft.rfft2(shape, (fy, fx)))
+    out = np.empty((oh, ow), np.int64)
+    for y in range(0, oh, fy - th + 1):
+        for x in range(0, ow, fx - tw + 1):
+            found = np.fft.irfft2(np.fft.rfft2(image[y : y + fy, x : x + fx], (fy, fx)) * other, (fy, fx))
+            h, w = min(fy - th + 1, oh - y), min(fx - tw + 1, ow - x)
+            out[y : y + h, x : x + w] = np.rint(found[:h, :w])
+    return out
+
+
+def cross_products(image: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """Sums of image * template at all places, for samples of up to 16 bits: by bytes, each exact."""
+    digits = lambda a: [a & 255, a >> 8] if a.max(initial=0) > 255 else [a]
+    return sum(_bytes_correlated(i, t) << (8 * (j + k)) for j, i in enumerate(digits(image)) for k, t in enumerate(digits(shape)))
+
+
+def _by_tables(method: _Tabled, channels: list[np.ndarray], template: Template) -> np.ndarray:
+    size = template.size
+    shapes = [np.array(c, np.int64).reshape(size.height, size.width) for c in template.channels]
+    whole = [c.astype(np.int64) for c in channels]
+    s1 = sum(window_sums(c, size.height, size.width) for c in whole)
+    s2 = sum(window_sums(c * c, size.height, size.width) for c in whole)
+    cross = sum(cross_products(c, t) for c, t in zip(whole, shapes, strict=True))
+    sums = [sum(int((t**k).sum()) for t in shapes) for k in (1, 2)]
+    return method.of_sums(float(size.area * len(shapes)), *map(float, sums), *(a.astype(np.float64) for a in (s1, s2, cross)))
+
+
 def check_template(image: Size, template: Size) -> None:
     """For sizes known beforehand."""
     if template.width > image.width or template.height > image.height:
@@ -92,11 +151,17 @@ def match_template(frame: ImageFrame, template: Template, method: MatchMethod) -
         raise PixelTypeError(f"the template does not have the linear channels of {p.name}")
     size, out = template.size, pixel_type("MonoF32")
     if isinstance(method, _Scanned):
+        # whole numbers throughout, below what a double holds exactly
+        whole = p.max is not None and p.max < 1 << 16 and all(float(t).is_integer() and 0 <= t <= p.max for c in template.channels for t in c)
+        tabled = isinstance(method, _Tabled) and whole and size.area >= TABLED and 4 * size.area * len(p.channels) * p.max**2 < 1 << 53
 
         def scanned(image: object, channels: list[np.ndarray]) -> list[np.ndarray]:
             oh, ow = channels[0].shape[0] - size.height + 1, channels[0].shape[1] - size.width + 1
             if oh < 1 or ow < 1:
                 raise TemplateTooLarge(f"TemplateTooLarge: image {image}")
+            if tabled:
+                with np.errstate(all="ignore"):
+                    return [np.asarray(_by_tables(method, channels, template)).astype(np.float32)]
             places = ((ty, tx, k) for ty in range(size.height) for tx in range(size.width) for k in range(len(channels)))
             pairs = ((channels[k][ty : ty + oh, tx : tx + ow], float(template.channels[k][ty * size.width + tx])) for ty, tx, k in places)
             with np.errstate(all="ignore"):
