@@ -4,9 +4,9 @@ Pixels are joined to runs within rows; runs of neighbouring rows that touch are
 raster order of their first pixels.
 
 An image is one row of a frame, so by default its runs are found and joined where that row lies: numpy on Arrow
-batches, all images of a batch at once, no shuffle. For masks too large to be labelled in one task,
-`distributed=True` iterates on one row a run instead: labels spread along edges while each also jumps to its label's
-label, so rounds grow with the logarithm of a component's length.
+batches, all images of a batch at once, no shuffle. Masks too large for that (pixel rows, or `distributed=True`) are cut into
+tiles: each tile is labelled on its own, components that touch across tile edges are edges of a graph, that graph is contracted, and
+what it says is joined back to the tiles' components. Rounds depend on what crosses tile edges, not on pixels or runs.
 """
 
 from __future__ import annotations
@@ -22,42 +22,18 @@ from pyspark.sql.window import Window
 
 from rasterloom.errors import LabelOverflow, PixelTypeError
 from rasterloom.frame import ImageFrame, exploded
+from rasterloom.joins import small
 from rasterloom.pixel import MAX_LABEL
-from rasterloom.storage import discard, written
+from rasterloom.storage import discard, only, written
 
 CONNECTIVITY_4, CONNECTIVITY_8 = 0, 1
-MAX_ROUNDS = 200
-
-
-def runs(mask: ImageFrame) -> DataFrame:
-    """image_id, y, x0, x1, run (the raster index of its first pixel) of every stretch of true pixels."""
-    if mask.pixel.name != "Bool":
-        raise PixelTypeError(f"components need a binary image, not {mask.pixel.name}")
-    on = exploded(mask.df.select("image_id", "width", F.posexplode_outer("v").alias("_i", "v"))).filter("v")
-    return _stretches(on.select("image_id", "width", (F.col("_i") % F.col("width")).alias("x"), F.floor(F.col("_i") / F.col("width")).cast("int").alias("y")))
-
-
-def runs_of_pixels(pixels: DataFrame, images: DataFrame) -> DataFrame:
-    """The same, of masks given as pixel rows (image_id, x, y, v) and sizes; rows of false pixels may be absent."""
-    return _stretches(pixels.filter("v").select("image_id", "x", "y").join(images.select("image_id", "width"), "image_id"))
-
-
-def _stretches(on: DataFrame) -> DataFrame:
-    order = Window.partitionBy("image_id", "y").orderBy("x")
-    marked = on.withColumn("g", F.col("x") - F.row_number().over(order))
-    return marked.groupBy("image_id", "y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.first("width").alias("width")).select("image_id", "y", "x0", "x1", (F.col("y").cast("bigint") * F.col("width") + F.col("x0")).alias("run"))
-
-
-def touching(found: DataFrame, connectivity: int) -> DataFrame:
-    """(image_id, a, b): runs of adjacent rows that touch, the upper one first."""
-    up = found.select("image_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("run").alias("a"))
-    near = (F.col("u0") <= F.col("x1") + connectivity) & (F.col("x0") <= F.col("u1") + connectivity)
-    return found.join(up, ["image_id", "y"]).filter(near).select("image_id", "a", F.col("run").alias("b"))
+#: Side of the tiles that are labelled on their own.
+TILE = 512
 
 
 @dataclass(frozen=True)
 class Labeling:
-    """`labelled_runs`: image_id, y, x0, x1, label. `images`: the sizes."""
+    """`labelled_runs`: image_id, y, x0, x1, label; a run that crosses a tile's edge is told in parts. `images`: the sizes."""
 
     labelled_runs: DataFrame
     images: DataFrame
@@ -163,45 +139,94 @@ def _numbered(rooted: DataFrame) -> DataFrame:
     return rooted.join(labels, ["image_id", "root"]).select("image_id", "run", "label")
 
 
-def _labelled_apart(every: DataFrame, connectivity: int, max_label: int) -> DataFrame:
-    """Labels of runs by joins on runs and edges; no task holds more than a few rows of an image."""
-    found = written(every, "runs")
-    edges = written(touching(found, connectivity), "edges")
-    # provisional labels: runs without a run above
-    fresh = found.join(edges.select("image_id", F.col("b").alias("run")).distinct(), ["image_id", "run"], "left_anti").groupBy("image_id").count().agg(F.max("count")).first()[0]
-    check_labels(fresh or 0, max_label)
-    both = edges.union(edges.select("image_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    now, last = found.select("image_id", "run", F.col("run").alias("root")), None
-    for _ in range(MAX_ROUNDS):
-        lowest = both.join(now.select("image_id", F.col("run").alias("b"), "root"), ["image_id", "b"]).groupBy("image_id", F.col("a").alias("run")).agg(F.min("root").alias("seen"))
-        moved = now.join(lowest, ["image_id", "run"], "left").select("image_id", "run", "root", F.least("root", F.coalesce("seen", "root")).alias("next"))
-        # a root that has moved takes its followers along
-        jump = moved.filter("run <> next").select("image_id", F.col("run").alias("next"), F.col("next").alias("further"))
-        after = written(moved.join(jump, ["image_id", "next"], "left").select("image_id", "run", "root", F.coalesce("further", "next").alias("next")), "labels")
-        if last is not None:
-            discard(last)
-        last, changed = after, not after.filter("root <> next").isEmpty()
-        now = after.select("image_id", "run", F.col("next").alias("root"))
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"labels did not settle in {MAX_ROUNDS} rounds")
-    rooted = found.join(now, ["image_id", "run"])
-    out = written(found.join(_numbered(rooted), ["image_id", "run"]).select("image_id", "y", "x0", "x1", "label"), "labelled")
-    discard(found, edges, last)
+def _tile_runs(on: DataFrame, connectivity: int, side: int) -> DataFrame:
+    """(image_id, y, x0, x1, run, root) of the runs of every tile, from true pixels (image_id, x, y, width).
+
+    `run` is the raster index of a run's first pixel in its image, `root` that of the first run of its component within the tile.
+    """
+    tiles = on.select("image_id", F.floor(F.col("x") / side).alias("tx"), F.floor(F.col("y") / side).alias("ty"), "x", "y", "width")
+    schema = T.StructType([on.schema["image_id"], *(T.StructField(c, T.IntegerType()) for c in ("y", "x0", "x1")), T.StructField("run", T.LongType()), T.StructField("root", T.LongType())])
+
+    def labelled(tile: pa.Table) -> pa.Table:
+        left, top, width = (int(tile[c][0].as_py()) for c in ("tx", "ty", "width"))
+        x, y = (np.asarray(tile[c]).astype(np.int64) for c in ("x", "y"))
+        mask = np.zeros((side, side), bool)
+        mask[y - top * side, x - left * side] = True
+        _, row, x0, x1, label = _label_batch(np.array([side]), np.array([side]), mask.ravel(), connectivity, MAX_LABEL)
+        row, x0, x1 = row + top * side, x0 + left * side, x1 + left * side
+        run = row * width + x0
+        _, firsts = np.unique(label, return_index=True)
+        root = run[firsts][label - 1]
+        ids = tile["image_id"].combine_chunks().take(pa.array(np.zeros(len(run), np.int64)))
+        return pa.Table.from_arrays([ids, *(pa.array(c, type=pa.int32()) for c in (row, x0, x1)), pa.array(run), pa.array(root)], names=[f.name for f in schema.fields])
+
+    return tiles.groupBy("image_id", "tx", "ty").applyInArrow(labelled, schema)
+
+
+def _crossings(found: DataFrame, connectivity: int, side: int) -> DataFrame:
+    """(image_id, a, b): roots of runs that touch across an edge between tiles, each pair once, the larger first."""
+    near = lambda at: F.explode(F.sequence(F.col(at) - connectivity, F.col(at) + connectivity)).alias(at)
+    east = found.filter(F.pmod("x1", F.lit(side)) == side - 1).select("image_id", (F.col("x1") + 1).alias("x"), near("y"), F.col("root").alias("p"))
+    west = found.filter(F.pmod("x0", F.lit(side)) == 0).select("image_id", F.col("x0").alias("x"), "y", F.col("root").alias("q"))
+    cells = F.explode(F.sequence("x0", "x1")).alias("x")
+    low = found.filter(F.pmod("y", F.lit(side)) == side - 1).select("image_id", cells, "y", "root").select("image_id", near("x"), (F.col("y") + 1).alias("y"), F.col("root").alias("p"))
+    high = found.filter(F.pmod("y", F.lit(side)) == 0).select("image_id", cells, "y", F.col("root").alias("q"))
+    met = east.join(west, ["image_id", "x", "y"]).union(low.join(high, ["image_id", "x", "y"]))
+    return met.filter("p <> q").select("image_id", F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(image_id, root, low): the smallest node that each node of the edges (image_id, a, b), a > b, reaches.
+
+    Larger neighbours move to the smallest node that a node sees, then smaller ones to the smallest of them, in turn, until every
+    component is a star; each round halves what is left to do, and is written, so lineage stays short.
+    """
+    now, mark = written(edges, "crossings"), None
+    while True:
+        stat = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("image_id", "a", "b").cast("decimal(38,0)"))).first())
+        if stat[0] == 0 or stat == mark:
+            return now.select("image_id", F.col("a").alias("root"), F.col("b").alias("low"))
+        mark = stat
+        both = now.union(now.select("image_id", "b", "a"))
+        seen = both.groupBy("image_id", "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.filter("b > a").join(seen, ["image_id", "a"]).select("image_id", F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = large.groupBy("image_id", "a").agg(F.min("b").alias("m"))
+        moved = large.join(least, ["image_id", "a"]).filter("b <> m").select("image_id", F.col("b").alias("a"), F.col("m").alias("b"))
+        last, now = now, written(moved.union(least.select("image_id", "a", "m")).distinct(), "crossings")
+        discard(last)
+
+
+def _labelled_apart(on: DataFrame, connectivity: int, max_label: int, side: int) -> DataFrame:
+    """Labels of the runs of true pixels (image_id, x, y, width); no task holds more than a tile, or a few rows' components, of an image.
+
+    The labels that max_label bounds are the final ones: a tile's own are numbers that never leave it.
+    """
+    with only(on.sparkSession) as results:
+        found = written(_tile_runs(on, connectivity, side), "runs")
+        low = contracted(_crossings(found, connectivity, side))
+        own = found.filter("run = root").join(low, ["image_id", "root"], "left")
+        rooted = own.select("image_id", F.col("root").alias("run"), "y", F.coalesce("low", "root").alias("root"))
+        labels = written(_numbered(rooted), "labels")
+        check_labels(labels.agg(F.max("label")).first()[0] or 0, max_label)
+        out = written(found.join(labels.withColumnRenamed("run", "root"), ["image_id", "root"]).select("image_id", "y", "x0", "x1", "label"), "labelled")
+        results.append(out)
     return out
 
 
-def connected_components(mask: ImageFrame, connectivity: int = CONNECTIVITY_4, max_label: int = MAX_LABEL, distributed: bool = False) -> Labeling:
+def connected_components(mask: ImageFrame, connectivity: int = CONNECTIVITY_4, max_label: int = MAX_LABEL, distributed: bool = False, tile: int = TILE) -> Labeling:
     if mask.pixel.name != "Bool":
         raise PixelTypeError(f"components need a binary image, not {mask.pixel.name}")
-    labelled = _labelled_apart(runs(mask), connectivity, max_label) if distributed else _labelled_in_place(mask, connectivity, max_label)
-    return Labeling(labelled, mask.images())
+    if not distributed:
+        return Labeling(_labelled_in_place(mask, connectivity, max_label), mask.images())
+    on = exploded(mask.df.select("image_id", "width", F.posexplode_outer("v").alias("_i", "v"))).filter("v")
+    at = on.select("image_id", (F.col("_i") % F.col("width")).alias("x"), F.floor(F.col("_i") / F.col("width")).cast("int").alias("y"), "width")
+    return Labeling(_labelled_apart(at, connectivity, max_label, tile), mask.images())
 
 
-def components_of_pixels(pixels: DataFrame, images: DataFrame, connectivity: int = CONNECTIVITY_4, max_label: int = MAX_LABEL) -> Labeling:
-    """Components of masks given as pixel rows (image_id, x, y, v) and sizes, for images that do not fit a row."""
-    return Labeling(_labelled_apart(runs_of_pixels(pixels, images), connectivity, max_label), images)
+def components_of_pixels(pixels: DataFrame, images: DataFrame, connectivity: int = CONNECTIVITY_4, max_label: int = MAX_LABEL, tile: int = TILE) -> Labeling:
+    """Components of masks given as pixel rows (image_id, x, y, v) and sizes, for images that do not fit a row; rows of false pixels may be absent."""
+    on = pixels.filter("v").select("image_id", "x", "y").join(small(images.select("image_id", "width")), "image_id")
+    return Labeling(_labelled_apart(on, connectivity, max_label, tile), images)
 
 
 def connected_components_with_stats(mask: ImageFrame, connectivity: int = CONNECTIVITY_4, distributed: bool = False) -> tuple[Labeling, DataFrame]:

@@ -82,9 +82,14 @@ def live() -> list[str]:
 
 @contextlib.contextmanager
 def only(spark: SparkSession) -> Iterator[list[DataFrame]]:
-    """Deletes, at its end, all tables written inside but those put into the list it gives."""
+    """Deletes, at its end, all tables written inside but those put into the list it gives; after an error, all of them."""
     before, keep = set(_live), []
-    yield keep
-    kept = {df._written_at for df in keep}
-    for path in [p for p in _live if p not in before and p not in kept]:
-        _delete(spark, path)
+    try:
+        yield keep
+    except BaseException:
+        keep.clear()
+        raise
+    finally:
+        kept = {df._written_at for df in keep}
+        for path in [p for p in _live if p not in before and p not in kept]:
+            _delete(spark, path)
