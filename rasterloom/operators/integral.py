@@ -16,9 +16,11 @@ from pyspark.sql.window import Window
 
 from rasterloom.errors import AccumulatorOverflow, PixelTypeError
 from rasterloom.frame import ImageFrame
+from rasterloom.joins import lookup, small
 from rasterloom.operators.arrays import per_image
 from rasterloom.pixel import PixelType, pixel_type, whole
 from rasterloom.shapes import Rectangle, Size
+from rasterloom.storage import only, written
 
 #: Which table types hold sums, and sums of squares, of which pixel types.
 SUMS = {
@@ -93,6 +95,44 @@ class IntegralImage:
 
         return self.frame.df.select("image_id", *(total(c) for c in self.frame.pixel.channels))
 
+    def region_sums(self, rectangles: DataFrame) -> DataFrame:
+        """Sums over a table of rectangles (rect_id, image_id, left, top, width, height)."""
+        return region_sums(self.frame.pixels(), self.source_sizes(), self.frame.pixel, rectangles)
+
+
+#: The corners of a rectangle: which side each lies on, across and down.
+_CORNERS = [("left", "top"), ("right", "top"), ("left", "bottom"), ("right", "bottom")]
+
+
+def region_sums(table: DataFrame, images: DataFrame, pixel: str | PixelType, rectangles: DataFrame) -> DataFrame:
+    """Sums over many rectangles at once, from a table given as rows (image_id, x, y, channels; integral_of_pixels) and the images' sizes.
+
+    `rectangles`: rect_id, image_id, left, top, width, height; equal rows count once. Gives these and each channel's sum, null for a
+    rectangle that does not lie inside its image, or is of no image. Corners are looked up by an equi-join with the table's rows; one that
+    many rectangles share is looked up once and told to them without a crowded task.
+    """
+    p = pixel_type(pixel)
+    keys = ["rect_id", "image_id", "left", "top", "width", "height"]
+    sizes = images.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h"))
+    right, bottom = F.col("left") + F.col("width"), F.col("top") + F.col("height")
+    given = rectangles.select(*keys).distinct().join(small(sizes), "image_id", "left").withColumns({"right": right, "bottom": bottom})
+    fits = (F.col("left") >= 0) & (F.col("top") >= 0) & (F.col("width") >= 0) & (F.col("height") >= 0) & (F.col("right") <= F.col("_w")) & (F.col("bottom") <= F.col("_h"))
+    with only(table.sparkSession) as results:
+        held = written(given.withColumn("inside", F.coalesce(fits, F.lit(False))).drop("_w", "_h"), "rectangles")
+        corner = [F.struct(F.lit(k).alias("corner"), F.col(x).cast("int").alias("x"), F.col(y).cast("int").alias("y")) for k, (x, y) in enumerate(_CORNERS)]
+        # sums on the table's first row and column are zero
+        asked = written(held.filter("inside and width > 0 and height > 0").select(*keys, F.inline(F.array(*corner))).filter("x > 0 and y > 0"), "corners")
+        counts = asked.groupBy("image_id", "x", "y").agg(F.count("*").alias("_n"))
+        values = written(counts.join(table.select("image_id", "x", "y", *p.channels), ["image_id", "x", "y"]), "values")
+        found = lookup(asked, values, ["image_id", "x", "y"], "_n", asked.count())
+        zero = F.lit(0).cast(p.sql)
+        at = lambda c, k: F.coalesce(F.max(F.when(F.col("corner") == k, F.col(c))), zero)
+        sums = found.groupBy(*keys).agg(*((at(c, 3) - at(c, 1) - (at(c, 2) - at(c, 0))).cast(p.sql).alias(c) for c in p.channels))
+        told = held.join(sums, keys, "left").select(*keys, *(F.when(F.col("inside"), F.coalesce(c, zero)).alias(c) for c in p.channels))
+        out = written(told, "sums")
+        results.append(out)
+    return out
+
 
 def _table(frame: ImageFrame, table: PixelType, squared: bool) -> IntegralImage:
     kind = np.dtype("float64" if table.max is None else {"u32": "int64", "u64": "uint64"}[table.channel.name])

@@ -1,7 +1,10 @@
-"""Regions, tiles and windows of images: all narrow, all without a shuffle."""
+"""Regions, tiles and windows of images: narrow and without a shuffle. Tables of rectangles meet pixel rows in a join by grid cells."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,9 +61,42 @@ def sliding_windows(frame: ImageFrame, size: Size, stride: Stride = Stride()) ->
     return _cut(frame, grid(across, down, box))
 
 
-def map_tiles(frame: ImageFrame, size: Size, schema: str, function) -> DataFrame:
-    """One's own pandas function of each tile (disjoint, so each may be changed freely), as grouped tasks."""
-    return tiles(frame, size).groupBy("image_id", "number").applyInPandas(function, schema)
+def map_tiles(frame: ImageFrame, size: Size, schema: str, function: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """One's own pandas function of each tile (disjoint, so each may be changed freely), where the image lies: no shuffle."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for k in range(len(part)):
+                yield function(part.iloc[k : k + 1].reset_index(drop=True))
+
+    return tiles(frame, size).mapInPandas(run, schema)
+
+
+#: Side of the largest cells by which pixels and rectangles are brought together.
+CELL = 256
+
+
+def regions_of_pixels(pixels: DataFrame, rectangles: DataFrame) -> DataFrame:
+    """Many regions at once, of images given as pixel rows: each pixel with each rectangle that holds it, once.
+
+    `rectangles`: rect_id, image_id, left, top, width, height; repeated rows count once, what lies outside an image is empty.
+    Gives rect_id, image_id, x and y within the rectangle, and the pixels' further columns. Rectangles are filed under the cells of a
+    grid that they touch, the grid being as fine as a quarter of their larger side (CELL at most), and pixels under
+    their cell of each grid in use (nine at most): an equi-join, and a test of what it brings together.
+    """
+    side = F.least(F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.greatest("width", "height").cast("double"))) - 2, F.lit(0))), F.lit(float(CELL))).cast("int")
+    filed = rectangles.select("rect_id", "image_id", "left", "top", "width", "height").distinct().filter("width > 0 and height > 0").withColumn("side", side)
+    grids = sorted(r["side"] for r in filed.select("side").distinct().collect())
+    if not grids:
+        grids = [1]
+    cells = lambda at, more: F.explode(F.sequence(F.floor(F.col(at) / F.col("side")), F.floor((F.col(at) + F.col(more) - 1) / F.col("side"))))
+    keyed = filed.withColumn("cx", cells("left", "width")).withColumn("cy", cells("top", "height"))
+    placed = pixels.withColumn("side", F.explode(F.array(*map(F.lit, grids))))
+    placed = placed.withColumns({"cx": F.floor(F.col("x") / F.col("side")), "cy": F.floor(F.col("y") / F.col("side"))})
+    inside = (F.col("x") >= F.col("left")) & (F.col("x") < F.col("left") + F.col("width")) & (F.col("y") >= F.col("top")) & (F.col("y") < F.col("top") + F.col("height"))
+    met = placed.join(keyed, ["image_id", "side", "cx", "cy"]).filter(inside)
+    others = [c for c in pixels.columns if c not in ("image_id", "x", "y")]
+    return met.select("rect_id", "image_id", (F.col("x") - F.col("left")).alias("x"), (F.col("y") - F.col("top")).alias("y"), *others)
 
 
 def interior(size: Size, kernel: Size, anchor: tuple[int, int]) -> Rectangle | None:

@@ -377,4 +377,4 @@ def _sobel_otsu(spark, sf_dir):
 
 _add("sobel_otsu_foreground", _sobel_otsu, f"{_SX}, edge AS (SELECT image_id, x, y, least(255, round(abs(sum(k * v))))::INT AS v FROM t GROUP BY 1, 2, 3){_OTSU.format(src='edge')} SELECT image_id, count(*) FILTER (v > coalesce(threshold, 0)) AS foreground FROM edge LEFT JOIN otsu USING (image_id) GROUP BY 1")
 
-from rasterloom.plans import basics  # noqa: E402, F401  # its queries register themselves
+from rasterloom.plans import basics, large  # noqa: E402, F401  # their queries register themselves

@@ -69,6 +69,22 @@ def li_grid(spark, sf_dir) -> ImageFrame:
     return rasterize(points, images, "Mono8")
 
 
+def li_mid(spark, sf_dir) -> ImageFrame:
+    """Line items by order and part, an image for each return flag: 96 x 80 Mono8."""
+    items = table(spark, sf_dir, "lineitem")
+    points = items.select(F.col("l_returnflag").alias("image_id"), (F.col("l_orderkey") % 96).cast("int").alias("x"), (F.col("l_partkey") % 80).cast("int").alias("y"), F.lit(23).alias("v"))
+    images = items.select(F.col("l_returnflag").alias("image_id")).distinct().select("image_id", F.lit(96).alias("width"), F.lit(80).alias("height"))
+    return rasterize(points, images, "Mono8")
+
+
+def li_wide(spark, sf_dir) -> ImageFrame:
+    """Line items by order and part in one image of 768 x 768 Mono8."""
+    items = table(spark, sf_dir, "lineitem")
+    points = items.select(F.lit(0).cast("bigint").alias("image_id"), (F.col("l_orderkey") % 768).cast("int").alias("x"), ((F.col("l_partkey") * 31 + F.col("l_suppkey")) % 768).cast("int").alias("y"), F.col("l_quantity").cast("int").alias("v"))
+    images = items.limit(1).select(F.lit(0).cast("bigint").alias("image_id"), F.lit(768).alias("width"), F.lit(768).alias("height"))
+    return rasterize(points, images, "Mono8")
+
+
 def _sql_embedding(value: str, name: str) -> str:
     return f"{name} AS (SELECT vec_id AS image_id, ((i - 1) % 8)::INT AS x, ((i - 1) // 8)::INT AS y, {value} AS v FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE len(embedding) = 64))"
 
@@ -87,3 +103,6 @@ def _sql_grid(name: str, source: str, key: str, x: str, y: str, w: int, h: int,
 
 EV_HEAT = _sql_grid("ev_heat", "events", "event_type", "hour(ts)", "day(ts) - 1", 24, 30, 65535)
 LI_GRID = _sql_grid("li_grid", "lineitem", "l_linenumber", "l_orderkey % 64", "l_partkey % 64", 64, 64, 255)
+LI_MID = _sql_grid("li_mid", "lineitem", "l_returnflag", "l_orderkey % 96", "l_partkey % 80", 96, 80, 255).replace("c.n, 0", "c.n * 23, 0")
+LI_WIDE = """li_wide AS (SELECT 0::BIGINT AS image_id, g.x, g.y, least(255, coalesce(c.n, 0))::INT AS v FROM (SELECT (k % 768)::INT AS x, (k // 768)::INT AS y FROM range(589824) r(k)) g
+        LEFT JOIN (SELECT l_orderkey % 768 AS x, (l_partkey * 31 + l_suppkey) % 768 AS y, sum(l_quantity::INT) AS n FROM lineitem GROUP BY 1, 2) c ON c.x = g.x AND c.y = g.y)"""

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from rasterloom.errors import LengthMismatch, PixelTypeError
 from rasterloom.frame import KEYS, ImageFrame, bound, grid
+from rasterloom.joins import small
 from rasterloom.operators.arrays import arrays, samples
 from rasterloom.pixel import PixelType, pixel_type
 
@@ -127,6 +128,13 @@ def read_raw(spark: SparkSession, path: str, pixel: str | PixelType, width: int,
     return from_bytes(rows, pixel, order)
 
 
+def read_raw_sized(spark: SparkSession, path: str, sizes: DataFrame, pixel: str | PixelType, order: str = "native") -> ImageFrame:
+    """Files of raw pixels, each of its own size: `sizes` has name (the file's, without folders), width and height. Files that it does not name are left out."""
+    files = spark.read.format("binaryFile").load(path).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    rows = files.join(small(sizes.select("name", "width", "height")), "name")
+    return from_bytes(rows.select(F.col("path").alias("image_id"), "width", "height", F.col("content").alias("data")), pixel, order)
+
+
 def save(frame: ImageFrame, path: str) -> None:
     """The frame as Parquet, with the pixel type's name in the schema."""
     fields = [F.col(c).alias(c, metadata={"pixel_type": frame.pixel.name}) if c in frame.pixel.channels else F.col(c) for c in frame.df.columns]
