@@ -30,8 +30,9 @@ def _cells(kernel: nb.Kernel) -> str:
 
 def _taps(kernel: nb.Kernel, cte: str, name: str, w: int, h: int) -> str:
     """CTE t (image_id, x, y, c, k, v) for a clamped border, inactive cells left out."""
-    return f"""WITH {cte}, k(dx, dy, k) AS (SELECT * FROM (VALUES {_cells(kernel)}) z(a, b, c) WHERE c <> 0), t AS (SELECT p.image_id, p.x, p.y, p.v AS c, k.k, q.v FROM {name} p CROSS JOIN k
-        JOIN {name} q ON q.image_id = p.image_id AND q.x = least(greatest(p.x + dx, 0), {w - 1}) AND q.y = least(greatest(p.y + dy, 0), {h - 1}))"""
+    return f"""WITH {cte}, k(dx, dy, k) AS (SELECT * FROM (VALUES {_cells(kernel)}) z(a, b, c) WHERE c <> 0),
+        o AS MATERIALIZED (SELECT image_id, x, y, v AS c, k, least(greatest(x + dx, 0), {w - 1}) AS u, least(greatest(y + dy, 0), {h - 1}) AS w FROM {name} CROSS JOIN k),
+        t AS (SELECT o.image_id, o.x, o.y, c, k, q.v FROM o JOIN {name} q ON q.image_id = o.image_id AND q.x = u AND q.y = w)"""
 
 
 _CLAMP = nb.ClampBorder()
@@ -65,8 +66,9 @@ add("sobel_wide", lambda s, d: filters.sobel_x(rs.li_wide(s, d), _CLAMP).map_cha
 
 _SHOWN = template.Template(Size(16, 16), [(3 * x + 5 * y) % 97 for y in range(16) for x in range(16)])
 _MATCHED = f"""WITH {LI_MID}, tpl AS (SELECT x AS tx, y AS ty, ((3 * x + 5 * y) % 97)::DOUBLE AS t FROM range(16) a(x), range(16) b(y)),
-m AS (SELECT p.image_id, p.x, p.y, sum(q.v::DOUBLE) / 256 AS im, sum(q.v::DOUBLE * q.v) / 256 AS ii, sum(t) / 256 AS tm, sum(t * t) / 256 AS tt, sum(q.v * t) / 256 AS it, sum((q.v - t) * (q.v - t)) AS ssd
-      FROM li_mid p CROSS JOIN tpl JOIN li_mid q ON q.image_id = p.image_id AND q.x = p.x + tx AND q.y = p.y + ty WHERE p.x <= 80 AND p.y <= 64 GROUP BY 1, 2, 3)"""
+o AS MATERIALIZED (SELECT image_id, x, y, x + tx AS u, y + ty AS w, t FROM li_mid CROSS JOIN tpl WHERE x <= 80 AND y <= 64),
+m AS (SELECT o.image_id, o.x, o.y, sum(q.v::DOUBLE) / 256 AS im, sum(q.v::DOUBLE * q.v) / 256 AS ii, sum(t) / 256 AS tm, sum(t * t) / 256 AS tt, sum(q.v * t) / 256 AS it, sum((q.v - t) * (q.v - t)) AS ssd
+      FROM o JOIN li_mid q ON q.image_id = o.image_id AND q.x = u AND q.y = w GROUP BY 1, 2, 3)"""
 _score = lambda method, digits: lambda s, d: template.match_template(rs.li_mid(s, d), _SHOWN, method).pixels().withColumn("v", F.round(F.col("v").cast("double"), digits))
 add("match_ssd_16", _score(template.SSD(), 0), f"{_MATCHED} SELECT image_id, x, y, round(ssd::FLOAT::DOUBLE, 0) AS v FROM m")
 add("match_ncc_16", _score(template.NCC(), 4), f"{_MATCHED} SELECT image_id, x, y, round(CASE WHEN (ii - im * im) * (tt - tm * tm) < 1e-24 THEN 0 ELSE (it - im * tm) / sqrt((ii - im * im) * (tt - tm * tm)) END::FLOAT::DOUBLE, 4) AS v FROM m")
@@ -121,7 +123,7 @@ def _parts(operator):
 _GAUSS = lambda border: lambda g: filters.correlate(g, nb.GAUSSIAN_5X5, border, "Mono16")
 _near = lambda at: f"(({at} % 64) + 64) % 64"
 _GAUSS_CELLS = f"k(dx, dy, k) AS (VALUES {_cells(nb.GAUSSIAN_5X5)})"
-add("tiled_wrap", _parts(lambda p, i: tiling.tiled_round(p, i, "Mono8", Size(24, 20), 2, lambda g, b: _GAUSS(b)(g))), f"WITH {LI_GRID}, {_GAUSS_CELLS} SELECT p.image_id, p.x, p.y, least(65535, sum(k * q.v))::INT AS v FROM li_grid p CROSS JOIN k JOIN li_grid q ON q.image_id = p.image_id AND q.x = {_near('(p.x + dx)')} AND q.y = {_near('(p.y + dy)')} GROUP BY 1, 2, 3")
+add("tiled_wrap", _parts(lambda p, i: tiling.tiled_round(p, i, "Mono8", Size(24, 20), 2, lambda g, b: _GAUSS(b)(g))), f"WITH {LI_GRID}, {_GAUSS_CELLS}, o AS MATERIALIZED (SELECT image_id, x, y, k, {_near('(x + dx)')} AS u, {_near('(y + dy)')} AS w FROM li_grid CROSS JOIN k) SELECT o.image_id, o.x, o.y, least(65535, sum(k * q.v))::INT AS v FROM o JOIN li_grid q ON q.image_id = o.image_id AND q.x = u AND q.y = w GROUP BY 1, 2, 3")
 add("tiled_skip", _parts(lambda p, i: tiling.tiled_inside(p, i, "Mono8", Size(24, 20), (4, 4), _GAUSS(nb.Skip()))), f"WITH {LI_GRID}, {_GAUSS_CELLS} SELECT p.image_id, p.x - 2 AS x, p.y - 2 AS y, least(65535, sum(k * q.v))::INT AS v FROM li_grid p CROSS JOIN k JOIN li_grid q ON q.image_id = p.image_id AND q.x = p.x + dx AND q.y = p.y + dy WHERE p.x BETWEEN 2 AND 61 AND p.y BETWEEN 2 AND 61 GROUP BY 1, 2, 3")
 _SMALL = template.Template(Size(4, 3), [x * y for y in range(3) for x in range(4)])
 add("tiled_template", _parts(lambda p, i: tiling.tiled_inside(p, i, "Mono8", Size(24, 20), (3, 2), lambda g: template.match_template(g, _SMALL, template.SAD()))), f"WITH {LI_GRID} SELECT p.image_id, p.x, p.y, sum(abs(q.v - a.x * b.y))::FLOAT AS v FROM li_grid p CROSS JOIN range(4) a(x) CROSS JOIN range(3) b(y) JOIN li_grid q ON q.image_id = p.image_id AND q.x = p.x + a.x AND q.y = p.y + b.y WHERE p.x <= 60 AND p.y <= 61 GROUP BY 1, 2, 3")
@@ -161,10 +163,10 @@ def _raw_folder(spark) -> str:
 
 
 def _raw_bands(spark, sf_dir):
-    """Two of three channels of files that are read by bands of three lines."""
+    """Two of three channels of files, a few to a task."""
     path = _raw_folder(spark)
     raw.write(rs.emb8rgb(spark, sf_dir), path)
-    lines = raw.read_lines(spark, path, "Rgb8", ["r", "b"], band=72)
+    lines = raw.read_lines(spark, path, "Rgb8", ["r", "b"], band=1000)
     return raw.pixels_of_lines(lines, ["r", "b"]).withColumn("image_id", F.col("image_id").cast("bigint"))
 
 

@@ -103,6 +103,6 @@ def _sql_grid(name: str, source: str, key: str, x: str, y: str, w: int, h: int,
 
 EV_HEAT = _sql_grid("ev_heat", "events", "event_type", "hour(ts)", "day(ts) - 1", 24, 30, 65535)
 LI_GRID = _sql_grid("li_grid", "lineitem", "l_linenumber", "l_orderkey % 64", "l_partkey % 64", 64, 64, 255)
-LI_MID = _sql_grid("li_mid", "lineitem", "l_returnflag", "l_orderkey % 96", "l_partkey % 80", 96, 80, 255).replace("c.n, 0", "c.n * 23, 0")
-LI_WIDE = """li_wide AS (SELECT 0::BIGINT AS image_id, g.x, g.y, least(255, coalesce(c.n, 0))::INT AS v FROM (SELECT (k % 768)::INT AS x, (k // 768)::INT AS y FROM range(589824) r(k)) g
+LI_MID = _sql_grid("li_mid", "lineitem", "l_returnflag", "l_orderkey % 96", "l_partkey % 80", 96, 80, 255).replace("c.n, 0", "c.n * 23, 0").replace("li_mid AS (", "li_mid AS MATERIALIZED (")
+LI_WIDE = """li_wide AS MATERIALIZED (SELECT 0::BIGINT AS image_id, g.x, g.y, least(255, coalesce(c.n, 0))::INT AS v FROM (SELECT (k % 768)::INT AS x, (k // 768)::INT AS y FROM range(589824) r(k)) g
         LEFT JOIN (SELECT l_orderkey % 768 AS x, (l_partkey * 31 + l_suppkey) % 768 AS y, sum(l_quantity::INT) AS n FROM lineitem GROUP BY 1, 2) c ON c.x = g.x AND c.y = g.y)"""

@@ -1,7 +1,7 @@
 """Raw images as a Spark data source: files of scan lines behind a small header, read by bands.
 
-Writing makes a file an image; reading gives a row a scan line, and a partition a range of a file's lines, so a file larger than a
-task's memory is read by as many tasks as it needs. Sizes and pixel types come from the files' headers. Columns are
+Writing makes a file an image; reading gives a row a scan line. A partition is a range of a file's lines, so a file larger than a
+task's memory is read by as many tasks as it needs, or several small files. Sizes and pixel types come from the files' headers. Columns are
 the channels, or those that the option `channels` names. Files are reached through Arrow's file systems, so a path may be
 local or a URI of a store that Arrow knows (file, hdfs, s3, gs).
 
@@ -30,7 +30,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from rasterloom.errors import LengthMismatch, PixelTypeError
 from rasterloom.frame import ImageFrame
-from rasterloom.operators.arrays import ARROW, arrays, samples
+from rasterloom.operators.arrays import arrays, samples
 from rasterloom.pixel import PixelType, pixel_type
 
 FORMAT = "rasterloom_raw"
@@ -45,8 +45,8 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-@dataclass
-class Band(InputPartition):
+@dataclass(frozen=True)
+class Band:
     """Lines lo to hi of a file whose pixels begin at `start`."""
 
     path: str
@@ -57,9 +57,13 @@ class Band(InputPartition):
     lo: int
     hi: int
 
-    def __init__(self, path, image, width, height, start, lo, hi):
-        super().__init__((path, lo))
-        self.path, self.image, self.width, self.height, self.start, self.lo, self.hi = path, image, width, height, start, lo, hi
+
+class Bands(InputPartition):
+    """What a task reads: part of a large file, or several small ones."""
+
+    def __init__(self, bands: list[Band]):
+        super().__init__(bands)
+        self.bands = bands
 
 
 @dataclass
@@ -89,21 +93,30 @@ class _Reader(DataSourceReader):
     def __init__(self, path: str, p: PixelType, channels: list[str], band: int):
         self.path, self.p, self.channels, self.band = path, p, channels, band
 
-    def partitions(self) -> list[Band]:
+    def partitions(self) -> list[Bands]:
         store, top = _store(self.path)
         info = store.get_file_info(top)
         files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(top, recursive=True))
-        out = []
+        out: list[list[Band]] = []
+        held = 0
         for f in sorted((f for f in files if f.type == fs.FileType.File and f.base_name.endswith(ENDING) and not f.base_name.startswith(("_", "."))), key=lambda f: f.path):
             width, height, start = _header(store, f.path, self.p)
             lines = max(1, self.band // max(width * self.p.nbytes, 1))
-            out += [Band(f.path, unquote(f.base_name[: -len(ENDING)]), width, height, start, lo, min(height, lo + lines)) for lo in range(0, height, lines)]
-        return out
-
-    def read(self, band: Band) -> Iterator[pa.RecordBatch]:
-        if band is None:  # no files
-            return
+            for lo in range(0, height, lines):
+                own = min(lines, height - lo) * width * self.p.nbytes
+                if not out or held + own > self.band:
+                    out.append([])
+                    held = 0
+                out[-1].append(Band(f.path, unquote(f.base_name[: -len(ENDING)]), width, height, start, lo, min(height, lo + lines)))
+                held += own
+        return [Bands(bands) for bands in out]
+
+    def read(self, partition: Bands | None) -> Iterator[pa.RecordBatch]:
         store, _ = _store(self.path)
+        for band in partition.bands if partition else ():  # there is none where there are no files
+            yield from self._lines(store, band)
+
+    def _lines(self, store: fs.FileSystem, band: Band) -> Iterator[pa.RecordBatch]:
         p, line = self.p, band.width * self.p.nbytes
         step = max(1, (1 << 20) // max(line, 1))
         dtype = np.dtype(p.channel.code).newbyteorder("<")
@@ -169,9 +182,9 @@ class RawImages(DataSource):
             raise PixelTypeError(f"{p.name} has no channels {wanted}")
         return wanted
 
-    def schema(self) -> T.StructType:
-        kind = T.ArrayType(T._parse_datatype_string(self._pixel().sql))
-        return T.StructType([T.StructField("image_id", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("width", "height", "y")), *(T.StructField(c, kind) for c in self._channels())])
+    def schema(self) -> str:
+        kind = self._pixel().sql
+        return "image_id string, width int, height int, y int, " + ", ".join(f"{c} array<{kind}>" for c in self._channels())
 
     def reader(self, schema: T.StructType) -> _Reader:
         return _Reader(self.options["path"], self._pixel(), self._channels(), int(self.options.get("band", BAND_BYTES)))
