@@ -15,8 +15,8 @@ than a block; each pass keeps what it found in texts with hits alone, by the tex
 that back to the documents.
 
 Edge cases: a null or empty text has no words and is clean; very long texts and items are searched whole; an item
-without words, or with a null text or item_id, is ignored; repeated rows are judged alike; a repeated item_id counts
-once; of longest matches of equal length the one that stands first counts, then the smaller item as a string; an empty
+without words, or with a null text, is ignored; items with a null item_id hit like others, count once in n_items, and are left out
+of items_sha256; repeated rows are judged alike; a repeated item_id counts once; of longest matches of equal length the one that stands first counts, then the smaller item as a string; an empty
 benchmark finds nothing; an empty table gives no rows; words are compared by 64-bit hashes of their bytes, so bytes that
 are not UTF-8 are compared as they are; extra columns, whatever their names, are left alone.
 """
@@ -44,18 +44,23 @@ BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 4 << 20
 
 
+def _by_name(item: str | None) -> tuple[bool, str]:
+    """Items without id come first."""
+    return item is not None, item or ""
+
+
 class TestSet:
     """A block of test items as word numbers, ready for searching. Every suffix is a place in the items' words."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
-        items = [(str(i), t) for i, t in items if i is not None]
+        items = [(None if i is None else str(i), t) for i, t in items]
         texts = pa.array([t for _, t in items], type=pa.large_string())
         parts = [Words(c, ALNUM_FOLDED) for c in chunks(texts, SHARD_BYTES)]
         hashes = np.concatenate([w.hashes for w in parts] or [np.zeros(0, np.uint64)])
         counts = np.concatenate([w.count for w in parts] or [np.zeros(0, np.int64)]).astype(np.int64)
         self.vocabulary = np.unique(hashes)
         self.text = np.append(np.searchsorted(self.vocabulary, hashes) + 1, 0).astype(np.int32)
-        self.names = sorted({i for i, _ in items})
+        self.names = sorted({i for i, _ in items}, key=_by_name)
         number = {s: k for k, s in enumerate(self.names)}
         least = np.minimum(window, counts)
         n = np.where(counts > 0, counts - least + 1, 0)  # suffixes of each item
@@ -188,8 +193,8 @@ SCHEMA = f"doc_id long, {_FOUND}"
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64()]
 
 
-def _verdict(n_words: int, n_hit: int, items: set[str], length: int, item: str | None, at: int | None) -> tuple:
-    return n_words, n_hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n_words, length, item, at
+def _verdict(n_words: int, n_hit: int, items: set[str | None], length: int, item: str | None, at: int | None) -> tuple:
+    return n_words, n_hit, len(items), hashlib.sha256(",".join(sorted(i for i in items if i is not None)).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n_words, length, item, at
 
 
 def _search(words: Words, tests: TestSet) -> tuple[dict[int, set[str]], dict[int, tuple[int, int, str]], np.ndarray, np.ndarray]:
@@ -259,7 +264,7 @@ def _hits(tests: TestSet):
                 for r, found in items.items():
                     own = order[edges[r] : edges[r + 1]]
                     n, at, item = longest[r]
-                    rows.append((keys[chunk.lo + r].as_py(), int(words.count[r]), (begin[own] - words.first[r]).tolist(), length[own].tolist(), sorted(found), n, item, at))
+                    rows.append((keys[chunk.lo + r].as_py(), int(words.count[r]), (begin[own] - words.first[r]).tolist(), length[own].tolist(), sorted(found, key=_by_name), n, item, at))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 8
             kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in _HITS.split(", ")])
@@ -274,8 +279,8 @@ def _merged(batches):
         for key, blocks in zip(take(batch, "text_key").to_pylist(), take(batch, "blocks").to_pylist(), strict=True):
             begin, length = (np.array([v for b in blocks for v in b[k]], dtype=np.int64) for k in ("begins", "lengths"))
             hit = int(covered(begin, length, blocks[0]["n_words"]).sum())
-            n, at, item = min((-b["longest"], b["at"], b["item"]) for b in blocks)
-            out.append((key, *_verdict(blocks[0]["n_words"], hit, {i for b in blocks for i in b["items"]}, -n, item, at)))
+            best = min(blocks, key=lambda b: (-b["longest"], b["at"], _by_name(b["item"])))
+            out.append((key, *_verdict(blocks[0]["n_words"], hit, {i for b in blocks for i in b["items"]}, best["longest"], best["item"], best["at"])))
         cols = list(zip(*out, strict=True)) if out else [()] * (1 + len(_KINDS))
         yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, [pa.string(), *_KINDS], strict=True)], names=["text_key", *(f.split()[0] for f in _FOUND.split(", "))])
 
