@@ -128,10 +128,10 @@ KINDS = [
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", _phone, True, False, 0.6, 0.3, "phone|tel|call|mobile|fax|telefon", _has("+")),
     Kind("iban", _IBAN, _iban, False, True, 0.6, 0.3, "iban|bank|account|konto|cuenta|compte", _like("[A-Z]{2}[0-9]{2}")),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", _always, False, True, 0.2, 0.5, "ssn|social|security", _like("[0-9]-[0-9]{2}-[0-9]")),
-    Kind("key", r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,200}|AIza[0-9A-Za-z_-]{35}|[sr]k_live_[0-9A-Za-z]{24,99}", _always, False, True, 0.8, 0.1, _SECRETS, _like("A[KS]IA|gh[pousr]_|xox[abprs]-|AIza|k_live_")),
+    Kind("key", r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|[sr]k_live_[0-9A-Za-z]{24,}", _always, False, True, 0.8, 0.1, _SECRETS, _like("A[KS]IA|gh[pousr]_|xox[abprs]-|AIza|k_live_")),
     Kind("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", _always, False, True, 0.8, 0.1, _SECRETS, _has(".eyJ")),
     Kind("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*", _always, False, False, 0.8, 0.1, _SECRETS, _has("PRIVATE KEY-----")),
-    Kind("secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,200}+(?![A-Za-z0-9+/_=-])", _mixed, False, False, 0.2, 0.5, _SECRETS),
+    Kind("secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+(?![A-Za-z0-9+/_=-])", _mixed, False, False, 0.2, 0.5, _SECRETS),
 ]
 
 

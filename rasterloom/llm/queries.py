@@ -180,7 +180,7 @@ def _op9_sql() -> str:
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
         "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}",
         "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-        "key": r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,200}|AIza[0-9A-Za-z_-]{35}|[sr]k_live_[0-9A-Za-z]{24,99}",
+        "key": r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|[sr]k_live_[0-9A-Za-z]{24,}",
         "jwt": r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
         "private_key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*",
         "secret": r"[A-Za-z0-9+/_=-]+",
@@ -199,7 +199,7 @@ def _op9_sql() -> str:
         "key": "true",
         "jwt": "true",
         "private_key": "true",
-        "secret": "length(m) BETWEEN 20 AND 200 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')",
+        "secret": "length(m) >= 20 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')",
     }
     parts = []
     for at, k in enumerate(pii.KINDS):
