@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from rasterloom.llm import embdedup, joins
+from rasterloom import joins
+from rasterloom.llm import embdedup
 
 SCHEMA = "vec_id long, embedding array<double>"
 

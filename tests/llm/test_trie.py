@@ -6,7 +6,8 @@ import zlib
 
 import pytest
 
-from rasterloom.llm import joins, trie
+from rasterloom import joins
+from rasterloom.llm import trie
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
