@@ -42,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item contaminates. Null and empty texts stay; repeated rows are judged alike; an item without text or id is ignored."""
+    """Documents that no benchmark item contaminates. Null and empty texts stay; repeated rows are judged alike; an item without text is ignored, one without id is not."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
