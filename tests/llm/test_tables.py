@@ -11,7 +11,7 @@ from rasterloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 #: Tables that a returned plan still reads, so that they stay.
-STAY = {"op1_decontamination": 0, "op2_quality": 0, "op3_substring_dedup": 2, "op4_langid": 0, "op5_urls": 1, "op6_pieces": 0, "op7_resharding": 1, "op8_minhash": 2, "op9_pii": 0, "op10_line_dedup": 1, "reshard_rewrite": 1}
+STAY = {"op11_embeddings": 1, "op12_whitening": 0, "op13_trie": 1, "whitening_scatter": 0, "op1_decontamination": 0, "op2_quality": 0, "op3_substring_dedup": 2, "op4_langid": 0, "op5_urls": 1, "op6_pieces": 0, "op7_resharding": 1, "op8_minhash": 2, "op9_pii": 0, "op10_line_dedup": 1, "reshard_rewrite": 1}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
