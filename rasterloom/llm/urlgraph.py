@@ -12,7 +12,9 @@ on the size of the table. `host_scores` gives the same walks with seeds that sum
 Links are hosts named in absolute or protocol-relative `href` values; repeated links between two hosts count
 once for each page. They are summed before any walk, so what iterates has one row for each pair of hosts.
 Rounds of the walk are joins on that list, STRIDE rounds at a time written to the shared folder, until no host is new
-and no score has changed by more than the part SETTLED of it; nothing of the graph reaches the driver.
+and no score has changed by more than the part SETTLED of it, or for `horizon` rounds (100 at a damping of 0.85): a seed has then less
+than SETTLED of itself left to give, so a host further off than that from all seeds, which could get no more of any, is not reached.
+Nothing of the graph reaches the driver.
 
 Edge cases: a null url, or one without "://", has empty host and path, no rule, and no host to judge it by,
 so it is allowed; a null or empty html has no links, a very long one is searched whole; links of a host to itself are
@@ -23,6 +25,7 @@ last in order holds; an empty table gives no rows; extra columns, whatever their
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,9 +38,9 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"""(?is)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""
 DAMPING = 0.85
-#: Rounds of OP5_SQL; the code's go on until scores settle.
+#: Rounds of OP5_SQL; the code's go on until scores settle, or to the horizon.
 ROUNDS = 10
-#: The part of a score by which the rounds between two tables may still change it.
+#: The part of a score by which the rounds between two tables may still change it; and of a seed what the rounds left out may still move.
 SETTLED = 1e-7
 #: Rounds from one table to the next.
 STRIDE = 3
@@ -82,8 +85,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return rows.filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
+def horizon(damping: float) -> int:
+    """Rounds after which a seed has less than SETTLED of itself left to give: no host further off can get more than that of it."""
+    return max(1, math.ceil(math.log(SETTLED) / math.log(damping))) if 0 < damping < 1 else 1
+
+
 def _walks(edges: DataFrame, seeds: DataFrame, rounds: int | None, damping: float) -> DataFrame:
-    """(walk, host, score): both walks at once from `seeds` (walk, host, seed). `rounds` fixes their number."""
+    """(walk, host, score): both walks at once from `seeds` (walk, host, seed), until scores settle, `horizon` rounds at most. `rounds` fixes their number."""
+    most = rounds if rounds is not None else horizon(damping)
     seeds = written(seeds, "seeds")
     both = edges.select(F.lit("trust").alias("walk"), F.col("src").alias("a"), F.col("dst").alias("b"), "w").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "w"))
     out = both.groupBy("walk", "a").agg(F.sum("w").alias("total"))
@@ -97,9 +106,9 @@ def _walks(edges: DataFrame, seeds: DataFrame, rounds: int | None, damping: floa
         return moved.union(start).groupBy("walk", "host").agg(F.sum("score").alias("score"))
 
     last, was, done = None, seeds.select("walk", "host", F.col("seed").alias("score")), 0
-    while rounds is None or done < rounds:
+    while done < most:
         now = was
-        for _ in range(STRIDE if rounds is None else min(STRIDE, rounds - done)):
+        for _ in range(min(STRIDE, most - done)):
             now, done = step(now), done + 1
         both = now.withColumn("was", F.lit(0.0)).union(was.select("walk", "host", F.lit(0.0), "score"))
         table = written(both.groupBy("walk", "host").agg(F.sum("score").alias("score"), F.sum("was").alias("was")), "walk")
