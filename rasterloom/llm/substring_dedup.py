@@ -1,24 +1,30 @@
-"""Substring dedup with difference-cover anchors.
+"""Substring dedup with difference-cover anchors, extended and confirmed word by word.
 
 A word is removed where a window of 13 words covers it whose word sequence also starts in a
 document with a smaller doc_id. Hashing every window of the corpus and shuffling it would cost
-several times the input, so matches are found in two steps:
+several times the input, so matches are found by anchors and extended:
 
 1. Anchors. D = {0, 1, 3} is a difference cover modulo 7: for any two positions i and j there is a
    shift t < 7 with i + t and j + t both in D modulo 7. Two equal 13-word windows therefore share an
-   equal 7-word anchor at such an aligned position (t + 7 <= 13). Hashing at positions in D alone
-   (3 of 7) and keeping hashes that two documents share loses no match.
-2. Extension. Only windows that hold a shared anchor at a position in D are hashed whole, to 64 bits and 32 bits from
-   two independent 64-bit hashes of each word, and compared across documents by their smallest doc_id. Among 10^12
-   different windows two are taken for equal with probability 10^-5.
+   equal 7-word anchor at such an aligned position (t + 7 <= 13). Hashes at positions in D alone (3 of 7)
+   give each anchor's first holder: the smallest doc_id that has it at such a position. A window none of whose
+   aligned anchors has a smaller holder stands in no smaller document.
+2. Extension. The other windows are chained into runs that share a first holder. A run asks that document, once for
+   all that ask alike, for the words around the run's first anchor, and compares them with its own, word by word.
+   Windows that agree in all words are removed.
+3. The rest. An anchor's first holder need not hold the window: it may stand in a later document, or elsewhere in this one. Windows that
+   stay open (few: where a copy was edited, or a passage ends) are looked for in all documents that share an anchor with
+   them, and grouped by their words themselves.
+
+Hashes choose where to look and never decide: one that clashes costs time and no more.
 
 Counting is `groupBy` with partial aggregation, so a passage that a third of all documents share
-sends one row for each map task; the joins back are equi-joins whose small side has one row a key,
-which adaptive execution splits where a key is hot.
+sends one row for each map task. Words asked for by very many documents are spread over as many tasks as their number needs.
+The other joins back are equi-joins whose small side has one row a key, which adaptive execution splits where a key is hot.
 
 Edge cases: a null or empty text has no words, nothing is removed and the kept text is empty; rows of
 one doc_id never remove each other (the smaller doc_id must be strictly smaller), so repeated rows
-come out alike; where a doc_id stands in several rows, these are told apart by 34 bits of a hash of the text; a null doc_id
+come out alike; where a doc_id stands in several rows, different texts have different marks; a null doc_id
 is never smaller and never larger than another, so such rows neither remove nor lose words; very long texts are read
 whole; bytes that are not UTF-8 are compared as they are (and become U+FFFD in kept_text alone); an empty table gives no
 rows; extra columns, whatever their names, are left alone.
@@ -34,126 +40,349 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.joins import lookup
 from rasterloom.llm.textcore import SPACED, Chunk, Words, as_signed, chunks, covered, lean, take
-from rasterloom.storage import discard, written
+from rasterloom.storage import discard, only, written
 
 WINDOW = 13
 PERIOD, COVER, ANCHOR = 7, (0, 1, 3), 7
+#: Words that a request brings at most, as a multiple of the window, and rows that get one answer from one task.
+_REACH, _ASKERS = 16, 4096
+#: Anchors keep this many of their 64 bits.
+ANCHOR_BITS = 48
+_NONE = np.iinfo(np.int64).min
 
 
-def _anchors(chunk: Chunk, words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and 48-bit hashes of the anchors at cover positions, in texts long enough for one window.
-
-    Anchors only choose the windows to look at, so hashes that clash cost time and no more.
-    """
+def _anchors(chunk: Chunk, words: Words, window: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the anchors at cover positions, in texts long enough for one window."""
     at, keys = words.windows(ANCHOR)
     row = words.row[at]
     good = np.isin((at - words.first[row]) % PERIOD, COVER) & (words.count[row] >= window)
-    return at[good], keys[good] >> np.uint64(16)
+    return at[good], keys[good] >> np.uint64(64 - bits)
+
+
+def _lists(column: pa.Array, chunk: Chunk) -> tuple[pa.Array, np.ndarray]:
+    """The values of a list column for a chunk's rows, and each value's row in the chunk."""
+    part = column.slice(chunk.lo, chunk.hi - chunk.lo)
+    n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(part), 0))
+    return part.flatten(), np.repeat(np.arange(len(n)), n)
+
+
+def _ints(values: pa.Array, name: str | None = None) -> np.ndarray:
+    return np.asarray(values if name is None else pa.compute.struct_field(values, name)).astype(np.int64)
+
+
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[f.split()[0] for f in schema.split(", ")])
 
 
-def _spread(lists: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column as word numbers of the chunk, and the first word of each value's text."""
-    n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
-    base = np.repeat(first[:-1], n)
-    return np.asarray(lists.flatten()).astype(np.int64) + base, base
+HOLDERS = "h long, lo long, hi long"
 
 
-def _count_anchors(window: int):
-    """(h, n): each anchor of a chunk once, with the number of texts that hold it (2 for more than one)."""
+def _holders(window: int, bits: int):
+    """Each anchor of a chunk once, with the smallest and largest doc_id that holds it there."""
 
     def run(batches):
         for batch in batches:
+            ids = np.asarray(take(batch, "doc_id").cast(pa.int64()))
             for chunk in chunks(take(batch, "text")):
                 words = Words(chunk, SPACED)
-                at, keys = _anchors(chunk, words, window)
-                row = words.row[at]
-                order = np.argsort(keys, kind="stable")  # rows stay in order within a key
-                k, r = keys[order], row[order]
-                head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+                at, keys = _anchors(chunk, words, window, bits)
+                mine = ids[chunk.lo : chunk.hi][words.row[at]]
+                order = np.lexsort((mine, keys))
+                k, d = keys[order], mine[order]
+                head = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
                 tail = np.append(head[1:], len(k)) - 1 if len(k) else head
-                yield pa.RecordBatch.from_arrays([as_signed(k[head]), pa.array(1 + (r[tail] != r[head]).astype(np.int32))], names=["h", "n"])
+                yield _batch(HOLDERS, as_signed(k[head]), d[head], d[tail])
 
     return run
 
 
-def _packed(at: np.ndarray, words: Words, marks: np.ndarray, row: np.ndarray) -> pa.Array:
-    """Word places within their texts, under the marks of the rows. A text of 2 GiB has under 2^30 words."""
-    return pa.array((at - words.first[row]) | (marks[row] << _PLACE_BITS))
+PLACES = "h long, doc_id long, mark long, at int"
 
 
-def _place_anchors(window: int):
+def _place_anchors(window: int, bits: int):
     def run(batches):
         for batch in batches:
             ids, marks = np.asarray(take(batch, "doc_id").cast(pa.int64())), np.asarray(take(batch, "mark"))
             for chunk in chunks(take(batch, "text")):
                 words = Words(chunk, SPACED)
-                at, keys = _anchors(chunk, words, window)
+                at, keys = _anchors(chunk, words, window, bits)
                 row = words.row[at]
-                yield pa.RecordBatch.from_arrays([as_signed(keys), pa.array(ids[chunk.lo : chunk.hi][row]), _packed(at, words, marks[chunk.lo : chunk.hi], row)], names=["h", "doc_id", "at"])
+                yield _batch(PLACES, as_signed(keys), ids[chunk.lo : chunk.hi][row], marks[chunk.lo : chunk.hi][row], (at - words.first[row]).astype(np.int32))
 
     return run
 
 
-def _emit_windows(window: int):
-    """Whole windows that hold a shared anchor, from rows of (doc_id, text, starts of shared anchors).
+ASKED = "doc_id long, mark long, p int, n int, s int, lo long, h long, size int"
 
-    `h` and `g` are the window's hash, 96 bits.
-    """
+
+def _ask(window: int, bits: int):
+    """Requests: windows p to p + n - 1 may stand in document lo, which has the anchor h that is here at s; `size` words are asked for."""
 
     def run(batches):
         for batch in batches:
-            ids, marks = np.asarray(take(batch, "doc_id").cast(pa.int64())), np.asarray(take(batch, "mark"))
-            shared = take(batch, "shared")
+            ids, marks, held = np.asarray(take(batch, "doc_id").cast(pa.int64())), np.asarray(take(batch, "mark")), take(batch, "held")
             for chunk in chunks(take(batch, "text")):
-                words = Words(chunk, SPACED, lanes=2)
-                at, one = words.windows(window)
-                starts, base = _spread(shared.slice(chunk.lo, chunk.hi - chunk.lo), words.first)
+                words = Words(chunk, SPACED)
+                values, rows = _lists(held, chunk)
+                first_holder = np.full(len(words.starts), _NONE)
+                first_holder[_ints(values, "at") + words.first[rows]] = _ints(values, "lo")
+                has = np.zeros(len(words.starts), bool)
+                has[_ints(values, "at") + words.first[rows]] = True
+                hashes = np.zeros(len(words.starts), np.uint64)
+                where, keys = _anchors(chunk, words, window, bits)
+                hashes[where] = keys
+                p = words.windows(window)[0]
+                place = p - words.first[words.row[p]]
+                good, lo, s = np.zeros(len(p), bool), np.full(len(p), _NONE), p.copy()
+                for t in range(window - ANCHOR + 1):
+                    aligned = np.isin((place + t) % PERIOD, COVER)
+                    good |= aligned & has[p + t]
+                    better = aligned & has[p + t] & ((first_holder[p + t] > lo) | (lo == _NONE))
+                    lo[better], s[better] = first_holder[p + t][better], (p + t)[better]
+                p, lo, s = p[good], lo[good], s[good]
+                if not len(p):
+                    continue
+                row = words.row[p]
+                new = np.append(True, (np.diff(p) != 1) | (np.diff(row) != 0) | (np.diff(lo) != 0))
+                since = np.arange(len(p)) - np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
+                new |= since % ((_REACH - 2) * window) == 0
+                head = np.flatnonzero(new)
+                n = np.diff(np.append(head, len(p)))
+                row, base = row[head], words.first[row[head]]
+                need = p[head] + n - 1 + window - (s[head] - (window - ANCHOR))
+                size = 2 ** np.ceil(np.log2(need)).astype(np.int64)  # few sizes, so that many ask alike
+                yield _batch(ASKED, ids[chunk.lo : chunk.hi][row], marks[chunk.lo : chunk.hi][row], (p[head] - base).astype(np.int32), n.astype(np.int32), (s[head] - base).astype(np.int32), lo[head], as_signed(hashes[s[head]]), size.astype(np.int32))
+
+    return run
+
+
+ANSWERS = "lo long, h long, size int, before int, words binary"
+
+
+def _answer(window: int, bits: int):
+    """The words asked for: `before` of them (window - ANCHOR, or what the text has) stand before the anchor."""
+
+    def run(batches):
+        for batch in batches:
+            ids, wanted = np.asarray(take(batch, "doc_id").cast(pa.int64())), take(batch, "wanted")
+            for chunk in chunks(take(batch, "text")):
+                words = Words(chunk, SPACED)
+                where, keys = _anchors(chunk, words, window, bits)
+                place = {}
+                for r, k, at in zip(words.row[where].tolist(), keys.tolist(), where.tolist(), strict=True):
+                    place.setdefault((r, k), at)
+                values, rows = _lists(wanted, chunk)
+                out, held = [], 0
+                for r, h, size in zip(rows.tolist(), _ints(values, "h").view(np.uint64).tolist(), _ints(values, "size").tolist(), strict=True):
+                    at = place.get((r, h))
+                    if at is None:  # another text of this doc_id has it
+                        continue
+                    a = max(int(words.first[r]), at - (window - ANCHOR))
+                    b = min(int(words.first[r + 1]), at - (window - ANCHOR) + size)
+                    got = b" ".join(chunk.data[words.starts[a] : words.ends[b - 1]].tobytes().split())
+                    out.append((int(ids[chunk.lo + r]), int(np.uint64(h).view(np.int64)), size, at - a, got))
+                    held += len(got)
+                    if held > 8 << 20:
+                        yield _answers(out)
+                        out, held = [], 0
+                yield _answers(out)
+
+    return run
+
+
+def _answers(out: list[tuple]) -> pa.RecordBatch:
+    c = list(zip(*out, strict=True)) or [()] * 5
+    return _batch(ANSWERS, pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.binary()))
+
+
+COMPARED = "doc_id long, mark long, gone array<struct<at:int,n:int>>, open array<int>, anchors array<bigint>"
+_SPAN = pa.struct([("at", pa.int32()), ("n", pa.int32())])
+
+
+def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
+    """(start, length) of each run of true flags."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist(), strict=True))
+
+
+def _compare(window: int, bits: int):
+    """Which windows of a run the words that came confirm, as spans of windows; the others stay open, with their aligned anchors."""
+
+    def run(batches):
+        for batch in batches:
+            ids, marks, came = take(batch, "doc_id").cast(pa.int64()), take(batch, "mark"), take(batch, "came")
+            for chunk in chunks(take(batch, "text")):
+                words = None
+                gone, still, keys = [], [], []
+                for r in range(chunk.hi - chunk.lo):
+                    own = chunk.text(r).split()
+                    asked, sure = np.zeros(len(own), bool), np.zeros(len(own), bool)
+                    for a in came[chunk.lo + r].as_py() or []:
+                        p, n = a["p"], a["n"]
+                        asked[p : p + n] = True
+                        if a["words"] is None:
+                            continue
+                        got, start = a["words"].split(b" "), a["s"] - a["before"]
+                        got, start = got[max(0, -start) :], max(0, start)
+                        mine = own[start : start + len(got)]
+                        low, high = max(p, start), min(p + n, start + len(mine) - window + 1)
+                        if low >= high:
+                            continue
+                        if mine == got:
+                            sure[low:high] = True
+                        else:
+                            wrong = np.cumsum([0, *(x != y for x, y in zip(mine, got[: len(mine)], strict=True))])
+                            at = np.arange(low - start, high - start)
+                            sure[low:high] |= wrong[at + window] == wrong[at]
+                    gone.append([{"at": i, "n": n} for i, n in _stretches(sure)])
+                    rest = np.flatnonzero(asked & ~sure)
+                    still.append(rest.astype(np.int32))
+                    mine = np.zeros(0, np.int64)
+                    if len(rest):
+                        words = words or Words(chunk, SPACED)
+                        hashes = _anchor_table(chunk, words, window, bits)
+                        near = np.unique(rest[:, None] + np.arange(window - ANCHOR + 1))
+                        near = near[np.isin(near % PERIOD, COVER)]
+                        mine = np.unique(hashes[near + words.first[r]]).view(np.int64)
+                    keys.append(mine)
+                yield _batch(COMPARED, ids.slice(chunk.lo, chunk.hi - chunk.lo), marks.slice(chunk.lo, chunk.hi - chunk.lo), pa.array(gone, pa.list_(_SPAN)), pa.array(still, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64())))
+
+    return run
+
+
+def _anchor_table(chunk: Chunk, words: Words, window: int, bits: int) -> np.ndarray:
+    """Hash by word number, zero where no anchor stands; kept with the words."""
+    if not hasattr(words, "anchor_table"):
+        words.anchor_table = np.zeros(len(words.starts), np.uint64)
+        at, keys = _anchors(chunk, words, window, bits)
+        words.anchor_table[at] = keys
+    return words.anchor_table
+
+
+WINDOWS = "h long, doc_id long, mark long, at int"
+
+
+def _hash_windows(window: int, bits: int):
+    """Windows that hold an anchor of an open window, from rows of (doc_id, mark, text, starts of such anchors)."""
+
+    def run(batches):
+        for batch in batches:
+            ids, marks, held = np.asarray(take(batch, "doc_id").cast(pa.int64())), np.asarray(take(batch, "mark")), take(batch, "held")
+            for chunk in chunks(take(batch, "text")):
+                words = Words(chunk, SPACED)
+                at, keys = words.windows(window)
+                values, rows = _lists(held, chunk)
+                starts = _ints(values) + words.first[rows]
                 # a window at p holds the anchor at s when p <= s <= p + window - ANCHOR
-                edge = np.zeros(len(words.hashes) + 1, dtype=np.int32)
-                np.add.at(edge, np.maximum(starts - (window - ANCHOR), base), 1)
-                np.add.at(edge, starts + 1, -1)
-                good = np.cumsum(edge)[at] > 0
-                two = words.windows(window, lane=1)[1][good]
+                low = np.maximum(starts - (window - ANCHOR), words.first[rows])
+                good = covered(low, starts + 1 - low, len(words.starts))[at]
                 row = words.row[at[good]]
-                columns = [as_signed(one[good]), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[chunk.lo : chunk.hi][row]), _packed(at[good], words, marks[chunk.lo : chunk.hi], row)]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "g", "doc_id", "at"])
+                yield _batch(WINDOWS, as_signed(keys[good] >> np.uint64(64 - min(64, bits + 16))), ids[chunk.lo : chunk.hi][row], marks[chunk.lo : chunk.hi][row], (at[good] - words.first[row]).astype(np.int32))
 
     return run
 
 
-_PLACE_BITS = 30
+SPELT = "words binary, doc_id long, mark long, at int"
 
 
-def keyed(documents: DataFrame) -> DataFrame:
-    """The rows with `mark`, which tells rows of one doc_id apart: 34 bits of a hash of the text with their sign, and 0 where the doc_id is the row's alone."""
-    rows = documents.select("doc_id", "text")
-    twins = written(rows.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("twin")), "twins")
-    if twins.isEmpty():
-        discard(twins)
-        return rows.withColumn("mark", F.lit(0).cast("long"))
-    mark = F.when(F.col("twin").isNotNull(), F.shiftright(F.xxhash64("text"), _PLACE_BITS)).otherwise(0)
-    return rows.join(twins, F.col("doc_id") == F.col("twin"), "left").select("doc_id", "text", mark.alias("mark"))
+def _spell(window: int):
+    """The words of windows, from rows of (doc_id, mark, text, starts)."""
 
+    def run(batches):
+        for batch in batches:
+            ids, marks, held = take(batch, "doc_id").cast(pa.int64()), take(batch, "mark"), take(batch, "held")
+            for chunk in chunks(take(batch, "text")):
+                for r in range(chunk.hi - chunk.lo):
+                    own, starts = chunk.text(r).split(), sorted(set(held[chunk.lo + r].as_py()))
+                    for i in range(0, len(starts), 4096):
+                        part = starts[i : i + 4096]
+                        one = np.full(len(part), chunk.lo + r)
+                        yield _batch(SPELT, pa.array([b" ".join(own[p : p + window]) for p in part], pa.binary()), ids.take(pa.array(one)), marks.take(pa.array(one)), pa.array(part, pa.int32()))
 
-def _by_row(places: DataFrame, name: str) -> DataFrame:
-    return places.groupBy("doc_id", F.shiftright("at", _PLACE_BITS).alias("mark")).agg(F.collect_set(F.col("at").bitwiseAND((1 << _PLACE_BITS) - 1)).alias(name))
+    return run
 
 
-def removal_plan(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, mark, gone): starts of the windows to remove, for each of the keyed rows that loses words."""
+def keyed(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with `mark`, which tells the texts of one doc_id apart (a number of their own, 0 where the doc_id is one row's alone); and each doc_id's texts once."""
+    rows = documents.select("doc_id", "text")
+    some = "doc_id is not null and text is not null"
+    twins = written(rows.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "twins")
+    if twins.isEmpty():
+        discard(twins)
+        rows = rows.withColumn("mark", F.lit(0).cast("long"))
+        return rows, rows.filter(some)
+    texts = rows.filter("text is not null").join(twins, "doc_id").distinct()
+    marks = written(texts.select("doc_id", "text", (F.monotonically_increasing_id() + 1).alias("mark")), "marks")
+    discard(twins)
+    rows = rows.join(marks, ["doc_id", "text"], "left").select("doc_id", "text", F.coalesce("mark", F.lit(0)).alias("mark"))
+    return rows, rows.filter(some).filter("mark = 0").unionByName(marks)
+
+
+_ROW = ["doc_id", "mark"]
+
+
+def _lists_of(places: DataFrame, value) -> DataFrame:
+    return places.groupBy(*_ROW).agg(F.collect_list(value).alias("held"))
+
+
+def _with(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    return rows.join(lists.hint("shuffle_hash"), _ROW)
+
+
+def _answered(some: DataFrame, asked: DataFrame, window: int, bits: int) -> DataFrame:
+    """The requests of each row with the words that came for them, as a table."""
+    key = ["lo", "h", "size"]
+    keys = written(asked.groupBy(*key).agg(F.count("*").alias("weight")), "keys")
+    # a text is asked for each of its anchors in a few sizes at most, so its list is bounded by the text
+    wanted = keys.groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list(F.struct("h", "size")).alias("wanted"))
+    said = some.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "wanted")
+    answers = written(said.mapInArrow(lean(_answer(window, bits)), ANSWERS), "answers")
+    tables = [keys, answers]
+    if answers.count() > keys.count():  # several texts of one doc_id answer: one answer will do
+        answers = written(answers.dropDuplicates(key), "answers")
+        tables.append(answers)
+    # what very many ask for is copied for every _ASKERS of them; they learn the number of copies by their key alone
+    copies = keys.withColumn("copies", F.ceil(F.col("weight") / _ASKERS).cast("int"))
+    dealt = lookup(asked, copies, key, "weight", asked.count()).withColumn("copy", F.pmod(F.xxhash64(*_ROW), "copies").cast("int"))
+    spread = answers.join(copies, key).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(*key, "copy", "before", "words")
+    met = dealt.join(spread, [*key, "copy"], "left")
+    came = written(met.groupBy(*_ROW).agg(F.collect_list(F.struct("p", "n", "s", "before", "words")).alias("came")), "came")
+    discard(*tables)
+    return came
+
+
+def removal_plan(some: DataFrame, window: int = WINDOW, bits: int = ANCHOR_BITS) -> list[DataFrame]:
+    """Tables of (doc_id, mark, gone): spans of windows to remove, for the keyed texts that lose words. Fewer `bits` only cost time."""
     if window < PERIOD + ANCHOR - 1:
         raise ValueError(f"a window must have {PERIOD + ANCHOR - 1} words at least, so that it holds an aligned anchor")
-    some = rows.filter("doc_id is not null and text is not null")
-    seen = some.select("text").mapInArrow(lean(_count_anchors(window)), "h long, n int")
-    shared = written(seen.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "anchors")
-    places = some.mapInArrow(lean(_place_anchors(window)), "h long, doc_id long, at long")
-    anchors = written(_by_row(places.join(shared.hint("shuffle_hash"), "h"), "shared"), "places")
-    discard(shared)
-    windows = rows.join(anchors.hint("shuffle_hash"), ["doc_id", "mark"]).mapInArrow(lean(_emit_windows(window)), "h long, g int, doc_id long, at long")
-    # written apart: the two shuffles of windows then never lie on disk together
-    firsts = written(windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "g", "lo"), "firsts")
-    return _by_row(windows.join(firsts.hint("shuffle_hash"), ["h", "g"]).filter("doc_id > lo"), "gone")
+    with only(some.sparkSession) as keep:
+        seen = some.select("doc_id", "text").mapInArrow(lean(_holders(window, bits)), HOLDERS)
+        shared = written(seen.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("h", "lo"), "anchors")
+        places = some.mapInArrow(lean(_place_anchors(window, bits)), PLACES)
+        later = places.join(shared.hint("shuffle_hash"), "h").filter("doc_id > lo")
+        held = written(_lists_of(later, F.struct("at", "lo")), "places")
+        discard(shared)
+        asked = written(_with(some, held).mapInArrow(lean(_ask(window, bits)), ASKED), "asked")
+        discard(held)
+        came = _answered(some, asked, window, bits)
+        discard(asked)
+        found = written(_with(some, came).mapInArrow(lean(_compare(window, bits)), COMPARED), "found")
+        discard(came)
+        keep.append(found)
+        if found.filter("size(open) > 0").isEmpty():
+            return keep
+        wanted = written(found.select(F.explode("anchors").alias("h")).distinct(), "wanted")
+        near = written(_lists_of(places.join(wanted, "h"), F.col("at")), "near")
+        windows = _with(some, near).mapInArrow(lean(_hash_windows(window, bits)), WINDOWS)
+        twice = written(windows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h"), "twice")
+        open_ = written(_lists_of(windows.join(twice, "h"), F.col("at")), "open")
+        spelt = written(_with(some, open_).mapInArrow(lean(_spell(window)), SPELT), "spelt")
+        firsts = spelt.groupBy("words").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("words", "lo")
+        one = F.struct("at", F.lit(1).alias("n"))
+        keep.append(written(spelt.join(firsts, "words").filter("doc_id > lo").groupBy(*_ROW).agg(F.collect_list(one).alias("gone")), "gone"))
+    return keep
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -163,33 +392,33 @@ def _apply(window: int, texts: bool):
     def run(batches):
         for batch in batches:
             ids, gone = take(batch, "doc_id").cast(pa.int64()), take(batch, "gone")
-            out = []
             for chunk in chunks(take(batch, "text")):
                 words = Words(chunk, SPACED, hashed=False)
-                starts, _ = _spread(gone.slice(chunk.lo, chunk.hi - chunk.lo), words.first)
-                lost = covered(starts, window, len(words.starts))
+                values, rows = _lists(gone, chunk)
+                lost = covered(_ints(values, "at") + words.first[rows], _ints(values, "n") + window - 1, len(words.starts))
+                out = []
                 for r, count in enumerate(words.count.tolist()):
-                    a, b = words.first[r], words.first[r + 1]
-                    pieces = chunk.text(r).split()
-                    removed = 0
-                    own = lost[a:b]
+                    pieces, own = chunk.text(r).split(), lost[words.first[r] : words.first[r + 1]]
                     removed = int(own.sum())
                     if removed:
                         pieces = [p for p, x in zip(pieces, own.tolist(), strict=True) if not x]
                     kept = b" ".join(pieces)
                     out.append((count, removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if texts else None))
-            cols = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=[f.split()[0] for f in SCHEMA.split(", ")])
+                cols = list(zip(*out, strict=True))
+                yield _batch(SCHEMA, ids.slice(chunk.lo, chunk.hi - chunk.lo), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string()))
 
     return run
 
 
-def dedup(documents: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
+def dedup(documents: DataFrame, window: int = WINDOW, texts: bool = True, bits: int = ANCHOR_BITS) -> DataFrame:
     """One row per document: its words, how many were removed, the hash of what is kept and (if `texts`) the kept text.
 
-    The windows and the result read one shuffle of the texts by (doc_id, mark); rows without doc_id stay out of it.
+    The result reads one shuffle of the texts by (doc_id, mark); rows without doc_id stay out of it.
     """
-    rows = keyed(documents)
-    joined = rows.filter("doc_id is not null").join(removal_plan(rows, window).hint("shuffle_hash"), ["doc_id", "mark"], "left").select("doc_id", "text", "gone")
-    alone = rows.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("gone"))
-    return joined.union(alone).mapInArrow(lean(_apply(window, texts)), SCHEMA)
+    rows, some = keyed(documents)
+    joined, gone = rows.filter("doc_id is not null"), []
+    for i, plan in enumerate(removal_plan(some, window, bits)):
+        gone.append(F.coalesce(f"gone{i}", F.array().cast("array<struct<at: int, n: int>>")))
+        joined = joined.join(plan.select(*_ROW, F.col("gone").alias(f"gone{i}")).filter(F.size(f"gone{i}") > 0).hint("shuffle_hash"), _ROW, "left")
+    alone = rows.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<at: int, n: int>>").alias("gone"))
+    return joined.select("doc_id", "text", F.concat(*gone).alias("gone")).union(alone).mapInArrow(lean(_apply(window, texts)), SCHEMA)

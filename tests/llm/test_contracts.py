@@ -1,6 +1,7 @@
 """The contract operators against plain models, on rows with nulls, ties, repeats, empty and long texts."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -185,6 +186,54 @@ def test_substring_dedup(spark, docs):
     assert substring_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def removed_by_model(rows, window=13):
+    """(doc_id, removed word places) of each row, by comparing words."""
+    first = {}
+    for d, w in rows:
+        for i in range(len(w) - window + 1):
+            k = tuple(w[i : i + window])
+            first[k] = min(first.get(k, d), d)
+    out = []
+    for d, w in rows:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if first[tuple(w[i : i + window])] < d:
+                gone |= set(range(i, i + window))
+        out.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("bits", [48, 5])
+def test_substring_dedup_decides_by_words(spark, bits):
+    """Hashes of 5 bits clash all over: edited copies, moved pieces, texts of one doc_id, long runs, copies of one source, one word over and over."""
+    rng = random.Random(bits)
+    word = lambda: rng.choice("ka lo mi tu re so fa".split()) + str(rng.randrange(40))
+    base = [[word() for _ in range(rng.choice([12, 13, 40, 700]))] for _ in range(12)]
+    rows = [(100 + i, w) for i, w in enumerate(base)]
+    for i in range(40):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = word()
+        a, b = sorted((rng.randrange(len(w)), rng.randrange(len(w))))
+        rows.append((rng.choice([i, 100 + i, 100, 7]), rng.choice([w, w[a:b] + w[:a], w[b:] + [word()] + w[a:b], w[a:] + base[3][:20]])))
+    rows += [(300, ["x"] * 60), (301, ["x"] * 13), (5, ["x"] * 30), (5, ["x"] * 30), (300, ["x"] * 60)]
+    df = spark.createDataFrame([(d, " ".join(w), i) for i, (d, w) in enumerate(rows)], "doc_id long, text string, own int").repartition(5)
+    got = rows_of(substring_dedup.dedup(df, bits=bits), "doc_id", "n_words", "n_removed", "kept_text")
+    expected = removed_by_model(rows)
+    assert got == sorted(expected, key=repr)
+    assert sum(e[2] for e in expected) > 1000
+
+
+def test_substring_dedup_of_words_that_thousands_ask_for(spark, monkeypatch):
+    """Requests for one answer are dealt to several copies of it, and more sizes of window than one."""
+    monkeypatch.setattr(substring_dedup, "_ASKERS", 8)
+    words = [f"w{i}" for i in range(50)]
+    rows = [(i, [f"a{i}", *words[i % 3 :], f"z{i}"]) for i in range(200)]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(3)
+    for window in (13, 20):
+        assert rows_of(substring_dedup.dedup(df, window), "doc_id", "n_words", "n_removed", "kept_text") == sorted(removed_by_model(rows, window), key=repr)
+
+
 def test_cover_reaches_every_pair_of_positions():
     period, cover = substring_dedup.PERIOD, substring_dedup.COVER
     for i in range(period):
