@@ -8,9 +8,11 @@ which says how many rows of which zone go from which old shard to which new one
 the only choice is among rows of one size, the bytes moved are the fewest possible.
 
 Old shards are what a column says (a number, or by default the names in `source`, numbered in order); old shard i stays
-in place as new shard i.
+in place as new shard i. Rows of old shards beyond the new ones all move, so they are planned as one supply, however many such shards there are.
+Of over MAX_OLD sources, those with the most rows are shards (ties: by name); the rows of smaller ones lie in no shard and move.
 
-Rows are numbered within blocks (old shard, zone, sub-block), so a task orders one block and not one shard; blocks move
+Rows equal in old shard, doc_id, size and checksum are counted first and planned as one row with a number, cut into pieces no
+larger than a block, so equal rows crowd no task. Rows are numbered within blocks (old shard, zone, sub-block), so a task orders one block and not one shard; blocks move
 whole, in order, and only a block that a boundary cuts is split. There are about BLOCKS of them at any size, which
 bounds what the driver plans and what is broadcast.
 
@@ -31,14 +33,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rasterloom.llm.textcore import free_name
-from rasterloom.storage import discard, written
+from rasterloom.storage import only, written
 
 ROW_BYTES = 8
 NEW_SHARDS = 24
 #: About as many blocks are made, of at least LEAST_BLOCK rows.
 BLOCKS, LEAST_BLOCK = 50_000, 256
-#: More old shards than this are refused.
+#: Sources that are old shards of their own.
 MAX_OLD = 1024
+#: Equal keys that a rewrite orders in one task; more are spread.
+CROWD = 65_536
 #: Bits by which a range of sizes is narrowed at a time.
 _BITS = 10
 #: Bytes of a file that a rewrite aims at.
@@ -176,11 +180,9 @@ def numbered(documents: DataFrame, old: Column | None = None) -> DataFrame:
     if old is not None:
         return documents.withColumn("__old", F.coalesce(old.cast("int"), F.lit(-1)))
     name = F.coalesce("source", F.lit(""))
-    found = sorted(r[0] for r in documents.select(name).distinct().limit(MAX_OLD + 1).collect())
-    if len(found) > MAX_OLD:
-        raise ValueError(f"over {MAX_OLD} values of source: they would not be shards")
-    names = _small(documents.sparkSession, [(n, i) for i, n in enumerate(found)], "__name string, __old int")
-    return documents.join(F.broadcast(names), name == F.col("__name")).drop("__name")
+    most = documents.groupBy(name.alias("name")).count().orderBy(F.desc("count"), "name").limit(MAX_OLD)
+    names = _small(documents.sparkSession, [(n, i) for i, n in enumerate(sorted(r["name"] for r in most.collect()))], "__name string, __at int")
+    return documents.join(F.broadcast(names), name == F.col("__name"), "left").withColumn("__old", F.coalesce("__at", F.lit(-1))).drop("__name", "__at")
 
 
 def _crc() -> Column:
@@ -194,13 +196,13 @@ def measured(documents: DataFrame, old: Column | None = None) -> DataFrame:
 
 
 def cut_sizes(rows: DataFrame, goes: dict[int, int]) -> dict[int, int]:
-    """For each old shard in `goes` the size of its k-th smallest row, k being goes[shard]."""
+    """For each old shard in `goes` the size of its k-th smallest row, k being goes[shard]; each of `rows` stands for n."""
     spark, low, bits, need = rows.sparkSession, dict.fromkeys(goes, 0), dict.fromkeys(goes, 40), dict(goes)
     while any(bits.values()):
         ranges = _small(spark, [(i, low[i], bits[i], max(bits[i] - _BITS, 0)) for i in goes], "old int, low long, bits int, step int")
         held = rows.join(F.broadcast(ranges), "old").filter(F.expr("size >= low and shiftright(size - low, bits) = 0"))
         bins = defaultdict(list)
-        for i, k, n in held.groupBy("old", F.expr("shiftright(size - low, step)").alias("bin")).agg(F.count("*").alias("n")).collect():  # at most 2^_BITS a shard
+        for i, k, n in held.groupBy("old", F.expr("shiftright(size - low, step)").alias("bin")).agg(F.sum("n").alias("n")).collect():  # at most 2^_BITS a shard
             bins[i].append((k, n))
         for i in goes:
             bits[i] = max(bits[i] - _BITS, 0)
@@ -218,24 +220,25 @@ def reshard(documents: DataFrame, old: Column | None = None, shards: int = NEW_S
     `old` is the number of the shard a row lies in now, from 0; by default each `source` is a shard.
     """
     spark = documents.sparkSession
-    rows = written(measured(documents, old), "sizes")
-    count = {r["old"]: r["n"] for r in rows.groupBy("old").agg(F.count("*").alias("n")).limit(MAX_OLD + 2).collect()}
-    if len(count) > MAX_OLD + 1:
-        raise ValueError(f"over {MAX_OLD} old shards")
+    same = measured(documents, old).groupBy("old", "doc_id", "text_crc32", "size").agg(F.count("*").alias("n"))
+    rows = written(same.withColumn("from", F.col("old")).withColumn("old", F.expr(f"case when old between 0 and {shards - 1} then old else -1 end")), "sizes")
+    count = {r["old"]: r["n"] for r in rows.groupBy("old").agg(F.sum("n").alias("n")).collect()}  # at most one more than new shards
     total = sum(count.values())
-    home = {i: i for i in count if 0 <= i < shards}
+    home = {i: i for i in count if i >= 0}
     cuts = cut_sizes(rows, {i: count[i] - total // shards for i in home if count[i] > total // shards})
     table = _small(spark, [(i, cuts.get(i)) for i in count], "old int, cut long")
     zoned = rows.join(F.broadcast(table), "old").withColumn("zone", F.expr("case when cut is null or size < cut then 0 when size = cut then 1 else 2 end"))
     most = max(LEAST_BLOCK, -(-total // BLOCKS))
-    subs = [(i, z, -(-n // most)) for i, z, n in zoned.groupBy("old", "zone").agg(F.count("*")).collect()]  # three zones a shard
-    zoned = zoned.join(F.broadcast(_small(spark, subs, "old int, zone int, subs long")), ["old", "zone"]).withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), "subs").cast("int"))
-    blocks = [tuple(r) for r in zoned.groupBy("old", "zone", "sub").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()]
+    subs = [(i, z, -(-n // most)) for i, z, n in zoned.groupBy("old", "zone").agg(F.sum("n")).collect()]  # three zones a shard
+    pieces = zoned.withColumn("piece", F.explode(F.expr(f"sequence(0L, (n - 1) div {most})"))).withColumn("n", F.least(F.lit(most), F.col("n") - F.col("piece") * most))
+    dealt = pieces.join(F.broadcast(_small(spark, subs, "old int, zone int, subs long")), ["old", "zone"]).withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32", "piece"), "subs").cast("int"))
+    blocks = [tuple(r) for r in dealt.groupBy("old", "zone", "sub").agg(F.sum("n").alias("n"), F.sum(F.col("size") * F.col("n")).alias("b")).collect()]
     moves = _small(spark, block_plan(blocks, shards, home), "old int, zone int, sub int, low long, high long, shard int, base long")
-    order = Window.partitionBy("old", "zone", "sub").orderBy("doc_id", "text_crc32", "size")
-    ranked = zoned.withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
-    placed = ranked.join(F.broadcast(moves), ["old", "zone", "sub"]).filter("rank >= low and rank < high")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "old", "shard", (F.col("base") + F.col("rank") - F.col("low")).alias("slot"), (F.col("old") != F.col("shard")).alias("moved"), F.lit(None).cast("int").alias("grown_shard"))
+    order = Window.partitionBy("old", "zone", "sub").orderBy("doc_id", "text_crc32", "size", "from", "piece").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.withColumn("end", F.sum("n").over(order)).withColumn("start", F.expr("end - n"))
+    met = ranked.join(F.broadcast(moves), ["old", "zone", "sub"]).filter("start < high and end > low")
+    placed = met.withColumn("rank", F.explode(F.sequence(F.greatest("low", "start"), F.least("high", "end") - 1)))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("from").alias("old"), "shard", (F.col("base") + F.col("rank") - F.col("low")).alias("slot"), (F.col("from") != F.col("shard")).alias("moved"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def _key(doc_id: Column, crc: Column, old: Column) -> list[Column]:
@@ -245,31 +248,50 @@ def _key(doc_id: Column, crc: Column, old: Column) -> list[Column]:
 _KEY = ["__none", "__id", "__crc", "__from"]
 
 
+def _crowded() -> Column:
+    return F.element_at("__quota", -1).upto > CROWD
+
+
+def _counted(rows: DataFrame, crowds: bool) -> DataFrame:
+    """The rows with `__nth`, from 1, among those of their key. Keys with many rows are numbered in parts, from a table that holds each row's place."""
+    nth = F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.xxhash64("__row")))
+    if not crowds:
+        return rows.withColumn("__nth", nth)
+    table = written(rows.filter(_crowded()).withColumn("__at", F.monotonically_increasing_id()), "crowds")
+    parts = F.ceil(F.element_at("__quota", -1).upto / CROWD)
+    many = table.withColumn("__piece", F.pmod(F.xxhash64("__at"), parts))
+    before = F.sum("n").over(Window.partitionBy(*_KEY).orderBy("__piece")) - F.col("n")
+    offsets = many.groupBy(*_KEY, "__piece").agg(F.count("*").alias("n")).withColumn("__before", before).drop("n")
+    within = F.row_number().over(Window.partitionBy(*_KEY, "__piece").orderBy("__at"))
+    spread = many.withColumn("__nth", within).join(offsets, [*_KEY, "__piece"]).withColumn("__nth", F.col("__nth") + F.col("__before"))
+    few = rows.filter(~_crowded()).withColumn("__nth", nth)
+    return few.unionByName(spread.select(*few.columns))
+
+
 def rewrite_affected(documents: DataFrame, placed: DataFrame, path: str, old: Column | None = None) -> list[int]:
     """Writes, under path/shard=N, the rows of every new shard that gains or loses rows; returns those shards.
 
     Shards that keep exactly their old rows are not rewritten. `placed` is reshard() of the same documents, with the
     same `old`. Names of the documents may clash with those of `placed`; where they have a column `shard`, it stays and
     the folders are called shard_=N (and so on). Rows equal in doc_id, text and old shard are dealt to their shards in
-    the order of a hash of all their columns.
+    the order of a hash of all their columns, or of their places in a table if there are more than CROWD of them.
     """
     folder = free_name("shard", documents.columns)
-    placed = written(placed, "placed")
-    touched = placed.filter("moved").select(F.explode(F.array("old", "shard")).alias("shard")).filter("shard >= 0").distinct()
-    shards = sorted(r["shard"] for r in touched.collect())  # at most as many as there are shards
-    size = F.sum("size") if "size" in placed.columns else F.lit(0)
-    files = [(j, max(1, -(-int(b or 0) // FILE_BYTES))) for j, b in placed.groupBy("shard").agg(size).collect()]
-    mine = placed.filter(F.col("shard").isin(shards)).select(*_key(F.col("doc_id"), F.col("text_crc32"), F.col("old")), "shard")
-    # of each key how many rows go to which shard: a list no longer than there are shards
-    upto = F.sum("n").over(Window.partitionBy(*_KEY).orderBy("shard"))
-    quotas = mine.groupBy(*_KEY, "shard").agg(F.count("*").alias("n")).withColumn("upto", upto).groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("__quota"))
-    rows = numbered(documents, old).select(F.struct(*documents.columns).alias("__row"), *_key(F.col("doc_id"), _crc(), F.col("__old")))
-    # all rows of a key lie in shards that are rewritten, or none does
-    joined = rows.join(quotas.hint("shuffle_hash"), _KEY)
-    nth = F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.xxhash64("__row")))
-    dealt = joined.withColumn("__nth", nth).select("__row.*", F.expr("filter(__quota, q -> q.upto >= __nth)[0].shard").alias(folder))
-    parts = F.broadcast(_small(documents.sparkSession, files, "__to int, __files int"))
-    spread = dealt.join(parts, F.col(folder) == F.col("__to")).withColumn("__part", F.pmod(F.xxhash64("doc_id", "text"), "__files"))
-    spread.repartition(folder, "__part").select(*documents.columns, folder).write.mode("overwrite").partitionBy(folder).parquet(path)
-    discard(placed)
+    with only(documents.sparkSession):
+        placed = written(placed, "placed")
+        touched = placed.filter("moved").select(F.explode(F.array("old", "shard")).alias("shard")).filter("shard >= 0").distinct()
+        shards = sorted(r["shard"] for r in touched.collect())  # at most as many as there are shards
+        size = F.sum("size") if "size" in placed.columns else F.lit(0)
+        files = [(j, max(1, -(-int(b or 0) // FILE_BYTES))) for j, b in placed.groupBy("shard").agg(size).collect()]
+        mine = placed.filter(F.col("shard").isin(shards)).select(*_key(F.col("doc_id"), F.col("text_crc32"), F.col("old")), "shard")
+        # of each key how many rows go to which shard: a list no longer than there are shards
+        upto = F.sum("n").over(Window.partitionBy(*_KEY).orderBy("shard"))
+        quotas = mine.groupBy(*_KEY, "shard").agg(F.count("*").alias("n")).withColumn("upto", upto).groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("__quota"))
+        rows = numbered(documents, old).select(F.struct(*documents.columns).alias("__row"), *_key(F.col("doc_id"), _crc(), F.col("__old")))
+        # all rows of a key lie in shards that are rewritten, or none does
+        joined = rows.join(quotas.hint("shuffle_hash"), _KEY)
+        dealt = _counted(joined, not quotas.filter(_crowded()).isEmpty()).select("__row.*", F.expr("filter(__quota, q -> q.upto >= __nth)[0].shard").alias(folder))
+        parts = F.broadcast(_small(documents.sparkSession, files, "__to int, __files int"))
+        spread = dealt.join(parts, F.col(folder) == F.col("__to")).withColumn("__part", F.pmod(F.xxhash64("doc_id", "text"), "__files"))
+        spread.repartition(folder, "__part").select(*documents.columns, folder).write.mode("overwrite").partitionBy(folder).parquet(path)
     return shards

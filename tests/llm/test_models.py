@@ -442,6 +442,26 @@ def test_equal_rows_of_different_shards_are_told_apart(spark, tmp_path):
     assert sorted(map(tuple, back)) == [*((i, "1", 1) for i in range(20)), (99, "1", 2)]
 
 
+def test_equal_rows_and_many_sources_crowd_no_task(spark, tmp_path, monkeypatch):
+    """Rows without doc_id and text, more sources than are shards of their own, old shards beyond the new ones; blocks and crowds small, so that all are cut."""
+    for name, value in (("MAX_OLD", 3), ("LEAST_BLOCK", 16), ("CROWD", 40)):
+        monkeypatch.setattr(resharding, name, value)
+    rows = [(None, None, "s0", "e")] * 150 + [(i, "t" * (i % 9), f"s{i % 40}", "f") for i in range(300)] + [(1, "u", "s1", "g")] * 90
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra string").repartition(3)
+    placed = resharding.reshard(df, shards=7)
+    got = placed.collect()
+    assert sorted((repr(r.doc_id), r.size) for r in got) == sorted((repr(d), len(t or "") + 8) for d, t, *_ in rows)
+    by = {j: sorted(r.slot for r in got if r.shard == j) for j in range(7)}
+    assert all(v == list(range(len(v))) for v in by.values()) and {len(v) for v in by.values()} == {77, 78}
+    assert {r.old for r in got} == {-1, 0, 1, 2}
+    resharding.rewrite_affected(df, placed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {r["shard"]: r["count"] for r in back.groupBy("shard").count().collect()} == {j: len(v) for j, v in by.items()}
+    assert sorted(map(repr, (tuple(r) for r in back.select(*df.columns).collect()))) == sorted(map(repr, rows))
+    numbers = resharding.reshard(df, old=F.coalesce("doc_id", F.lit(2)), shards=7).collect()  # 300 old shards, 7 new
+    assert {r.old for r in numbers} == set(range(300)) and {sum(r.shard == j for r in numbers) for j in range(7)} == {77, 78}
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2100)] + [(5, 5)]
