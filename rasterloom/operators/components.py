@@ -5,16 +5,19 @@ raster order of their first pixels.
 
 An image is one row of a frame, so by default its runs are found and joined where that row lies: numpy on Arrow
 batches, all images of a batch at once, no shuffle. Masks too large for that (pixel rows, or `distributed=True`) are cut into
-tiles: each tile is labelled on its own, components that touch across tile edges are edges of a graph, that graph is contracted, and
-what it says is joined back to the tiles' components. Rounds depend on what crosses tile edges, not on pixels or runs.
+tiles: each tile is labelled on its own, many small ones at once, components that touch across tile edges are edges of a graph, that graph
+is contracted, and what it says is joined back to the tiles' components. An image of few such edges is contracted by one task, many
+images at once; for the others rounds depend on what crosses tile edges, not on pixels or runs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,6 +80,19 @@ def _rooted(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
+def _joined_runs(img: np.ndarray, row: np.ndarray, x0: np.ndarray, x1: np.ndarray, height: np.ndarray, room: int, connectivity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each run's root, the first run of its component, and whether it touches none above; runs lie in order of image, row and x0."""
+    # rows of all images one under another, with an empty one between images; each row has room for its reach
+    line = (np.cumsum(height + 1) - (height + 1))[img] + row + 1
+    begins, ends = line * (room + 4) + x0 + 2, line * (room + 4) + x1 + 2
+    lo = np.searchsorted(ends, begins - (room + 4) - connectivity, "left")
+    hi = np.searchsorted(begins, ends - (room + 4) + connectivity, "right")
+    n = np.maximum(hi - lo, 0)
+    below = np.repeat(np.arange(len(img)), n)
+    above = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    return _rooted(len(img), above, below), n == 0
+
+
 def _label_batch(width: np.ndarray, height: np.ndarray, on: np.ndarray, connectivity: int, max_label: int) -> tuple[np.ndarray, ...]:
     """(image, y, x0, x1, label) of all runs of the images whose pixels `on` holds end to end."""
     area = width * height
@@ -88,18 +104,9 @@ def _label_batch(width: np.ndarray, height: np.ndarray, on: np.ndarray, connecti
     last[:-1] &= ~on[1:] | (x[1:] == 0)
     s, e = np.flatnonzero(first), np.flatnonzero(last)
     img, row, x0, x1 = image[s], y[s], x[s], x[e]
-    # rows of all images one under another, with an empty one between images; each row has room for its reach
-    line = (np.cumsum(height + 1) - (height + 1))[img] + row + 1
-    room = int(width.max(initial=0)) + 4
-    begins, ends = line * room + x0 + 2, line * room + x1 + 2
-    lo = np.searchsorted(ends, begins - room - connectivity, "left")
-    hi = np.searchsorted(begins, ends - room + connectivity, "right")
-    n = np.maximum(hi - lo, 0)
-    below = np.repeat(np.arange(len(s)), n)
-    above = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    fresh = np.bincount(img[n == 0], minlength=1)
+    root, alone = _joined_runs(img, row, x0, x1, height, int(width.max(initial=0)), connectivity)
+    fresh = np.bincount(img[alone], minlength=1)
     check_labels(int(fresh.max(initial=0)), max_label)
-    root = _rooted(len(s), above, below)
     roots = np.unique(root)
     number = np.arange(len(roots)) - np.searchsorted(img[roots], img[roots])
     return img, row, x0, x1, number[np.searchsorted(roots, root)] + 1
@@ -139,28 +146,65 @@ def _numbered(rooted: DataFrame) -> DataFrame:
     return rooted.join(labels, ["image_id", "root"]).select("image_id", "run", "label")
 
 
+#: Rows that a task takes at once, if no group is larger.
+ROWS = 1 << 17
+
+
+def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where a row differs from the one before in any of the keys."""
+    new = np.zeros(max(table.num_rows - 1, 0), bool)
+    for key in keys:
+        column = table[key].combine_chunks()
+        new |= np.asarray(pa.compute.fill_null(pa.compute.not_equal(column[1:], column[:-1]), True))
+    return np.flatnonzero(np.append(True, new)) if table.num_rows else np.zeros(0, np.int64)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows in order of the keys, many whole groups at once, with the groups' starts; a group that goes on is held back."""
+    held, n, most = [], 0, ROWS
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < most:
+            continue
+        table = pa.Table.from_batches(held)
+        starts = _starts(table, keys)
+        cut = int(starts[-1])
+        if cut:
+            yield table.slice(0, cut), starts[:-1]
+        held = table.slice(cut).to_batches()
+        n -= cut
+        most = max(ROWS, 2 * n)
+    if n:
+        table = pa.Table.from_batches(held)
+        yield table, _starts(table, keys)
+
+
 def _tile_runs(on: DataFrame, connectivity: int, side: int) -> DataFrame:
-    """(image_id, y, x0, x1, run, root) of the runs of every tile, from true pixels (image_id, x, y, width).
+    """(image_id, y, x0, x1, run, root) of the runs of every tile, from true pixels (image_id, x, y).
 
-    `run` is the raster index of a run's first pixel in its image, `root` that of the first run of its component within the tile.
+    `run` tells a run's first pixel and follows raster order, `root` is that of the first run of its component within the tile. Pixels are
+    sorted by tile, so a task holds some tiles' pixels, whatever the number of tiles.
     """
-    tiles = on.select("image_id", F.floor(F.col("x") / side).alias("tx"), F.floor(F.col("y") / side).alias("ty"), "x", "y", "width")
     schema = T.StructType([on.schema["image_id"], *(T.StructField(c, T.IntegerType()) for c in ("y", "x0", "x1")), T.StructField("run", T.LongType()), T.StructField("root", T.LongType())])
-
-    def labelled(tile: pa.Table) -> pa.Table:
-        left, top, width = (int(tile[c][0].as_py()) for c in ("tx", "ty", "width"))
-        x, y = (np.asarray(tile[c]).astype(np.int64) for c in ("x", "y"))
-        mask = np.zeros((side, side), bool)
-        mask[y - top * side, x - left * side] = True
-        _, row, x0, x1, label = _label_batch(np.array([side]), np.array([side]), mask.ravel(), connectivity, MAX_LABEL)
-        row, x0, x1 = row + top * side, x0 + left * side, x1 + left * side
-        run = row * width + x0
-        _, firsts = np.unique(label, return_index=True)
-        root = run[firsts][label - 1]
-        ids = tile["image_id"].combine_chunks().take(pa.array(np.zeros(len(run), np.int64)))
-        return pa.Table.from_arrays([ids, *(pa.array(c, type=pa.int32()) for c in (row, x0, x1)), pa.array(run), pa.array(root)], names=[f.name for f in schema.fields])
-
-    return tiles.groupBy("image_id", "tx", "ty").applyInArrow(labelled, schema)
+    tile = ["image_id", "ty", "tx"]
+
+    def labelled(batches):
+        for table, starts in _groups(batches, tile):
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
+            x, y, tx, ty = (np.asarray(table[c]).astype(np.int64) for c in ("x", "y", "tx", "ty"))
+            # a pixel's place, with a gap after each row and each tile; told twice, it counts once
+            place, once = np.unique(((group * (side + 1)) + y - ty * side) * (side + 1) + x - tx * side, return_index=True)
+            apart = np.diff(place) != 1
+            s, e = once[np.append(True, apart)], once[np.append(apart, True)]
+            row, x0, x1 = y[s], x[s], x[e]
+            root, _ = _joined_runs(group[s], row - ty[s] * side, x0 - tx[s] * side, x1 - tx[s] * side, np.full(len(starts), side), side, connectivity)
+            run = (row << 32) + x0
+            yield pa.RecordBatch.from_arrays([table["image_id"].combine_chunks().take(pa.array(s)), *(pa.array(c, type=pa.int32()) for c in (row, x0, x1)), pa.array(run), pa.array(run[root])], names=[f.name for f in schema.fields])
+
+    at = lambda c: F.floor(F.col(c) / side).cast("int").alias(f"t{c}")
+    tiles = on.select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).select("image_id", at("y"), at("x"), "x", "y")
+    return tiles.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(labelled, schema)
 
 
 def _crossings(found: DataFrame, connectivity: int, side: int) -> DataFrame:
@@ -175,10 +219,48 @@ def _crossings(found: DataFrame, connectivity: int, side: int) -> DataFrame:
     return met.filter("p <> q").select("image_id", F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
 
 
+#: Edges of an image that one task contracts.
+ALONE = 1 << 20
+
+
+def _contracted_alone(edges: DataFrame) -> DataFrame:
+    """What contracted() gives, many images at once, each in one task."""
+    schema = T.StructType([edges.schema["image_id"], T.StructField("root", T.LongType()), T.StructField("low", T.LongType())])
+
+    def run(batches):
+        for table, starts in _groups(batches, ["image_id"]):
+            n = table.num_rows
+            group = np.tile(np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n))), 2)
+            ends = np.concatenate([np.asarray(table["a"]), np.asarray(table["b"])])
+            order = np.lexsort((ends, group))
+            new = np.append(True, (np.diff(ends[order]) != 0) | (np.diff(group[order]) != 0))
+            node = np.empty(2 * n, np.int64)
+            node[order] = np.cumsum(new) - 1
+            first = order[new]
+            root = _rooted(len(first), node[:n], node[n:])
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            ids = table["image_id"].combine_chunks().take(pa.array(first[moved] % n))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(ends[first[moved]]), pa.array(ends[first[root[moved]]])], names=[f.name for f in schema.fields])
+
+    return edges.repartition("image_id").sortWithinPartitions("image_id").mapInArrow(run, schema)
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """(image_id, root, low): the smallest node that each node of the edges (image_id, a, b), a > b, reaches.
 
-    Larger neighbours move to the smallest node that a node sees, then smaller ones to the smallest of them, in turn, until every
+    Images of up to ALONE edges are contracted where they lie, the others by rounds.
+    """
+    found = written(edges, "crossings")
+    large = written(found.groupBy("image_id").count().filter(F.col("count") > ALONE).select("image_id"), "large")
+    if large.isEmpty():
+        return _contracted_alone(found)
+    # each has over ALONE edges, so they are few
+    rest = found.join(F.broadcast(large), "image_id", "left_anti")
+    return _contracted_alone(rest).union(_contracted_by_rounds(found.join(F.broadcast(large), "image_id", "left_semi")))
+
+
+def _contracted_by_rounds(edges: DataFrame) -> DataFrame:
+    """Larger neighbours move to the smallest node that a node sees, then smaller ones to the smallest of them, in turn, until every
     component is a star; each round halves what is left to do, and is written, so lineage stays short.
     """
     now, mark = written(edges, "crossings"), None
@@ -197,7 +279,7 @@ def contracted(edges: DataFrame) -> DataFrame:
 
 
 def _labelled_apart(on: DataFrame, connectivity: int, max_label: int, side: int) -> DataFrame:
-    """Labels of the runs of true pixels (image_id, x, y, width); no task holds more than a tile, or a few rows' components, of an image.
+    """Labels of the runs of true pixels (image_id, x, y); no task holds more than some tiles, or a few rows' components, of an image.
 
     The labels that max_label bounds are the final ones: a tile's own are numbers that never leave it.
     """
@@ -219,13 +301,13 @@ def connected_components(mask: ImageFrame, connectivity: int = CONNECTIVITY_4, m
     if not distributed:
         return Labeling(_labelled_in_place(mask, connectivity, max_label), mask.images())
     on = exploded(mask.df.select("image_id", "width", F.posexplode_outer("v").alias("_i", "v"))).filter("v")
-    at = on.select("image_id", (F.col("_i") % F.col("width")).alias("x"), F.floor(F.col("_i") / F.col("width")).cast("int").alias("y"), "width")
+    at = on.select("image_id", (F.col("_i") % F.col("width")).alias("x"), F.floor(F.col("_i") / F.col("width")).cast("int").alias("y"))
     return Labeling(_labelled_apart(at, connectivity, max_label, tile), mask.images())
 
 
 def components_of_pixels(pixels: DataFrame, images: DataFrame, connectivity: int = CONNECTIVITY_4, max_label: int = MAX_LABEL, tile: int = TILE) -> Labeling:
     """Components of masks given as pixel rows (image_id, x, y, v) and sizes, for images that do not fit a row; rows of false pixels may be absent."""
-    on = pixels.filter("v").select("image_id", "x", "y").join(small(images.select("image_id", "width")), "image_id")
+    on = pixels.filter("v").select("image_id", "x", "y").join(small(images.select("image_id")), "image_id", "left_semi")
     return Labeling(_labelled_apart(on, connectivity, max_label, tile), images)
 
 

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +205,47 @@ def test_components_by_tiles_equal_those_in_place(spark, side):
         components.components_of_pixels(f.pixels(), f.images(), max_label=20, tile=side)
 
 
+def test_tiles_are_labelled_many_at_once(spark):
+    rng = np.random.default_rng(16)
+    images = list(rng.random((40, 8, 8)) < 0.5)
+    f = frame(spark, *images, pixel="Bool")
+    found = components._tile_runs(f.pixels().filter("v"), components.CONNECTIVITY_4, 3)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    twice = f.pixels().union(f.pixels()).withColumn("image_id", F.concat(F.lit("image "), "image_id"))
+    named = f.images().withColumn("image_id", F.concat(F.lit("image "), "image_id"))
+    got = components.components_of_pixels(twice, named, tile=3).pixels()
+    assert rows(got) == rows(components.connected_components(f).pixels().withColumn("image_id", F.concat(F.lit("image "), "image_id")).select(*got.columns))
+
+
+@pytest.mark.parametrize("most", [1, 5, 1000])
+def test_groups_stay_whole(monkeypatch, most):
+    monkeypatch.setattr(components, "ROWS", most)
+    keys = [0] * 3 + [1] * 7 + [None] + [2] * 2 + [3]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + 2], pa.int64()), pa.array(range(k, min(k + 2, len(keys))))], names=["g", "v"]) for k in range(0, len(keys), 2)]
+    got = []
+    for table, starts in components._groups(iter(batches), ["g"]):
+        got += [table["v"][int(a) : int(b)].to_pylist() for a, b in itertools.pairwise([*starts, table.num_rows])]
+    assert got == [[0, 1, 2], [3, 4, 5, 6, 7, 8, 9], [10], [11, 12], [13]]
+    assert list(components._groups(iter(()), ["g"])) == []
+
+
+@pytest.mark.parametrize("alone", [0, 30, 1 << 20])
+def test_images_of_many_crossings_are_contracted_by_rounds(spark, monkeypatch, alone):
+    monkeypatch.setattr(components, "ALONE", alone)
+    rng = np.random.default_rng(15)
+    edges, expect = [], set()
+    for image, n in (("a", 12), ("b", 60), ("c", 61)):
+        pairs = [tuple(map(int, sorted(p, reverse=True))) for p in rng.integers(0, 80, (n, 2)) if p[0] != p[1]]
+        low = list(range(80))
+        while any(low[a] != low[b] for a, b in pairs):
+            for a, b in pairs:
+                low[a] = low[b] = min(low[a], low[b])
+        edges += [(image, *p) for p in set(pairs)]
+        expect |= {(image, k, v) for k, v in enumerate(low) if k != v}
+    assert set(rows(components.contracted(spark.createDataFrame(edges, "image_id string, a long, b long")))) == expect
+    assert rows(components.contracted(spark.createDataFrame([], "image_id string, a long, b long"))) == []
+
+
 def test_tiles_that_wrap_and_tiles_that_shrink(spark):
     images = noise(10, (17, 23), (4, 5), (1, 2))
     f = frame(spark, *images)
