@@ -92,6 +92,28 @@ def test_raw_files_that_are_broken_or_of_another_type(spark, tmp_path):
     assert raw.read_lines(spark, str(empty), "Mono8").collect() == []
 
 
+def test_raw_files_are_planned_by_their_lengths(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    shapes = [(1, 3000), (700, 2), (5, 0), (0, 5), *[(2, 2)] * 600]
+    images = [(f"i{k}", w, h, rng.integers(0, 256, w * h).tolist()) for k, (w, h) in enumerate(shapes)]
+    raw.write(src.from_rows(spark, images, "Mono8"), str(tmp_path))
+    reader = raw._Reader(str(tmp_path), src.pixel_type("Mono8"), ["v"], 10)
+    lines = {}
+    parts = reader.partitions()
+    assert len(parts) <= 2 * raw.PARTS
+    for part in parts:
+        for batch in reader.read(part):
+            for row in batch.to_pylist():
+                assert (row["image_id"], row["y"]) not in lines
+                lines[row["image_id"], row["y"]] = row["v"]
+    assert lines == {(i, y): v[y * w : (y + 1) * w] for i, w, h, v in images for y in range(h)}
+    assert sum(len(part.bands) for part in parts) > len(images)  # a file is cut
+    (tmp_path / "i7.raw").write_bytes(b"RLRA")
+    assert len(reader.partitions()) == len(parts)  # no file is opened for a plan
+    with pytest.raises(errors.LengthMismatch):
+        [b for part in parts for b in reader.read(part)]
+
+
 def test_raw_bytes_of_their_own_sizes(spark, tmp_path):
     (tmp_path / "p.bin").write_bytes(bytes([1, 2, 3]))
     (tmp_path / "q.bin").write_bytes(bytes([4, 5, 6, 7]))
