@@ -14,7 +14,7 @@ several times the input, so matches are found by anchors and extended:
    Windows that agree in all words are removed.
 3. The rest. An anchor's first holder need not hold the window: it may stand in a later document, or elsewhere in this one. Windows that
    stay open (few: where a copy was edited, or a passage ends) are looked for in all documents that share an anchor with
-   them, and grouped by their words themselves.
+   them; windows of their hashes, where a smaller document has one, are grouped by their words themselves.
 
 Hashes choose where to look and never decide: one that clashes costs time and no more.
 
@@ -33,6 +33,7 @@ rows; extra columns, whatever their names, are left alone.
 from __future__ import annotations
 
 import hashlib
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -197,57 +198,60 @@ def _answers(out: list[tuple]) -> pa.RecordBatch:
     return _batch(ANSWERS, pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.binary()))
 
 
-COMPARED = "doc_id long, mark long, gone array<struct<at:int,n:int>>, open array<int>, anchors array<bigint>"
-_SPAN = pa.struct([("at", pa.int32()), ("n", pa.int32())])
+COMPARED = "doc_id long, mark long, gone array<struct<at:int,n:int>>, open array<bigint>, anchors array<bigint>"
 
 
-def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
-    """(start, length) of each run of true flags."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist(), strict=True))
+def _listed(rows: np.ndarray, count: int, values: pa.Array) -> pa.Array:
+    """A list column of `count` rows from values in order of their rows."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(count + 1)).astype(np.int32)), values)
+
+
+def _window_bits(keys: np.ndarray, bits: int) -> np.ndarray:
+    return keys >> np.uint64(64 - min(64, bits + 16))
 
 
 def _compare(window: int, bits: int):
-    """Which windows of a run the words that came confirm, as spans of windows; the others stay open, with their aligned anchors."""
+    """Which windows of a run the words that came confirm, as spans of windows; the others stay open: their hashes, and their aligned anchors."""
 
     def run(batches):
         for batch in batches:
             ids, marks, came = take(batch, "doc_id").cast(pa.int64()), take(batch, "mark"), take(batch, "came")
             for chunk in chunks(take(batch, "text")):
-                words = None
-                gone, still, keys = [], [], []
-                for r in range(chunk.hi - chunk.lo):
-                    own = chunk.text(r).split()
-                    asked, sure = np.zeros(len(own), bool), np.zeros(len(own), bool)
-                    for a in came[chunk.lo + r].as_py() or []:
-                        p, n = a["p"], a["n"]
-                        asked[p : p + n] = True
-                        if a["words"] is None:
-                            continue
-                        got, start = a["words"].split(b" "), a["s"] - a["before"]
-                        got, start = got[max(0, -start) :], max(0, start)
-                        mine = own[start : start + len(got)]
-                        low, high = max(p, start), min(p + n, start + len(mine) - window + 1)
-                        if low >= high:
-                            continue
-                        if mine == got:
-                            sure[low:high] = True
-                        else:
-                            wrong = np.cumsum([0, *(x != y for x, y in zip(mine, got[: len(mine)], strict=True))])
-                            at = np.arange(low - start, high - start)
-                            sure[low:high] |= wrong[at + window] == wrong[at]
-                    gone.append([{"at": i, "n": n} for i, n in _stretches(sure)])
-                    rest = np.flatnonzero(asked & ~sure)
-                    still.append(rest.astype(np.int32))
-                    mine = np.zeros(0, np.int64)
-                    if len(rest):
-                        words = words or Words(chunk, SPACED)
-                        hashes = _anchor_table(chunk, words, window, bits)
-                        near = np.unique(rest[:, None] + np.arange(window - ANCHOR + 1))
-                        near = near[np.isin(near % PERIOD, COVER)]
-                        mine = np.unique(hashes[near + words.first[r]]).view(np.int64)
-                    keys.append(mine)
-                yield _batch(COMPARED, ids.slice(chunk.lo, chunk.hi - chunk.lo), marks.slice(chunk.lo, chunk.hi - chunk.lo), pa.array(gone, pa.list_(_SPAN)), pa.array(still, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64())))
+                words = Words(chunk, SPACED)
+                size, total = chunk.hi - chunk.lo, len(words.starts)
+                values, rows = _lists(came, chunk)
+                p, n, s = (_ints(values, name) for name in ("p", "n", "s"))
+                before = np.asarray(pa.compute.fill_null(pa.compute.struct_field(values, "before"), 0)).astype(np.int64)
+                sure, held = np.zeros(total, bool), -1
+                columns = (rows, words.first[rows], p, p + n, s - before)
+                for r, base, low, high, start, said in zip(*(c.tolist() for c in columns), pa.compute.struct_field(values, "words").to_pylist(), strict=True):
+                    if said is None:
+                        continue
+                    if r != held:
+                        own, held = chunk.text(r).split(), r
+                    got, start = said.split(b" ")[max(0, -start) :], max(0, start)
+                    mine = own[start : start + len(got)]
+                    low, high = max(low, start), min(high, start + len(mine) - window + 1)
+                    if low >= high:
+                        continue
+                    if mine == got:
+                        sure[base + low : base + high] = True
+                    else:
+                        wrong = np.cumsum([0, *map(ne, mine, got)])
+                        sure[base + low : base + high] |= wrong[low - start + window : high - start + window] == wrong[low - start : high - start]
+                first = np.zeros(total + 1, bool)
+                first[words.first] = True
+                heads = np.flatnonzero(sure & (first[:-1] | ~np.append(False, sure[:-1])[:total]))
+                tails = np.flatnonzero(sure & (first[1:] | ~np.append(sure[1:], False)[:total]))
+                row = words.row[heads]
+                gone = pa.StructArray.from_arrays([pa.array((heads - words.first[row]).astype(np.int32)), pa.array((tails - heads + 1).astype(np.int32))], names=["at", "n"])
+                rest = np.flatnonzero(covered(words.first[rows] + p, n, total) & ~sure)
+                at, keys = words.windows(window)
+                still = _window_bits(keys[np.searchsorted(at, rest)], bits)
+                near = np.unique(rest[:, None] + np.arange(window - ANCHOR + 1))
+                near = near[np.isin((near - words.first[words.row[near]]) % PERIOD, COVER)]
+                anchors = _anchor_table(chunk, words, window, bits)[near]
+                yield _batch(COMPARED, ids.slice(chunk.lo, size), marks.slice(chunk.lo, size), _listed(row, size, gone), _listed(words.row[rest], size, as_signed(still)), _listed(words.row[near], size, as_signed(anchors)))
 
     return run
 
@@ -279,7 +283,7 @@ def _hash_windows(window: int, bits: int):
                 low = np.maximum(starts - (window - ANCHOR), words.first[rows])
                 good = covered(low, starts + 1 - low, len(words.starts))[at]
                 row = words.row[at[good]]
-                yield _batch(WINDOWS, as_signed(keys[good] >> np.uint64(64 - min(64, bits + 16))), ids[chunk.lo : chunk.hi][row], marks[chunk.lo : chunk.hi][row], (at[good] - words.first[row]).astype(np.int32))
+                yield _batch(WINDOWS, as_signed(_window_bits(keys[good], bits)), ids[chunk.lo : chunk.hi][row], marks[chunk.lo : chunk.hi][row], (at[good] - words.first[row]).astype(np.int32))
 
     return run
 
@@ -374,10 +378,14 @@ def removal_plan(some: DataFrame, window: int = WINDOW, bits: int = ANCHOR_BITS)
         if found.filter("size(open) > 0").isEmpty():
             return keep
         wanted = written(found.select(F.explode("anchors").alias("h")).distinct(), "wanted")
-        near = written(_lists_of(places.join(wanted, "h"), F.col("at")), "near")
+        # what is sought, and the last document that seeks it: only windows up to there can take a part
+        sought = written(found.select("doc_id", F.explode("open").alias("h")).groupBy("h").agg(F.max("doc_id").alias("last")), "sought")
+        near = written(_lists_of(places.join(wanted.hint("shuffle_hash"), "h"), F.col("at")), "near")
         windows = _with(some, near).mapInArrow(lean(_hash_windows(window, bits)), WINDOWS)
-        twice = written(windows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h"), "twice")
-        open_ = written(_lists_of(windows.join(twice, "h"), F.col("at")), "open")
+        like = written(windows.join(sought.hint("shuffle_hash"), "h").filter("doc_id <= last"), "like")
+        earlier = like.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("last").alias("last")).filter("lo < last").select("h")
+        open_ = written(_lists_of(like.join(earlier, "h"), F.col("at")), "open")
+        discard(like)
         spelt = written(_with(some, open_).mapInArrow(lean(_spell(window)), SPELT), "spelt")
         firsts = spelt.groupBy("words").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("words", "lo")
         one = F.struct("at", F.lit(1).alias("n"))

@@ -234,6 +234,20 @@ def test_substring_dedup_of_words_that_thousands_ask_for(spark, monkeypatch):
         assert rows_of(substring_dedup.dedup(df, window), "doc_id", "n_words", "n_removed", "kept_text") == sorted(removed_by_model(rows, window), key=repr)
 
 
+def test_substring_dedup_spells_only_what_may_be_removed(spark, monkeypatch):
+    """Windows that hold an edit stand nowhere else; the copied words beside it need no second look. Those that stand elsewhere get one."""
+    told = {}
+    write = substring_dedup.written
+    monkeypatch.setattr(substring_dedup, "written", lambda df, name="step": [out := write(df, name), told.__setitem__(name, out.count())][0])
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, words), (2, [*words[:50], "other", *words[51:]]), (3, words)]
+    for rows, spelt in ((rows, 0), ([*rows, (4, [*words[40:50], "other", *words[51:60]])], 16), ([*rows, (0, [f"b{i}" for i in range(9)] + words[40:50] + ["other"] + words[51:60])], 24)):
+        told.clear()
+        df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+        assert rows_of(substring_dedup.dedup(df), "doc_id", "n_words", "n_removed", "kept_text") == removed_by_model(rows)
+        assert told.get("spelt", 0) <= spelt
+
+
 def test_cover_reaches_every_pair_of_positions():
     period, cover = substring_dedup.PERIOD, substring_dedup.COVER
     for i in range(period):
