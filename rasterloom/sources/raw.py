@@ -186,7 +186,7 @@ class _Writer(DataSourceArrowWriter):
 
 
 class RawImages(DataSource):
-    """Options: path, pixel (a type's name), channels (names with commas between them; all if absent), band (bytes of a partition)."""
+    """Options: path, pixel (a type's name), channels (names with commas between them; all if absent), band (bytes of a band; many small ones are joined)."""
 
     @classmethod
     def name(cls) -> str:
