@@ -18,8 +18,9 @@ several times the input, so matches are found by anchors and extended:
 
 Hashes choose where to look and never decide: one that clashes costs time and no more.
 
-Counting is `groupBy` with partial aggregation, so a passage that a third of all documents share
-sends one row for each map task. Words asked for by very many documents are spread over as many tasks as their number needs.
+Anchors travel in blocks: rows of arrays that hold many anchors of one part, which the first bits of their hashes name.
+A part's holders are counted first, an anchor once for many texts, so a passage that a third of all documents share adds little; its places
+then stream past the part's shared anchors. Words asked for by very many documents are spread over as many tasks as their number needs.
 The other joins back are equi-joins whose small side has one row a key, which adaptive execution splits where a key is hot.
 
 Edge cases: a null or empty text has no words, nothing is removed and the kept text is empty; rows of
@@ -42,23 +43,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.joins import lookup
-from rasterloom.llm.textcore import SPACED, Chunk, Words, as_signed, chunks, covered, lean, take
+from rasterloom.llm.textcore import SPACED, Chunk, Words, as_signed, chunks, covered, lean, mix64, take
 from rasterloom.storage import discard, only, written
 
 WINDOW = 13
 PERIOD, COVER, ANCHOR = 7, (0, 1, 3), 7
 #: Words that a request brings at most, as a multiple of the window, and rows that get one answer from one task.
 _REACH, _ASKERS = 16, 4096
-#: Anchors keep this many of their 64 bits.
-ANCHOR_BITS = 48
+#: Anchors keep this many of their 64 bits; as many of these name the part in which an anchor's holders meet.
+ANCHOR_BITS, _PART_BITS = 48, 12
+#: Anchors that are put in order at a time, and anchors of a row at most.
+_MANY, _BLOCK = 1 << 19, 1024
 _NONE = np.iinfo(np.int64).min
+_IN_COVER = np.isin(np.arange(PERIOD), COVER)
+#: Masks of the lowest 0 to 8 bytes of eight.
+_LOWEST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _words(chunk: Chunk) -> Words:
+    """A chunk's words, hashed eight bytes at a time; those of over 64 bytes by a digest."""
+    words = Words(chunk, SPACED, hashed=False)
+    data = np.append(chunk.data, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(chunk.data) + 1,), np.dtype("<u8"), data, strides=(1,))  # from each byte on
+    left = words.ends - words.starts
+    hashes, at = left.astype(np.uint64), words.starts
+    which = np.arange(len(left))
+    for _ in range(8):
+        hashes[which] = mix64(hashes[which] ^ (eight[at] & _LOWEST[np.minimum(left, 8)]))
+        more = left > 8
+        which, at, left = which[more], at[more] + 8, left[more] - 8
+    for i in which.tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(data[words.starts[i] : words.ends[i]], digest_size=8).digest(), "little")
+    words.hashes = words.lanes[0] = hashes
+    return words
+
+
+def _aligned(place: np.ndarray) -> np.ndarray:
+    return _IN_COVER[place % PERIOD]
 
 
 def _anchors(chunk: Chunk, words: Words, window: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the anchors at cover positions, in texts long enough for one window."""
     at, keys = words.windows(ANCHOR)
     row = words.row[at]
-    good = np.isin((at - words.first[row]) % PERIOD, COVER) & (words.count[row] >= window)
+    good = _aligned(at - words.first[row]) & (words.count[row] >= window)
     return at[good], keys[good] >> np.uint64(64 - bits)
 
 
@@ -77,44 +105,133 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[f.split()[0] for f in schema.split(", ")])
 
 
-HOLDERS = "h long, lo long, hi long"
+def _gathered(batches, window: int, bits: int):
+    """Anchors of many texts at a time: their hashes, doc_ids, marks and places, in order of the hashes."""
+    held, n = [], 0
+    for batch in batches:
+        ids, marks = np.asarray(take(batch, "doc_id").cast(pa.int64())), np.asarray(take(batch, "mark"))
+        for chunk in chunks(take(batch, "text")):
+            words = _words(chunk)
+            at, keys = _anchors(chunk, words, window, bits)
+            row = words.row[at]
+            held.append((keys, ids[chunk.lo : chunk.hi][row], marks[chunk.lo : chunk.hi][row], (at - words.first[row]).astype(np.int32)))
+            n += len(at)
+            if n >= _MANY:
+                yield _in_order(held)
+                held, n = [], 0
+    if n:
+        yield _in_order(held)
+
+
+def _in_order(held: list[tuple]) -> list[np.ndarray]:
+    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+    order = np.argsort(columns[0])
+    return [c[order] for c in columns]
+
+
+def _blocks(schema: str, turn: int, bits: int, keys: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Rows of up to _BLOCK anchors of one part, from anchors in order of their hashes."""
+    parts = (keys >> np.uint64(max(0, bits - _PART_BITS))).astype(np.int32)
+    starts = np.union1d(np.arange(0, len(keys), _BLOCK), np.flatnonzero(np.diff(parts)) + 1)
+    ends = pa.array(np.append(starts, len(keys)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, c if isinstance(c, pa.Array) else pa.array(c)) for c in (as_signed(keys), *columns)]
+    return _batch(schema, parts[starts], np.full(len(starts), turn, np.int32), *lists)
+
+
+HOLDERS = "part int, turn int, h array<bigint>, lo array<bigint>, hi array<bigint>"
+
+
+def _held(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each hash once, with its smallest and largest holder, from hashes in order."""
+    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[head], np.minimum.reduceat(lo, head), np.maximum.reduceat(hi, head)
 
 
 def _holders(window: int, bits: int):
-    """Each anchor of a chunk once, with the smallest and largest doc_id that holds it there."""
+    """Each anchor of many texts once, with the smallest and largest doc_id that holds it there."""
 
     def run(batches):
-        for batch in batches:
-            ids = np.asarray(take(batch, "doc_id").cast(pa.int64()))
-            for chunk in chunks(take(batch, "text")):
-                words = Words(chunk, SPACED)
-                at, keys = _anchors(chunk, words, window, bits)
-                mine = ids[chunk.lo : chunk.hi][words.row[at]]
-                order = np.lexsort((mine, keys))
-                k, d = keys[order], mine[order]
-                head = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-                tail = np.append(head[1:], len(k)) - 1 if len(k) else head
-                yield _batch(HOLDERS, as_signed(k[head]), d[head], d[tail])
+        for keys, ids, _, _ in _gathered(batches, window, bits):
+            yield _blocks(HOLDERS, 0, bits, *_held(keys, ids, ids))
 
     return run
 
 
-PLACES = "h long, doc_id long, mark long, at int"
+def _whole_parts(batches):
+    """Batches in order of parts, joined and cut so that no part is torn."""
+    held, last, n = [], None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts = np.asarray(take(batch, "part"))
+        cut = int(np.searchsorted(parts, parts[-1]))  # where the last part begins, which may go on
+        if held and n >= _MANY and (cut or parts[0] != last):
+            yield [*held, batch.slice(0, cut)]
+            held, n = [], 0
+            batch = batch.slice(cut)
+        held.append(batch)
+        last, n = parts[-1], n + len(take(batch, "h").flatten())
+    if held:
+        yield held
+
+
+def _flat(batches, name: str) -> np.ndarray:
+    return np.concatenate([np.asarray(take(b, name).flatten()) for b in batches])
+
+
+SHARED = "part int, turn int, h array<bigint>, lo array<bigint>"
+
+
+def _first(bits: int):
+    """The first holder of each anchor that several doc_ids hold, from blocks in order of parts."""
+
+    def run(batches):
+        for whole in _whole_parts(batches):
+            keys = _flat(whole, "h").view(np.uint64)
+            order = np.argsort(keys)
+            keys, lo, hi = _held(keys[order], _flat(whole, "lo")[order], _flat(whole, "hi")[order])
+            many = lo < hi
+            yield _blocks(SHARED, 0, bits, keys[many], lo[many])
+
+    return run
+
+
+PLACES = "part int, turn int, h array<bigint>, doc_id array<bigint>, mark array<bigint>, at array<int>"
 
 
 def _place_anchors(window: int, bits: int):
     def run(batches):
-        for batch in batches:
-            ids, marks = np.asarray(take(batch, "doc_id").cast(pa.int64())), np.asarray(take(batch, "mark"))
-            for chunk in chunks(take(batch, "text")):
-                words = Words(chunk, SPACED)
-                at, keys = _anchors(chunk, words, window, bits)
-                row = words.row[at]
-                yield _batch(PLACES, as_signed(keys), ids[chunk.lo : chunk.hi][row], marks[chunk.lo : chunk.hi][row], (at - words.first[row]).astype(np.int32))
+        for columns in _gathered(batches, window, bits):
+            yield _blocks(PLACES, 1, bits, *columns)
 
     return run
 
 
+MET = "h long, lo long, doc_id long, mark long, at int"
+
+
+def _meet(batches):
+    """Places of shared anchors with their first holders, from blocks in order of parts, a part's shared anchors (turn 0) before its places."""
+    known, first = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts, places = np.asarray(take(batch, "part")), np.asarray(take(batch, "turn")) == 1
+        shared, batch = batch.filter(pa.array(~places)), batch.filter(pa.array(places))
+        known = np.append(known, _flat([shared], "h").view(np.uint64))
+        first = np.append(first, _flat([shared], "doc_id"))
+        keys = _flat([batch], "h").view(np.uint64)
+        if len(known) and len(keys):
+            where = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            good = np.flatnonzero(known[where] == keys)
+            columns = [_flat([batch], name)[good] for name in ("doc_id", "mark", "at")]
+            yield _batch(MET, as_signed(keys[good]), first[where[good]], *columns)
+        # only the last part may go on; its shared anchors came last
+        of_last = len(_flat([shared.filter(pa.compute.equal(take(shared, "part"), int(parts[-1])))], "h"))
+        if parts[0] != parts[-1]:
+            known, first = known[len(known) - of_last :], first[len(first) - of_last :]
+
+
 ASKED = "doc_id long, mark long, p int, n int, s int, lo long, h long, size int"
 
 
@@ -125,7 +242,7 @@ def _ask(window: int, bits: int):
         for batch in batches:
             ids, marks, held = np.asarray(take(batch, "doc_id").cast(pa.int64())), np.asarray(take(batch, "mark")), take(batch, "held")
             for chunk in chunks(take(batch, "text")):
-                words = Words(chunk, SPACED)
+                words = _words(chunk)
                 values, rows = _lists(held, chunk)
                 first_holder = np.full(len(words.starts), _NONE)
                 first_holder[_ints(values, "at") + words.first[rows]] = _ints(values, "lo")
@@ -134,14 +251,18 @@ def _ask(window: int, bits: int):
                 hashes = np.zeros(len(words.starts), np.uint64)
                 where, keys = _anchors(chunk, words, window, bits)
                 hashes[where] = keys
-                p = words.windows(window)[0]
+                # only windows around anchors with a first holder, and only those inside their text
+                starts = np.flatnonzero(has)
+                low = np.maximum(starts - (window - ANCHOR), words.first[words.row[starts]])
+                p = np.flatnonzero(covered(low, starts + 1 - low, len(words.starts)))
+                p = p[p + window <= words.first[1:][words.row[p]]]
                 place = p - words.first[words.row[p]]
                 good, lo, s = np.zeros(len(p), bool), np.full(len(p), _NONE), p.copy()
                 for t in range(window - ANCHOR + 1):
-                    aligned = np.isin((place + t) % PERIOD, COVER)
-                    good |= aligned & has[p + t]
-                    better = aligned & has[p + t] & ((first_holder[p + t] > lo) | (lo == _NONE))
-                    lo[better], s[better] = first_holder[p + t][better], (p + t)[better]
+                    aligned = _aligned(place + t) & has[p + t]
+                    good |= aligned
+                    better = aligned & ((first_holder[p + t] > lo) | (lo == _NONE))
+                    lo[better], s[better] = first_holder[p[better] + t], p[better] + t
                 p, lo, s = p[good], lo[good], s[good]
                 if not len(p):
                     continue
@@ -162,6 +283,18 @@ def _ask(window: int, bits: int):
 ANSWERS = "lo long, h long, size int, before int, words binary"
 
 
+def _sought(row: np.ndarray, keys: np.ndarray, at: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted hash first stands in its row, -1 where it does not, from places in order."""
+    every_row, every_key = np.append(row, rows), np.append(keys, wanted)
+    order = np.lexsort((every_key, every_row))  # stable: of equal ones, places come first and in order
+    r, k = every_row[order], every_key[order]
+    head = np.append(True, (r[1:] != r[:-1]) | (k[1:] != k[:-1]))
+    leader = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    found = np.empty(len(order), np.int64)
+    found[order] = np.where(leader < len(at), np.append(at, -1)[np.minimum(leader, len(at))], -1)
+    return found[len(at) :]
+
+
 def _answer(window: int, bits: int):
     """The words asked for: `before` of them (window - ANCHOR, or what the text has) stand before the anchor."""
 
@@ -169,21 +302,18 @@ def _answer(window: int, bits: int):
         for batch in batches:
             ids, wanted = np.asarray(take(batch, "doc_id").cast(pa.int64())), take(batch, "wanted")
             for chunk in chunks(take(batch, "text")):
-                words = Words(chunk, SPACED)
+                words = _words(chunk)
                 where, keys = _anchors(chunk, words, window, bits)
-                place = {}
-                for r, k, at in zip(words.row[where].tolist(), keys.tolist(), where.tolist(), strict=True):
-                    place.setdefault((r, k), at)
                 values, rows = _lists(wanted, chunk)
+                h, size = _ints(values, "h"), _ints(values, "size")
+                at = _sought(words.row[where], keys, where, rows, h.view(np.uint64))
+                here = np.flatnonzero(at >= 0)  # what is not here is in another text of this doc_id
                 out, held = [], 0
-                for r, h, size in zip(rows.tolist(), _ints(values, "h").view(np.uint64).tolist(), _ints(values, "size").tolist(), strict=True):
-                    at = place.get((r, h))
-                    if at is None:  # another text of this doc_id has it
-                        continue
+                for r, h, size, at in zip(*(c[here].tolist() for c in (rows, h, size, at)), strict=True):
                     a = max(int(words.first[r]), at - (window - ANCHOR))
                     b = min(int(words.first[r + 1]), at - (window - ANCHOR) + size)
                     got = b" ".join(chunk.data[words.starts[a] : words.ends[b - 1]].tobytes().split())
-                    out.append((int(ids[chunk.lo + r]), int(np.uint64(h).view(np.int64)), size, at - a, got))
+                    out.append((int(ids[chunk.lo + r]), h, size, at - a, got))
                     held += len(got)
                     if held > 8 << 20:
                         yield _answers(out)
@@ -217,7 +347,7 @@ def _compare(window: int, bits: int):
         for batch in batches:
             ids, marks, came = take(batch, "doc_id").cast(pa.int64()), take(batch, "mark"), take(batch, "came")
             for chunk in chunks(take(batch, "text")):
-                words = Words(chunk, SPACED)
+                words = _words(chunk)
                 size, total = chunk.hi - chunk.lo, len(words.starts)
                 values, rows = _lists(came, chunk)
                 p, n, s = (_ints(values, name) for name in ("p", "n", "s"))
@@ -237,7 +367,7 @@ def _compare(window: int, bits: int):
                     if mine == got:
                         sure[base + low : base + high] = True
                     else:
-                        wrong = np.cumsum([0, *map(ne, mine, got)])
+                        wrong = np.append(0, np.cumsum(np.fromiter(map(ne, mine, got), np.int64, len(mine))))
                         sure[base + low : base + high] |= wrong[low - start + window : high - start + window] == wrong[low - start : high - start]
                 first = np.zeros(total + 1, bool)
                 first[words.first] = True
@@ -249,7 +379,7 @@ def _compare(window: int, bits: int):
                 at, keys = words.windows(window)
                 still = _window_bits(keys[np.searchsorted(at, rest)], bits)
                 near = np.unique(rest[:, None] + np.arange(window - ANCHOR + 1))
-                near = near[np.isin((near - words.first[words.row[near]]) % PERIOD, COVER)]
+                near = near[_aligned(near - words.first[words.row[near]])]
                 anchors = _anchor_table(chunk, words, window, bits)[near]
                 yield _batch(COMPARED, ids.slice(chunk.lo, size), marks.slice(chunk.lo, size), _listed(row, size, gone), _listed(words.row[rest], size, as_signed(still)), _listed(words.row[near], size, as_signed(anchors)))
 
@@ -275,7 +405,7 @@ def _hash_windows(window: int, bits: int):
         for batch in batches:
             ids, marks, held = np.asarray(take(batch, "doc_id").cast(pa.int64())), np.asarray(take(batch, "mark")), take(batch, "held")
             for chunk in chunks(take(batch, "text")):
-                words = Words(chunk, SPACED)
+                words = _words(chunk)
                 at, keys = words.windows(window)
                 values, rows = _lists(held, chunk)
                 starts = _ints(values) + words.first[rows]
@@ -331,6 +461,10 @@ def _lists_of(places: DataFrame, value) -> DataFrame:
     return places.groupBy(*_ROW).agg(F.collect_list(value).alias("held"))
 
 
+def _in_parts(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition("part").sortWithinPartitions("part", "turn")
+
+
 def _with(rows: DataFrame, lists: DataFrame) -> DataFrame:
     return rows.join(lists.hint("shuffle_hash"), _ROW)
 
@@ -362,12 +496,14 @@ def removal_plan(some: DataFrame, window: int = WINDOW, bits: int = ANCHOR_BITS)
     if window < PERIOD + ANCHOR - 1:
         raise ValueError(f"a window must have {PERIOD + ANCHOR - 1} words at least, so that it holds an aligned anchor")
     with only(some.sparkSession) as keep:
-        seen = some.select("doc_id", "text").mapInArrow(lean(_holders(window, bits)), HOLDERS)
-        shared = written(seen.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("h", "lo"), "anchors")
+        seen = some.mapInArrow(lean(_holders(window, bits)), HOLDERS)
+        shared = written(_in_parts(seen).mapInArrow(lean(_first(bits)), SHARED), "anchors")
         places = some.mapInArrow(lean(_place_anchors(window, bits)), PLACES)
-        later = places.join(shared.hint("shuffle_hash"), "h").filter("doc_id > lo")
-        held = written(_lists_of(later, F.struct("at", "lo")), "places")
+        no = F.lit(None)
+        both = places.unionByName(shared.select("part", "turn", "h", F.col("lo").alias("doc_id"), no.cast("array<bigint>").alias("mark"), no.cast("array<int>").alias("at")))
+        met = written(_in_parts(both).mapInArrow(lean(_meet), MET), "met")
         discard(shared)
+        held = written(_lists_of(met.filter("doc_id > lo"), F.struct("at", "lo")), "places")
         asked = written(_with(some, held).mapInArrow(lean(_ask(window, bits)), ASKED), "asked")
         discard(held)
         came = _answered(some, asked, window, bits)
@@ -377,10 +513,10 @@ def removal_plan(some: DataFrame, window: int = WINDOW, bits: int = ANCHOR_BITS)
         keep.append(found)
         if found.filter("size(open) > 0").isEmpty():
             return keep
-        wanted = written(found.select(F.explode("anchors").alias("h")).distinct(), "wanted")
-        # what is sought, and the last document that seeks it: only windows up to there can take a part
+        # what is sought, and the last document that seeks it: only places and windows up to there can take a part
+        wanted = written(found.select("doc_id", F.explode("anchors").alias("h")).groupBy("h").agg(F.max("doc_id").alias("last")), "wanted")
         sought = written(found.select("doc_id", F.explode("open").alias("h")).groupBy("h").agg(F.max("doc_id").alias("last")), "sought")
-        near = written(_lists_of(places.join(wanted.hint("shuffle_hash"), "h"), F.col("at")), "near")
+        near = written(_lists_of(met.join(wanted.hint("shuffle_hash"), "h").filter("doc_id <= last"), F.col("at")), "near")
         windows = _with(some, near).mapInArrow(lean(_hash_windows(window, bits)), WINDOWS)
         like = written(windows.join(sought.hint("shuffle_hash"), "h").filter("doc_id <= last"), "like")
         earlier = like.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("last").alias("last")).filter("lo < last").select("h")

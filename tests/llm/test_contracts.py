@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("rasterloom.llm")
@@ -248,6 +249,35 @@ def test_substring_dedup_spells_only_what_may_be_removed(spark, monkeypatch):
         assert told.get("spelt", 0) <= spelt
 
 
+def test_substring_dedup_sends_anchors_in_blocks():
+    """Rows of many anchors of one part, none too long, from which parts find first holders and places, however the rows are cut into batches."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(9)] + ["long" * 17, "long" * 17 + "er", "much-longer" * 20]
+    texts = [[rng.choice(words) for _ in range(rng.choice([12, 13, 300]))] for _ in range(60)]
+    texts += [t[7:] for t in texts[:40]] + [["x"] * 20000, ["x"] * 50]
+    ids = [rng.randrange(50) for _ in texts]
+    batch = pa.RecordBatch.from_pydict({"doc_id": ids, "mark": [7] * len(ids), "text": [" ".join(t) for t in texts]})
+    for bits in (48, 5):
+        blocks = list(substring_dedup._place_anchors(13, bits)([batch.slice(0, 30), batch.slice(30)]))
+        count = sum(len(hashes) for b in blocks for hashes in b["h"].to_pylist())
+        anchors = [(d, p, tuple(t[p : p + 7])) for d, t in zip(ids, texts, strict=True) if len(t) > 12 for p in range(len(t) - 6) if p % 7 in (0, 1, 3)]
+        assert count == len(anchors)
+        assert sum(b.num_rows for b in blocks) < count / 2
+        assert all(len(hashes) <= 1024 and len({h >> max(0, bits - 12) for h in hashes}) == 1 for b in blocks for hashes in b["h"].to_pylist())
+        one_by_one = lambda bs: iter(sorted((b.slice(i, 1) for b in bs for i in range(b.num_rows)), key=lambda r: (r["part"][0].as_py(), r["turn"][0].as_py())))
+        held = [b for i in (0, 30) for b in substring_dedup._holders(13, bits)([batch.slice(i, 30 if i == 0 else None)])]
+        shared = list(substring_dedup._first(bits)(one_by_one(held)))
+        turned = [b.select(["part", "turn", "h", "lo"]).rename_columns(["part", "turn", "h", "doc_id"]) for b in shared]
+        met = [r for b in substring_dedup._meet(one_by_one([*turned, *blocks])) for r in b.to_pylist()]
+        if bits == 48:
+            first, last = {}, {}
+            for d, _, a in anchors:
+                first[a], last[a] = min(d, first.get(a, d)), max(d, last.get(a, d))
+            every = [(d, p, first[a]) for d, p, a in anchors if first[a] < last[a]]
+            assert sorted((r["doc_id"], r["at"], r["lo"]) for r in met) == sorted(every) and len(every) > 100
+        assert {r["mark"] for r in met} == {7}
+
+
 def test_cover_reaches_every_pair_of_positions():
     period, cover = substring_dedup.PERIOD, substring_dedup.COVER
     for i in range(period):
